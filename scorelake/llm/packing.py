@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from scorelake.llm import common
-from scorelake.llm.word_table import split_words, tokenizer, vocabulary_path
+from scorelake.llm.word_table import ids_of_words, split_words, vocabulary_path
 
 WINDOW = 4096
 GRID = 16
@@ -50,13 +50,19 @@ _cache: dict[str, dict[str, bytes]] = {}
 def encoded(texts: list[str], path: str) -> list[bytes]:
     """Ids of whole texts as little-endian unsigned 32-bit integers, by way of the words the worker knows."""
     known = _cache.setdefault(path, {})
-    split = [split_words(t) for t in texts]
     if len(known) > CACHED:
-        known.clear()
-    new = list({w for words in split for w in words if w not in known})
-    for w, e in zip(new, tokenizer(path).encode_batch_fast(new, add_special_tokens=False), strict=True):
-        known[w] = np.array(e.ids, "<u4").tobytes()
-    return [b"".join(map(known.__getitem__, words)) for words in split]
+        # what came first is what comes most
+        for w in list(itertools.islice(known, CACHED // 2, None)):
+            del known[w]
+    # the tokenizer lowers case; where that is plain it is done here, so that fewer words are distinct
+    split = [split_words(t.lower() if t.isascii() and "<|" not in t else t) for t in texts]
+    found = [list(map(known.get, words)) for words in split]
+    short = [k for k, ids in enumerate(found) if None in ids]
+    new = list({w for k in short for w, ids in zip(split[k], found[k], strict=True) if ids is None})
+    known.update(zip(new, ids_of_words(new, path), strict=True))
+    for k in short:
+        found[k] = [known[w] if ids is None else ids for w, ids in zip(split[k], found[k], strict=True)]
+    return [b"".join(ids) for ids in found]
 
 
 def cut_items(docs: DataFrame, path: str) -> DataFrame:

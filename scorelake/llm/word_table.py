@@ -75,6 +75,47 @@ def split_words(text: str) -> list[str]:
     return [w for w in _SPACE.split(text) if w] if _KEPT_CONTROLS.search(text) else text.split()
 
 
+def _word_ends(path: str) -> np.ndarray:
+    """Whether a token ends a word of the tokenizer, by id."""
+    if (path, "ends") not in _loaded:
+        _loaded[path, "ends"] = np.array([bool(p) and p.endswith("</w>") for p in pieces(path)])
+    return _loaded[path, "ends"]
+
+
+def ids_of_words(words: list[str], path: str) -> list[bytes]:
+    """Ids of each word (as ``split_words`` gives them), as little-endian unsigned 32-bit integers.
+
+    Plain words, letters with at most one sign behind, hold one or two words of the tokenizer, so many can be
+    encoded as one text and told apart by the tokens that end words. The rest is encoded word by word.
+    """
+    t, ends = tokenizer(path), _word_ends(path)
+    out: list[bytes] = [b""] * len(words)
+    plain, held, odd = [], [], []
+    for i, w in enumerate(words):
+        if w.isalpha():
+            plain.append(i)
+            held.append(1)
+        elif w[-1] in ".,!?;:" and w[:-1].isalpha():
+            plain.append(i)
+            held.append(2)
+        else:
+            odd.append(i)
+    for lo in range(0, len(plain), 5000):
+        part, n = plain[lo : lo + 5000], np.array(held[lo : lo + 5000])
+        ids = np.array(t.encode_batch_fast([" ".join([words[i] for i in part])], add_special_tokens=False)[0].ids, "<u4")
+        stops = np.flatnonzero(ends[ids]) + 1
+        if len(stops) != n.sum():  # a letter that falls apart in lower case
+            odd += part
+            continue
+        raw, at = ids.tobytes(), 0
+        for i, stop in zip(part, (4 * stops[np.cumsum(n) - 1]).tolist(), strict=True):
+            out[i] = raw[at:stop]
+            at = stop
+    for i, e in zip(odd, t.encode_batch_fast([words[i] for i in odd], add_special_tokens=False), strict=True):
+        out[i] = np.array(e.ids, "<u4").tobytes()
+    return out
+
+
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list, list[str]]]:
     """(chunk, doc_ids, texts); the chunk's name is the partition and a running number."""
     part, n = TaskContext.get().partitionId(), 0
@@ -102,11 +143,12 @@ def _words_by_bucket(texts: list[str], buckets: int) -> dict[int, list[str]]:
     return out
 
 
-def _packed_ids(groups: list[list[int]], path: str) -> tuple[bytes, bytes]:
+def _packed_ids(groups: list[bytes], path: str) -> tuple[bytes, bytes]:
     """(numbers of ids, ids) of the words, as little-endian arrays."""
-    kind = "<u2" if len(pieces(path)) <= 65536 else "<u4"
-    flat = np.fromiter((i for g in groups for i in g), kind)
-    return np.fromiter(map(len, groups), "<u4", len(groups)).tobytes(), flat.tobytes()
+    flat = np.frombuffer(b"".join(groups), "<u4")
+    if len(pieces(path)) <= 65536:
+        flat = flat.astype("<u2")
+    return (np.fromiter(map(len, groups), "<u4", len(groups)) // 4).astype("<u4").tobytes(), flat.tobytes()
 
 
 def _unpacked_ids(lengths: bytes, ids: bytes, path: str) -> list[list[int]]:
@@ -128,15 +170,14 @@ def word_answers(docs: DataFrame, path: str, buckets: int) -> DataFrame:
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # rows are sorted by bucket: what is held is one bucket's distinct words
-        t, now, known = tokenizer(path), None, {}
+        now, known = None, {}
         for b in batches:
             for chunk, bucket, words in zip(*(b.column(n).to_pylist() for n in ("chunk", "bucket", "words")), strict=True):
                 if bucket != now or len(known) > MOST_HELD:
                     now, known = bucket, {}
                 listed = words.split("\n")
                 new = [w for w in listed if w not in known]
-                for w, e in zip(new, t.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                    known[w] = e.ids
+                known.update(zip(new, ids_of_words(new, path), strict=True))
                 lengths, ids = _packed_ids([known[w] for w in listed], path)
                 yield pa.RecordBatch.from_arrays([pa.array([chunk]), pa.array([bucket], pa.int32()), pa.array([lengths], pa.binary()), pa.array([ids], pa.binary())], names=["chunk", "bucket", "lengths", "ids"])
 
