@@ -51,9 +51,9 @@ def connected_components(edges: DataFrame, src: str = "a", dst: str = "b", most_
     """
     spark = edges.sparkSession
     e = edges.select(F.col(src).cast("long").alias("a"), F.col(dst).cast("long").alias("b")).where("a is not null and b is not null")
-    nodes = e.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    e = written(e.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    nodes = written(nodes, "nodes")
+    e = written(e.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    nodes = written(e.select(F.col("a").alias("node")).union(e.select("b")).distinct(), "nodes")
+    e = e.where("a <> b")
     seen = None
     for _ in range(most_rounds):
         both = e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
