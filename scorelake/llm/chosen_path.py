@@ -44,9 +44,11 @@ RECALL = 0.9999
 SMALL = 64
 DEPTH = 4
 #: Sketch agreement from which a pair in a small bucket, or a record and a pivot, are linked; and from which a
-#: record is close enough to the pivot to leave the splitting. Both allow for the sketch's error.
-LINK, PIVOT_LINK, CLOSE = 0.58, 0.4, 0.8
-BLOCK = 1024
+#: record is close enough to the pivot to leave the splitting: what is within the threshold of such a record is
+#: at most 1 - CLOSE + 1 - 0.8 from the pivot, so it is linked to the pivot too. All allow for the sketch's error.
+LINK, PIVOT_LINK, CLOSE = 0.58, 0.35, 0.65
+#: Records of a block of a large component; smaller components have smaller blocks, at least SMALL_BLOCK.
+BLOCK, SMALL_BLOCK, SPREAD = 1024, 128, 16
 _WORD = re.compile(r"\w+")
 _known: dict[str, int] = {}
 _MULT = np.random.default_rng(11).integers(1, 2**63, TOKENS, dtype=np.uint64) | np.uint64(1)
@@ -312,7 +314,8 @@ def join(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     parts = common.written(common.connected_components(edges), "parts")
     sizes = common.written(parts.groupBy("component").agg(F.count("*").alias("size")).where("size > 1"), "sizes")
     members = common.written(parts.join(sizes, "component").select(F.col("node").alias("rec"), "component", "size"), "members")
-    n_blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+    # a record goes to as many block pairs as there are blocks, so blocks grow with the component up to BLOCK
+    n_blocks = F.greatest(F.least(F.ceil(F.col("size") / SMALL_BLOCK), F.lit(SPREAD)), F.ceil(F.col("size") / BLOCK)).cast("int")
     placed = members.join(with_sketch.select("rec", "first_id", "copies", "set_hash"), "rec").withColumn("blocks", n_blocks).withColumn("block", F.pmod(F.xxhash64("rec", F.lit(5)), F.col("blocks")).cast("int"))
     texts = docs.select(F.col("doc_id").cast("long").alias("first_id"), F.col("text").cast("string").alias("text"))
     placed = _with_sets(placed.join(texts, "first_id").select("rec", "component", "copies", "set_hash", "blocks", "block", "text"))
