@@ -1,15 +1,230 @@
-"""Queries of the evaluation operators over the test tables, with their SQL."""
+"""Queries of the evaluation operators over the test tables, with their SQL.
+
+Stand-ins: texts are documents (golden side lang 'en', candidate side 'fr'), human labels come from labels, run
+history from events (suite: event type, run: suite and day, example: user), prompts and responses from
+conversations, ready vectors from embeddings.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from scorelake.functions import text as T
+from scorelake.operators import drift, runs, validate
+
+
+def _read(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def _sides(s: SparkSession, d: str) -> DataFrame:
+    return _read(s, d, "documents").where(F.col("lang").isin("en", "fr")).select("doc_id", F.col("lang").alias("side"), "text")
+
+
+def _length_hist(s, d):
+    return drift.histogram(_sides(s, d), T.length_bucket(F.col("text")), len(T.LENGTH_BOUNDS))
+
+
+def _judge_hist(s, d):
+    return drift.histogram(_sides(s, d), T.judge_bucket(T.word_count_judge(F.col("text"))), T.JUDGE_BUCKETS)
+
+
+def _report(hist: DataFrame, axis: str) -> DataFrame:
+    return drift.axis_report(drift.jensen_shannon(hist, "en", "fr"), axis).withColumn("drift_score", F.round("drift_score", 6))
+
+
+def _history(s, d) -> DataFrame:
+    e = _read(s, d, "events")
+    day = F.date_format("ts", "yyyy-MM-dd")
+    return e.select(F.col("event_type").alias("suite"), F.concat_ws("_", "event_type", day).alias("run_id"), F.concat(day, F.lit("T00:00:00Z")).alias("started_at"), F.col("user_id").cast("string").alias("example_id"), "value")
+
+
+def _rows(s, d) -> DataFrame:
+    g = _history(s, d).groupBy("suite", "run_id", "started_at", "example_id").agg(F.avg("value").alias("v"))
+    return g.select("suite", "run_id", "started_at", "example_id", F.round(F.least(F.lit(1.0), F.col("v") / 100), 6).alias("score"))
+
+
+def _runs(s, d) -> DataFrame:
+    return _rows(s, d).groupBy("suite", "run_id", "started_at").agg(F.count("*").alias("n_rows"), F.round(F.avg("score"), 6).alias("mean_score"))
+
+
+def _diff(s, d) -> DataFrame:
+    rows = _rows(s, d)
+    one = lambda day: rows.where((F.col("suite") == "click") & F.col("started_at").startswith(day))
+    return runs.diff(one("2024-01-02"), one("2024-01-01")).select("example_id", "baseline_score", "current_score", F.round("delta", 6).alias("delta"), "status", "flagged")
+
+
+def _calibration(s, d) -> DataFrame:
+    docs, labels = _read(s, d, "documents"), _read(s, d, "labels")
+    human = ((F.col("quality") + 1 - F.col("toxic")) / 2.0).alias("human")
+    return labels.join(docs, "doc_id").select("doc_id", human, T.word_count_judge(F.col("text")).alias("judge"))
+
+
+def _binary(s, d) -> DataFrame:
+    return _calibration(s, d).select("doc_id", "human", "judge", runs.binarize(F.col("human")).alias("h"), runs.binarize(F.col("judge")).alias("j"))
+
+
+def _tagged(s, d) -> DataFrame:
+    return _read(s, d, "documents").select("doc_id", F.array("lang", "source").alias("tags"))
+
+
+def _suite(s, d) -> DataFrame:
+    c = _read(s, d, "conversations")
+    ask = c.where("role = 'user'").select("conv_id", "turn", F.col("text").alias("prompt"))
+    reply = c.where("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("answer"))
+    return ask.join(reply, ["conv_id", "turn"]).select("conv_id", "turn", T.word_count_judge(F.col("answer")).alias("score"))
+
+
+def _lines(s, d) -> DataFrame:
+    """Golden records made of documents, with a defect of a known kind in some."""
+    doc = _read(s, d, "documents").select("doc_id", "lang", "source")
+    k = F.col("doc_id") % 10
+    name = F.when(k == 4, F.concat(F.lit("d"), (F.col("doc_id") - 1).cast("string"))).otherwise(F.concat(F.lit("d"), F.col("doc_id").cast("string")))
+    version = F.when(k == 5, "v2").otherwise("v1")
+    body = F.to_json(F.struct(name.alias("id"), F.lit("q").alias("input"), F.array(F.struct(F.lit("exact").alias("kind"), F.lit("a").alias("value"))).alias("expected_outputs"), version.alias("dataset_version"), F.struct(F.lit(1).alias("by")).alias("provenance"), F.array("lang", "source").alias("tags")))
+    line = F.when(k == 1, "").when(k == 2, "{not json").when(k == 3, F.lit('{"id": "x"}')).otherwise(body)
+    # d3 is taken by none, so 4 has the id of a broken record (valid); 7 repeats the id of 6
+    line = F.when(k == 7, F.replace(body, F.concat(F.lit('"d'), F.col("doc_id").cast("string"), F.lit('"')), F.concat(F.lit('"d'), (F.col("doc_id") - 1).cast("string"), F.lit('"')))).otherwise(line)
+    return doc.select((F.col("doc_id") + 1).alias("line_no"), line.alias("line"))
+
+
+def _centroids(s, d, k: int = 8) -> tuple[DataFrame, list]:
+    e = _read(s, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("vector"))
+    step = max(e.count() // k, 1)
+    first = e.where((F.col("vec_id") % step == 0) & (F.col("vec_id") < step * k)).orderBy("vec_id").collect()  # k rows
+    return e, [list(r["vector"]) for r in first]
+
+
+def _nearest(s, d) -> DataFrame:
+    return drift.nearest(*_centroids(s, d))
+
+
+def _embedded(s, d) -> tuple[DataFrame, list]:
+    rows = _sides(s, d)
+    vectors = T.dense(T.hash_embedding(rows), rows).join(rows.select("doc_id", "side"), "doc_id").cache()
+    golden = vectors.where("side = 'en'").select("doc_id", "vector")
+    return vectors, drift.kmeans(golden, 8, "doc_id")
+
+
+def _embedding_drift(s, d) -> DataFrame:
+    vectors, centroids = _embedded(s, d)
+    hist = drift.histogram(drift.nearest(vectors, centroids), F.col("cluster"), len(centroids))
+    return _report(hist, "embedding")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    judge_texts = F.concat(F.lit("Notes\nscore: "), (F.col("doc_id") % 15).cast("string"), F.when(F.col("doc_id") % 3 == 0, ".").when(F.col("doc_id") % 3 == 1, ".5").otherwise("e0"), F.lit("\nREASONING: because "), F.col("lang"))
+
+    def judge_parse(s, d):
+        score, reason = T.judge_output(judge_texts)
+        return _read(s, d, "documents").select("doc_id", score.alias("score"), reason.alias("reasoning"))
+
+    return {
+        "length_histogram": _length_hist,
+        "length_stats": lambda s, d: drift.length_stats(_sides(s, d)).select("side", "n", *(F.round(c, 6).alias(c) for c in ("mean", "median", "p95"))),
+        "length_drift": lambda s, d: _report(_length_hist(s, d), "length"),
+        "judge_histogram": _judge_hist,
+        "judge_drift": lambda s, d: _report(_judge_hist(s, d), "judge"),
+        "token_counts": lambda s, d: _read(s, d, "documents").select("doc_id", F.size(T.tokens(F.col("text"))).cast("long").alias("n_tokens")),
+        "hash_embed_sparse": lambda s, d: T.hash_embedding(_read(s, d, "documents")),
+        "hash_embed_norm": lambda s, d: T.hash_embedding(_read(s, d, "documents")).groupBy("doc_id").agg(F.round(F.sqrt(F.sum(F.col("weight") * F.col("weight"))), 6).alias("norm")),
+        "nearest_centroid_embeddings": lambda s, d: _nearest(s, d).groupBy("cluster").agg(F.count("*").alias("n")),
+        "farthest_examples": lambda s, d: drift.farthest(_nearest(s, d), 5, "vec_id").select("vec_id", "cluster", F.round("distance", 6).alias("distance")),
+        "embedding_drift": _embedding_drift,
+        "kmeans_clusters": lambda s, d: (lambda v, c: drift.nearest(v, c).select("doc_id", "side", "cluster", F.round("distance", 6).alias("distance")))(*_embedded(s, d)),
+        "calibration_rows": lambda s, d: _binary(s, d),
+        "cohens_kappa": lambda s, d: runs.cohens_kappa(_binary(s, d), "h", "j").select("n", F.round("agreement", 6).alias("agreement"), F.round("kappa", 6).alias("kappa"), runs.kappa_label(F.col("kappa")).alias("label")),
+        "pearson_r": lambda s, d: runs.pearson_r(_calibration(s, d), "human", "judge").select("n", F.round("r", 6).alias("r")),
+        "runs_list": lambda s, d: runs.recent(_runs(s, d), "click"),
+        "latest_run_per_suite": lambda s, d: runs.latest_per_suite(_runs(s, d)),
+        "prior_run": lambda s, d: runs.with_prior(_runs(s, d)).select("suite", "run_id", "prior_run_id"),
+        "run_diff": _diff,
+        "run_diff_summary": lambda s, d: runs.summary(_diff(s, d)),
+        "regressed_ids": lambda s, d: _diff(s, d).where("flagged").select("example_id"),
+        "suite_run": _suite,
+        "suite_mean": lambda s, d: _suite(s, d).agg(F.count("*").alias("n_rows"), F.round(F.avg("score"), 6).alias("mean_score")),
+        "tag_filter": lambda s, d: _tagged(s, d).where(F.arrays_overlap("tags", F.array(F.lit("fr"), F.lit("src3")))).select("doc_id"),
+        "tag_inventory": lambda s, d: _tagged(s, d).select(F.explode("tags").alias("tag")).distinct(),
+        "tag_histogram": lambda s, d: validate.tag_histogram(_tagged(s, d)),
+        "validate_outcomes": lambda s, d: validate.outcomes(_lines(s, d)).select("line_no", "code"),
+        "validate_summary": lambda s, d: validate.outcomes(_lines(s, d)).agg(F.count("*").alias("n_rows"), F.count_if(F.col("code") == "valid").alias("n_valid"), F.count_if(F.col("code") != "valid").alias("n_findings")),
+        "judge_parse": judge_parse,
+    }
+
+
+_TOK = r"regexp_extract_all(lower(text), '[\p{L}\p{N}]+')"
+_JUDGE = f"((len({_TOK}) * 7) % 100) / 100.0::DOUBLE"
+_SIDES = "s AS (SELECT doc_id, lang AS side, text FROM documents WHERE lang IN ('en', 'fr'))"
+_LEN_BUCKET = "(" + " + ".join(f"CAST(length(text) >= {b} AS INTEGER)" for b in T.LENGTH_BOUNDS) + " - 1)"
+_JUDGE_BUCKET = f"least(9, greatest(0, CAST(floor({_JUDGE} * 10) AS INTEGER)))"
+
+
+def _hist_sql(bucket: str, n: int) -> str:
+    return f"""{_SIDES}, c AS (SELECT side, CAST({bucket} AS INTEGER) AS bucket, count(*) AS n FROM s GROUP BY ALL),
+hist AS (SELECT x.side, CAST(b.range AS INTEGER) AS bucket, coalesce(c.n, 0) AS n FROM (SELECT DISTINCT side FROM s) x CROSS JOIN range({n}) b LEFT JOIN c ON c.side = x.side AND c.bucket = b.range)"""
+
+
+def _drift_sql(hist: str, axis: str) -> str:
+    return f"""WITH {hist}, w AS (SELECT bucket, sum(CASE WHEN side = 'en' THEN n ELSE 0 END) / (SELECT sum(n) FROM hist WHERE side = 'en') AS p,
+  sum(CASE WHEN side = 'fr' THEN n ELSE 0 END) / (SELECT sum(n) FROM hist WHERE side = 'fr') AS q FROM hist GROUP BY bucket),
+t AS (SELECT sum(CASE WHEN p > 0 THEN p * log2(p / ((p + q) / 2)) ELSE 0 END + CASE WHEN q > 0 THEN q * log2(q / ((p + q) / 2)) ELSE 0 END) / 2 AS v FROM w)
+SELECT '{axis}' AS axis, round(least(1, greatest(0, v)), 6) AS drift_score, CAST(0.1 AS DOUBLE) AS threshold, CASE WHEN v > 0.1 THEN 'drifted' ELSE 'ok' END AS status FROM t"""
+
+
+_HASH = """t AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) AS token FROM documents),
+m AS (SELECT doc_id, CAST(concat('0x', right(sha1(token), 2)) AS INTEGER) % 128 AS m FROM t),
+cells AS (SELECT doc_id, CAST(m % 64 AS INTEGER) AS bucket, CAST(sum(CASE WHEN m >= 64 THEN 1 ELSE -1 END) AS BIGINT) AS weight FROM m GROUP BY ALL)"""
+_RUNS = """r0 AS (SELECT event_type AS suite, concat_ws('_', event_type, strftime(ts, '%Y-%m-%d')) AS run_id, concat(strftime(ts, '%Y-%m-%d'), 'T00:00:00Z') AS started_at,
+  CAST(user_id AS VARCHAR) AS example_id, avg(value) AS v FROM events GROUP BY ALL),
+rw AS (SELECT suite, run_id, started_at, example_id, round(least(1.0, v / 100), 6) AS score FROM r0),
+runs AS (SELECT suite, run_id, started_at, count(*) AS n_rows, round(avg(score), 6) AS mean_score FROM rw GROUP BY ALL)"""
+_DIFF = _RUNS + """, cur AS (SELECT example_id, score FROM rw WHERE suite = 'click' AND started_at LIKE '2024-01-02%'),
+base AS (SELECT example_id, score FROM rw WHERE suite = 'click' AND started_at LIKE '2024-01-01%'),
+df AS (SELECT coalesce(cur.example_id, base.example_id) AS example_id, base.score AS baseline_score, cur.score AS current_score, cur.score - base.score AS dl FROM cur FULL OUTER JOIN base ON cur.example_id = base.example_id),
+diff AS (SELECT example_id, baseline_score, current_score, round(dl, 6) AS delta, CASE WHEN baseline_score IS NULL THEN 'new' WHEN current_score IS NULL THEN 'removed'
+  WHEN dl < 0 THEN 'regressed' WHEN dl > 0 THEN 'improved' ELSE 'unchanged' END AS status, coalesce(dl < -0.1, FALSE) AS flagged FROM df)"""
+_CAL = f"""cal AS (SELECT l.doc_id, (quality + 1 - toxic) / 2.0::DOUBLE AS human, {_JUDGE} AS judge FROM labels l JOIN documents USING (doc_id)),
+bin AS (SELECT doc_id, human, judge, CAST(human >= 0.5 AS INTEGER) AS h, CAST(judge >= 0.5 AS INTEGER) AS j FROM cal)"""
+_SUITE = f"su AS (SELECT u.conv_id, u.turn, (SELECT {_JUDGE.replace('text', 'a.text')}) AS score FROM conversations u JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1 AND u.role = 'user' AND a.role = 'assistant')"
+_VALID = """v AS (SELECT doc_id + 1 AS line_no, CASE doc_id % 10 WHEN 1 THEN 'parse' WHEN 2 THEN 'parse' WHEN 3 THEN 'schema' WHEN 5 THEN 'version_drift' WHEN 7 THEN 'duplicate_id' ELSE 'valid' END AS code FROM documents)"""
+_NEAR = """p AS (SELECT greatest(count(*) // 8, 1) AS step FROM embeddings), c AS (SELECT CAST(row_number() OVER (ORDER BY vec_id) - 1 AS INTEGER) AS cluster, embedding AS c FROM embeddings, p WHERE vec_id % step = 0 AND vec_id < step * 8),
+sim AS (SELECT e.vec_id, c.cluster, list_sum(list_transform(list_zip(e.embedding, c.c), lambda z: z[1]::DOUBLE * z[2]::DOUBLE)) AS s FROM embeddings e CROSS JOIN c),
+best AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY round(s, 12) DESC, cluster) AS k FROM sim)"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    length, judge = _hist_sql(_LEN_BUCKET, len(T.LENGTH_BOUNDS)), _hist_sql(_JUDGE_BUCKET, T.JUDGE_BUCKETS)
+    return {
+        "length_histogram": f"WITH {length} SELECT side, bucket, n FROM hist",
+        "judge_histogram": f"WITH {judge} SELECT side, bucket, n FROM hist",
+        "length_drift": _drift_sql(length, "length"),
+        "judge_drift": _drift_sql(judge, "judge"),
+        "length_stats": f"WITH {_SIDES} SELECT side, count(*) AS n, round(avg(length(text)), 6) AS mean, round(quantile_cont(length(text), 0.5), 6) AS median, round(quantile_cont(length(text), 0.95), 6) AS p95 FROM s GROUP BY side",
+        "token_counts": f"SELECT doc_id, CAST(len({_TOK}) AS BIGINT) AS n_tokens FROM documents",
+        "hash_embed_sparse": f"WITH {_HASH} SELECT doc_id, bucket, weight FROM cells",
+        "hash_embed_norm": f"WITH {_HASH} SELECT doc_id, round(sqrt(CAST(sum(weight * weight) AS DOUBLE)), 6) AS norm FROM cells GROUP BY doc_id",
+        "nearest_centroid_embeddings": f"WITH {_NEAR} SELECT cluster, count(*) AS n FROM best WHERE k = 1 GROUP BY cluster",
+        "farthest_examples": f"WITH {_NEAR} SELECT vec_id, cluster, round(1 - s, 6) AS distance FROM best WHERE k = 1 ORDER BY 1 - s DESC, vec_id LIMIT 5",
+        "calibration_rows": f"WITH {_CAL} SELECT * FROM bin",
+        "cohens_kappa": f"""WITH {_CAL}, s AS (SELECT count(*) AS n, avg(CAST(h = j AS INTEGER)) AS po, avg(h) AS pa, avg(j) AS pb FROM bin), e AS (SELECT n, po, pa * pb + (1 - pa) * (1 - pb) AS pe FROM s),
+k AS (SELECT n, po, CASE WHEN pe = 1 THEN 0 ELSE (po - pe) / (1 - pe) END AS kappa FROM e)
+SELECT n, round(po, 6) AS agreement, round(kappa, 6) AS kappa, CASE WHEN kappa < 0 THEN 'poor' WHEN kappa < 0.2 THEN 'slight' WHEN kappa < 0.4 THEN 'fair' WHEN kappa < 0.6 THEN 'moderate' WHEN kappa < 0.8 THEN 'substantial' ELSE 'almost perfect' END AS label FROM k""",
+        "pearson_r": f"WITH {_CAL} SELECT count(*) AS n, round(corr(human, judge), 6) AS r FROM cal",
+        "runs_list": f"WITH {_RUNS} SELECT * FROM runs WHERE suite = 'click' ORDER BY started_at DESC, run_id DESC LIMIT 20",
+        "latest_run_per_suite": f"WITH {_RUNS} SELECT suite, max_by(run_id, started_at || run_id) AS run_id FROM runs GROUP BY suite",
+        "prior_run": f"WITH {_RUNS} SELECT suite, run_id, lag(run_id) OVER (PARTITION BY suite ORDER BY started_at, run_id) AS prior_run_id FROM runs",
+        "run_diff": f"WITH {_DIFF} SELECT * FROM diff",
+        "run_diff_summary": f"WITH {_DIFF} SELECT count_if(flagged)::BIGINT AS n_flagged, " + ", ".join(f"count_if(status = '{x}')::BIGINT AS n_{x}" for x in ("regressed", "improved", "unchanged", "new", "removed")) + " FROM diff",
+        "regressed_ids": f"WITH {_DIFF} SELECT example_id FROM diff WHERE flagged",
+        "suite_run": f"WITH {_SUITE} SELECT conv_id, turn, score FROM su",
+        "suite_mean": f"WITH {_SUITE} SELECT count(*) AS n_rows, round(avg(score), 6) AS mean_score FROM su",
+        "tag_filter": "SELECT doc_id FROM documents WHERE lang = 'fr' OR source = 'src3'",
+        "tag_inventory": "SELECT lang AS tag FROM documents UNION SELECT source FROM documents",
+        "tag_histogram": "SELECT tag, count(*) AS count FROM (SELECT lang AS tag FROM documents UNION ALL SELECT source FROM documents) GROUP BY tag",
+        "validate_outcomes": f"WITH {_VALID} SELECT line_no, code FROM v",
+        "validate_summary": f"WITH {_VALID} SELECT count(*) AS n_rows, count_if(code = 'valid')::BIGINT AS n_valid, count_if(code <> 'valid')::BIGINT AS n_findings FROM v",
+        "judge_parse": "SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN least(1.0, (doc_id % 15)::DOUBLE) WHEN 1 THEN least(1.0, (doc_id % 15) + 0.5::DOUBLE) END AS score, 'because ' || lang AS reasoning FROM documents",
+    }
