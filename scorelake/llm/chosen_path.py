@@ -50,7 +50,8 @@ LINK, PIVOT_LINK, CLOSE = 0.58, 0.35, 0.65
 #: Records of a block of a large component; smaller components have smaller blocks, at least SMALL_BLOCK.
 BLOCK, SMALL_BLOCK, SPREAD = 1024, 128, 16
 _WORD = re.compile(r"\w+")
-_known: dict[str, int] = {}
+#: Words whose hashes a worker keeps.
+CACHED = 300_000
 _MULT = np.random.default_rng(11).integers(1, 2**63, TOKENS, dtype=np.uint64) | np.uint64(1)
 _STEP = [np.uint64(x | 1) for x in np.random.default_rng(12).integers(1, 2**63, NGRAM, dtype=np.uint64)]
 
@@ -60,15 +61,16 @@ def shingles(text: str | None) -> np.ndarray:
     words = _WORD.findall((text or "").lower())
     if not words:
         return np.zeros(0, np.uint64)
-    if len(_known) > 600_000:
-        _known.clear()
+    known = common.worker_cache("shingles")
+    if len(known) > CACHED:
+        known.clear()
     try:
-        h = np.fromiter(map(_known.__getitem__, words), np.uint64, len(words))
+        h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
     except KeyError:
         for w in words:
-            if w not in _known:
-                _known[w] = xxhash.xxh64_intdigest(w)
-        h = np.fromiter(map(_known.__getitem__, words), np.uint64, len(words))
+            if w not in known:
+                known[w] = xxhash.xxh64_intdigest(w)
+        h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
     n = max(1, len(h) - NGRAM + 1)
     out = np.zeros(n, np.uint64)
     for k in range(min(NGRAM, len(h))):

@@ -19,6 +19,17 @@ def prepare(spark: SparkSession) -> None:
         env["PYTHONPATH"] = os.pathsep.join(x for x in (env.get("PYTHONPATH", ""), REPO) if x)
 
 
+_worker_cache: dict[str, dict] = {}
+
+
+def worker_cache(owner: str) -> dict:
+    """What an operator keeps in a Python worker between batches. Workers outlive stages: the owner before is dropped."""
+    if owner not in _worker_cache:
+        _worker_cache.clear()
+        _worker_cache[owner] = {}
+    return _worker_cache[owner]
+
+
 def shared_folder(spark: SparkSession) -> str:
     """A new folder below the cluster's shared checkpoint folder (below /tmp only where none is set, as in tests)."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file:///tmp/scorelake-checkpoints"

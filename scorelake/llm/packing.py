@@ -39,17 +39,16 @@ GRID = 16
 SLACK = 1
 END = 2
 #: Words that a worker keeps encoded.
-CACHED = 700_000
+CACHED = 600_000
 #: Items of a block that is packed greedily.
 BLOCK = 4000
 ITEMS = "item long, item_tokens long, pieces array<struct<doc_id:long,start:long,length:long,ids_crc32:long,doc_tokens:long>>"
 _PIECE = pa.struct([(n, pa.int64()) for n in ("doc_id", "start", "length", "ids_crc32", "doc_tokens")])
-_cache: dict[str, dict[str, bytes]] = {}
 
 
 def encoded(texts: list[str], path: str) -> list[bytes]:
     """Ids of whole texts as little-endian unsigned 32-bit integers, by way of the words the worker knows."""
-    known = _cache.setdefault(path, {})
+    known = common.worker_cache(f"packing {path}")
     if len(known) > CACHED:
         # what came first is what comes most
         for w in list(itertools.islice(known, CACHED // 2, None)):

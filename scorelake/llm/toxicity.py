@@ -40,7 +40,7 @@ MOST_TOXIC, MOST_CLEAN = 1500, 3000
 EPOCHS, ROUNDS, BATCH, RATE = 5, 3, 192, 0.02
 TOP = 6
 #: Words a worker keeps inputs for.
-CACHED = 600_000
+CACHED = 250_000
 BATCH_WINDOWS = 8192
 THRESHOLD = 0.7
 HIDE = 0.5
@@ -205,30 +205,32 @@ def _gradients(m: Model, x: np.ndarray, win: np.ndarray, y: np.ndarray) -> tuple
     return g, dx[:-1]
 
 
-def _start_vectors(m: Model, texts: list[list[str]], y: np.ndarray) -> dict[str, float]:
-    """Log odds of words and of beginnings in the sample's toxic texts, smoothed; they fill one column of each table."""
-    def odds(sets: list[set]) -> dict:
-        count: dict = {}
-        for s, t in zip(sets, y.tolist(), strict=True):
-            for w in s:
-                c = count.setdefault(w, [0, 0])
-                c[int(t)] += 1
-        n1, n0 = max(1.0, float(y.sum())), max(1.0, float(len(y) - y.sum()))
-        out = {}
-        for w, (c, t) in count.items():
-            if c + t > 2:
-                a, b = (t + 0.3) / (n1 + 1), (c + 0.3) / (n0 + 1)
-                z = np.log(a / b) / np.sqrt(1 / (t + 0.3) + 1 / (c + 0.3))
-                out[w] = float(np.clip(z, -3, 6)) / 3
-        return out
-
-    words = odds([set(t) for t in texts])
-    starts = odds([{("^" + w + "$").encode()[:START] for w in set(t) if len(w) > 4} for t in texts])
-    for w, z in words.items():
-        m.word[zlib.crc32(b"^" + w.encode() + b"$") % WORD_ROWS, 0] = z
-    for s, z in starts.items():
-        m.start[zlib.crc32(s) % START_ROWS, 0] = z
-    return {w: words.get(w, 0.0) + starts.get(("^" + w + "$").encode()[:START], 0.0) for t in texts for w in set(t)}
+def _log_odds(count: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Smoothed log odds of being in a toxic text by their error, for columns of (clean, toxic) counts of texts."""
+    c, t = count
+    z = np.log((t + 0.3) / (n[1] + 1) * (n[0] + 1) / (c + 0.3)) / np.sqrt(1 / (t + 0.3) + 1 / (c + 0.3))
+    return np.where(c + t > 2, np.clip(z, -3, 6) / 3, 0.0)
+
+
+def _start_vectors(m: Model, names: list[str], texts: list[np.ndarray], y: np.ndarray) -> np.ndarray:
+    """Log odds of words and of beginnings in the sample's toxic texts fill one column of each table; their sums."""
+    starts: dict[bytes, int] = {}
+    start_of = np.array([starts.setdefault(("^" + w + "$").encode()[:START], len(starts)) if len(w) > 4 else -1 for w in names], np.int64)
+    words, heads = np.zeros((2, len(names))), np.zeros((2, len(starts) + 1))
+    for ids, label in zip(texts, y.astype(int).tolist(), strict=True):
+        seen = np.unique(ids)
+        words[label, seen] += 1
+        heads[label, np.unique(start_of[seen])] += 1
+    n = np.array([max(1.0, len(y) - y.sum()), max(1.0, y.sum())])
+    zw, zs = _log_odds(words, n), _log_odds(heads, n)
+    zs[-1] = 0.0
+    for w, z in zip(names, zw.tolist(), strict=True):
+        if z:
+            m.word[zlib.crc32(b"^" + w.encode() + b"$") % WORD_ROWS, 0] = z
+    for s, k in starts.items():
+        if zs[k]:
+            m.start[zlib.crc32(s) % START_ROWS, 0] = zs[k]
+    return (zw + zs[start_of]).astype(np.float32)
 
 
 def train(rows: list[tuple[str | None, int]], seed: int = 7) -> Model:
@@ -238,16 +240,16 @@ def train(rows: list[tuple[str | None, int]], seed: int = 7) -> Model:
     m.share = float(y.mean()) if len(y) else 0.5
     if len(y) < 8 or y.min() == y.max():
         return m
-    texts = [words_of(t) for t, _ in rows]
-    weight = _start_vectors(m, texts, y)
-    names = sorted(weight)
-    number = {w: i for i, w in enumerate(names)}
+    number: dict[str, int] = {}
+    texts = [np.array([number.setdefault(w, len(number)) for w in words_of(t)], np.int32) for t, _ in rows]
+    names = list(number)
+    weight = _start_vectors(m, names, texts, y)
     hashes = hashed(names)
     ends = np.append(hashes[3][1:], len(hashes[2]))
-    wins = [windows_of(np.fromiter(map(number.__getitem__, t), np.int32, len(t))) for t in texts]
+    wins = [windows_of(t) for t in texts]
     owner = np.repeat(np.arange(len(wins)), [len(w) for w in wins])
     wins = np.concatenate(wins)
-    prior = np.append(np.array([max(0.0, weight[w]) for w in names], np.float32), 0.0)
+    prior = np.append(np.maximum(weight, 0), np.float32(0))
     strength = prior[wins].sum(1)
     moments = {k: [np.zeros_like(getattr(m, k)), np.zeros_like(getattr(m, k))] for k in WEIGHTS}
     steps = 0
@@ -337,31 +339,29 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     return train([(r["text"], r["toxic"]) for r in rows.collect()])
 
 
-_cached: dict = {}
-
-
 def _score_texts(m: Model, texts: list[str | None], key: str) -> np.ndarray:
     """Scores of texts; input vectors of words are kept by the worker."""
     if not m.trained:
         return np.full(len(texts), m.share)
-    if _cached.get("key") != key or len(_cached["number"]) > CACHED:
-        _cached.clear()
-        _cached.update(key=key, number={}, table=np.zeros((2, 1, 3 * HIDDEN), np.float32))
-    number = _cached["number"]
+    kept = common.worker_cache("toxicity")
+    if kept.get("key") != key or len(kept["number"]) > CACHED:
+        kept.clear()
+        kept.update(key=key, number={}, table=np.zeros((2, 1, 3 * HIDDEN), np.float32))
+    number = kept["number"]
     split = [words_of(t) for t in texts]
     new = list({w for t in split for w in t if w not in number})
     if new:
         base = len(number)
         number.update(zip(new, range(base, base + len(new)), strict=True))
-        table = _cached["table"]
+        table = kept["table"]
         if table.shape[1] < len(number) + 1:  # grown by halves
             bigger = np.zeros((2, int(1.5 * len(number)) + 1000, 3 * HIDDEN), np.float32)
             bigger[:, : table.shape[1] - 1] = table[:, :-1]
-            table = _cached["table"] = bigger
+            table = kept["table"] = bigger
         table[:, base : len(number)] = project(m, inputs(m, new))[:, :-1]
     wins = [windows_of(np.fromiter(map(number.__getitem__, t), np.int32, len(t))) for t in split]
     owner = np.repeat(np.arange(len(wins)), [len(w) for w in wins])
-    f = _features(logits(m, _cached["table"], np.concatenate(wins)), owner, len(texts))
+    f = _features(logits(m, kept["table"], np.concatenate(wins)), owner, len(texts))
     return _sigmoid(f @ m.top[:-1] + m.top[-1])
 
 
