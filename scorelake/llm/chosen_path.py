@@ -51,7 +51,7 @@ LINK, PIVOT_LINK, CLOSE = 0.58, 0.35, 0.65
 BLOCK, SMALL_BLOCK, SPREAD = 1024, 128, 16
 _WORD = re.compile(r"\w+")
 #: Words whose hashes a worker keeps.
-CACHED = 300_000
+CACHED = 150_000
 _MULT = np.random.default_rng(11).integers(1, 2**63, TOKENS, dtype=np.uint64) | np.uint64(1)
 _STEP = [np.uint64(x | 1) for x in np.random.default_rng(12).integers(1, 2**63, NGRAM, dtype=np.uint64)]
 
@@ -247,8 +247,8 @@ def _overlaps(sets: list[np.ndarray]) -> np.ndarray:
     starts, lengths = first[shared][at], times[shared][at]
     out = np.diag(np.array([len(s) for s in sets], np.float32))
     both = np.zeros((n, n), np.float32)
-    for lo in range(0, len(starts), 4096):
-        st, ln, w = starts[lo : lo + 4096], lengths[lo : lo + 4096], weight[lo : lo + 4096]
+    for lo in range(0, len(starts), 1024):
+        st, ln, w = starts[lo : lo + 1024], lengths[lo : lo + 1024], weight[lo : lo + 1024]
         a = np.zeros((n, len(st)), np.float32)
         col = np.repeat(np.arange(len(st)), ln)
         pos = np.repeat(st, ln) + np.arange(ln.sum()) - np.repeat(np.cumsum(ln) - ln, ln)
@@ -267,9 +267,13 @@ def _block_links(threshold: float):
         recs, block, copies = recs[order], block[order], copies[order]
         sets = t.column("shingles").to_pylist()
         sets = [np.frombuffer(sets[k], "<u8") for k in order.tolist()]
-        both = _overlaps(sets).astype(np.float64)
+        both = _overlaps(sets)
         n = np.array([len(s) for s in sets], np.float64)
-        near = both >= threshold * (n[:, None] + n - both) - 1e-9
+        near = np.zeros(both.shape, bool)
+        for lo in range(0, len(n), 256):  # a strip at a time in double precision
+            strip = both[lo : lo + 256].astype(np.float64)
+            near[lo : lo + 256] = strip >= threshold * (n[lo : lo + 256, None] + n - strip) - 1e-9
+        del both
         near &= n[:, None] + n > 0
         np.fill_diagonal(near, False)
         if i != j:  # within a block the pairs are counted by that block's own group

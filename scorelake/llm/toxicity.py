@@ -40,8 +40,8 @@ MOST_TOXIC, MOST_CLEAN = 1500, 3000
 EPOCHS, ROUNDS, BATCH, RATE = 5, 3, 192, 0.02
 TOP = 6
 #: Words a worker keeps inputs for.
-CACHED = 250_000
-BATCH_WINDOWS = 8192
+CACHED = 150_000
+BATCH_WINDOWS = 4096
 THRESHOLD = 0.7
 HIDE = 0.5
 _WORD = re.compile(r"\w+")
