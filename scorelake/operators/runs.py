@@ -61,4 +61,9 @@ def pearson_r(rows: DataFrame, a: str, b: str) -> DataFrame:
 
 
 def kappa_label(k: Column) -> Column:
-    return F.when(k < 0, "poor").when(k < 0.2, "slight").when(k < 0.4, "fair").when(k < 0.6, "moderate").when(k < 0.8, "substantial").otherwise("almost perfect")
+    return F.when(k < 0, "worse than chance").when(k < 0.2, "slight").when(k < 0.4, "fair").when(k < 0.6, "moderate").when(k < 0.8, "substantial").otherwise("almost perfect")
+
+
+def pearson_label(r: Column) -> Column:
+    a = F.abs(r)
+    return F.when(a < 0.1, "negligible").when(a < 0.3, "weak").when(a < 0.5, "moderate").when(a < 0.7, "strong").otherwise("very strong")

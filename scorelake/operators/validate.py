@@ -7,13 +7,14 @@ ids and version changes, which depend on line order, are joins and aggregates.
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 REQUIRED = ("id", "input", "expected_outputs", "dataset_version", "provenance")
+CALIBRATION = ("id", "prompt", "response", "rubric", "human_score", "provenance")
 KINDS = ("exact", "semantic", "regex")
 CHECKED = "line_no long, code string, reason string, id string, dataset_version string, tags array<string>"
 
@@ -52,6 +53,37 @@ def record_reason(r: object) -> str | None:
     return None
 
 
+def calibration_reason(r: object) -> tuple[str, str] | None:
+    """(code, why) if a decoded record is not a valid calibration row."""
+    if not isinstance(r, dict):
+        return "schema", f"top-level value must be JSON object, got {type(r).__name__}"
+    if missing := sorted(set(CALIBRATION) - set(r)):
+        return "schema", f"missing required fields: {missing}"
+    if unknown := sorted(set(r) - set(CALIBRATION)):
+        return "schema", f"unknown top-level field(s): {unknown}"
+    tests = {"id": lambda v: v != "", "prompt": lambda v: True, "response": lambda v: True, "rubric": lambda v: v.strip() != ""}
+    for k, fits in tests.items():
+        if not isinstance(r[k], str) or not fits(r[k]):
+            return "schema", f"{k} must be a {'non-empty ' if k in ('id', 'rubric') else ''}string"
+    if not isinstance(r["provenance"], dict):
+        return "schema", "provenance must be an object"
+    score = r["human_score"]
+    if isinstance(score, bool) or not isinstance(score, int | float):
+        return "schema", "human_score must be a number"
+    return None if 0 <= score <= 1 else ("score_range", f"human_score must be in [0, 1]; got {score}")
+
+
+def check_calibration_line(line: str) -> tuple:
+    """Only a line without characters is blank here; one of white space is bad JSON."""
+    if not line:
+        return "parse", "blank line", None, None, None
+    try:
+        r = json.loads(line)
+    except ValueError as e:
+        return "parse", f"invalid JSON: {e}", None, None, None
+    return (*bad, None, None, None) if (bad := calibration_reason(r)) else (None, None, r["id"], None, [])
+
+
 def check_line(line: str) -> tuple:
     if not line.strip():
         return "parse", "blank line", None, None, None
@@ -64,13 +96,13 @@ def check_line(line: str) -> tuple:
     return None, None, r["id"], r["dataset_version"], r.get("tags", [])
 
 
-def checked(lines: DataFrame) -> DataFrame:
+def checked(lines: DataFrame, check: Callable[[str], tuple] = check_line) -> DataFrame:
     """(line_no, code, reason, id, dataset_version, tags) of (line_no, line) rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = [pa.string(), pa.string(), pa.string(), pa.string(), pa.list_(pa.string())]
         for b in batches:
-            cols = list(zip(*map(check_line, b.column("line").to_pylist()), strict=True)) or [()] * 5
+            cols = list(zip(*map(check, b.column("line").to_pylist()), strict=True)) or [()] * 5
             yield pa.RecordBatch.from_arrays([b.column("line_no"), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], names=["line_no", "code", "reason", "id", "dataset_version", "tags"])
 
     return lines.select(F.col("line_no").cast("long").alias("line_no"), "line").mapInArrow(run, CHECKED)
@@ -91,5 +123,14 @@ def outcomes(lines: DataFrame) -> DataFrame:
     return judged.unionByName(rows.where("code is not null"))
 
 
+def calibration_outcomes(lines: DataFrame) -> DataFrame:
+    """``checked`` for calibration rows; of valid rows with the same id all but the first are 'duplicate_id'."""
+    rows = checked(lines, check_calibration_line)
+    good = rows.where("code is null")
+    claims = good.groupBy("id").agg(F.min("line_no").alias("claim"))
+    code = F.when(F.col("claim") < F.col("line_no"), "duplicate_id").otherwise("valid")
+    return good.join(claims, "id").select("line_no", code.alias("code"), "reason", "id", "dataset_version", "tags").unionByName(rows.where("code is not null"))
+
+
 def tag_histogram(valid: DataFrame) -> DataFrame:
     return valid.select(F.explode("tags").alias("tag")).groupBy("tag").agg(F.count("*").alias("count")).orderBy(F.desc("count"), "tag")

@@ -12,6 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from scorelake.functions import markdown
 from scorelake.functions import text as T
 from scorelake.operators import drift, runs, validate
 
@@ -136,7 +137,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "kmeans_clusters": lambda s, d: (lambda v, c: drift.nearest(v, c).select("doc_id", "side", "cluster", F.round("distance", 6).alias("distance")))(*_embedded(s, d)),
         "calibration_rows": lambda s, d: _binary(s, d),
         "cohens_kappa": lambda s, d: runs.cohens_kappa(_binary(s, d), "h", "j").select("n", F.round("agreement", 6).alias("agreement"), F.round("kappa", 6).alias("kappa"), runs.kappa_label(F.col("kappa")).alias("label")),
-        "pearson_r": lambda s, d: runs.pearson_r(_calibration(s, d), "human", "judge").select("n", F.round("r", 6).alias("r")),
+        "pearson_r": lambda s, d: runs.pearson_r(_calibration(s, d), "human", "judge").select("n", F.round("r", 6).alias("r"), runs.pearson_label(F.col("r")).alias("label")),
         "runs_list": lambda s, d: runs.recent(_runs(s, d), "click"),
         "latest_run_per_suite": lambda s, d: runs.latest_per_suite(_runs(s, d)),
         "prior_run": lambda s, d: runs.with_prior(_runs(s, d)).select("suite", "run_id", "prior_run_id"),
@@ -151,6 +152,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "validate_outcomes": lambda s, d: validate.outcomes(_lines(s, d)).select("line_no", "code"),
         "validate_summary": lambda s, d: validate.outcomes(_lines(s, d)).agg(F.count("*").alias("n_rows"), F.count_if(F.col("code") == "valid").alias("n_valid"), F.count_if(F.col("code") != "valid").alias("n_findings")),
         "judge_parse": judge_parse,
+        "diff_markdown": lambda s, d: markdown.diff_rows(_diff(s, d)),
+        "diff_headline": lambda s, d: markdown.headline(runs.summary(_diff(s, d))),
     }
 
 
@@ -210,8 +213,8 @@ def oracle_sql() -> dict[str, str]:
         "calibration_rows": f"WITH {_CAL} SELECT * FROM bin",
         "cohens_kappa": f"""WITH {_CAL}, s AS (SELECT count(*) AS n, avg(CAST(h = j AS INTEGER)) AS po, avg(h) AS pa, avg(j) AS pb FROM bin), e AS (SELECT n, po, pa * pb + (1 - pa) * (1 - pb) AS pe FROM s),
 k AS (SELECT n, po, CASE WHEN pe = 1 THEN 0 ELSE (po - pe) / (1 - pe) END AS kappa FROM e)
-SELECT n, round(po, 6) AS agreement, round(kappa, 6) AS kappa, CASE WHEN kappa < 0 THEN 'poor' WHEN kappa < 0.2 THEN 'slight' WHEN kappa < 0.4 THEN 'fair' WHEN kappa < 0.6 THEN 'moderate' WHEN kappa < 0.8 THEN 'substantial' ELSE 'almost perfect' END AS label FROM k""",
-        "pearson_r": f"WITH {_CAL} SELECT count(*) AS n, round(corr(human, judge), 6) AS r FROM cal",
+SELECT n, round(po, 6) AS agreement, round(kappa, 6) AS kappa, CASE WHEN kappa < 0 THEN 'worse than chance' WHEN kappa < 0.2 THEN 'slight' WHEN kappa < 0.4 THEN 'fair' WHEN kappa < 0.6 THEN 'moderate' WHEN kappa < 0.8 THEN 'substantial' ELSE 'almost perfect' END AS label FROM k""",
+        "pearson_r": f"WITH {_CAL}, c AS (SELECT count(*) AS n, corr(human, judge) AS r FROM cal) SELECT n, round(r, 6) AS r, CASE WHEN abs(r) < 0.1 THEN 'negligible' WHEN abs(r) < 0.3 THEN 'weak' WHEN abs(r) < 0.5 THEN 'moderate' WHEN abs(r) < 0.7 THEN 'strong' ELSE 'very strong' END AS label FROM c",
         "runs_list": f"WITH {_RUNS} SELECT * FROM runs WHERE suite = 'click' ORDER BY started_at DESC, run_id DESC LIMIT 20",
         "latest_run_per_suite": f"WITH {_RUNS} SELECT suite, max_by(run_id, started_at || run_id) AS run_id FROM runs GROUP BY suite",
         "prior_run": f"WITH {_RUNS} SELECT suite, run_id, lag(run_id) OVER (PARTITION BY suite ORDER BY started_at, run_id) AS prior_run_id FROM runs",
@@ -225,5 +228,7 @@ SELECT n, round(po, 6) AS agreement, round(kappa, 6) AS kappa, CASE WHEN kappa <
         "tag_histogram": "SELECT tag, count(*) AS count FROM (SELECT lang AS tag FROM documents UNION ALL SELECT source FROM documents) GROUP BY tag",
         "validate_outcomes": f"WITH {_VALID} SELECT line_no, code FROM v",
         "validate_summary": f"WITH {_VALID} SELECT count(*) AS n_rows, count_if(code = 'valid')::BIGINT AS n_valid, count_if(code <> 'valid')::BIGINT AS n_findings FROM v",
+        "diff_markdown": f"WITH {_DIFF} SELECT example_id, '| ' || status || ' | `' || example_id || '` | ' || coalesce(printf('%.3f', baseline_score), '—') || ' | ' || coalesce(printf('%.3f', current_score), '—') || ' | ' || coalesce(printf('%+.3f', delta), '—') || ' | ' || CASE WHEN flagged THEN ':warning:' ELSE '' END || ' |' AS line FROM diff",
+        "diff_headline": f"WITH {_DIFF}, c AS (SELECT count_if(flagged) AS f, " + ", ".join(f"count_if(status = '{x}') AS n_{x}" for x in ("regressed", "improved", "unchanged", "new", "removed")) + " FROM diff) SELECT CASE WHEN f > 0 THEN '[X]' WHEN n_regressed > 0 THEN '[!]' WHEN n_improved > 0 THEN '[+]' ELSE '[=]' END || ' flagged **' || f || '** · regressed ' || n_regressed || ' · improved ' || n_improved || ' · unchanged ' || n_unchanged || ' · new ' || n_new || ' · removed ' || n_removed AS line FROM c",
         "judge_parse": "SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN least(1.0, (doc_id % 15)::DOUBLE) WHEN 1 THEN least(1.0, (doc_id % 15) + 0.5::DOUBLE) END AS score, 'because ' || lang AS reasoning FROM documents",
     }
