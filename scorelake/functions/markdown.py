@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,7 +24,13 @@ def code_cell(text: Column) -> Column:
 
 
 def number(x: Column, form: str = "%.3f") -> Column:
-    return F.when(x.isNull(), "—").otherwise(F.format_string(form, x))
+    """Python's number format in Arrow batches: Java's rounds the shortest decimal form, so 0.8895 would differ."""
+
+    @F.pandas_udf("string")
+    def shown(values: pd.Series) -> pd.Series:
+        return values.map(lambda v: None if v != v else form % v)
+
+    return F.when(x.isNull(), "—").otherwise(shown(x))
 
 
 def diff_rows(rows: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scorelake.functions import markdown
@@ -48,8 +48,13 @@ def _rows(s, d) -> DataFrame:
     return g.select("suite", "run_id", "started_at", "example_id", F.round(F.least(F.lit(1.0), F.col("v") / 100), 6).alias("score"))
 
 
+def _exact_mean(score: str) -> Column:
+    """Mean of scores of six digits; the sum is a decimal, so the order of rows does not move the last digit."""
+    return F.sum(F.col(score).cast("decimal(18,6)")).cast("double") / F.count("*")
+
+
 def _runs(s, d) -> DataFrame:
-    return _rows(s, d).groupBy("suite", "run_id", "started_at").agg(F.count("*").alias("n_rows"), F.round(F.avg("score"), 6).alias("mean_score"))
+    return _rows(s, d).groupBy("suite", "run_id", "started_at").agg(F.count("*").alias("n_rows"), _exact_mean("score").alias("mean_score"))
 
 
 def _diff(s, d) -> DataFrame:
@@ -182,7 +187,7 @@ cells AS (SELECT doc_id, CAST(m % 64 AS INTEGER) AS bucket, CAST(sum(CASE WHEN m
 _RUNS = """r0 AS (SELECT event_type AS suite, concat_ws('_', event_type, strftime(ts, '%Y-%m-%d')) AS run_id, concat(strftime(ts, '%Y-%m-%d'), 'T00:00:00Z') AS started_at,
   CAST(user_id AS VARCHAR) AS example_id, avg(value) AS v FROM events GROUP BY ALL),
 rw AS (SELECT suite, run_id, started_at, example_id, round(least(1.0, v / 100), 6) AS score FROM r0),
-runs AS (SELECT suite, run_id, started_at, count(*) AS n_rows, round(avg(score), 6) AS mean_score FROM rw GROUP BY ALL)"""
+runs AS (SELECT suite, run_id, started_at, count(*) AS n_rows, CAST(sum(CAST(score AS DECIMAL(18, 6))) AS DOUBLE) / count(*) AS mean_score FROM rw GROUP BY ALL)"""
 _DIFF = _RUNS + """, cur AS (SELECT example_id, score FROM rw WHERE suite = 'click' AND started_at LIKE '2024-01-02%'),
 base AS (SELECT example_id, score FROM rw WHERE suite = 'click' AND started_at LIKE '2024-01-01%'),
 df AS (SELECT coalesce(cur.example_id, base.example_id) AS example_id, base.score AS baseline_score, cur.score AS current_score, cur.score - base.score AS dl FROM cur FULL OUTER JOIN base ON cur.example_id = base.example_id),
