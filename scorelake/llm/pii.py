@@ -15,6 +15,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 _LOCAL = "[A-Za-z0-9._%+-]"
+#: Characters of an IBAN by country code, from the registry of ISO 13616.
+IBAN_CHARS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST",
+    26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA",
+    30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+_LISTED = "|".join(c for codes in IBAN_CHARS.values() for c in codes.split())
+#: The country code gives the length, so a match ends where the IBAN ends. Codes without a known length end with
+#: their run of characters, or else with the run of such words.
+_IBAN = "|".join(
+    [rf"(?:{codes.replace(' ', '|')})[0-9]{{2}}(?:\x20?+[A-Z0-9]){{{n - 4}}}+(?![A-Za-z0-9])" for n, codes in IBAN_CHARS.items()]
+    + [rf"(?!{_LISTED})[A-Z]{{2}}[0-9]{{2}}(?:[A-Z0-9]{{11,30}}+|(?:\x20?+[A-Z0-9]){{11,30}}+)(?![A-Za-z0-9])"]
+)
 #: Java patterns that find the leftmost non-overlapping matches of the stated base expressions. A lookbehind (or
 #: the end of the last match, \G) keeps the search from starting again inside a run that has already failed.
 PATTERNS = {
@@ -22,7 +36,8 @@ PATTERNS = {
     "ip": r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}",
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}+(?![A-Za-z0-9])",
+    # the first letter; group 1 looks ahead over the whole, so that what fails the checksum hides no IBAN inside it
+    "iban": rf"(?<![A-Za-z0-9])(?=[A-Z]{{2}}[0-9]{{2}})(?=({_IBAN}))[A-Z]",
 }
 BASE_KINDS = ("email", "ip", "card", "phone")
 KINDS = (*BASE_KINDS, "iban")
@@ -77,20 +92,27 @@ def spans_of(text: Column, kind: str) -> Column:
     lengths gives the offsets.
     """
     gaps = F.split(text, PATTERNS[kind], -1)
-    matches = F.regexp_extract_all(text, F.lit(PATTERNS[kind]), F.lit(0))
+    ahead = kind == "iban"
+    matches = F.regexp_extract_all(text, F.lit(PATTERNS[kind]), F.lit(1 if ahead else 0))
     n = F.size(matches)
     steps = F.arrays_zip(F.slice(gaps, 1, n).alias("gap"), matches.alias("match"), F.slice(gaps, F.lit(2), n).alias("after"))
     base, words = CONTEXT[kind]
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast(_SPANS).alias("spans"))
+    zero = F.struct(F.lit(0).alias("at"), F.lit(0).alias("free"), F.array().cast(_SPANS).alias("spans"))
 
     def step(acc: Column, s: Column) -> Column:
         start = acc["at"] + F.length(s["gap"])
         end = start + F.length(s["match"])
-        near = F.lower(F.concat_ws(" ", F.right(s["gap"], F.lit(CONTEXT_CHARS)), F.left(s["after"], F.lit(CONTEXT_CHARS))))
-        score = F.lit(base) + F.when(near.rlike(words), 0.2).otherwise(0.0)
+        before, after = F.right(s["gap"], F.lit(CONTEXT_CHARS)), F.left(s["after"], F.lit(CONTEXT_CHARS))
+        if ahead:  # only the first letter parts the gaps
+            before = F.right(s["gap"], F.least(F.lit(CONTEXT_CHARS), start - acc["free"]))
+            after = F.substring(s["after"], F.length(s["match"]), F.lit(CONTEXT_CHARS))
+        score = F.lit(base) + F.when(F.lower(F.concat_ws(" ", before, after)).rlike(words), 0.2).otherwise(0.0)
         span = F.struct(F.lit(kind).alias("kind"), start.alias("start"), end.alias("end"), score.alias("score"))
-        kept = F.when(_confirmed(kind, s["match"]), F.concat(acc["spans"], F.array(span))).otherwise(acc["spans"])
-        return F.struct(end.alias("at"), kept.alias("spans"))
+        good = _confirmed(kind, s["match"])
+        if ahead:
+            good = (start >= acc["free"]) & good
+        kept = F.when(good, F.concat(acc["spans"], F.array(span))).otherwise(acc["spans"])
+        return F.struct((start + 1 if ahead else end).alias("at"), F.when(good, end).otherwise(acc["free"]).alias("free"), kept.alias("spans"))
 
     found = F.aggregate(steps, zero, step, lambda acc: acc["spans"])
     possible = F.contains(text, F.lit(_NEEDS[kind])) if kind in _NEEDS else text.rlike("[0-9][ -]?[0-9]")
@@ -109,7 +131,8 @@ def find_pii(docs: DataFrame, text: str = "text", least_score: float = 0.5) -> D
 
 
 def redact(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with every found span replaced by its kind in brackets; of overlapping spans the first (then longer) wins."""
+    """``docs`` with every found span replaced by its kind in brackets; spans that overlap are
+    replaced together, by the kind of the first (then longest)."""
     names = docs.columns
     found = find_pii(docs, text)
     ordered = F.array_sort(F.transform("pii_spans", lambda s: F.struct(s["start"], (-s["end"]).alias("neg_end"), s["kind"])))
@@ -119,7 +142,7 @@ def redact(docs: DataFrame, text: str = "text") -> DataFrame:
     def step(acc: Column, s: Column) -> Column:
         piece = F.concat(acc["out"], F.substring(body, acc["at"] + 1, s["start"] - acc["at"]), F.lit("["), F.upper(s["kind"]), F.lit("]"))
         later = s["start"] >= acc["at"]
-        return F.struct(F.when(later, -s["neg_end"]).otherwise(acc["at"]).alias("at"), F.when(later, piece).otherwise(acc["out"]).alias("out"))
+        return F.struct(F.greatest(-s["neg_end"], acc["at"]).alias("at"), F.when(later, piece).otherwise(acc["out"]).alias("out"))
 
     masked = F.aggregate(ordered, zero, step, lambda acc: F.concat(acc["out"], F.substring(body, acc["at"] + 1, F.length(body))))
     return found.withColumn(text, F.when(F.size("pii_spans") > 0, masked).otherwise(F.col(text))).select(*names)

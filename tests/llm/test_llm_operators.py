@@ -282,6 +282,21 @@ def test_pii_redaction_and_iban(spark):
     assert [r["text"] for r in pii.redact(df).orderBy("doc_id").collect()] == ["iban [IBAN] ok", "GB82 WEST 1234 5698 7654 33", "[EMAIL], é [PHONE]!", None]
 
 
+def test_pii_ibans_end_where_their_country_says(spark):
+    de, gb = "DE89370400440532013000", "GB82 WEST 1234 5698 7654 32"
+    texts = {f"{de} Please pay": "[IBAN] Please pay", f"{gb} 12 March": "[IBAN] 12 March", f"IBAN: {de} BIC: X": "IBAN: [IBAN] BIC: X", f"{de} {gb}": "[IBAN] [IBAN]", f"{gb}, {de}": "[IBAN], [IBAN]"}
+    texts |= {f"BE71 {de[:4]} 3704 0044 0532 0130 00 A": "BE71 [IBAN] A", f"x{de}": f"x{de}", f"{de}0": f"{de}0", "NO93 8601 1117 947 NO9386011117947": "[IBAN] [IBAN]", "é😀 " + de: "é😀 [IBAN]", "ZZ8112345678901 ABC": "[IBAN] ABC"}
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    assert [r["text"] for r in pii.redact(df).orderBy("doc_id").collect()] == list(texts.values())
+    spans = {r["doc_id"]: r["spans"] for r in pii.query(df).collect()}
+    assert spans[3].endswith("iban:0:22,iban:23:50")
+
+
+def test_pii_redaction_masks_all_of_overlapping_spans(spark):
+    df = spark.createDataFrame([(1, "tel +1 555 123 4567@mail.com now"), (2, "a@b.co +1 555 123 4567")], "doc_id long, text string")
+    assert [r["text"] for r in pii.redact(df).orderBy("doc_id").collect()] == ["tel [PHONE] now", "[EMAIL] [PHONE]"]
+
+
 def test_components_of_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, x) for x in range(101, 160)] + [(7, 7), (300, 300), (None, 3)]
     got = {r["node"]: r["component"] for r in common.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
