@@ -306,16 +306,16 @@ def _with_sets(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, StructType([*kept, StructField("shingles", BinaryType())]))
 
 
-def join(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """Rows (doc_id, class_id, n_links), one for each row of ``docs``."""
+def _records(docs: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """(sketches, a row a row of ``docs``; records: rec, set_hash, first_id, copies, component, links)."""
     sketched = common.written(_sketched(docs), "sketches")
     known = sketched.where("doc_id is not null")
     # one record per distinct set, named by its smallest doc_id
     records = known.groupBy("set_hash").agg(F.min("doc_id").alias("rec"), F.count("*").alias("copies"))
     records = common.written(records, "records")
     # rows that share a doc_id can name several records; a record's sketch goes with its set
-    with_sketch = records.join(known.select(F.col("doc_id").alias("rec"), "set_hash", "n", "sketch"), ["set_hash", "rec"]).dropDuplicates(["set_hash"])
-    with_sketch = common.written(with_sketch.select("set_hash", F.xxhash64("set_hash").alias("rec"), F.col("rec").alias("first_id"), "copies", "n", "sketch"), "sets")
+    with_sketch = records.join(known.select(F.col("doc_id").alias("rec"), "set_hash", "n", "sketch"), ["set_hash", "rec"]).groupBy("set_hash").agg(F.first("rec").alias("first_id"), F.first("copies").alias("copies"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.count("*").alias("times"))
+    with_sketch = common.written(with_sketch.select("set_hash", F.xxhash64("set_hash").alias("rec"), "first_id", "copies", "n", "sketch", "times"), "sets")
     edges = proposed(with_sketch.where("n > 0").select("rec", "sketch"), threshold)
     parts = common.written(common.connected_components(edges), "parts")
     sizes = common.written(parts.groupBy("component").agg(F.count("*").alias("size")).where("size > 1"), "sizes")
@@ -325,25 +325,55 @@ def join(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     placed = members.join(with_sketch.select("rec", "first_id", "copies", "set_hash"), "rec").withColumn("blocks", n_blocks).withColumn("block", F.pmod(F.xxhash64("rec", F.lit(5)), F.col("blocks")).cast("int"))
     texts = docs.select(F.col("doc_id").cast("long").alias("first_id"), F.col("text").cast("string").alias("text"))
     placed = _with_sets(placed.join(texts, "first_id").select("rec", "component", "copies", "set_hash", "blocks", "block", "text"))
+    if not with_sketch.where("times > 1").isEmpty():  # rows that repeat a record's doc_id and set: one of them goes on
+        placed = placed.dropDuplicates(["rec"])
     placed = placed.select("rec", "component", "copies", "block", "shingles", F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least("block", o).alias("i"), F.greatest("block", o).alias("j")))).alias("p"))
     compared = placed.select("component", F.col("p.i").alias("i"), F.col("p.j").alias("j"), "rec", "copies", "block", "shingles").groupBy("component", "i", "j").applyInArrow(_block_links(threshold), "kind long, a long, b long")
     compared = common.written(compared, "compared")
     links = compared.where("kind = 0").groupBy(F.col("a").alias("rec")).agg(F.sum("b").alias("links"))
     classes = common.connected_components(compared.where("kind = 1").select("a", "b"))
     named = with_sketch.select("rec", "set_hash", "first_id", "copies").join(classes.select(F.col("node").alias("rec"), "component"), "rec", "left").withColumn("component", F.coalesce("component", "rec"))
-    named = common.written(named.join(links, "rec", "left"), "named")
+    return sketched, common.written(named.join(links, "rec", "left"), "named")
+
+
+def join(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """Rows (doc_id, class_id, n_links), one for each row of ``docs``."""
+    sketched, named = _records(docs, threshold)
+    known = sketched.where("doc_id is not null")
     smallest = common.written(named.groupBy("component").agg(F.min("first_id").alias("class_id")), "smallest")
     result = common.written(named.join(smallest, "component").select("set_hash", "class_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")), "classes")
     out = known.select("doc_id", "set_hash").join(result, "set_hash").select("doc_id", "class_id", "n_links")
     return out.union(sketched.where("doc_id is null").select("doc_id", F.lit(None).cast("long"), F.lit(0).cast("long")))
 
 
+def _with_set_hash(rows: DataFrame) -> DataFrame:
+    from pyspark.sql.types import BinaryType, StructField, StructType
+
+    names = rows.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            hashes = [xxhash.xxh3_128_digest(shingles(t).tobytes()) for t in b.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*(b.column(n) for n in names), pa.array(hashes, pa.binary())], names=[*names, "_set"])
+
+    return rows.mapInArrow(run, StructType([*rows.schema.fields, StructField("_set", BinaryType())]))
+
+
 def keep_one(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` but for those that are like an earlier one: of each class the row with the smallest
-    doc_id stays (one of them where rows repeat). Rows with a null doc_id stay."""
-    heads = join(docs, threshold).where("doc_id = class_id").select("doc_id").distinct()
-    kept = docs.join(heads, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
-    return kept.unionByName(docs.where("doc_id is null"))
+    doc_id stays (one of them where rows repeat). A doc_id with texts of several classes can stay once for each.
+    Rows with a null doc_id stay."""
+    sketched, named = _records(docs, threshold)
+    heads = named.groupBy("component").agg(F.min(F.struct("first_id", "set_hash")).alias("h")).select(F.col("h.first_id").alias("doc_id"), F.col("h.set_hash").alias("_set"))
+    heads = common.written(heads, "heads")
+    repeated = common.written(sketched.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("times")).where("times > 1").select("doc_id"), "repeated")
+    once = heads.join(repeated, "doc_id", "left_anti")
+    kept = docs.join(once, "doc_id", "left_semi").unionByName(docs.where("doc_id is null"))
+    if repeated.isEmpty():
+        return kept
+    # the doc_id alone doesn't tell the row: its set does
+    several = _with_set_hash(docs.join(repeated, "doc_id", "left_semi").select(*docs.columns)).join(heads, ["doc_id", "_set"], "left_semi")
+    return kept.unionByName(several.dropDuplicates(["doc_id", "_set"]).select(*docs.columns))
 
 
 def query(docs: DataFrame) -> DataFrame:

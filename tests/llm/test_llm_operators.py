@@ -255,6 +255,19 @@ def test_chosen_path_keeps_one_of_each_class(odd):
     assert kept == [1, 3, 5, 6]
 
 
+def test_chosen_path_repeated_first_id_beside_a_near_copy(spark):
+    words = [f"w{i}" for i in range(60)]
+    text, near, other = " ".join(words), " ".join([*words[:-1], "x"]), "quite another text of seven words"
+    table = [(1, text), (1, text), (2, near)]
+    df = lambda rows: spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(tuple, chosen_path.query(df(table)).collect())) == _brute_links(table) == [(1, 1, 2), (1, 1, 2), (2, 1, 2)]
+    assert sorted(map(tuple, chosen_path.keep_one(df(table)).collect())) == [(1, text)]
+    # other texts that share a doc_id: 1 stays twice, 2 only with its own class
+    table += [(1, other), (1, other), (2, "a text that stands alone here"), (3, None), (None, text)]
+    kept = chosen_path.keep_one(df(table)).collect()
+    assert sorted(map(str, kept)) == sorted(map(str, df([(1, text), (1, other), (2, "a text that stands alone here"), (3, None), (None, text)]).collect()))
+
+
 def test_pii_equals_the_plain_expressions(spark, docs):
     extra = ["a@b.c_d@e.f x@y.z.w@q.r a@b@c.d", "1.2.3.4.5.6.7.8 999.1.1.1 001.02.3.4", "4111 1111 1111 1111-2 4111-1111-1111-1111", "+1 (555) 123-4567 +1+12345678901", "é€😀a@b.co", None, "", "1" * 50000, "a" * 100000, "+1" + "(" * 50000, "a." * 30000 + "@x.y"]
     table = docs.select("doc_id", "text").union(spark.createDataFrame([(10**6 + i, t) for i, t in enumerate(extra)], "doc_id long, text string"))
