@@ -2,13 +2,18 @@
 
 A line that begins with one or more '>' is quoted, their number is its level. Lines are compared in lower case with
 white space made even and signs left out; lines without a letter or digit are no evidence. A quoted line goes to
-the first message of its own conversation that says it in its own words, else to the first message of all
-(smallest conv_id, turn); one row for each line hash is kept on that side, so a very common line never multiplies.
+the first message of its own conversation that says it in its own words before, else to the first message of all
+other conversations (smallest conv_id, turn); the first speakers of two conversations are kept for each hash, so one
+differs from the quoter's and a very common line never multiplies. Passages (neighbouring lines of a level, without a
+line break) are hashed too: a line that nobody said goes where its whole passage comes from, as when a paragraph was
+wrapped anew. A part of a paragraph that was wrapped anew is not found.
 A message answers the message that most of its quoted lines of the least level come from (ties: the latest turn,
 then the smallest conv_id); quotes of the message itself or of later turns of the same conversation don't count.
 
 Defined cases: a null text is an empty message; a message without linked quotes answers nothing and begins a thread
-of its own place; answers that run in a ring keep their links, but are ordered by turn as if they had none.
+of its own place; answers that run in a ring keep their links, but are ordered by turn as if they had none, and their
+answers hang below them. Of rows that repeat a message one stands for it: one that answers nothing, else the one with
+the smallest parent. Threads can be of any depth.
 Repeated rows are linked one by one, to the same original; rows with a null conv_id or turn are returned unlinked.
 An empty table gives no rows; extra columns are ignored.
 """
@@ -20,14 +25,14 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scorelake.llm import common
 
 _MARK = re.compile(r"^((?:[ \t]*>)+)[ \t]?(.*)$", re.S)
 _SIGNS = re.compile(r"[^\w]+|_+")
-PARSED = "row_no long, conv_id long, turn long, role string, text string, own array<long>, quoted array<struct<level:int,hash:long>>"
+PARSED = "row_no long, conv_id long, turn long, role string, text string, own array<long>, quoted array<struct<level:int,hash:long,passage:long>>"
 
 
 def parse(text: str | None) -> tuple[str, list[str], list[tuple[int, str]]]:
@@ -42,6 +47,22 @@ def parse(text: str | None) -> tuple[str, list[str], list[tuple[int, str]]]:
     return "\n".join(own).strip("\n"), own, quoted
 
 
+def passages(text: str | None) -> list[tuple[int, list[str]]]:
+    """(level, lines) of neighbouring lines of a level, 0 for own ones; a line without letters or digits parts them."""
+    out, last = [], None
+    for line in (text or "").split("\n"):
+        m = _MARK.match(line)
+        level, body = (m[1].count(">"), m[2]) if m else (0, line)
+        if not _SIGNS.sub("", body):
+            last = None
+        elif level == last:
+            out[-1][1].append(body)
+        else:
+            out.append((level, [body]))
+            last = level
+    return out
+
+
 def line_hash(line: str) -> int | None:
     """Hash of a normalised line; None where nothing is left of it."""
     flat = " ".join(_SIGNS.sub(" ", line.lower()).split())
@@ -49,16 +70,23 @@ def line_hash(line: str) -> int | None:
 
 
 def _parsed(rows: DataFrame) -> DataFrame:
-    pair = pa.struct([("level", pa.int32()), ("hash", pa.int64())])
+    pair = pa.struct([("level", pa.int32()), ("hash", pa.int64()), ("passage", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts, owns, quotes = [], [], []
             for t in b.column("text").to_pylist():
-                text, own, quoted = parse(t)
-                texts.append(text)
-                owns.append(sorted({h for x in own if (h := line_hash(x)) is not None}))
-                quotes.append([{"level": k, "hash": h} for k, x in quoted if (h := line_hash(x)) is not None])
+                texts.append(parse(t)[0])
+                own, quoted = set(), []
+                for level, lines in passages(t):
+                    whole = line_hash(" ".join(lines))
+                    if level:
+                        quoted += ({"level": level, "hash": line_hash(x), "passage": whole} for x in lines)
+                    else:
+                        own.add(whole)
+                        own.update(map(line_hash, lines))
+                owns.append(sorted(own))
+                quotes.append(quoted)
             yield pa.RecordBatch.from_arrays(
                 [*(b.column(n) for n in ("row_no", "conv_id", "turn", "role")), pa.array(texts, pa.string()), pa.array(owns, pa.list_(pa.int64())), pa.array(quotes, pa.list_(pair))],
                 names=["row_no", "conv_id", "turn", "role", "text", "own", "quoted"],
@@ -71,18 +99,26 @@ def link(messages: DataFrame) -> DataFrame:
     """Rows (conv_id, turn, role, text, parent_conv, parent_turn, n_quoted, n_linked, row_no), a row a message."""
     rows = messages.select(F.monotonically_increasing_id().alias("row_no"), F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
     parsed = common.written(_parsed(rows), "parsed")
-    quotes = parsed.where("conv_id is not null and turn is not null and size(quoted) > 0").select("row_no", "conv_id", "turn", F.explode("quoted").alias("q")).select("row_no", "conv_id", "turn", "q.level", "q.hash")
+    quotes = parsed.where("conv_id is not null and turn is not null and size(quoted) > 0").select("row_no", "conv_id", "turn", F.posexplode("quoted").alias("pos", "q"))
+    # a line's own hash comes first, then that of its passage
+    tries = F.array(F.struct(F.lit(0).alias("rank"), F.col("q.hash").alias("hash")), F.struct(F.lit(1).alias("rank"), F.col("q.passage").alias("hash")))
+    quotes = quotes.select("row_no", "conv_id", "turn", "pos", "q.level", F.explode(tries).alias("t")).select("row_no", "conv_id", "turn", "pos", "level", "t.rank", "t.hash")
     quotes = common.written(quotes, "quotes")
     asked = common.written(quotes.select("hash").distinct(), "asked")
     said = parsed.where("conv_id is not null and turn is not null").select("conv_id", "turn", F.explode("own").alias("hash"))
     # only lines that someone quotes; then one row for each conversation and line, and one for each line
     said = common.written(said.join(asked, "hash").groupBy("conv_id", "hash").agg(F.min("turn").alias("near_turn")), "said")
-    first = common.written(said.groupBy("hash").agg(F.min(F.struct("conv_id", "near_turn")).alias("f")).select("hash", F.col("f.conv_id").alias("far_conv"), F.col("f.near_turn").alias("far_turn")), "first")
+    place = F.row_number().over(Window.partitionBy("hash").orderBy("conv_id"))
+    two = said.withColumn("place", place).where("place <= 2").groupBy("hash")
+    at = lambda k, c: F.min(F.when(F.col("place") == k, F.col(c)))
+    first = common.written(two.agg(at(1, "conv_id").alias("far_conv"), at(1, "near_turn").alias("far_turn"), at(2, "conv_id").alias("next_conv"), at(2, "near_turn").alias("next_turn")), "first")
     near = quotes.join(said, ["conv_id", "hash"], "left")
     near = common.written(near, "near").join(first, "hash", "left")
     here = F.col("near_turn") < F.col("turn")
     there = F.col("far_conv") != F.col("conv_id")
-    found = near.select("row_no", "turn", "level", F.when(here, F.col("conv_id")).when(there, F.col("far_conv")).alias("to_conv"), F.when(here, F.col("near_turn")).when(there, F.col("far_turn")).alias("to_turn"))
+    to = F.when(here, F.struct("rank", F.col("conv_id").alias("c"), F.col("near_turn").alias("t"))).when(there, F.struct("rank", F.col("far_conv").alias("c"), F.col("far_turn").alias("t")))
+    to = to.when(F.col("next_conv").isNotNull(), F.struct("rank", F.col("next_conv").alias("c"), F.col("next_turn").alias("t")))
+    found = near.groupBy("row_no", "pos", "level").agg(F.min(to).alias("to")).select("row_no", "level", F.col("to.c").alias("to_conv"), F.col("to.t").alias("to_turn"))
     votes = found.groupBy("row_no", "level", "to_conv", "to_turn").agg(F.count("*").alias("n"))
     best = votes.groupBy("row_no").agg(
         F.max(F.when(F.col("to_conv").isNotNull(), F.struct(-F.col("level"), "n", "to_turn", -F.col("to_conv")))).alias("best"),
@@ -94,30 +130,64 @@ def link(messages: DataFrame) -> DataFrame:
     return parsed.join(best, "row_no", "left").select("row_no", "conv_id", "turn", "role", "text", "parent_conv", "parent_turn", F.coalesce("n_quoted", zero).alias("n_quoted"), F.coalesce("n_linked", zero).alias("n_linked"))
 
 
-def conversations(messages: DataFrame, most_levels: int = 200) -> DataFrame:
+def _pad(c) -> Column:
+    c = F.col(c) if isinstance(c, str) else c
+    return F.concat(F.when(c < 0, "-").otherwise("0"), F.lpad(F.abs(c).cast("string"), 18, "0"))
+
+
+def _step() -> Column:
+    return F.concat(F.lit("/"), _pad("conv_id"), F.lit("."), _pad("turn"))
+
+
+def _climb(nodes: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """Each node (conv_id, turn) with the place to_conv, to_turn where its way up ends, its depth below that and the
+    path; and the nodes in rings, None where there are none. A round doubles the way; the places reached that go on
+    themselves become fewer with each step until only rings are left."""
+    at = common.written(nodes.select("conv_id", "turn", "to_conv", "to_turn", F.lit(1).alias("depth"), _step().alias("path")), "climb")
+    before = None
+    while True:
+        going = at.select("to_conv", "to_turn").distinct().join(at.select(F.col("conv_id").alias("to_conv"), F.col("turn").alias("to_turn")), ["to_conv", "to_turn"], "left_semi")
+        going = common.written(going, "going")
+        left = going.count()
+        if left == 0:
+            return at, None
+        if left == before:
+            return at, going.select(F.col("to_conv").alias("conv_id"), F.col("to_turn").alias("turn"))
+        before = left
+        up = at.select(F.col("conv_id").alias("to_conv"), F.col("turn").alias("to_turn"), F.col("to_conv").alias("up_conv"), F.col("to_turn").alias("up_turn"), F.col("depth").alias("up_depth"), F.col("path").alias("up_path"))
+        at = at.join(up, ["to_conv", "to_turn"], "left").select(
+            "conv_id", "turn", F.coalesce("up_conv", "to_conv").alias("to_conv"), F.coalesce("up_turn", "to_turn").alias("to_turn"),
+            (F.col("depth") + F.coalesce("up_depth", F.lit(0))).alias("depth"), F.concat(F.coalesce("up_path", F.lit("")), "path").alias("path"),
+        )
+        at = common.written(at, "climb")
+
+
+def conversations(messages: DataFrame) -> DataFrame:
     """``link`` with thread_conv (the conversation where the thread begins), depth and reply_order: ordering a thread by
     reply_order puts every message behind the one it answers and beside its other answers.
 
-    Levels are walked outward from the messages that answer nothing; only messages that answer are joined.
+    Ways up are doubled until all have ended; only messages that answer are joined.
     """
-    pad = lambda c: F.concat(F.when(F.col(c) < 0, "-").otherwise("0"), F.lpad(F.abs(F.col(c)).cast("string"), 18, "0"))
     linked = common.written(link(messages), "linked")
-    roots = linked.where("parent_conv is null").select("row_no", "conv_id", "turn", F.col("conv_id").alias("thread_conv"), F.lit(0).alias("depth"), pad("turn").alias("reply_order"))
+    top = ("row_no", F.col("conv_id").alias("thread_conv"), F.lit(0).alias("depth"), _pad("turn").alias("reply_order"))
+    roots = linked.where("parent_conv is null")
+    places = roots.select(*top)
     answers = common.written(linked.where("parent_conv is not null").select("row_no", "conv_id", "turn", "parent_conv", "parent_turn"), "answers")
-    done, level = roots, roots
-    for depth in range(1, most_levels + 1):
-        if answers.isEmpty():
-            break
-        # of rows that repeat a message, one stands for it
-        at = common.written(level.groupBy(F.col("conv_id").alias("parent_conv"), F.col("turn").alias("parent_turn")).agg(F.min("thread_conv").alias("thread_conv"), F.min("reply_order").alias("above")), "level")
-        level = answers.join(at, ["parent_conv", "parent_turn"]).select("row_no", "conv_id", "turn", "thread_conv", F.lit(depth).alias("depth"), F.concat("above", F.lit("/"), pad("conv_id"), F.lit("."), pad("turn")).alias("reply_order"))
-        level = common.written(level, f"level{depth}")
-        if level.isEmpty():
-            break
-        done = done.union(level)
-        answers = common.written(answers.join(level.select("row_no"), "row_no", "left_anti"), "answers")
-    ring = answers.select("row_no", "conv_id", "turn", F.col("conv_id").alias("thread_conv"), F.lit(0).alias("depth"), pad("turn").alias("reply_order"))
-    places = done.union(ring).select("row_no", "thread_conv", "depth", "reply_order")
+    if not answers.isEmpty():
+        key = ["conv_id", "turn"]
+        nodes = answers.join(roots.select(*key).distinct(), key, "left_anti").groupBy(*key).agg(F.min(F.struct("parent_conv", "parent_turn")).alias("p"))
+        nodes = common.written(nodes.select(*key, F.col("p.parent_conv").alias("to_conv"), F.col("p.parent_turn").alias("to_turn")), "nodes")
+        at, ring = _climb(nodes)
+        if ring is not None:
+            held = nodes.join(ring, key, "left_semi").select(*key, F.col("to_conv").alias("parent_conv"), F.col("to_turn").alias("parent_turn"))
+            ringed = common.written(answers.join(held, [*key, "parent_conv", "parent_turn"], "left_semi"), "ringed")
+            places = places.union(ringed.select(*top))
+            answers = answers.join(ringed.select("row_no"), "row_no", "left_anti")
+            at, _ = _climb(nodes.join(ring, key, "left_anti"))
+        above = at.select(F.col("conv_id").alias("parent_conv"), F.col("turn").alias("parent_turn"), "to_conv", "to_turn", F.col("depth").alias("above"), "path")
+        below = answers.join(above, ["parent_conv", "parent_turn"], "left")
+        order = F.concat(_pad(F.coalesce("to_turn", "parent_turn")), F.coalesce("path", F.lit("")), _step())
+        places = places.union(below.select("row_no", F.coalesce("to_conv", "parent_conv").alias("thread_conv"), (F.coalesce("above", F.lit(0)) + 1).alias("depth"), order.alias("reply_order")))
     return linked.join(places, "row_no").drop("row_no")
 
 
