@@ -1,20 +1,30 @@
-"""Main text by wrapper inference: union-free regular expressions learned from the pages of each host.
-
-A page becomes a stream of tags with text slots between them. Repeated runs fold into repeated groups; two streams
-(or two wrappers) of the same host are aligned, what only one of them has becomes an optional group, and text
-always is a slot. So each host gets one expression of tags, slots, repeats and options. Walking through it with a
-stack of open elements tells which slots belong to the article and which to menus, headers, footers, sidebars,
-notices, adverts, forms, scripts or comments. The expression, with a group for each stretch of one kind, is then
-matched against each page's stream, and the stretches of the article give its text. A page that its host's
-expression does not match (``by_wrapper`` false) is walked through by itself under the same rules.
-
-Distinct streams are counted before they are shuffled, and a host's streams are merged in salted parts first, so a
-host with most pages is not one task. Wrappers are broadcast only if they measure less than ``BROADCAST_BYTES``
-together, and joined by a shuffle otherwise.
-
-Defined cases: a null html is empty and gives an empty text; a page without article markup is read whole but for
-the left-out parts; cut-off pages are read as far as they go; pages without a host share one; repeated rows are
-extracted one by one; an empty table gives no rows; extra columns are ignored. Texts are neither cut nor dropped.
+"""Main text by wrapper inference: one union-free regular expression for the pages of each host.
+
+A page is a stream of tags and texts. The wrapper of a host starts as the stream of its first page, and each further
+stream is aligned with it, level by level of the open elements (``align``). Mismatches are resolved as they come:
+texts that differ become a slot, texts that stay the same on all pages are part of the template; what only some pages
+have becomes optional; what comes in different numbers, or more than ``FIXED`` times, becomes a repeated group; what
+comes in several orders becomes one repeated group of options. ``expression`` writes the wrapper out. Aligning is
+associative but for rare coincidences of texts, so tasks align what they hold and the results are aligned in turn:
+only wrappers are shuffled, a stream of them is merged one by one, and a host with most pages is salted first.
+
+The wrapper then says which of its texts are the article's (``labelled``):
+
+* Where pages mark the article (``article``, else ``main``), the texts inside, template or not.
+* Elsewhere, the lines of text that hold a slot: not those that at least ``LEAST`` different pages share as they are,
+  nor lists of links (most of an element's text lies in links, on all pages of the host together).
+* Never what HTML sets apart (``nav``, ``footer``, ``aside``, ``form``, ``script`` ..., a ``header`` outside the
+  article), roles that say so, hidden elements, or elements with a class or id all of whose parts name such a thing
+  (``cookie-notice``, ``comments``, but neither ``has-sidebar`` nor ``share-price``); an element that holds the only
+  article is no such thing.
+
+A page is read along its host's labelled wrapper, one step a tag, so the time is linear. What a wrapper learned from
+other pages does not know is read by HTML's own meaning alone, and ``by_wrapper`` is false.
+
+Defined cases: a null html is empty and gives an empty text; cut-off pages are read as far as they go; pages without
+a host share one wrapper; a host with one page has no template text; repeated rows are extracted one by one and count
+as one page; an empty table gives no rows; extra columns are ignored. Elements nested deeper than ``DEPTH`` count as
+part of the one at that depth. Texts are neither cut nor dropped.
 """
 
 from __future__ import annotations
@@ -23,20 +33,26 @@ import html as entities
 import json
 import re
 from collections.abc import Iterator
-from difflib import SequenceMatcher
+from functools import reduce
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scorelake.llm import common
 
 BROADCAST_BYTES = 8 << 20
-SALTS = 16
-#: Longest run of tokens that folds into a repeated group.
-RUN = 12
-#: Streams longer than this after folding are not merged into the wrapper; their pages are walked one by one.
-LONGEST = 400
+SALTS = 64
+#: More like-named neighbours than this are a repeated group at once.
+FIXED = 3
+#: Different pages that must share a text for it to be template.
+LEAST = 3
+#: Labels of one element's children beyond which classes no longer tell them apart.
+MOST_LABELS = 64
+DEPTH = 100
+#: Elements and texts of the pages whose wrappers a task holds before it passes them on.
+HELD = 200_000
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
 RAW = {"script", "style", "noscript", "template", "textarea", "title", "iframe", "xmp", "noembed", "noframes"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
@@ -45,214 +61,371 @@ INLINE = {
     "a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins", "kbd", "label", "mark", "q",
     "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr",
 }
-LEFT_OUT = {"nav", "header", "footer", "aside", "form", "head", "menu", "button", "select", "dialog", "svg", "object", "audio", "video", "canvas", "math"} | RAW
-LEFT_OUT_NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|sponsor\w*|banner|promo\w*|cookies?|consent|notice|alert|popup|modal|overlay|sidebar|side|menu|nav|navbar|navigation|breadcrumbs?|header|masthead|footer|comments?|respond|replies|disqus|share|sharing|social|related|recommend\w*|newsletter|subscribe|subscription|login|signup|search|pagination|pager|widget|toolbar|skip|copyright|legal|disclaimer)(?:$|[\s_-])",
-    re.I,
-)
+LEFT_OUT = {"nav", "footer", "aside", "form", "head", "menu", "button", "select", "dialog", "svg", "object", "audio", "video", "canvas", "math"} | RAW
 LEFT_OUT_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "menu", "menubar", "alertdialog"}
-CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
-ATTR = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"?|'([^']*)'?|([^\s\"'>]+))", re.I)
-TEXT = "#"
-
-
-def tokens(page: str) -> list[tuple[str, str]]:
-    """(label, text) of a page: '<name kind' or '</name' for tags, '#' for text. kind 'x' marks left-out classes."""
-    out, at, n = [], 0, len(page)
-    while at < n:
-        m = TOKEN.search(page, at)
-        if not m:
-            out.append((TEXT, page[at:]))
-            break
-        if m.start() > at:
-            out.append((TEXT, page[at : m.start()]))
-        at = m.end()
-        if not m[2]:
-            continue
-        name = m[2].lower()
-        if m[1]:
-            out.append((f"</{name}", ""))
-            continue
-        mark = ""
-        if m[3]:
-            for a, x, y, z in ATTR.findall(m[3]):
-                value = x or y or z
-                if value.lower() in LEFT_OUT_ROLES if a.lower() == "role" else LEFT_OUT_NAMES.search(value):
-                    mark = " x"
-        if re.search(r"\s(?:hidden|aria-hidden\s*=\s*[\"']?true)\b", m[3] or "", re.I):
-            mark = " x"
-        out.append((f"<{name}{mark}", ""))
-        if name in RAW and not m[3].rstrip().endswith("/"):
-            end = re.compile(rf"</{re.escape(name)}(?=[\s/>]|\Z)", re.I).search(page, at)
-            at = end.start() if end else n
-    return out
-
-
-def stream(toks: list[tuple[str, str]]) -> list[str]:
-    return [t for t, s in toks if t != TEXT or not s.isspace()]
-
-
-def fold(symbols: list) -> list:
-    """Neighbouring equal runs (shortest first) become ['*', run]; groups fold again."""
-    out = list(symbols)
-    changed = True
-    while changed:
-        changed = False
-        for size in range(1, RUN + 1):
-            new, i = [], 0
-            while i < len(out):
-                run = out[i : i + size]
-                j = i + size
-                body = run[0][1] if size == 1 and isinstance(run[0], list) and run[0][0] == "*" else run
-                while len(run) == size and out[j : j + size] == run:
-                    j += size
-                if j > i + size and run != [TEXT]:
-                    new.append(["*", body])
-                    i, changed = j, True
-                    continue
-                # a run that stands next to its own group joins it
-                if len(run) == size and new and isinstance(new[-1], list) and new[-1][0] == "*" and new[-1][1] == run:
-                    i, changed = i + size, True
-                    continue
-                nxt = out[i + size] if i + size < len(out) else None
-                if len(run) == size and isinstance(nxt, list) and nxt[0] == "*" and nxt[1] == run:
-                    i, changed = i + size, True
+#: Parts of names of elements that are set apart, and parts that say nothing by themselves.
+SET_APART = frozenset(
+    "ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner cookie cookies consent notice alert popup modal overlay "
+    "sidebar menu nav navbar navigation breadcrumb breadcrumbs header masthead footer comment comments respond replies disqus share sharing social related "
+    "recommended recommendations newsletter subscribe subscription login signup search pagination pager widget toolbar skip copyright legal disclaimer".split()
+)
+NEUTRAL = frozenset("area bar block box bottom container content group inner item items left links list main outer page right section site slot top unit wrap wrapper".split())
+PARAGRAPH_ENDS = {
+    "address", "article", "aside", "blockquote", "dd", "div", "dl", "dt", "fieldset", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr",
+    "li", "main", "nav", "ol", "p", "pre", "section", "table", "ul",
+}
+CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
+ATTR = re.compile(r"([^\s=\"'/]+)(?:\s*=\s*(?:\"([^\"]*)\"?|'([^']*)'?|([^\s\"'>]+)))?")
+TEXT, BREAK, MARK, REGION, HOLDS = "#", -1, "!", "@", "^"
+
+
+def sets_apart(name: str) -> bool:
+    """Whether a class or id names something beside the article."""
+    parts = {p for p in re.split(r"[-_0-9]+", name.lower()) if p}
+    return not parts.isdisjoint(SET_APART) and parts <= SET_APART | NEUTRAL
+
+
+def _label(name: str, attributes: str) -> str:
+    """The element's name, its first plain class (else id), and a mark where they set it apart."""
+    if name in ("html", "body"):
+        return name
+    plain, mark = "", ""
+    for key, x, y, z in ATTR.findall(attributes):
+        key, value = key.lower(), x or y or z
+        if key in ("class", "id"):
+            for token in value.split():
+                if sets_apart(token):
+                    mark = MARK
+                if (not plain or key == "class" and plain[0] == "#") and token.replace("-", "").replace("_", "").isalpha() and len(token) <= 24:
+                    plain = (".#"[key == "id"]) + token.lower()
+        elif key == "role" and value.lower() in LEFT_OUT_ROLES or key == "hidden" or key == "aria-hidden" and value.lower() == "true":
+            mark = MARK
+    return name + plain + mark
+
+
+def name_of(label: str) -> str:
+    return re.split(r"[.#!@^]", label, maxsplit=1)[0]
+
+
+class Page:
+    """A page's elements and texts in order: ``labels``, ``parents`` and ``texts`` by number (0: the page), and
+    ``events``, numbers of texts with breaks between blocks."""
+
+    def __init__(self, page: str):
+        self.labels, self.parents, self.texts, self.events = [""], [-1], [""], []
+        names, stack, deep = [""], [0], []
+        at, n = 0, len(page)
+
+        def text(s: str) -> None:
+            if not s or s.isspace() and (not self.events or self.events[-1] == BREAK):
+                return
+            self.events.append(len(self.labels))
+            self.add(TEXT, stack[-1], s)
+            names.append(TEXT)
+
+        while at < n:
+            m = TOKEN.search(page, at)
+            if not m:
+                text(page[at:])
+                break
+            text(page[at : m.start()])
+            at = m.end()
+            if not m[2]:
+                continue
+            name = m[2].lower()
+            if name not in INLINE:
+                self.events.append(BREAK)
+            if m[1]:
+                if name in deep:
+                    del deep[len(deep) - 1 - deep[::-1].index(name) :]
                     continue
-                new.append(out[i])
-                i += 1
-            out = new
-    return out
-
-
-def _key(x) -> str:
-    return x if isinstance(x, str) else json.dumps(x)
-
-
-def align(a: list, b: list) -> list:
-    """One expression for both: what they share stays, what one lacks becomes an optional group."""
-    def inner(x):
-        return x[1] if isinstance(x, list) else [x]
-
-    out = []
-    ka, kb = list(map(_key, a)), list(map(_key, b))
-    # options match their own content
-    ka2 = [_key(x[1][0]) if isinstance(x, list) and x[0] == "?" and len(x[1]) == 1 else k for x, k in zip(a, ka, strict=True)]
-    kb2 = [_key(x[1][0]) if isinstance(x, list) and x[0] == "?" and len(x[1]) == 1 else k for x, k in zip(b, kb, strict=True)]
-    for kind, i, j, k, m in SequenceMatcher(None, ka2, kb2, autojunk=False).get_opcodes():
-        if kind == "equal":
-            for x, y in zip(a[i:j], b[k:m], strict=True):
-                out.append(x if _key(x) == _key(y) else (x if isinstance(x, list) and x[0] == "?" else y))
-            continue
-        left, right = a[i:j], b[k:m]
-        if len(left) == len(right) == 1 and all(isinstance(x, list) and x[0] == "*" for x in (left[0], right[0])):
-            out.append(["*", align(inner(left[0]), inner(right[0]))])
+                for k in range(len(stack) - 1, 0, -1):
+                    if names[stack[k]] == name:
+                        del stack[k:], deep[:]
+                        break
+                continue
+            closed = CLOSES.get(name) or ({"p"} if name in PARAGRAPH_ENDS else ())
+            for k in range(len(stack) - 1, 0, -1) if closed else ():
+                if names[stack[k]] in closed:
+                    del stack[k:], deep[:]
+                    break
+                if names[stack[k]] not in INLINE:
+                    break
+            if name not in VOID and len(stack) > DEPTH:
+                deep.append(name)
+            elif name not in VOID:
+                stack.append(len(self.labels))
+                self.add(_label(name, m[3]) if m[3] else name, stack[-2], "")
+                names.append(name)
+            if name in RAW and not m[3].rstrip().endswith("/"):
+                end = re.compile(rf"</{re.escape(name)}(?=[\s/>]|\Z)", re.I).search(page, at)
+                at = end.start() if end else n
+        self._mark_regions(names)
+
+    def add(self, label: str, parent: int, text: str) -> None:
+        self.labels.append(label)
+        self.parents.append(parent)
+        self.texts.append(text)
+
+    def _mark_regions(self, names: list[str]) -> None:
+        """The articles (else ``main``) get a sign of their own; what holds the only ones loses its mark, as does a form
+        around a page's main heading."""
+        out = [False] * len(names)
+        found: dict[tuple[bool, str], list[int]] = {}
+        for i in range(1, len(names)):
+            up = self.parents[i]
+            out[i] = out[up] or self.labels[i][-1] == MARK or names[i] in LEFT_OUT or names[i] == "header"
+            if names[i] in ("article", "main"):
+                found.setdefault((out[i], names[i]), []).append(i)
+            while names[i] == "h1" and up > 0:
+                if names[up] == "form" and self.labels[up][-1] != HOLDS:
+                    self.labels[up] = self.labels[up].rstrip(MARK) + HOLDS
+                up = self.parents[up]
+        for key in ((False, "article"), (False, "main"), (True, "article"), (True, "main")):
+            if key in found:
+                for i in found[key]:
+                    j = i
+                    while key[0] and j > 0 and self.labels[j][-1] != HOLDS:
+                        self.labels[j] = self.labels[j].rstrip(MARK) + HOLDS
+                        j = self.parents[j]
+                for i in found[key]:
+                    self.labels[i] = self.labels[i].rstrip(HOLDS) + REGION
+                break
+        self.has_region = bool(found)
+
+    def wrapper(self) -> list:
+        """The page by itself: [children by label: [fewest, most, nodes], pairs of neighbours]; a text is
+        [digest, signs, pages]."""
+        whole = xxhash.xxh32_intdigest("\0".join(self.texts))
+        children: list[list[int]] = [[] for _ in self.labels]
+        made: list = [None] * len(self.labels)
+        for i in range(1, len(self.labels)):
+            if self.labels[i] != TEXT or not self.texts[i].isspace():
+                children[self.parents[i]].append(i)
+        for i in range(len(self.labels) - 1, -1, -1):
+            if self.labels[i] == TEXT:
+                flat = " ".join(self.texts[i].split())
+                made[i] = [xxhash.xxh64_intdigest(flat) >> 12, len(flat), [whole]]
+                continue
+            kids: dict[str, list] = {}
+            pairs, before = set(), ""
+            for c in children[i]:
+                label = self.labels[c]
+                e = kids.setdefault(label, [0, 0, []])
+                e[0] += 1
+                e[2].append(made[c])
+                pairs.add(f"{before} {label}")
+                before = label
+            pairs.add(f"{before} ")
+            for label, e in kids.items():
+                e[1] = e[0]
+                if e[1] > FIXED:
+                    e[2] = [_one(label, e[2])]
+            made[i] = _general([kids, pairs])
+        return made[0]
+
+
+def _one(label: str, nodes: list) -> list:
+    """One node for all of them, as parts of the same page."""
+    return reduce(lambda a, b: _joined(label, a, b, True), nodes)
+
+
+def _joined(label: str, a: list, b: list, same_page: bool) -> list:
+    if label != TEXT:
+        return align(a, b, same_page)
+    if a[0] is None or b[0] is None:
+        a[0] = None
+    elif same_page:
+        a[0] = (a[0] + b[0]) % (1 << 52)
+    elif a[0] != b[0]:
+        a[0] = None
+    a[1] += b[1]
+    a[2] = sorted({*a[2], *b[2]})[:LEAST]
+    return a
+
+
+def _bare(label: str) -> str:
+    return name_of(label) + (label[-1] if label[-1] in MARK + REGION + HOLDS else "")
+
+
+def _general(node: list) -> list:
+    """Beyond ``MOST_LABELS`` labels, elements are told apart by name and marks only."""
+    kids, pairs = node
+    if len(kids) <= MOST_LABELS:
+        return node
+    bare = {label: _bare(label) for label in kids} | {"": ""}
+    out: dict[str, list] = {}
+    for label, e in kids.items():
+        if (have := out.get(bare[label])) is None:
+            out[bare[label]] = e
+        else:
+            nodes = have[2] + e[2]
+            out[bare[label]] = [have[0] + e[0], max(FIXED + 1, have[1] + e[1]), [_one(bare[label], nodes)]]
+    return [out, {" ".join(bare.get(x, x) for x in p.split(" ")) for p in pairs}]
+
+
+def align(a: list, b: list, same_page: bool = False) -> list:
+    """The wrapper of both (``a`` is changed): mismatches become slots, options and repeated groups. ``same_page``:
+    both are parts of one page, so their texts add up and are not compared."""
+    kids, others = a[0], b[0]
+    for label, e in kids.items():
+        if label not in others:
+            e[0] = 0
+    for label, f in others.items():
+        e = kids.get(label)
+        if e is None:
+            f[0] = 0
+            kids[label] = f
             continue
-        for side in (left, right):
-            for x in side:
-                out.append(x if isinstance(x, list) and x[0] == "?" else ["?", [x]])
-    return out
-
-
-def settled(wrapper: list) -> list:
-    """Neighbouring equal options become one repeated group."""
-    out: list = []
-    for x in wrapper:
-        if out and isinstance(x, list) and x[0] == "?" and isinstance(out[-1], list) and out[-1][0] in "?*" and out[-1][1] == x[1]:
-            out[-1] = ["?", [["*", x[1]]]] if out[-1][0] == "?" else out[-1]
+        if e[1] == f[1] and len(e[2]) == len(f[2]):
+            e[2] = [_joined(label, x, y, same_page) for x, y in zip(e[2], f[2], strict=True)]
         else:
-            out.append(x)
+            e[2] = [_joined(label, _one(label, e[2]), _one(label, f[2]), same_page)]
+        e[0], e[1] = min(e[0], f[0]), max(e[1], f[1])
+    a[1] |= b[1]
+    a[0], a[1] = _general(a)
+    return a
+
+
+def packed(wrapper: list) -> str:
+    return json.dumps(wrapper, default=sorted, separators=(",", ":"))
+
+
+def unpacked(text: str) -> list:
+    def node(w: list) -> list:
+        for label, e in w[0].items():
+            if label != TEXT:
+                e[2] = [node(x) for x in e[2]]
+        return [w[0], set(w[1])]
+
+    return node(json.loads(text))
+
+
+def factors(node: list) -> list[list[str]]:
+    """The labels of an element's children in the order in which they come; labels that come in several orders lie
+    in one factor."""
+    kids = [*node[0]]
+    after = {x: {p.split(" ")[1] for p in node[1] if p.split(" ")[0] == x} - {""} for x in kids}
+    for mid in kids:  # the transitive closure
+        for x in kids:
+            if mid in after[x]:
+                after[x] |= after[mid]
+    left, out = sorted(kids), []
+    while left:
+        first = next(x for x in left if all(x not in after[y] or y in after[x] for y in left))
+        group = [y for y in left if y == first or y in after[first] and first in after[y]]
+        out.append(group)
+        left = [y for y in left if y not in group]
     return out
 
 
-def merge(wrappers: list[list]) -> list:
-    """One wrapper for several, in a fixed order, pairwise so that none is aligned more often than needed."""
-    level = sorted(wrappers, key=lambda w: (len(w), json.dumps(w)))
-    while len(level) > 1:
-        level = [settled(align(level[i], level[i + 1])) if i + 1 < len(level) else level[i] for i in range(0, len(level), 2)]
-    return level[0]
-
+def expression(node: list) -> str:
+    """The wrapper as a union-free expression: '#' a slot, '"' template text, '?' options, '+' and '*' repeats."""
 
-class Walk:
-    """The open elements while tags go by; ``main`` tells whether text here belongs to the article."""
+    def one(label: str, e: list) -> str:
+        few, most, nodes = e
+        bodies = []
+        for x in nodes:
+            if label == TEXT:
+                bodies.append(TEXT if not _template(x) else '"')
+            else:
+                inner = expression(x)
+                bodies.append(f"<{label}>{inner}</>")
+        body = "".join(bodies)
+        if most > len(nodes):
+            return f"({body}){'+' if few else '*'}"
+        return body if few else f"({body})?"
 
-    def __init__(self, has_article: bool):
-        self.open: list[tuple[str, bool, bool]] = []
-        self.has_article = has_article
-
-    def tag(self, label: str) -> None:
-        name, _, mark = label.lstrip("</").partition(" ")
-        if label.startswith("</"):
-            for k in range(len(self.open) - 1, -1, -1):
-                if self.open[k][0] == name:
-                    # a container that is still open inside is closed with it, but inline ends don't close blocks
-                    del self.open[k:]
-                    break
-            return
-        if name in VOID:
-            return
-        if name in CLOSES:
-            for k in range(len(self.open) - 1, max(-1, len(self.open) - 4), -1):
-                if self.open[k][0] in CLOSES[name]:
-                    del self.open[k:]
-                    break
-                if self.open[k][0] not in INLINE:
-                    break
-        inside, out = (self.open[-1][1:]) if self.open else (False, False)
-        article = name in ("article", "main")
-        self.open.append((name, inside or article, out or (name in LEFT_OUT or bool(mark)) and name not in ("html", "body")))
-
-    @property
-    def main(self) -> bool:
-        inside, out = self.open[-1][1:] if self.open else (False, False)
-        return not out and (inside or not self.has_article)
-
-
-def has_article(labels) -> bool:
-    return any(x.split(" ")[0] in ("<article", "<main") and not x.endswith(" x") for x in labels)
-
-
-def flat(wrapper: list) -> Iterator[str]:
-    for x in wrapper:
-        if isinstance(x, str):
-            yield x
-        else:
-            yield from flat(x[1])
-
-
-def compiled(wrapper: list) -> tuple[re.Pattern, list[bool], dict[str, str], bool]:
-    """The wrapper over one character a symbol, with a group for each stretch of one kind; the kinds; the characters;
-    whether it has an article. A repeated or optional group that holds both kinds is an error.
-    """
-    letters: dict[str, str] = {TEXT: "#"}
-    for x in flat(wrapper):
-        letters.setdefault(x, chr(0xE000 + len(letters)))
-    walk = Walk(has_article(flat(wrapper)))
-
-    def pattern(x) -> tuple[str, set[bool]]:
-        if isinstance(x, str):
-            if x == TEXT:
-                return "#?", {walk.main}
-            walk.tag(x)
-            return re.escape(letters[x]), set()
-        parts = [pattern(y) for y in x[1]]
-        kinds = set().union(*(p[1] for p in parts))
-        return f"(?:{''.join(p[0] for p in parts)}){'*' if x[0] == '*' else '?'}", kinds
-
-    stretches: list[tuple[list[str], bool | None]] = []
-    for x in wrapper:
-        p, kinds = pattern(x)
-        if len(kinds) > 1:
-            raise ValueError("a group of the wrapper holds text of both kinds")
-        kind = next(iter(kinds), None)
-        if stretches and (kind is None or stretches[-1][1] in (None, kind)):
-            stretches[-1] = ([*stretches[-1][0], p], stretches[-1][1] if kind is None else kind)
+    out = []
+    for group in factors(node):
+        part = "".join(one(x, node[0][x]) if len(group) == 1 else f"({one(x, [1, len(node[0][x][2]), node[0][x][2]])})?" for x in group)
+        out.append(part if len(group) == 1 else f"({part})*")
+    return "".join(out)
+
+
+def _template(leaf: list) -> bool:
+    return leaf[0] is not None and len(leaf[2]) >= LEAST
+
+
+def _set_apart(label: str, inside: bool) -> bool:
+    if label[-1] in REGION + HOLDS:
+        return False
+    name = name_of(label)
+    return label[-1] == MARK or name in LEFT_OUT or name == "header" and not inside
+
+
+def labelled(wrapper: list, has_region: bool):
+    """What to keep: 1 or 0 for an element all of whose texts have that in common, else its children by label:
+    [whether repeated, labelled nodes]."""
+    sums: dict[int, tuple[int, int, int]] = {}
+
+    def mass(label: str, node: list, linked: bool) -> tuple[int, int, int]:
+        """Signs, signs in links, most links at a time."""
+        if label == TEXT:
+            return node[1], node[1] * linked, 0
+        s = [0, 0, 0]
+        for x, e in node[0].items():
+            for y in e[2]:
+                got = mass(x, y, linked or name_of(x) == "a")
+                s = [s[0] + got[0], s[1] + got[1], s[2] + got[2] * (1 if len(e[2]) > 1 else e[1]) + (e[1] if name_of(x) == "a" else 0)]
+        sums[id(node)] = (s[0], s[1], s[2])
+        return sums[id(node)]
+
+    mass("", wrapper, False)
+
+    def varies(node: list) -> bool:
+        """Whether a line of text right in the element holds a slot; only lines without one are template."""
+        return any(not _template(y) if x == TEXT else name_of(x) in INLINE and varies(y) for x, e in node[0].items() for y in e[2])
+
+    def keep(label: str, node: list, inside: bool, fixed: bool, template: bool, links: bool):
+        if label == TEXT:
+            return int((inside or not has_region) and not fixed)
+        inline = name_of(label) in INLINE
+        if links and label and not inline and sums[id(node)][2] > 1 and 2 * sums[id(node)][1] > sums[id(node)][0]:
+            return 0
+        if not inline:
+            fixed = template and not varies(node)
+        out, uniform = {}, set()
+        for x, e in node[0].items():
+            within = inside or x.endswith(REGION)
+            nodes = [0 if x != TEXT and _set_apart(x, within) else keep(x, y, within, fixed, template, links) for y in e[2]]
+            out[x] = [int(e[1] > len(e[2])), nodes]
+            uniform.update(k if isinstance(k, int) else None for k in nodes)
+        return uniform.pop() if len(uniform) == 1 and None not in uniform else out or int(inside or not has_region)
+
+    if has_region:
+        return keep("", wrapper, False, False, False, False)
+    for template, links in ((True, True), (True, False), (False, False)):
+        if (got := keep("", wrapper, False, False, template, links)) != 0:
+            return got
+    return 0
+
+
+def extract(page: Page, labels) -> tuple[str, bool]:
+    """(main text, whether the wrapper knew all of the page); ``labels``: of ``labelled``, or None."""
+    n = len(page.labels)
+    state: list = [labels] + [None] * (n - 1)
+    inside, apart = [False] * n, [False] * n
+    seen: dict[tuple[int, str], int] = {}
+    known = labels is not None
+    for i in range(1, n):
+        up, label = page.parents[i], page.labels[i]
+        inside[i] = inside[up] or label.endswith(REGION)
+        apart[i] = not label.endswith(REGION) and (apart[up] or label != TEXT and _set_apart(label, inside[i]))
+        s = state[up]
+        if isinstance(s, dict):
+            e = s.get(label) or s.get(_bare(label))
+            if e is None:
+                known = known and label == TEXT and page.texts[i].isspace()
+                continue
+            k = 0
+            if not e[0]:
+                k = seen[up, label] = seen.get((up, label), -1) + (label != TEXT or not page.texts[i].isspace())
+                known = known and k < len(e[1])
+                k = max(0, min(k, len(e[1]) - 1))
+            state[i] = e[1][k]
         else:
-            stretches.append(([p], kind))
-    return re.compile("".join(f"({''.join(s)})" for s, _ in stretches), re.S), [bool(k) for _, k in stretches], letters, walk.has_article
-
-
-def _text(toks: list[tuple[str, str]], main: list[bool]) -> str:
-    """Blocks of the tokens that belong to the article."""
+            state[i] = s
     blocks, now = [], []
 
     def end() -> None:
@@ -261,103 +434,122 @@ def _text(toks: list[tuple[str, str]], main: list[bool]) -> str:
             blocks.append(block)
         now.clear()
 
-    for (label, s), keep in zip(toks, main, strict=True):
-        if label != TEXT:
-            if label.lstrip("</").partition(" ")[0] not in INLINE:
-                end()
-        elif keep:
-            now.append(s)
+    for i in page.events:
+        if i == BREAK:
+            end()
+            continue
+        s = state[i]
+        if s if isinstance(s, int) else not apart[i] and (inside[i] or not page.has_region):
+            now.append(page.texts[i])
     end()
-    return "\n".join(blocks)
+    return "\n".join(blocks), known
 
 
-def walked(toks: list[tuple[str, str]]) -> list[bool]:
-    walk, out = Walk(has_article(t for t, _ in toks)), []
-    for label, _ in toks:
-        if label != TEXT:
-            walk.tag(label)
-        out.append(walk.main if label == TEXT else False)
-    return out
+def host_of(url: str = "url") -> Column:
+    return F.coalesce(F.lower(F.regexp_extract(F.col(url), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
 
 
-def extract(page: str | None, wrapper) -> tuple[str, bool]:
-    """(main text, whether the wrapper gave it); ``wrapper``: of ``compiled``, or None."""
-    toks = tokens(page or "")
-    if wrapper is not None:
-        pattern, kinds, letters, marked = wrapper
-        solid = [i for i, (t, s) in enumerate(toks) if t != TEXT or not s.isspace()]
-        m = marked == has_article(t for t, _ in toks) and pattern.fullmatch("".join(letters.get(toks[i][0], "\0") for i in solid))
-        if m:
-            main = [False] * len(toks)
-            for g, kind in enumerate(kinds, 1):
-                for k in range(*m.span(g)) if kind else ():
-                    main[solid[k]] = toks[solid[k]][0] == TEXT
-            return _text(toks, main), True
-    return _text(toks, walked(toks)), False
+_WRAPPERS = "host string, region int, salt int, wrapper string"
 
 
-def group_of(url: str = "url", html: str = "html") -> Column:
-    """The host; its pages with and without article markup have wrappers of their own."""
-    marked = F.coalesce(F.col(html).rlike(r"(?i)<(?:article|main)[\s>]"), F.lit(False))
-    return F.concat(host_of(url), F.when(marked, "#article").otherwise(""))
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = (pa.string(), pa.int32(), pa.int32(), pa.string())
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=["host", "region", "salt", "wrapper"])
 
 
-def host_of(url: str = "url") -> Column:
-    return F.coalesce(F.lower(F.regexp_extract(F.col(url), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
+def _aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by host, region and salt: one wrapper for each; one at a time is held."""
+    now, wrapper, out = None, None, []
+    for b in batches:
+        for host, region, salt, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            if now != (host, region, salt):
+                if now is not None:
+                    out.append((*now, packed(wrapper)))
+                now, wrapper = (host, region, salt), unpacked(text)
+            else:
+                wrapper = align(wrapper, unpacked(text))
+            if len(out) >= 200:
+                yield _batch(out)
+                out = []
+    if now is not None:
+        out.append((*now, packed(wrapper)))
+    yield _batch(out)
 
 
 def infer(pages: DataFrame) -> DataFrame:
-    """Rows (host, wrapper): one expression, as JSON, for each host (see ``group_of``)."""
+    """Rows (host, region, wrapper): the wrapper, as JSON, of each host's pages with (1) and without (0) marked article."""
 
     def streams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            seen = set()
-            for host, page in zip(b.column("host").to_pylist(), b.column("html").to_pylist(), strict=True):
-                folded = fold(stream(tokens(page or "")))
-                if len(list(flat(folded))) <= LONGEST:
-                    seen.add((host, json.dumps(folded)))
-            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in sorted(seen)], pa.string()) for k in (0, 1)], names=["host", "stream"])
-
-    def join(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
-        return pa.table({"host": [key[0].as_py()], "stream": [json.dumps(merge([json.loads(x) for x in t.column("stream").to_pylist()]))]})
+        held: dict[tuple[str, int], list] = {}
+        n = salt = 0
 
-    distinct = pages.select(group_of().alias("host"), "html").mapInArrow(streams, "host string, stream string").distinct()
-    parts = distinct.withColumn("salt", F.pmod(F.xxhash64("stream"), F.lit(SALTS))).groupBy("host", "salt").applyInArrow(join, "host string, stream string")
-    return parts.groupBy("host").applyInArrow(join, "host string, stream string").select("host", F.col("stream").alias("wrapper"))
+        def rows() -> Iterator[pa.RecordBatch]:
+            nonlocal salt
+            salt += 1
+            listed = sorted(held)
+            for lo in range(0, len(listed), 200):
+                yield _batch([(*k, xxhash.xxh32_intdigest(f"{part} {salt}") % SALTS, packed(held[k])) for k in listed[lo : lo + 200]])
+            held.clear()
 
+        from pyspark import TaskContext
 
-_compiled: dict[str, object] = {}
+        part = TaskContext.get().partitionId()
+        for b in batches:
+            for host, text in zip(b.column("host").to_pylist(), b.column("html").to_pylist(), strict=True):
+                page = Page(text or "")
+                key = (host, int(page.has_region))
+                held[key] = align(held[key], page.wrapper()) if key in held else page.wrapper()
+                n += len(page.labels)
+                if n >= HELD:
+                    n = 0
+                    yield from rows()
+        yield from rows()
+
+    spark, keys = pages.sparkSession, ["host", "region", "salt"]
+    parts = pages.select(host_of().alias("host"), F.col("html").cast("string").alias("html")).mapInArrow(streams, _WRAPPERS)
+    salted = parts.repartition(common.partitions(spark), *keys).sortWithinPartitions(*keys, "wrapper").mapInArrow(_aligned, _WRAPPERS)
+    whole = salted.withColumn("salt", F.lit(0)).repartition(common.partitions(spark), "host").sortWithinPartitions(*keys, "wrapper").mapInArrow(_aligned, _WRAPPERS)
+    return whole.select("host", "region", "wrapper")
+
+
+def labels_of(wrappers: DataFrame) -> DataFrame:
+    """Rows (host, labels): what ``labelled`` says of a host's wrappers, as a JSON object by region."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            made = [json.dumps(labelled(unpacked(w), bool(r)), separators=(",", ":")) for r, w in zip(b.column("region").to_pylist(), b.column("wrapper").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column("host"), b.column("region"), pa.array(made, pa.string())], names=["host", "region", "one"])
 
-def _ready(wrapper: str | None):
-    if wrapper is not None and wrapper not in _compiled:
-        if len(_compiled) > 2000:
-            _compiled.clear()
-        try:
-            _compiled[wrapper] = compiled(json.loads(wrapper))
-        except ValueError:  # text of both kinds in a group, or too many groups
-            _compiled[wrapper] = None
-    return _compiled.get(wrapper)
+    rows = wrappers.mapInArrow(run, "host string, region int, one string")
+    either = lambda r: F.coalesce(F.max(F.when(F.col("region") == r, F.col("one"))), F.lit("null"))
+    return rows.groupBy("host").agg(F.concat(F.lit("["), either(0), F.lit(","), either(1), F.lit("]")).alias("labels"))
 
 
-def extract_pages(pages: DataFrame) -> DataFrame:
-    """Rows (page_id, url, text, n_chars, by_wrapper)."""
-    wrappers = common.written(infer(pages), "wrappers")
-    size = wrappers.agg(F.coalesce(F.sum(F.length("wrapper") + F.length("host")), F.lit(0))).first()[0]
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"), group_of().alias("host"))
-    both = rows.join(F.broadcast(wrappers) if size <= BROADCAST_BYTES else wrappers, "host", "left")
+def extract_pages(pages: DataFrame, wrappers: DataFrame | None = None) -> DataFrame:
+    """Rows (page_id, url, text, n_chars, by_wrapper); ``wrappers``: of ``infer``, by default from these pages."""
+    labels = common.written(labels_of(infer(pages) if wrappers is None else wrappers), "wrappers")
+    size = labels.agg(F.coalesce(F.sum(F.length("labels") + F.length("host")), F.lit(0))).first()[0]
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"), host_of().alias("host"))
+    both = rows.join(F.broadcast(labels) if size <= BROADCAST_BYTES else labels, "host", "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        read: dict[str | None, list] = {None: [None, None]}
         for b in batches:
             for lo in range(0, b.num_rows, 500):
-                part = b.slice(lo, 500)
-                got = [extract(h, _ready(w)) for h, w in zip(part.column("html").to_pylist(), part.column("wrapper").to_pylist(), strict=True)]
+                part, got = b.slice(lo, 500), []
+                for html, known in zip(part.column("html").to_pylist(), part.column("labels").to_pylist(), strict=True):
+                    if known not in read:
+                        if len(read) > 500:
+                            read = {None: [None, None]}
+                        read[known] = json.loads(known)
+                    page = Page(html or "")
+                    got.append(extract(page, read[known][page.has_region]))
                 yield pa.RecordBatch.from_arrays(
                     [part.column("page_id"), part.column("url"), pa.array([t for t, _ in got], pa.string()), pa.array([len(t) for t, _ in got], pa.int64()), pa.array([w for _, w in got], pa.bool_())],
                     names=["page_id", "url", "text", "n_chars", "by_wrapper"],
                 )
 
-    return both.select("page_id", "url", "html", "wrapper").mapInArrow(run, "page_id long, url string, text string, n_chars long, by_wrapper boolean")
+    return both.select("page_id", "url", "html", "labels").mapInArrow(run, "page_id long, url string, text string, n_chars long, by_wrapper boolean")
 
 
 def query(pages: DataFrame) -> DataFrame:

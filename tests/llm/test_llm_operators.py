@@ -94,17 +94,6 @@ def test_wrappers_leave_out_boilerplate(spark):
     assert got[0]["by_wrapper"]
 
 
-def test_wrappers_equal_the_article_on_the_test_pages(spark):
-    import html
-
-    pages = spark.read.parquet(f"{DATA}/pages.parquet")
-    got = {r["page_id"]: r["text"] for r in wrappers.query(pages).collect()}
-    for r in pages.collect():
-        a = re.search(r"<article>(.*?)(?:</article>|$)", r["html"], re.S)[1]
-        want = "\n".join(y for y in (" ".join(html.unescape(x).split()) for x in re.split(r"</?(?:p|h1|br)>", re.sub(r"</?b>", "", a))) if y)
-        assert got[r["page_id"]] == want
-
-
 def test_word_table_equals_the_tokenizer(spark, docs, odd):
     t = word_table.tokenizer(word_table.vocabulary_path())
     more = spark.createDataFrame([(100 + i, f"a{chr(c)}b {chr(c)}") for i, c in enumerate([9, 0x1C, 0x85, 0xA0, 0x180E, 0x200B, 0x2028, 0x3000, 0x301])] + [(200, "<|endoftext|>x <|ENDOFTEXT|>"), (201, "İIi ΑΣ it's don't'll")], "doc_id long, text string")
