@@ -2,26 +2,30 @@
 
 Codes: principal directions and iterative quantization (a rotation learned so that signs lose least) on a bounded
 sample, once for each of ``ROTATIONS`` starts; the signs of all rotations together are a vector's code. A code is
-split into bytes, and each block of the index keeps a table from byte value to the codes that are within reach of
-it. By the pigeonhole principle a code within Hamming radius R of a query's has a byte within R // bytes bits of the
-query's byte, so probing all bytes finds every code within R; found codes are checked for R and reranked by cosine
-in double precision on the original vectors. R is learned from the sample: ``QUANTILE`` of the distances of the
-sample's true neighbours (in the whole table neighbours are nearer still, so recall only grows).
-
-Every row is indexed, in blocks of ``BLOCK`` rows, and every block of queries meets every block of the index once;
-what leaves a meeting is the ``k`` nearest of each query. If a block has fewer than ``k`` codes in the radius, its
-nearest codes by Hamming distance stand in, so that a query always gets ``k`` results where so many exist.
-
-Defined cases: vectors that are null, of another length than the first of the sample, zero, or with null or
-non-finite components take no part, neither as queries nor as candidates; an empty table gives no rows; rows with
-equal ids are candidates one by one, and a query leaves out every row that bears its own id; ties go to the smaller
-id; a null id takes no part. Extra columns are ignored.
+split into bytes, and a block of the index has a table for each byte: from its value to the codes that have it. By
+the pigeonhole principle a code within Hamming radius R of the query's is, in some byte j, within ``reaches(R)[j]``
+bits of it (the reaches and one more each add up to R + 1), so the query looks up the byte values in reach and
+gathers the codes listed there. Only codes so gathered are compared with the query's, and of them those within R are
+reranked by cosine in double precision on the original vectors. R is learned from the sample: ``QUANTILE`` of the
+distances of the sample's true neighbours (in the whole table neighbours are nearer still, so recall only grows).
+
+Every row is indexed, where it lies, in blocks of ``BLOCK`` rows. Queries come in batches of about ``QUERY_BATCH``
+(a broadcast of that bound); the index is not shuffled, and a task passes on the ``k`` best of each query. Queries
+that found fewer than ``k`` in the radius are asked again without one, so they get what a search of all rows gives.
+
+Defined cases: vectors that are null, of another length than the commonest of the sample (ties: the longest), zero,
+or with null or non-finite components take no part, neither as queries nor as candidates; an empty table gives no
+rows; rows with equal ids are candidates one by one, and a query leaves out every row that bears its own id; ties go
+to the smaller id, candidates with the same id and score are both listed; query rows that repeat id and vector are
+answered once, those that share the id only one by one; a null id takes no part. Extra columns are ignored.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -36,10 +40,13 @@ SAMPLE_QUERIES = 256
 ROTATIONS = 2
 QUANTILE = 0.985
 BLOCK = 4096
-QUERY_BLOCK = 512
+QUERY_BATCH = 16384
+#: Looked-up codes, repeats included, that are held at a time.
+HELD = 1 << 20
 _POPCOUNT = np.array([bin(i).count("1") for i in range(256)], np.uint8)
-BLOCK_ROW = "block long, ids binary, vectors binary"
-FOUND = "query_id long, vec_id long, score double"
+#: Bits in which two byte values differ.
+_APART = _POPCOUNT[np.arange(256)[:, None] ^ np.arange(256)]
+FOUND = "query_id long, query_key long, vec_id long, score double"
 
 
 @dataclass
@@ -84,104 +91,142 @@ def learn(x: np.ndarray, seed: int = 3) -> Coder:
     return coder
 
 
-def probed(query_codes: np.ndarray, codes: np.ndarray, radius: int) -> np.ndarray:
-    """(queries, codes) mask of the codes found in some byte table within reach: radius // bytes bits."""
-    reach = radius // codes.shape[1]
-    found = np.zeros((len(query_codes), len(codes)), bool)
-    for j in range(codes.shape[1]):
-        table = _POPCOUNT[np.arange(256, dtype=np.uint8)[:, None] ^ codes[:, j]] <= reach
-        found |= table[query_codes[:, j]]
-    return found
+def reaches(radius: int, parts: int) -> np.ndarray:
+    """Bits by which each substring may differ so that no code within the radius is missed; -1: not looked up."""
+    spare = radius + 1 - parts
+    return np.array([spare // parts + (j < spare % parts) for j in range(parts)])
+
+
+class Tables:
+    """The byte tables of a block of codes."""
+
+    def __init__(self, codes: np.ndarray):
+        self.codes = codes
+        self.rows = [np.argsort(codes[:, j], kind="stable").astype(np.int32) for j in range(codes.shape[1])]
+        self.starts = [np.searchsorted(codes[r, j], np.arange(257)).astype(np.int64) for j, r in enumerate(self.rows)]
+        self.words = _words(codes)
+
+    def within(self, query_codes: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+        """(query numbers, row numbers, codes compared) of all pairs within the radius, some queries at a time."""
+        reach, n = reaches(radius, self.codes.shape[1]), len(self.codes)
+        near = [np.argwhere(_APART <= r)[:, 1].reshape(256, -1) if r >= 0 else None for r in reach]
+        lists = [None if v is None else (self.starts[j][v], self.starts[j][v + 1] - self.starts[j][v]) for j, v in enumerate(near)]
+        total = sum(x[1].sum(1)[query_codes[:, j]] for j, x in enumerate(lists) if x is not None)
+        query_words, lo = _words(query_codes), 0
+        while lo < len(query_codes):
+            hi = max(lo + 1, int(np.searchsorted(np.cumsum(total[lo:]), HELD)) + lo)
+            found = np.zeros((hi - lo, n), bool)
+            for j, x in enumerate(lists):
+                if x is None:
+                    continue
+                start, length = (t[query_codes[lo:hi, j]].ravel() for t in x)
+                q = np.repeat(np.repeat(np.arange(hi - lo), near[j].shape[1]), length)
+                at = np.repeat(start - np.cumsum(length) + length, length) + np.arange(length.sum())
+                found[q, self.rows[j][at]] = True
+            q, r = np.nonzero(found)
+            apart = np.zeros(len(q), np.uint16)
+            for j in range(self.words.shape[1]):
+                apart += np.bitwise_count(query_words[lo + q, j] ^ self.words[r, j])
+            close = apart <= radius
+            yield lo + q[close], r[close], len(q)
+            lo = hi
+
+
+def _words(codes: np.ndarray) -> np.ndarray:
+    return np.ascontiguousarray(np.pad(codes, ((0, 0), (0, -codes.shape[1] % 8)))).view(np.uint64)
+
+
+def search_block(coder: Coder, q_ids, q, ids, x, k: int, radius: int | None = None) -> tuple[list[tuple[int, int, float]], int]:
+    """(query number, id, score) of the k nearest of each query in one block, and how many codes were compared."""
+    tables, qc = Tables(coder.codes(unit(x))), coder.codes(unit(q))
+    q_norm, x_norm = np.sqrt((q * q).sum(1)), np.sqrt((x * x).sum(1))
+    out, compared = [], 0
+    for qs, rows, n in tables.within(qc, coder.radius if radius is None else radius):
+        compared += n
+        other = ids[rows] != q_ids[qs]
+        qs, rows = qs[other], rows[other]
+        # the same order of additions for every pair, so that equal vectors have equal scores
+        s = np.concatenate([(x[rows[a : a + 65536]] * q[qs[a : a + 65536]]).sum(1) for a in range(0, len(rows), 65536)] or [np.zeros(0)])
+        s /= x_norm[rows] * q_norm[qs]
+        order = np.lexsort((ids[rows], -s, qs))
+        first = np.searchsorted(qs[order], qs[order])
+        best = order[np.arange(len(order)) - first < k]
+        out += zip(qs[best].tolist(), ids[rows[best]].tolist(), s[best].tolist(), strict=True)
+    return out, compared
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(ids, vectors) of up to ``BLOCK`` rows."""
+    ids: list[int] = []
+    vectors: list[np.ndarray] = []
+    for b in batches:
+        for lo in range(0, b.num_rows, BLOCK):
+            part = b.slice(lo, BLOCK)
+            ids += part.column("id").to_pylist()
+            vectors.append(part.column("vector").flatten().to_numpy(zero_copy_only=False).reshape(-1, width))
+            if len(ids) >= BLOCK:
+                yield np.array(ids), np.concatenate(vectors).astype(np.float64)
+                ids, vectors = [], []
+    if ids:
+        yield np.array(ids), np.concatenate(vectors).astype(np.float64)
+
+
+def _search(rows: DataFrame, queries: DataFrame, coder: Coder, width: int, k: int, radius: int | None) -> DataFrame:
+    """Rows ``FOUND``, k at most a query and task; ``queries``: (id, key, vector), distinct keys, in the shared folder."""
+    spark = rows.sparkSession
+    batches = max(1, -(-queries.count() // QUERY_BATCH))
+    shared, found = spark.sparkContext.broadcast(coder), []
+    for n in range(batches):
+        part = queries.where(F.pmod(F.xxhash64("key"), F.lit(batches)) == n).orderBy("key").collect()  # QUERY_BATCH or so
+        sent = spark.sparkContext.broadcast((np.array([r["id"] for r in part]), np.array([r["key"] for r in part]), np.array([r["vector"] for r in part], np.float64).reshape(-1, width)))
+
+        def run(got: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            q_ids, keys, q = sent.value
+            best: list[tuple[int, int, float]] = []
+            for ids, x in _blocks(got, width):
+                best += search_block(shared.value, q_ids, q, ids, x, k, radius)[0]
+                if len(best) > 8 * k * len(q):
+                    best = _first(best, k)
+            best = _first(best, k)
+            cols = list(zip(*best, strict=True)) or [(), (), ()]
+            at = np.array(cols[0], np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(q_ids[at], pa.int64()), pa.array(keys[at], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.float64())], names=["query_id", "query_key", "vec_id", "score"])
 
+        found.append(rows.select("id", "vector").mapInArrow(run, FOUND))
+    return reduce(DataFrame.unionAll, found)
 
-def search_block(coder: Coder, q_ids, q, ids, x, k: int) -> list[tuple[int, int, float]]:
-    """The k nearest of each query in one block."""
-    qc, xc = coder.codes(unit(q)), coder.codes(unit(x))
-    q_norm, x_norm = np.sqrt((q * q).sum(1)), np.sqrt((x * x).sum(1))
-    mask = probed(qc, xc, coder.radius)
-    words = lambda a: np.pad(a, ((0, 0), (0, -a.shape[1] % 8))).view(np.uint64)
-    qw, xw = words(qc), words(xc)
-    apart = np.zeros(mask.shape, np.uint16)
-    for j in range(qw.shape[1]):
-        apart += np.bitwise_count(qw[:, j, None] ^ xw[:, j])
-    mask &= apart <= coder.radius
-    out = []
-    for i in range(len(q)):
-        own = ids == q_ids[i]
-        at = np.flatnonzero(mask[i] & ~own)
-        if len(at) < k:
-            others = np.flatnonzero(~own)
-            at = others[np.argsort(apart[i][others], kind="stable")[:k]] if len(others) > k else others
-        # the same order of additions for every row, so that equal vectors have equal scores
-        s = (x[at] * q[i]).sum(1) / (x_norm[at] * q_norm[i])
-        best = at[np.lexsort((ids[at], -s))[:k]]
-        kept = dict(zip(at.tolist(), s.tolist(), strict=True))
-        out += [(int(q_ids[i]), int(ids[b]), kept[b]) for b in best.tolist()]
-    return out
-
-
-def _blocks(rows: DataFrame, size: int) -> DataFrame:
-    """Packed blocks of up to ``size`` (id, vector) rows, as they lie in the table."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, vectors, n = [], [], 0
-
-        def block() -> pa.RecordBatch:
-            nonlocal ids, vectors, n
-            i, v = np.array(ids, "<i8"), np.concatenate(vectors).astype("<f8")
-            ids, vectors, n = [], [], n + 1
-            return pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([i.tobytes()], pa.binary()), pa.array([v.tobytes()], pa.binary())], names=["block", "ids", "vectors"])
-
-        for b in batches:
-            for i, v in zip(b.column("id").to_pylist(), b.column("vector").to_pylist(), strict=True):
-                ids.append(i)
-                vectors.append(np.array(v))
-                if len(ids) >= size:
-                    yield block()
-        if ids:
-            yield block()
-
-    return rows.mapInArrow(run, BLOCK_ROW)
+
+def _first(found: list[tuple[int, int, float]], k: int) -> list[tuple[int, int, float]]:
+    """The k best of each query."""
+    found.sort(key=lambda r: (r[0], -r[2], r[1]))
+    return [r for i, r in enumerate(found) if i < k or found[i - k][0] != r[0]]
 
 
 def nearest(table: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """Rows (query_id, rank, vec_id, score): the k nearest found of each query row, against all rows but its own."""
     spark = table.sparkSession
-    v = F.col(vector_col).cast("array<double>")
+    v = F.col(vector_col)
+    if dict(table.dtypes)[vector_col] != "array<float>":
+        v = v.cast("array<double>")
     rows = table.select(F.col(id_col).cast("long").alias("id"), v.alias("vector"), is_query.alias("is_query"))
     good = F.forall("vector", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))) & F.exists("vector", lambda c: c != 0)
     rows = rows.where(F.col("id").isNotNull() & F.col("vector").isNotNull() & good)
-    sample = rows.orderBy(F.xxhash64("id"), "id", "vector").select("vector").limit(SAMPLE).collect()  # bounded
+    sample = rows.orderBy(F.xxhash64("id", "vector"), "id", "vector").select("vector").limit(SAMPLE).collect()  # bounded
     if not sample:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    width = len(sample[0]["vector"])
+    widths = Counter(len(r["vector"]) for r in sample)
+    width = max(widths, key=lambda w: (widths[w], w))
     rows = rows.where(F.size("vector") == width)
-    coder = learn(np.array([r["vector"] for r in sample if len(r["vector"]) == width]))
-    # which of the parts a block of the index lies in is random; each query block goes to every part once
-    parts = max(1, common.partitions(spark) // 2)
-    index = _blocks(rows.select("id", "vector"), BLOCK).withColumn("part", F.pmod(F.xxhash64("ids"), F.lit(parts)).cast("int"))
-    queries = _blocks(rows.where("is_query").select("id", "vector"), QUERY_BLOCK).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    shared = spark.sparkContext.broadcast(coder)
-
-    def meet(left: pa.Table, right: pa.Table) -> pa.Table:
-        out = []
-        numbers = lambda t: [(np.frombuffer(i, "<i8"), np.frombuffer(v, "<f8").reshape(-1, width)) for i, v in zip(t.column("ids").to_pylist(), t.column("vectors").to_pylist(), strict=True)]
-        blocks = numbers(right)
-        for q_ids, q in numbers(left):
-            best: list[tuple[int, int, float]] = []
-            for ids, x in blocks:
-                best += search_block(shared.value, q_ids, q, ids, x, k)
-            best.sort(key=lambda r: (r[0], -r[2], r[1]))
-            last, n = None, 0
-            for r in best:
-                last, n = (r[0], 1) if r[0] != last else (last, n + 1)
-                if n <= k:
-                    out.append(r)
-        cols = zip(*out, strict=True) if out else ([], [], [])
-        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.float64()), strict=True)], names=["query_id", "vec_id", "score"])
-
-    found = queries.groupBy("part").cogroup(index.groupBy("part")).applyInArrow(meet, FOUND)
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    coder = learn(np.array([r["vector"] for r in sample if len(r["vector"]) == width], np.float64))
+    asked = rows.where("is_query").select("id", "vector", F.xxhash64("id", "vector").alias("key")).dropDuplicates(["key"])
+    queries = common.written(asked, "queries")
+    found = common.written(_search(rows, queries, coder, width, k, None), "found")
+    enough = found.groupBy("query_key").agg(F.count("*").alias("n")).where(F.col("n") >= k).select(F.col("query_key").alias("key"))
+    few = common.written(queries.join(enough, "key", "left_anti"), "few")
+    if not few.isEmpty():
+        again = _search(rows, few, coder, width, k, 8 * len(coder.rotations[0]) * len(coder.rotations))
+        found = found.join(few.select(F.col("key").alias("query_key")), "query_key", "left_anti").unionByName(again)
+    rank = F.row_number().over(Window.partitionBy("query_id", "query_key").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 

@@ -140,29 +140,6 @@ def test_quotations_of_any_depth_rings_and_second_speakers(spark):
     assert got[31, 0]["n_linked"] == 2
 
 
-def test_hamming_search_recall_and_order(spark):
-    e = spark.read.parquet(f"{DATA}/embeddings.parquet")
-    rows = e.toPandas()
-    x, ids = np.stack(rows["embedding"]).astype(float), rows["vec_id"].to_numpy()
-    u = x / np.linalg.norm(x, axis=1, keepdims=True)
-    found, hit = defaultdict(list), 0
-    for r in hamming_index.query(e).orderBy("query_id", "rank").collect():
-        found[r["query_id"]].append(r["vec_id"])
-    for q in np.flatnonzero(ids % 50 == 0):
-        s = u @ u[q]
-        s[q] = -9
-        hit += len(set(found[ids[q]]) & set(ids[np.argsort(-s)[:5]]))
-    assert hit >= 0.9 * 5 * len(found) and len(found) == (ids % 50 == 0).sum()
-
-
-def test_hamming_search_odd_vectors(spark):
-    rows = [(0, [1.0, 0.0]), (50, [0.0, 0.0]), (1, [1.0, 0.0]), (2, [1.0, 0.0]), (3, None), (100, [float("nan"), 1.0]), (4, [0.0, 1.0]), (150, [None, 1.0])]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
-    got = [(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in hamming_index.query(df).orderBy("rank").collect()]
-    assert got == [(0, 1, 1, 1.0), (0, 2, 2, 1.0), (0, 3, 4, 0.0)]
-    assert hamming_index.query(df.limit(0)).count() == 0
-
-
 def test_toxicity_on_held_out_labels(spark):
     d = "/root/testdata/sf0.01"
     docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
