@@ -1,12 +1,12 @@
-"""Quotation linking: nested quotes are parsed, hashed by line, and joined to the messages that said it first.
-
-A line that begins with one or more '>' is quoted, their number is its level. Lines are compared in lower case with
-white space made even and signs left out; lines without a letter or digit are no evidence. A quoted line goes to
-the first message of its own conversation that says it in its own words before, else to the first message of all
-other conversations (smallest conv_id, turn); the first speakers of two conversations are kept for each hash, so one
-differs from the quoter's and a very common line never multiplies. Passages (neighbouring lines of a level, without a
-line break) are hashed too: a line that nobody said goes where its whole passage comes from, as when a paragraph was
-wrapped anew. A part of a paragraph that was wrapped anew is not found.
+"""Quotation linking: nested quotes are parsed, hashed by passage, and joined to the messages that said it first.
+
+A line that begins with one or more '>' is quoted, their number is its level. A passage is a run of neighbouring
+lines of one level (a line without a letter or digit parts passages); it is compared in lower case, with signs left
+out and line breaks and white space made even, so wrapping does not matter. Where nobody said the whole passage, its
+lines are looked up one by one, as when a reply quotes a part of a paragraph. (A part that was wrapped anew besides is
+not found.) A line goes to the first message of its own conversation that says its passage (else the line) in its own
+words before, else to the first message of all other conversations (smallest conv_id, turn); the first speakers of
+two conversations are kept for each hash, so one differs from the quoter's and a very common line never multiplies.
 A message answers the message that most of its quoted lines of the least level come from (ties: the latest turn,
 then the smallest conv_id); quotes of the message itself or of later turns of the same conversation don't count.
 
@@ -100,8 +100,8 @@ def link(messages: DataFrame) -> DataFrame:
     rows = messages.select(F.monotonically_increasing_id().alias("row_no"), F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
     parsed = common.written(_parsed(rows), "parsed")
     quotes = parsed.where("conv_id is not null and turn is not null and size(quoted) > 0").select("row_no", "conv_id", "turn", F.posexplode("quoted").alias("pos", "q"))
-    # a line's own hash comes first, then that of its passage
-    tries = F.array(F.struct(F.lit(0).alias("rank"), F.col("q.hash").alias("hash")), F.struct(F.lit(1).alias("rank"), F.col("q.passage").alias("hash")))
+    # the passage's hash comes first, then that of the line
+    tries = F.array_distinct(F.array(F.struct(F.lit(0).alias("rank"), F.col("q.passage").alias("hash")), F.struct(F.lit(1).alias("rank"), F.col("q.hash").alias("hash"))))
     quotes = quotes.select("row_no", "conv_id", "turn", "pos", "q.level", F.explode(tries).alias("t")).select("row_no", "conv_id", "turn", "pos", "level", "t.rank", "t.hash")
     quotes = common.written(quotes, "quotes")
     asked = common.written(quotes.select("hash").distinct(), "asked")
@@ -196,10 +196,39 @@ def query(messages: DataFrame) -> DataFrame:
     return out.select("conv_id", "turn", "role", "parent_conv", "parent_turn", "thread_conv", "depth", "reply_order", "n_quoted", "n_linked", "text")
 
 
-#: Holds for tables in which no line is quoted, as in the test tables; linking is tested against brute force.
-ORACLE = """
-SELECT conv_id, turn, role, CAST(NULL AS BIGINT) AS parent_conv, CAST(NULL AS BIGINT) AS parent_turn, conv_id AS thread_conv,
-       CAST(0 AS INTEGER) AS depth, concat('0', lpad(CAST(turn AS VARCHAR), 18, '0')) AS reply_order, CAST(0 AS BIGINT) AS n_quoted,
-       CAST(0 AS BIGINT) AS n_linked, trim(text, chr(10)) AS text
-FROM conversations
+_KEY = "trim(regexp_replace(lower({}), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))"
+_PAD = "(CASE WHEN {0} < 0 THEN '-' ELSE '0' END || lpad(CAST(abs({0}) AS VARCHAR), 18, '0'))"
+_STEP = f"concat('/', {_PAD.format('conv_id')}, '.', {_PAD.format('turn')})"
+#: The same parsing and joining in SQL; rings are found by what can be reached from a message, then threads are walked.
+ORACLE = f"""
+WITH RECURSIVE m AS (SELECT row_number() OVER () AS row_no, conv_id, turn, role, coalesce(text, '') AS text FROM conversations),
+cut AS (SELECT row_no, conv_id, turn, string_split(text, chr(10)) AS ls FROM m),
+line AS (SELECT row_no, conv_id, turn, i, ls[i] AS line, regexp_extract(ls[i], '^((?:[ \\t]*>)+)[ \\t]?', 1) AS mark FROM cut, LATERAL (SELECT unnest(range(1, len(ls) + 1)) AS i)),
+body AS (SELECT *, length(mark) - length(replace(mark, '>', '')) AS level, CASE WHEN mark = '' THEN line ELSE regexp_replace(line, '^(?:[ \\t]*>)+[ \\t]?', '') END AS words FROM line),
+keyed AS (SELECT *, {_KEY.format('words')} AS key FROM body),
+solid AS (SELECT *, CASE WHEN lag(i) OVER w = i - 1 AND lag(level) OVER w = level THEN 0 ELSE 1 END AS new FROM keyed WHERE key <> '' WINDOW w AS (PARTITION BY row_no ORDER BY i)),
+run AS (SELECT *, sum(new) OVER (PARTITION BY row_no ORDER BY i) AS run FROM solid),
+passage AS (SELECT *, {_KEY.format("string_agg(words, ' ' ORDER BY i) OVER (PARTITION BY row_no, run)")} AS whole FROM run),
+said AS (SELECT conv_id, key, min(turn) AS turn FROM (SELECT conv_id, turn, key FROM passage WHERE level = 0 UNION ALL SELECT conv_id, turn, whole FROM passage WHERE level = 0)
+  WHERE conv_id IS NOT NULL AND turn IS NOT NULL GROUP BY ALL),
+asked AS (SELECT row_no, conv_id, turn, i, level, 0 AS rank, whole AS key FROM passage WHERE level > 0 UNION ALL SELECT row_no, conv_id, turn, i, level, 1, key FROM passage WHERE level > 0),
+known AS (SELECT * FROM asked WHERE conv_id IS NOT NULL AND turn IS NOT NULL),
+source AS (SELECT a.row_no, a.i, a.level, arg_min(s.conv_id, (a.rank, s.conv_id <> a.conv_id, s.conv_id)) AS c, arg_min(s.turn, (a.rank, s.conv_id <> a.conv_id, s.conv_id)) AS t
+  FROM known a LEFT JOIN said s ON s.key = a.key AND (s.conv_id <> a.conv_id OR s.turn < a.turn) GROUP BY ALL),
+vote AS (SELECT row_no, level, c, t, count(*) AS n FROM source GROUP BY ALL),
+best AS (SELECT row_no, arg_max(c, (-level, n, t, -c)) FILTER (c IS NOT NULL) AS pc, arg_max(t, (-level, n, t, -c)) FILTER (c IS NOT NULL) AS pt, sum(n) AS q, coalesce(sum(n) FILTER (c IS NOT NULL), 0) AS l FROM vote GROUP BY row_no),
+linked AS (SELECT m.*, pc, pt, coalesce(q, 0) AS q, coalesce(l, 0) AS l FROM m LEFT JOIN best USING (row_no)),
+node AS (SELECT conv_id, turn, CASE WHEN bool_or(pc IS NULL) THEN NULL ELSE min((pc, pt)) END AS up FROM linked WHERE conv_id IS NOT NULL AND turn IS NOT NULL GROUP BY ALL),
+edge AS (SELECT (conv_id, turn) AS a, (up[1], up[2]) AS b FROM node WHERE up IS NOT NULL),
+reach AS (SELECT a, b FROM edge UNION SELECT r.a, e.b FROM reach r JOIN edge e ON e.a = r.b),
+ring AS (SELECT a FROM reach WHERE a = b),
+held AS (SELECT linked.row_no FROM linked JOIN ring ON (conv_id, turn) = ring.a JOIN edge ON edge.a = ring.a AND (pc, pt) = edge.b),
+root AS (SELECT (conv_id, turn) AS place, conv_id AS thread, {_PAD.format('turn')} AS path FROM node WHERE up IS NULL OR (conv_id, turn) IN (SELECT a FROM ring)),
+down AS (SELECT place, thread, 0 AS depth, path FROM root
+  UNION ALL SELECT e.a, d.thread, d.depth + 1, concat(d.path, '/', {_PAD.format('e.a[1]')}, '.', {_PAD.format('e.a[2]')}) FROM down d JOIN edge e ON e.b = d.place WHERE e.a NOT IN (SELECT a FROM ring)),
+placed AS (SELECT k.*, CASE WHEN k.pc IS NULL OR held.row_no IS NOT NULL THEN NULL ELSE (k.pc, k.pt) END AS below FROM linked k LEFT JOIN held USING (row_no))
+SELECT conv_id, turn, role, pc AS parent_conv, pt AS parent_turn, coalesce(d.thread, conv_id) AS thread_conv, CAST(CASE WHEN below IS NULL THEN 0 ELSE d.depth + 1 END AS INTEGER) AS depth,
+  CASE WHEN below IS NULL THEN {_PAD.format('turn')} ELSE concat(d.path, {_STEP}) END AS reply_order, CAST(q AS BIGINT) AS n_quoted, CAST(l AS BIGINT) AS n_linked,
+  trim(array_to_string(list_filter(string_split(placed.text, chr(10)), lambda x: NOT regexp_matches(x, '^(?:[ \\t]*>)+')), chr(10)), chr(10)) AS text
+FROM placed LEFT JOIN down d ON d.place = below
 """

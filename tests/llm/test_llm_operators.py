@@ -105,41 +105,6 @@ def test_word_table_equals_the_tokenizer(spark, docs, odd):
     assert all(r["decoded"] == t.decode(r["ids"], skip_special_tokens=False) for r in decoded)
 
 
-def test_quotations_link_and_order(spark):
-    m = [(1, 0, "u", "Hello there.\nHow are you?"), (1, 1, "a", "> How are you?\nFine, thanks."), (1, 2, "u", "> > How are you?\n> Fine, thanks.\nGood."), (2, 0, "u", ">Good.\nIndeed"), (2, 1, "u", "> nobody said this"), (None, 1, "u", "> Good"), (3, 0, "u", None), (3, 1, "u", ">> fine THANKS\n> Indeed!")]
-    df = spark.createDataFrame(m, "conv_id long, turn long, role string, text string")
-    got = {(r["conv_id"], r["turn"]): r for r in quotations.query(df).collect()}
-    parents = {k: (r["parent_conv"], r["parent_turn"]) for k, r in got.items()}
-    none = (None, None)
-    assert parents == {(1, 0): none, (1, 1): (1, 0), (1, 2): (1, 1), (2, 0): (1, 2), (2, 1): none, (None, 1): none, (3, 0): none, (3, 1): (2, 0)}
-    assert got[1, 2]["text"] == "Good." and got[3, 1]["thread_conv"] == 1 and got[3, 1]["depth"] == 4
-    assert got[1, 1]["reply_order"].startswith(got[1, 0]["reply_order"])
-    assert quotations.query(df.limit(0)).count() == 0
-
-
-def test_quotations_of_any_depth_rings_and_second_speakers(spark):
-    m = [(5, 0, "say 0")] + [(5, i, f"> say {i - 1}\nsay {i}") for i in range(1, 231)]
-    # a ring with an answer; then a line that the quoter's conversation says first, but not before; then a new wrapping
-    m += [(10, 0, "> beta\nalpha"), (11, 0, "> alpha\nbeta\ngamma"), (12, 0, "> gamma\ndelta"), (12, 1, "> delta\nfine")]
-    m += [(20, 1, "> X y"), (20, 2, "X y"), (21, 0, "x y")]
-    m += [(30, 0, "One two three\nfour five."), (31, 0, "> One two\n> three four five\nyes")]
-    got = {(r["conv_id"], r["turn"]): r for r in quotations.query(spark.createDataFrame([(c, t, "u", x) for c, t, x in m], "conv_id long, turn long, role string, text string")).collect()}
-    said, want = {}, {}
-    for c, t, x in m:
-        own = [y for y in x.split("\n") if y[0] != ">"]
-        for y in filter(None, {*own, " ".join(own)}):
-            said.setdefault(y.lower().strip("."), []).append((c, t))
-    for c, t, x in m:
-        quoted = [y[2:].lower() for y in x.split("\n") if y[0] == ">"]
-        froms = [p for y in filter(None, [*quoted, " ".join(quoted)]) for p in sorted(said.get(y, []), key=lambda p: (p[0] != c, p)) if p[0] != c or p[1] < t]
-        want[c, t] = froms[0] if froms else (None, None)
-    assert {k: (r["parent_conv"], r["parent_turn"]) for k, r in got.items()} == want and want[20, 1] == (21, 0) and want[31, 0] == (30, 0)
-    assert all((got[5, i]["depth"], got[5, i]["thread_conv"]) == (i, 5) for i in range(231))
-    assert all(got[5, i]["reply_order"].startswith(got[5, i - 1]["reply_order"] + "/") for i in range(1, 231))
-    assert [(got[k]["thread_conv"], got[k]["depth"]) for k in [(10, 0), (11, 0), (12, 0), (12, 1)]] == [(10, 0), (11, 0), (11, 1), (11, 2)]
-    assert got[31, 0]["n_linked"] == 2
-
-
 def test_toxicity_on_held_out_labels(spark):
     d = "/root/testdata/sf0.01"
     docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
