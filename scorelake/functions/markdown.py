@@ -23,25 +23,28 @@ def code_cell(text: Column) -> Column:
     return F.concat(F.lit("`"), table_cell(F.replace(text, F.lit("`"), F.lit("'"))), F.lit("`"))
 
 
-def number(x: Column, form: str = "%.3f") -> Column:
-    """Python's number format in Arrow batches: Java's rounds the shortest decimal form, so 0.8895 would differ."""
+def numbers(columns: dict[str, str]) -> Column:
+    """A struct of the named columns written in the given formats, '—' for null: Python's formats, in one Arrow pass,
+    as Java's round the shortest decimal form (0.8895 would differ)."""
+    names = [*columns]
 
-    @F.pandas_udf("string")
-    def shown(values: pd.Series) -> pd.Series:
-        return values.map(lambda v: None if v != v else form % v)
+    @F.pandas_udf(", ".join(f"{n} string" for n in names))
+    def shown(*values: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame({n: ["—" if v != v else columns[n] % v for v in x.astype(float).tolist()] for n, x in zip(names, values, strict=True)})
 
-    return F.when(x.isNull(), "—").otherwise(shown(x))
+    return shown(*(F.col(n) for n in names))
 
 
-def diff_rows(rows: DataFrame) -> DataFrame:
-    """(example_id, line): a table row for each row of a diff; order by example_id to print."""
-    cells = [table_cell(F.col("status")), code_cell(F.col("example_id")), number(F.col("baseline_score")), number(F.col("current_score")), number(F.col("delta"), "%+.3f"), F.when(F.col("flagged"), ":warning:").otherwise("")]
-    return rows.select("example_id", F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |")).alias("line"))
+def diff_rows(rows: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """(*by, example_id, line): a table row for each row of a diff; order by example_id to print."""
+    rows = rows.withColumn("_n", numbers({"baseline_score": "%.3f", "current_score": "%.3f", "delta": "%+.3f"}))
+    cells = [table_cell(F.col("status")), code_cell(F.col("example_id")), F.col("_n.baseline_score"), F.col("_n.current_score"), F.col("_n.delta"), F.when(F.col("flagged"), ":warning:").otherwise("")]
+    return rows.select(*by, "example_id", F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |")).alias("line"))
 
 
-def headline(summary: DataFrame) -> DataFrame:
-    """(line): the mark of the worst that a diff's summary holds, and its counts."""
+def headline(summary: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """(*by, line): the mark of the worst that a diff's summary holds, and its counts."""
     count = lambda c: F.coalesce(F.col(c), F.lit(0).cast("long"))
     mark = F.when(count("n_flagged") > 0, "[X]").when(count("n_regressed") > 0, "[!]").when(count("n_improved") > 0, "[+]").otherwise("[=]")
     form = "%s flagged **%d** · regressed %d · improved %d · unchanged %d · new %d · removed %d"
-    return summary.select(F.format_string(form, mark, *map(count, ("n_flagged", "n_regressed", "n_improved", "n_unchanged", "n_new", "n_removed"))).alias("line"))
+    return summary.select(*by, F.format_string(form, mark, *map(count, ("n_flagged", "n_regressed", "n_improved", "n_unchanged", "n_new", "n_removed"))).alias("line"))

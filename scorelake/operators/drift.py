@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scorelake.functions import text as T
+from scorelake.operators.runs import checked_threshold
+from scorelake.sources import scratch
 
 THRESHOLD = 0.10
+GOLDEN, CANDIDATE = "golden", "candidate"
+#: Rows of a range within which k-means counts off its first centroids.
+RANGE_ROWS = 50_000
 
 
 def histogram(rows: DataFrame, bucket: Column, buckets: int, side: str = "side") -> DataFrame:
@@ -36,9 +43,8 @@ def jensen_shannon(hist: DataFrame, left: str, right: str, side: str = "side") -
 
 def axis_report(score: DataFrame, axis: str, threshold: float = THRESHOLD) -> DataFrame:
     """Rows (axis, drift_score, threshold, status); drifted only above the threshold."""
-    if not 0 <= threshold <= 1:
-        raise ValueError("threshold must be within [0, 1]")
-    return score.select(F.lit(axis).alias("axis"), "drift_score", F.lit(threshold).alias("threshold"), F.when(F.col("drift_score") > threshold, "drifted").otherwise("ok").alias("status"))
+    checked_threshold(threshold, f"{axis}_threshold", 1.0)
+    return score.select(F.lit(axis).alias("axis"), "drift_score", F.lit(float(threshold)).alias("threshold"), F.when(F.col("drift_score") > threshold, "drifted").otherwise("ok").alias("status"))
 
 
 def length_stats(rows: DataFrame, side: str = "side") -> DataFrame:
@@ -48,8 +54,9 @@ def length_stats(rows: DataFrame, side: str = "side") -> DataFrame:
 
 
 def similarities(vector: Column, centroids: list[list[float]]) -> Column:
-    """Dot products with each centroid."""
-    return F.array(*(T.dot(vector, F.array(*map(F.lit, c))) for c in centroids))
+    """Dot products with each centroid. The centroids are one literal of the plan, whatever their size."""
+    listed = F.expr("array(" + ",".join("array(" + ",".join(f"{float(x)!r}D" for x in c) + ")" for c in centroids) + ")")
+    return F.transform(listed, lambda c: T.dot(vector, c))
 
 
 def nearest(vectors: DataFrame, centroids: list[list[float]]) -> DataFrame:
@@ -58,43 +65,104 @@ def nearest(vectors: DataFrame, centroids: list[list[float]]) -> DataFrame:
     return sims.withColumns({"cluster": (F.array_position("sims", F.array_max("sims")) - 1).cast("int"), "distance": 1 - F.array_max("sims")}).drop("sims")
 
 
+def spaced(vectors: DataFrame, k: int, n: int, order: str) -> list[list[float]]:
+    """The vectors of rows 0, s, 2s ... (s = n // k) in the order of a number, k of them. Ranges of the order are counted
+    first, so rows are numbered only in the ranges that hold a wanted row, each by itself."""
+    step = max(n // k, 1)
+    ranges = min(1000, -(-n // RANGE_ROWS))
+    cuts = sorted(set(vectors.approxQuantile(order, [i / ranges for i in range(1, ranges)], 0.25 / ranges))) if ranges > 1 else []
+    cell = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c <= F.col(order))) if cuts else F.lit(0)
+    rows = vectors.select(F.col(order).alias("_order"), "vector", cell.alias("_cell"))
+    before, at = {}, 0
+    for r in rows.groupBy("_cell").agg(F.count("*").alias("n")).orderBy("_cell").collect():  # a row a range
+        before[r["_cell"]] = at
+        at += r["n"]
+    wanted = [i * step for i in range(k)]
+    held = {max((b, c) for c, b in before.items() if b <= w)[1] for w in wanted}
+    first = F.create_map(*(F.lit(x) for c in held for x in (c, before[c])))
+    place = F.row_number().over(Window.partitionBy("_cell").orderBy("_order")) - 1 + F.element_at(first, F.col("_cell"))
+    picked = rows.where(F.col("_cell").isin(*held)).withColumn("_at", place).where(F.col("_at").isin(*wanted)).orderBy("_at")
+    return [list(r["vector"]) for r in picked.select("vector").collect()]  # k rows
+
+
 def kmeans(vectors: DataFrame, k: int, order: str, most_rounds: int = 25) -> list[list[float]]:
-    """Spherical k-means centroids, started from evenly spaced rows in the given order.
+    """Spherical k-means centroids, started from evenly spaced rows in the order of the number ``order``.
 
     A round is one aggregation; sums are decimals, so partitioning does not change them. k x dim numbers reach the
-    driver. An empty cluster keeps its centroid; a zero sum stays zero. It ends after a round without a change.
+    driver. An empty cluster keeps its centroid; a zero sum stays zero. All rows start in cluster 0, and it ends after
+    the first round in which no row changes its cluster, with the centroids of that round.
     """
-    if k < 1:
+    if isinstance(k, bool) or not isinstance(k, int) or k < 1:
         raise ValueError("k must be at least 1")
-    n = vectors.count()
+    mark = lambda cluster: F.sum(F.xxhash64(order, cluster).cast("decimal(38,0)"))
+    n, seen = vectors.agg(F.count("*"), mark(F.lit(0))).first()
     k = min(k, n)
     if k == 0:
         return []
-    step = max(n // k, 1)
-    from pyspark.sql import Window
-
-    # the golden side of a drift report is a curated set; its rows are numbered once
-    numbered = vectors.withColumn("_at", F.row_number().over(Window.orderBy(order)) - 1)
-    first = numbered.where((F.col("_at") % step == 0) & (F.col("_at") < step * k)).orderBy("_at").select("vector").collect()
-    centroids = [list(r["vector"]) for r in first][:k]
-    seen = None
+    centroids = spaced(vectors, k, n, order)
     for _ in range(most_rounds):
-        assigned = nearest(vectors, centroids)
-        cells = assigned.select("cluster", F.posexplode("vector").alias("pos", "x"))
-        sums = cells.groupBy("cluster", "pos").agg(F.sum(F.col("x").cast("decimal(28,18)")).cast("double").alias("s")).collect()
-        mark = assigned.agg(F.sum(F.xxhash64(order, "cluster").cast("decimal(38,0)"))).first()[0]
+        cells = nearest(vectors, centroids).select(order, "cluster", F.posexplode("vector").alias("pos", "x"))
+        # the mark of the assignment comes along with the first component
+        part = cells.groupBy("cluster", "pos").agg(F.sum(F.col("x").cast("decimal(28,18)")).cast("double").alias("s"), mark(F.when(F.col("pos") == 0, F.col("cluster"))).alias("mark"))
         new: dict[int, dict[int, float]] = {}
-        for r in sums:
+        now = 0
+        for r in part.collect():  # k x dim rows
             new.setdefault(r["cluster"], {})[r["pos"]] = r["s"]
+            now += r["mark"] if r["pos"] == 0 else 0
         for c, cell in new.items():
-            v = [cell[i] for i in range(len(centroids[c]))]
+            v = [cell[i] for i in range(len(cell))]
             norm = sum(x * x for x in v) ** 0.5
             centroids[c] = [x / norm for x in v] if norm else v
-        if mark == seen:
+        if now == seen:
             break
-        seen = mark
+        seen = now
     return centroids
 
 
 def farthest(assigned: DataFrame, n: int, order: str) -> DataFrame:
+    if isinstance(n, bool) or not isinstance(n, int) or n < 0:
+        raise ValueError("n must be at least 0")
     return assigned.orderBy(F.desc("distance"), order).limit(n)
+
+
+def embedded(rows: DataFrame, k: int, order: str, dim: int = T.DIM) -> tuple[DataFrame, list[list[float]]]:
+    """(vectors of both sides, the golden side's centroids); vectors are written down once."""
+    vectors = T.dense(T.hash_embedding(rows, order, dim=dim), rows, order, dim).join(rows.select(order, "side"), order)
+    vectors = scratch.written(vectors, "vectors")
+    return vectors, kmeans(vectors.where(F.col("side") == GOLDEN).select(order, "vector"), k, order)
+
+
+def report(rows: DataFrame, order: str, judge: Column | None = None, k: int = 8, n_examples: int = 5, dim: int = T.DIM, thresholds: dict[str, float] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(axes, examples) of rows (side, order, text), side 'golden' or 'candidate', ``order`` a number that names the row.
+
+    axes: (axis, drift_score, threshold, status, golden_counts, candidate_counts, golden_mean, candidate_mean); means are
+    those of lengths and judge scores. The judge axis is there if a judge's column is. examples: the candidates farthest
+    from the golden clusters (order, text, distance). A side without rows is an error.
+    """
+    limits = {a: checked_threshold((thresholds or {}).get(a, THRESHOLD), f"{a}_threshold", 1.0) for a in ("length", "embedding", "judge")}
+    if isinstance(k, bool) or not isinstance(k, int) or k < 1:
+        raise ValueError("k must be at least 1")
+    if isinstance(n_examples, bool) or not isinstance(n_examples, int) or n_examples < 0:
+        raise ValueError("n_examples must be at least 0")
+    there = {r["side"] for r in rows.select("side").distinct().collect()}
+    if not {GOLDEN, CANDIDATE} <= there:
+        raise ValueError("both sides must have rows")
+    vectors, centroids = embedded(rows, k, order, dim)
+    assigned = nearest(vectors, centroids)
+    axes = [
+        ("length", rows.select("side", F.length("text").cast("double").alias("value"), T.length_bucket(F.col("text")).alias("b")), len(T.LENGTH_BOUNDS)),
+        ("embedding", assigned.select("side", F.lit(None).cast("double").alias("value"), F.col("cluster").alias("b")), len(centroids)),
+    ]
+    if judge is not None:
+        scored = rows.select("side", T.clamp01(judge).alias("value"))
+        axes.append(("judge", scored.withColumn("b", T.judge_bucket(F.col("value"))), T.JUDGE_BUCKETS))
+    parts = []
+    for axis, values, buckets in axes:
+        hist = histogram(values, F.col("b"), buckets)
+        counts = lambda s: F.transform(F.array_sort(F.collect_list(F.when(F.col("side") == s, F.struct("bucket", "n")))), lambda x: x["n"])
+        mean = lambda s: F.avg(F.when(F.col("side") == s, F.col("value")))
+        both = hist.agg(counts(GOLDEN).alias("golden_counts"), counts(CANDIDATE).alias("candidate_counts"))
+        means = values.agg(mean(GOLDEN).alias("golden_mean"), mean(CANDIDATE).alias("candidate_mean"))
+        parts.append(axis_report(jensen_shannon(hist, GOLDEN, CANDIDATE), axis, limits[axis]).crossJoin(both).crossJoin(means))  # one row each
+    examples = farthest(assigned.where(F.col("side") == CANDIDATE), n_examples, order).join(rows.where(F.col("side") == CANDIDATE).select(order, "text"), order)
+    return reduce(DataFrame.unionByName, parts), examples.select(order, "text", "distance").orderBy(F.desc("distance"), order)

@@ -1,111 +1,156 @@
 """Dataset validation that collects every finding in one pass.
 
-Records are checked by Python's json in Arrow batches, as its rules for JSON are part of the contract; duplicate
-ids and version changes, which depend on line order, are joins and aggregates.
+What a record must look like is a table of rules; one evaluator reads it for golden and calibration records alike. It
+runs in Arrow batches on Python's json, whose rules for JSON are part of the contract. The checked lines are written
+down once; duplicate ids and version changes, which depend on line order, are joins and aggregates over them.
 """
 
 from __future__ import annotations
 
 import json
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-REQUIRED = ("id", "input", "expected_outputs", "dataset_version", "provenance")
-CALIBRATION = ("id", "prompt", "response", "rubric", "human_score", "provenance")
-KINDS = ("exact", "semantic", "regex")
+from scorelake.sources import scratch
+
 CHECKED = "line_no long, code string, reason string, id string, dataset_version string, tags array<string>"
 
 
-def record_reason(r: object) -> str | None:
-    """Why a decoded record is not a valid example, or None."""
-    if not isinstance(r, dict):
-        return f"top-level value must be JSON object, got {type(r).__name__}"
-    if missing := [k for k in REQUIRED if k not in r]:
-        return f"missing required field(s): {missing}"
-    if not isinstance(r["id"], str) or not r["id"]:
-        return "field 'id' must be a non-empty string"
-    if not isinstance(r["input"], str):
-        return "field 'input' must be a string"
-    if not isinstance(r["dataset_version"], str) or not r["dataset_version"]:
-        return "field 'dataset_version' must be a non-empty string"
-    if not isinstance(r["provenance"], dict):
-        return "field 'provenance' must be an object"
-    outputs = r["expected_outputs"]
-    if not isinstance(outputs, list) or not outputs:
-        return "field 'expected_outputs' must be a non-empty list"
-    for i, o in enumerate(outputs):
-        if not isinstance(o, dict):
-            return f"expected_outputs[{i}] must be an object"
-        if "kind" not in o or "value" not in o:
-            return f"expected_outputs[{i}] missing 'kind' or 'value'"
-        if not isinstance(o["kind"], str) or o["kind"] not in KINDS:
-            return f"expected_outputs[{i}]: invalid expected_output kind {o['kind']!r}"
-        if not isinstance(o["value"], str):
-            return f"expected_outputs[{i}]: expected_output value must be str, got {type(o['value']).__name__}"
-    tags = r.get("tags", [])
-    if not isinstance(tags, list) or not all(isinstance(t, str) for t in tags):
-        return "field 'tags' must be a list of strings"
-    if unknown := sorted(set(r) - {*REQUIRED, "tags"}):
-        return f"unknown top-level field(s): {unknown}"
-    return None
-
-
-def calibration_reason(r: object) -> tuple[str, str] | None:
-    """(code, why) if a decoded record is not a valid calibration row."""
-    if not isinstance(r, dict):
-        return "schema", f"top-level value must be JSON object, got {type(r).__name__}"
-    if missing := sorted(set(CALIBRATION) - set(r)):
-        return "schema", f"missing required fields: {missing}"
-    if unknown := sorted(set(r) - set(CALIBRATION)):
-        return "schema", f"unknown top-level field(s): {unknown}"
-    tests = {"id": lambda v: v != "", "prompt": lambda v: True, "response": lambda v: True, "rubric": lambda v: v.strip() != ""}
-    for k, fits in tests.items():
-        if not isinstance(r[k], str) or not fits(r[k]):
-            return "schema", f"{k} must be a {'non-empty ' if k in ('id', 'rubric') else ''}string"
-    if not isinstance(r["provenance"], dict):
-        return "schema", "provenance must be an object"
-    score = r["human_score"]
-    if isinstance(score, bool) or not isinstance(score, int | float):
-        return "schema", "human_score must be a number"
-    return None if 0 <= score <= 1 else ("score_range", f"human_score must be in [0, 1]; got {score}")
-
-
-def check_calibration_line(line: str) -> tuple:
-    """Only a line without characters is blank here; one of white space is bad JSON."""
-    if not line:
-        return "parse", "blank line", None, None, None
-    try:
-        r = json.loads(line)
-    except ValueError as e:
-        return "parse", f"invalid JSON: {e}", None, None, None
-    return (*bad, None, None, None) if (bad := calibration_reason(r)) else (None, None, r["id"], None, [])
+@dataclass(frozen=True)
+class Rule:
+    """A test of one field; ``each``: rules for the members of a list, tested member by member."""
+
+    field: str
+    fits: Callable[[object], bool]
+    message: str
+    code: str = "schema"
+    each: tuple[Rule, ...] = ()
+
+
+@dataclass(frozen=True)
+class Form:
+    required: tuple[str, ...]
+    optional: tuple[str, ...]
+    rules: tuple[Rule, ...]
+    missing: str
+    unknown_first: bool
+    blank: Callable[[str], bool]
+
+
+def _text(v: object) -> bool:
+    return isinstance(v, str)
 
 
-def check_line(line: str) -> tuple:
-    if not line.strip():
+def _filled(v: object) -> bool:
+    return isinstance(v, str) and v != ""
+
+
+def _object(v: object) -> bool:
+    return isinstance(v, dict)
+
+
+def _number(v: object) -> bool:
+    return isinstance(v, int | float) and not isinstance(v, bool)
+
+
+# Field names, kinds, messages and the order of the tests are fixed values.
+KINDS = ("exact", "semantic", "regex")
+GOLDEN = Form(
+    required=("id", "input", "expected_outputs", "dataset_version", "provenance"),
+    optional=("tags",),
+    rules=(
+        Rule("id", _filled, "field 'id' must be a non-empty string"),
+        Rule("input", _text, "field 'input' must be a string"),
+        Rule("dataset_version", _filled, "field 'dataset_version' must be a non-empty string"),
+        Rule("provenance", _object, "field 'provenance' must be an object"),
+        Rule(
+            "expected_outputs",
+            lambda v: isinstance(v, list) and bool(v),
+            "field 'expected_outputs' must be a non-empty list",
+            each=(
+                Rule("", _object, "{place} must be an object"),
+                Rule("", lambda v: {"kind", "value"} <= v.keys(), "{place} missing 'kind' or 'value'"),
+                Rule("kind", lambda v: _text(v) and v in KINDS, "{place}: invalid expected_output kind {value!r}"),
+                Rule("value", _text, "{place}: expected_output value must be str, got {type}"),
+            ),
+        ),
+        Rule("tags", lambda v: isinstance(v, list) and all(map(_text, v)), "field 'tags' must be a list of strings"),
+    ),
+    missing="missing required field(s): {}",
+    unknown_first=False,
+    blank=lambda line: not line.strip(),
+)
+CALIBRATION = Form(
+    required=("human_score", "id", "prompt", "provenance", "response", "rubric"),
+    optional=(),
+    rules=(
+        Rule("id", _filled, "id must be a non-empty string"),
+        Rule("prompt", _text, "prompt must be a string"),
+        Rule("response", _text, "response must be a string"),
+        Rule("rubric", lambda v: _text(v) and v.strip() != "", "rubric must be a non-empty string"),
+        Rule("provenance", _object, "provenance must be an object"),
+        Rule("human_score", _number, "human_score must be a number"),
+        Rule("human_score", lambda v: 0 <= v <= 1, "human_score must be in [0, 1]; got {value}", "score_range"),
+    ),
+    missing="missing required fields: {}",
+    unknown_first=True,
+    # a line of white space is bad JSON here
+    blank=lambda line: line == "",
+)
+
+
+def broken(form: Form, record: object) -> tuple[str, str] | None:
+    """(code, reason) of the first rule that a decoded record breaks, or None."""
+    if not isinstance(record, dict):
+        return "schema", f"top-level value must be JSON object, got {type(record).__name__}"
+    unknown = sorted(record.keys() - {*form.required, *form.optional})
+
+    def tests() -> Iterator[tuple[bool, str, str]]:
+        absent = [k for k in form.required if k not in record]
+        yield not absent, "schema", form.missing.format(absent)
+        strange = (not unknown, "schema", f"unknown top-level field(s): {unknown}")
+        if form.unknown_first:
+            yield strange
+        for rule in form.rules:
+            if rule.field in record:
+                value = record[rule.field]
+                yield rule.fits(value), rule.code, rule.message.format(value=value)
+                for i, member in enumerate(value if rule.each else ()):
+                    for part in rule.each:
+                        inner = member[part.field] if part.field else member
+                        yield part.fits(inner), part.code, part.message.format(place=f"{rule.field}[{i}]", value=inner, type=type(inner).__name__)
+        yield strange
+
+    return next(((code, reason) for fits, code, reason in tests() if not fits), None)
+
+
+def check_line(form: Form, line: str) -> tuple:
+    """(code, reason, id, dataset_version, tags) of a line; code is null for a record of the right form."""
+    if form.blank(line):
         return "parse", "blank line", None, None, None
     try:
         r = json.loads(line)
     except ValueError as e:
         return "parse", f"invalid JSON: {e}", None, None, None
-    if (why := record_reason(r)) is not None:
-        return "schema", why, None, None, None
-    return None, None, r["id"], r["dataset_version"], r.get("tags", [])
+    if (found := broken(form, r)) is not None:
+        return (*found, None, None, None)
+    return None, None, r["id"], r.get("dataset_version"), r.get("tags", [])
 
 
-def checked(lines: DataFrame, check: Callable[[str], tuple] = check_line) -> DataFrame:
-    """(line_no, code, reason, id, dataset_version, tags) of (line_no, line) rows."""
+def checked(lines: DataFrame, form: Form = GOLDEN) -> DataFrame:
+    """(line_no, code, reason, id, dataset_version, tags) of (line_no, line) rows, each checked once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = [pa.string(), pa.string(), pa.string(), pa.string(), pa.list_(pa.string())]
         for b in batches:
-            cols = list(zip(*map(check, b.column("line").to_pylist()), strict=True)) or [()] * 5
+            cols = list(zip(*(check_line(form, x) for x in b.column("line").to_pylist()), strict=True)) or [()] * 5
             yield pa.RecordBatch.from_arrays([b.column("line_no"), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], names=["line_no", "code", "reason", "id", "dataset_version", "tags"])
 
-    return lines.select(F.col("line_no").cast("long").alias("line_no"), "line").mapInArrow(run, CHECKED)
+    return scratch.written(lines.select(F.col("line_no").cast("long").alias("line_no"), "line").mapInArrow(run, CHECKED), "checked")
 
 
 def outcomes(lines: DataFrame) -> DataFrame:
@@ -118,18 +163,40 @@ def outcomes(lines: DataFrame) -> DataFrame:
     version = good.agg(F.min_by("dataset_version", "line_no").alias("version"))
     good = good.crossJoin(F.broadcast(version))  # one row
     claims = good.groupBy("id").agg(F.min(F.when(F.col("dataset_version") == F.col("version"), F.col("line_no"))).alias("claim"))
-    code = F.when(F.col("claim") < F.col("line_no"), "duplicate_id").when(F.col("dataset_version") != F.col("version"), "version_drift").otherwise("valid")
-    judged = good.join(claims, "id").select("line_no", code.alias("code"), "reason", "id", "dataset_version", "tags")
-    return judged.unionByName(rows.where("code is not null"))
+    judged = good.join(claims, "id")
+    twice, drifted = F.col("claim") < F.col("line_no"), F.col("dataset_version") != F.col("version")
+    code = F.when(twice, "duplicate_id").when(drifted, "version_drift").otherwise("valid")
+    reason = F.when(twice, F.format_string("duplicate id '%s'", "id")).when(drifted, F.format_string("dataset_version '%s' differs from '%s'", "dataset_version", "version"))
+    return judged.select("line_no", code.alias("code"), reason.alias("reason"), "id", "dataset_version", "tags").unionByName(rows.where("code is not null"))
 
 
 def calibration_outcomes(lines: DataFrame) -> DataFrame:
     """``checked`` for calibration rows; of valid rows with the same id all but the first are 'duplicate_id'."""
-    rows = checked(lines, check_calibration_line)
+    rows = checked(lines, CALIBRATION)
     good = rows.where("code is null")
     claims = good.groupBy("id").agg(F.min("line_no").alias("claim"))
-    code = F.when(F.col("claim") < F.col("line_no"), "duplicate_id").otherwise("valid")
-    return good.join(claims, "id").select("line_no", code.alias("code"), "reason", "id", "dataset_version", "tags").unionByName(rows.where("code is not null"))
+    twice = F.col("claim") < F.col("line_no")
+    reason = F.when(twice, F.format_string("duplicate id '%s'", "id"))
+    out = good.join(claims, "id").select("line_no", F.when(twice, "duplicate_id").otherwise("valid").alias("code"), reason.alias("reason"), "id", "dataset_version", "tags")
+    return out.unionByName(rows.where("code is not null"))
+
+
+def report(found: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(summary, findings, tag counts of the valid rows) of ``outcomes`` or ``calibration_outcomes``.
+
+    summary: one row (ok, n_rows, n_valid, n_findings, dataset_version); no rows at all are one finding, 'empty' at
+    line 0. ok: a valid row and no finding.
+    """
+    valid = F.col("code") == "valid"
+    sums = found.agg(F.count("*").alias("n_rows"), F.count_if(valid).alias("n_valid"), F.min_by("dataset_version", F.when(valid, F.col("line_no"))).alias("dataset_version"))
+    empty = F.col("n_rows") == 0
+    summary = sums.select(
+        ((F.col("n_valid") > 0) & (F.col("n_valid") == F.col("n_rows"))).alias("ok"), "n_rows", "n_valid",
+        F.when(empty, 1).otherwise(F.col("n_rows") - F.col("n_valid")).cast("long").alias("n_findings"), F.when(F.col("n_valid") > 0, F.col("dataset_version")).alias("dataset_version"),
+    )
+    none = sums.where(empty).select(F.lit(0).cast("long").alias("line_no"), F.lit("empty").alias("code"), F.lit("the file contains no rows").alias("reason"))
+    findings = found.where(~valid).select("line_no", "code", "reason").unionByName(none).orderBy("line_no")
+    return summary, findings, tag_histogram(found.where(valid))
 
 
 def tag_histogram(valid: DataFrame) -> DataFrame:

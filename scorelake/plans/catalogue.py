@@ -1,12 +1,13 @@
 """Queries of the evaluation operators over the test tables, with their SQL.
 
-Stand-ins: texts are documents (golden side lang 'en', candidate side 'fr'), human labels come from labels, run
-history from events (suite: event type, run: suite and day, example: user), prompts and responses from
-conversations, ready vectors from embeddings.
+Stand-ins: texts are documents (golden side: lang 'en', candidate side: all other languages), human labels come from
+labels, run history from events (suite: event type, run: suite and day, example: user), prompts and responses from
+conversations, ready vectors from embeddings. Every run is compared with the one before it in its suite.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 
 from scorelake.functions import markdown
 from scorelake.functions import text as T
-from scorelake.operators import drift, runs, validate
+from scorelake.operators import drift, judging, runs, validate
 
 
 def _read(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -22,7 +23,7 @@ def _read(spark: SparkSession, d: str, name: str) -> DataFrame:
 
 
 def _sides(s: SparkSession, d: str) -> DataFrame:
-    return _read(s, d, "documents").where(F.col("lang").isin("en", "fr")).select("doc_id", F.col("lang").alias("side"), "text")
+    return _read(s, d, "documents").select("doc_id", F.when(F.col("lang") == "en", drift.GOLDEN).otherwise(drift.CANDIDATE).alias("side"), "text")
 
 
 def _length_hist(s, d):
@@ -34,7 +35,7 @@ def _judge_hist(s, d):
 
 
 def _report(hist: DataFrame, axis: str) -> DataFrame:
-    return drift.axis_report(drift.jensen_shannon(hist, "en", "fr"), axis).withColumn("drift_score", F.round("drift_score", 6))
+    return drift.axis_report(drift.jensen_shannon(hist, drift.GOLDEN, drift.CANDIDATE), axis).withColumn("drift_score", F.round("drift_score", 6))
 
 
 def _history(s, d) -> DataFrame:
@@ -57,10 +58,29 @@ def _runs(s, d) -> DataFrame:
     return _rows(s, d).groupBy("suite", "run_id", "started_at").agg(F.count("*").alias("n_rows"), _exact_mean("score").alias("mean_score"))
 
 
+_PAIR = ("suite", "run_id")
+
+
+def _paired(s, d) -> DataFrame:
+    """(suite, run_id, prior_run_id) of all runs but each suite's first."""
+    return runs.with_prior(_runs(s, d)).where("prior_run_id is not null").select("suite", "run_id", "prior_run_id")
+
+
+def _prior_as(s, d, rows: DataFrame) -> DataFrame:
+    """What belongs to a run, under the name of the run that follows it."""
+    return rows.withColumnRenamed("run_id", "prior_run_id").join(_paired(s, d), ["suite", "prior_run_id"]).drop("prior_run_id")
+
+
 def _diff(s, d) -> DataFrame:
-    rows = _rows(s, d)
-    one = lambda day: rows.where((F.col("suite") == "click") & F.col("started_at").startswith(day))
-    return runs.diff(one("2024-01-02"), one("2024-01-01")).select("example_id", "baseline_score", "current_score", F.round("delta", 6).alias("delta"), "status", "flagged")
+    rows = _rows(s, d).select(*_PAIR, "example_id", "score")
+    current = rows.join(_paired(s, d).select(*_PAIR), [*_PAIR], "left_semi")
+    return runs.diff(current, _prior_as(s, d, rows), by=_PAIR).withColumn("delta", F.round("delta", 6))
+
+
+def _diff_summary(s, d) -> DataFrame:
+    stored = _runs(s, d).select(*_PAIR, "mean_score")
+    out = runs.with_means(runs.summary(_diff(s, d), _PAIR), stored, _prior_as(s, d, stored), _PAIR)
+    return out.withColumns({c: F.round(c, 9) for c in ("mean_score_current", "mean_score_baseline", "mean_delta")})
 
 
 def _calibration(s, d) -> DataFrame:
@@ -77,11 +97,76 @@ def _tagged(s, d) -> DataFrame:
     return _read(s, d, "documents").select("doc_id", F.array("lang", "source").alias("tags"))
 
 
-def _suite(s, d) -> DataFrame:
+class CountingBackend:
+    """A judge for the queries: by the number of words of the response, written as a judge writes."""
+
+    def complete(self, system: str, user: str) -> str:
+        response = user.split("\n\nRESPONSE: ", 1)[1]
+        return f"Here you are.\nSCORE: {len(response.split()) % 13 / 10:.3f}\nREASONING: counted {len(response.split())} words\n"
+
+
+def _asked(s, d) -> DataFrame:
+    """Examples made of conversations: what a user says, and the reply to it as the expected output."""
     c = _read(s, d, "conversations")
-    ask = c.where("role = 'user'").select("conv_id", "turn", F.col("text").alias("prompt"))
-    reply = c.where("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("answer"))
-    return ask.join(reply, ["conv_id", "turn"]).select("conv_id", "turn", T.word_count_judge(F.col("answer")).alias("score"))
+    ask = c.where("role = 'user'").select("conv_id", "turn", F.col("text").alias("input"))
+    reply = c.where("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("turn"), F.array(F.struct(F.lit("semantic").alias("kind"), F.col("text").alias("value"))).alias("expected_outputs"))
+    name = F.concat_ws("-", "conv_id", "turn").alias("id")
+    return ask.join(reply, ["conv_id", "turn"]).select("conv_id", "turn", name, "input", "expected_outputs")
+
+
+def _suite(s, d) -> DataFrame:
+    rows = judging.with_answers(_asked(s, d))
+    return judging.score(rows, F.col("input"), F.col("answer"), F.lit(judging.RUBRIC), CountingBackend).select("conv_id", "turn", F.round("score", 6).alias("score"), "reasoning")
+
+
+def _calibration_set(s, d) -> DataFrame:
+    """Calibration rows made of labels and documents: the prompt is a text's first three words, the rubric its source."""
+    docs, labels = _read(s, d, "documents"), _read(s, d, "labels")
+    human = (F.col("quality") + 1 - F.col("toxic")) / 2.0
+    prompt = F.array_join(F.slice(F.split(F.coalesce("text", F.lit("")), " "), 1, 3), " ")
+    return labels.join(docs, "doc_id").select(F.col("doc_id").cast("string").alias("id"), prompt.alias("prompt"), F.coalesce("text", F.lit("")).alias("response"), F.col("source").alias("rubric"), human.alias("human_score"))
+
+
+def _calibrated(s, d) -> tuple[DataFrame, DataFrame]:
+    rows, report = judging.calibrate(_calibration_set(s, d), judging.ByColumn(T.overlap_judge))
+    return rows.select(F.col("id").cast("long").alias("doc_id"), "human_score", F.round("judge_score", 6).alias("judge_score"), "human_class", "judge_class"), report.select("n", F.round("agreement", 6).alias("agreement"), F.round("kappa", 6).alias("kappa"), "kappa_label", F.round("r", 6).alias("r"), "r_label", "status")
+
+
+#: Texts of judges in every form that counts; {} is a digit.
+_SAID = [
+    "SCORE: 0.{}\nREASONING: fine", "score:\t.{}  \nReasoning:   spaced out \t", "SCORE:\n0.{}5\nREASONING: on the next line", "x\n\n SCORE: +{}.\n y\n REASONING:\n below", "SCORE: -0.{}\nREASONING: below nought",
+    "SCORE: 1.{}\nREASONING: above one", "SCORE: {}e0\nREASONING: not plain", "SCORE: 0.{}", "REASONING: no score {}", "SCORE: 0.{} of 1\nSCORE: 0.2\nREASONING: the second counts\nREASONING: not this", "", "SCORE: 0.{}\r\nREASONING: carriage\r\n",
+]
+
+
+def _said(s, d) -> DataFrame:
+    text = F.element_at(F.array(*map(F.lit, _SAID)), (F.col("doc_id") % len(_SAID) + 1).cast("int"))
+    return _read(s, d, "documents").select("doc_id", F.replace(text, F.lit("{}"), (F.col("doc_id") % 10).cast("string")).alias("said"))
+
+
+def _drift_report(s, d) -> DataFrame:
+    rows = _sides(s, d).where("text is not null")
+    axes, _ = drift.report(rows, "doc_id", T.word_count_judge(F.col("text")))
+    return axes.select("axis", F.round("drift_score", 6).alias("drift_score"), "threshold", "status", F.array_join("golden_counts", ",").alias("golden_counts"), F.array_join("candidate_counts", ",").alias("candidate_counts"), *(F.round(c, 6).alias(c) for c in ("golden_mean", "candidate_mean")))
+
+
+def _record(**changed) -> str:
+    return json.dumps({"id": "x", "input": "q", "expected_outputs": [{"kind": "exact", "value": "a"}], "dataset_version": "v1", "provenance": {}} | changed)
+
+
+#: Lines that break a rule, with the reason.
+_BROKEN = [
+    ('{"id": "x"}', "missing required field(s): ['input', 'expected_outputs', 'dataset_version', 'provenance']"),
+    ("[1]", "top-level value must be JSON object, got list"),
+    (_record(id=""), "field 'id' must be a non-empty string"),
+    (_record(input=3), "field 'input' must be a string"),
+    (_record(provenance=[]), "field 'provenance' must be an object"),
+    (_record(expected_outputs=[]), "field 'expected_outputs' must be a non-empty list"),
+    (_record(expected_outputs=[{"kind": "exact", "value": "a"}, {"kind": "fuzzy", "value": "a"}]), "expected_outputs[1]: invalid expected_output kind 'fuzzy'"),
+    (_record(expected_outputs=[{"kind": "exact", "value": 1}]), "expected_outputs[0]: expected_output value must be str, got int"),
+    (_record(tags=[1]), "field 'tags' must be a list of strings"),
+    (_record(more=1), "unknown top-level field(s): ['more']"),
+]
 
 
 def _lines(s, d) -> DataFrame:
@@ -91,7 +176,7 @@ def _lines(s, d) -> DataFrame:
     name = F.when(k == 4, F.concat(F.lit("d"), (F.col("doc_id") - 1).cast("string"))).otherwise(F.concat(F.lit("d"), F.col("doc_id").cast("string")))
     version = F.when(k == 5, "v2").otherwise("v1")
     body = F.to_json(F.struct(name.alias("id"), F.lit("q").alias("input"), F.array(F.struct(F.lit("exact").alias("kind"), F.lit("a").alias("value"))).alias("expected_outputs"), version.alias("dataset_version"), F.struct(F.lit(1).alias("by")).alias("provenance"), F.array("lang", "source").alias("tags")))
-    line = F.when(k == 1, "").when(k == 2, "{not json").when(k == 3, F.lit('{"id": "x"}')).otherwise(body)
+    line = F.when(k == 1, "").when(k == 2, "{not json").when(k == 3, F.element_at(F.array(*(F.lit(x) for x, _ in _BROKEN)), (F.floor(F.col("doc_id") / 10) % len(_BROKEN) + 1).cast("int"))).otherwise(body)
     # d3 is taken by none, so 4 has the id of a broken record (valid); 7 repeats the id of 6
     line = F.when(k == 7, F.replace(body, F.concat(F.lit('"d'), F.col("doc_id").cast("string"), F.lit('"')), F.concat(F.lit('"d'), (F.col("doc_id") - 1).cast("string"), F.lit('"')))).otherwise(line)
     return doc.select((F.col("doc_id") + 1).alias("line_no"), line.alias("line"))
@@ -109,10 +194,7 @@ def _nearest(s, d) -> DataFrame:
 
 
 def _embedded(s, d) -> tuple[DataFrame, list]:
-    rows = _sides(s, d)
-    vectors = T.dense(T.hash_embedding(rows), rows).join(rows.select("doc_id", "side"), "doc_id").cache()
-    golden = vectors.where("side = 'en'").select("doc_id", "vector")
-    return vectors, drift.kmeans(golden, 8, "doc_id")
+    return drift.embedded(_sides(s, d), 8, "doc_id")
 
 
 def _embedding_drift(s, d) -> DataFrame:
@@ -121,11 +203,13 @@ def _embedding_drift(s, d) -> DataFrame:
     return _report(hist, "embedding")
 
 
+def _validated(s, d) -> tuple[DataFrame, DataFrame, DataFrame]:
+    return validate.report(validate.outcomes(_lines(s, d)))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     def judge_parse(s, d):
-        judge_texts = F.concat(F.lit("Notes\nscore: "), (F.col("doc_id") % 15).cast("string"), F.when(F.col("doc_id") % 3 == 0, ".").when(F.col("doc_id") % 3 == 1, ".5").otherwise("e0"), F.lit("\nREASONING: because "), F.col("lang"))
-        score, reason = T.judge_output(judge_texts)
-        return _read(s, d, "documents").select("doc_id", score.alias("score"), reason.alias("reasoning"))
+        return _said(s, d).select("doc_id", T.judge_output(F.col("said")).alias("o")).select("doc_id", "o.score", "o.reasoning", "o.error")
 
     return {
         "length_histogram": _length_hist,
@@ -147,24 +231,32 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "latest_run_per_suite": lambda s, d: runs.latest_per_suite(_runs(s, d)),
         "prior_run": lambda s, d: runs.with_prior(_runs(s, d)).select("suite", "run_id", "prior_run_id"),
         "run_diff": _diff,
-        "run_diff_summary": lambda s, d: runs.summary(_diff(s, d)),
-        "regressed_ids": lambda s, d: _diff(s, d).where("flagged").select("example_id"),
+        "run_diff_summary": _diff_summary,
+        "regressed_ids": lambda s, d: _diff(s, d).where("flagged").select(*_PAIR, "example_id"),
+        "runs_with_rows": lambda s, d: runs.with_rows(_runs(s, d), _rows(s, d).select("run_id", "example_id", "score")),
         "suite_run": _suite,
         "suite_mean": lambda s, d: _suite(s, d).agg(F.count("*").alias("n_rows"), F.round(F.avg("score"), 6).alias("mean_score")),
         "tag_filter": lambda s, d: _tagged(s, d).where(F.arrays_overlap("tags", F.array(F.lit("fr"), F.lit("src3")))).select("doc_id"),
         "tag_inventory": lambda s, d: _tagged(s, d).select(F.explode("tags").alias("tag")).distinct(),
         "tag_histogram": lambda s, d: validate.tag_histogram(_tagged(s, d)),
         "validate_outcomes": lambda s, d: validate.outcomes(_lines(s, d)).select("line_no", "code"),
-        "validate_summary": lambda s, d: validate.outcomes(_lines(s, d)).agg(F.count("*").alias("n_rows"), F.count_if(F.col("code") == "valid").alias("n_valid"), F.count_if(F.col("code") != "valid").alias("n_findings")),
+        "validate_summary": lambda s, d: _validated(s, d)[0],
+        "validate_findings": lambda s, d: _validated(s, d)[1].select("line_no", "code", "reason"),
+        "valid_tags": lambda s, d: _validated(s, d)[2],
         "judge_parse": judge_parse,
-        "diff_markdown": lambda s, d: markdown.diff_rows(_diff(s, d)),
-        "diff_headline": lambda s, d: markdown.headline(runs.summary(_diff(s, d))),
+        "judge_overlap": lambda s, d: _calibrated(s, d)[0].select("doc_id", "judge_score"),
+        "calibration_run": lambda s, d: _calibrated(s, d)[1],
+        "length_judge": lambda s, d: _read(s, d, "documents").select("doc_id", F.round(T.length_judge(F.col("text")), 6).alias("score")),
+        "needle_judge": lambda s, d: _asked(s, d).select("conv_id", "turn", T.needle_judge(T.judge_prompt(F.lit("r"), F.col("input"), judging.echo()), {"the": 0.25, "an": 0.75}).alias("score")),
+        "drift_report": _drift_report,
+        "diff_markdown": lambda s, d: markdown.diff_rows(_diff(s, d), _PAIR),
+        "diff_headline": lambda s, d: markdown.headline(runs.summary(_diff(s, d), _PAIR), _PAIR),
     }
 
 
 _TOK = r"regexp_extract_all(lower(text), '[\p{L}\p{N}]+')"
 _JUDGE = f"((len({_TOK}) * 7) % 100) / 100.0::DOUBLE"
-_SIDES = "s AS (SELECT doc_id, lang AS side, text FROM documents WHERE lang IN ('en', 'fr'))"
+_SIDES = "s AS (SELECT doc_id, CASE WHEN lang = 'en' THEN 'golden' ELSE 'candidate' END AS side, text FROM documents)"
 _LEN_BUCKET = "(" + " + ".join(f"CAST(length(text) >= {b} AS INTEGER)" for b in T.LENGTH_BOUNDS) + " - 1)"
 _JUDGE_BUCKET = f"least(9, greatest(0, CAST(floor({_JUDGE} * 10) AS INTEGER)))"
 
@@ -175,33 +267,90 @@ hist AS (SELECT x.side, CAST(b.range AS INTEGER) AS bucket, coalesce(c.n, 0) AS
 
 
 def _drift_sql(hist: str, axis: str) -> str:
-    return f"""WITH {hist}, w AS (SELECT bucket, sum(CASE WHEN side = 'en' THEN n ELSE 0 END) / (SELECT sum(n) FROM hist WHERE side = 'en') AS p,
-  sum(CASE WHEN side = 'fr' THEN n ELSE 0 END) / (SELECT sum(n) FROM hist WHERE side = 'fr') AS q FROM hist GROUP BY bucket),
+    return f"""WITH {hist}, w AS (SELECT bucket, sum(CASE WHEN side = 'golden' THEN n ELSE 0 END) / (SELECT sum(n) FROM hist WHERE side = 'golden') AS p,
+  sum(CASE WHEN side = 'candidate' THEN n ELSE 0 END) / (SELECT sum(n) FROM hist WHERE side = 'candidate') AS q FROM hist GROUP BY bucket),
 t AS (SELECT sum(CASE WHEN p > 0 THEN p * log2(p / ((p + q) / 2)) ELSE 0 END + CASE WHEN q > 0 THEN q * log2(q / ((p + q) / 2)) ELSE 0 END) / 2 AS v FROM w)
 SELECT '{axis}' AS axis, round(least(1, greatest(0, v)), 6) AS drift_score, CAST(0.1 AS DOUBLE) AS threshold, CASE WHEN v > 0.1 THEN 'drifted' ELSE 'ok' END AS status FROM t"""
 
 
-_HASH = """t AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) AS token FROM documents),
-m AS (SELECT doc_id, CAST(concat('0x', right(sha1(token), 2)) AS INTEGER) % 128 AS m FROM t),
+_HASH = """tok AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) AS token FROM documents),
+m AS (SELECT doc_id, CAST(concat('0x', right(sha1(token), 2)) AS INTEGER) % 128 AS m FROM tok),
 cells AS (SELECT doc_id, CAST(m % 64 AS INTEGER) AS bucket, CAST(sum(CASE WHEN m >= 64 THEN 1 ELSE -1 END) AS BIGINT) AS weight FROM m GROUP BY ALL)"""
 _RUNS = """r0 AS (SELECT event_type AS suite, concat_ws('_', event_type, strftime(ts, '%Y-%m-%d')) AS run_id, concat(strftime(ts, '%Y-%m-%d'), 'T00:00:00Z') AS started_at,
   CAST(user_id AS VARCHAR) AS example_id, avg(value) AS v FROM events GROUP BY ALL),
 rw AS (SELECT suite, run_id, started_at, example_id, round(least(1.0, v / 100), 6) AS score FROM r0),
 runs AS (SELECT suite, run_id, started_at, count(*) AS n_rows, CAST(sum(CAST(score AS DECIMAL(18, 6))) AS DOUBLE) / count(*) AS mean_score FROM rw GROUP BY ALL)"""
-_DIFF = _RUNS + """, cur AS (SELECT example_id, score FROM rw WHERE suite = 'click' AND started_at LIKE '2024-01-02%'),
-base AS (SELECT example_id, score FROM rw WHERE suite = 'click' AND started_at LIKE '2024-01-01%'),
-df AS (SELECT coalesce(cur.example_id, base.example_id) AS example_id, base.score AS baseline_score, cur.score AS current_score, cur.score - base.score AS dl FROM cur FULL OUTER JOIN base ON cur.example_id = base.example_id),
-diff AS (SELECT example_id, baseline_score, current_score, round(dl, 6) AS delta, CASE WHEN baseline_score IS NULL THEN 'new' WHEN current_score IS NULL THEN 'removed'
-  WHEN dl < 0 THEN 'regressed' WHEN dl > 0 THEN 'improved' ELSE 'unchanged' END AS status, coalesce(dl < -0.1, FALSE) AS flagged FROM df)"""
+_DIFF = _RUNS + """, pair AS (SELECT * FROM (SELECT suite, run_id, mean_score, lag(run_id) OVER w AS prior, lag(mean_score) OVER w AS prior_mean FROM runs WINDOW w AS (PARTITION BY suite ORDER BY started_at, run_id)) WHERE prior IS NOT NULL),
+cur AS (SELECT p.suite, p.run_id, example_id, score FROM rw JOIN pair p ON rw.run_id = p.run_id),
+base AS (SELECT p.suite, p.run_id, example_id, score FROM rw JOIN pair p ON rw.run_id = p.prior),
+df AS (SELECT coalesce(cur.suite, base.suite) AS suite, coalesce(cur.run_id, base.run_id) AS run_id, coalesce(cur.example_id, base.example_id) AS example_id, base.score AS baseline_score, cur.score AS current_score, cur.score - base.score AS dl
+  FROM cur FULL OUTER JOIN base ON cur.run_id = base.run_id AND cur.example_id = base.example_id),
+diff AS (SELECT suite, run_id, example_id, baseline_score, current_score, round(dl, 6) AS delta, CASE WHEN baseline_score IS NULL THEN 'new' WHEN current_score IS NULL THEN 'removed'
+  WHEN dl < 0 THEN 'regressed' WHEN dl > 0 THEN 'improved' ELSE 'unchanged' END AS status, coalesce(dl < -0.1, FALSE) AS flagged FROM df),
+sums AS (SELECT suite, run_id, count_if(flagged)::BIGINT AS n_flagged, """ + ", ".join(f"count_if(status = '{x}')::BIGINT AS n_{x}" for x in runs.STATUSES) + " FROM diff GROUP BY ALL)"
 _CAL = f"""cal AS (SELECT l.doc_id, (quality + 1 - toxic) / 2.0::DOUBLE AS human, {_JUDGE} AS judge FROM labels l JOIN documents USING (doc_id)),
 bin AS (SELECT doc_id, human, judge, CAST(human >= 0.5 AS INTEGER) AS h, CAST(judge >= 0.5 AS INTEGER) AS j FROM cal)"""
-_SUITE = f"su AS (SELECT u.conv_id, u.turn, (SELECT {_JUDGE.replace('text', 'a.text')}) AS score FROM conversations u JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1 AND u.role = 'user' AND a.role = 'assistant')"
-_VALID = """v AS (SELECT doc_id + 1 AS line_no, CASE doc_id % 10 WHEN 1 THEN 'parse' WHEN 2 THEN 'parse' WHEN 3 THEN 'schema' WHEN 5 THEN 'version_drift' WHEN 7 THEN 'duplicate_id' ELSE 'valid' END AS code FROM documents)"""
+_ASKED = "ask AS (SELECT u.conv_id, u.turn, u.text AS input, a.text AS answer FROM conversations u JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1 AND u.role = 'user' AND a.role = 'assistant')"
+_SUITE = _ASKED + r""", wc AS (SELECT *, len(regexp_extract_all(answer, '\S+')) AS w FROM ask),
+su AS (SELECT conv_id, turn, least(1.0, round(w % 13 / 10.0::DOUBLE, 6)) AS score, 'counted ' || w || ' words' AS reasoning FROM wc)"""
+_OVERLAP = r"""cs AS (SELECT l.doc_id, (quality + 1 - toxic) / 2.0::DOUBLE AS human_score, array_to_string(list_slice(string_split(coalesce(text, ''), ' '), 1, 3), ' ') AS prompt, coalesce(text, '') AS response FROM labels l JOIN documents USING (doc_id)),
+words AS (SELECT doc_id, human_score, list_filter(regexp_extract_all(string_split('PROMPT: ' || prompt, chr(10) || chr(10))[1][8:], '\S+'), lambda w: len(w) >= 4 AND regexp_full_match(w, '\p{L}+')) AS p,
+  list_filter(regexp_extract_all(string_split('RESPONSE: ' || response, chr(10) || chr(10))[1][10:], '\S+'), lambda w: len(w) >= 4 AND regexp_full_match(w, '\p{L}+')) AS q FROM cs),
+ov AS (SELECT doc_id, human_score, CASE WHEN list_has_any(list_transform(p, lambda w: lower(w)), list_transform(q, lambda w: lower(w))) THEN 0.85::DOUBLE ELSE 0.2::DOUBLE END AS judge_score FROM words)"""
+_KAPPA_LABEL = "CASE WHEN kappa < 0 THEN 'worse than chance' WHEN kappa < 0.2 THEN 'slight' WHEN kappa < 0.4 THEN 'fair' WHEN kappa < 0.6 THEN 'moderate' WHEN kappa < 0.8 THEN 'substantial' ELSE 'almost perfect' END"
+_R_LABEL = "CASE WHEN abs(r) < 0.1 THEN 'negligible' WHEN abs(r) < 0.3 THEN 'weak' WHEN abs(r) < 0.5 THEN 'moderate' WHEN abs(r) < 0.7 THEN 'strong' ELSE 'very strong' END"
+_VALID = """v AS (SELECT doc_id + 1 AS line_no, CASE doc_id % 10 WHEN 1 THEN 'parse' WHEN 2 THEN 'parse' WHEN 3 THEN 'schema' WHEN 5 THEN 'version_drift' WHEN 7 THEN 'duplicate_id' ELSE 'valid' END AS code, lang, source FROM documents)"""
 _NEAR = """p AS (SELECT greatest(count(*) // 8, 1) AS step FROM embeddings), c AS (SELECT CAST(row_number() OVER (ORDER BY vec_id) - 1 AS INTEGER) AS cluster, embedding AS c FROM embeddings, p WHERE vec_id % step = 0 AND vec_id < step * 8),
 sim AS (SELECT e.vec_id, c.cluster, list_sum(list_transform(list_zip(e.embedding, c.c), lambda z: z[1]::DOUBLE * z[2]::DOUBLE)) AS s FROM embeddings e CROSS JOIN c),
 best AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY round(s, 12) DESC, cluster) AS k FROM sim)"""
 
 
+#: Spherical k-means by recursion: a row a round with all centroids and the sum of the clusters' marks.
+_KMEANS = "RECURSIVE " + _SIDES + ", " + _HASH + """,
+norms AS (SELECT doc_id, sqrt(CAST(sum(weight * weight) AS DOUBLE)) AS norm FROM cells GROUP BY doc_id),
+grid AS (SELECT s.doc_id, s.side, CAST(i.range AS INTEGER) AS i FROM s CROSS JOIN range(64) i),
+vec AS (SELECT g.doc_id, g.side, list(CASE WHEN n.norm > 0 THEN coalesce(c.weight, 0) / n.norm ELSE 0.0::DOUBLE END ORDER BY g.i) AS v
+  FROM grid g LEFT JOIN cells c ON c.doc_id = g.doc_id AND c.bucket = g.i LEFT JOIN norms n ON n.doc_id = g.doc_id GROUP BY ALL),
+gold AS MATERIALIZED (SELECT doc_id, v, row_number() OVER (ORDER BY doc_id) - 1 AS o, count(*) OVER () AS n FROM vec WHERE side = 'golden'),
+start AS (SELECT list(v ORDER BY o) AS cs FROM gold WHERE o % greatest(n // least(8, n), 1) = 0 AND o < greatest(n // least(8, n), 1) * least(8, n)),
+loop AS (SELECT 0 AS t, cs, (SELECT list(0 ORDER BY o) FROM gold) AS seen, FALSE AS done FROM start
+UNION ALL
+SELECT * FROM (
+  WITH now AS (SELECT t, cs, seen FROM loop WHERE NOT done AND t < 25),
+  near AS (SELECT g.o, g.v, list_transform(now.cs, lambda c: list_sum(list_transform(list_zip(c, g.v), lambda z: z[1] * z[2]))) AS sims FROM gold g, now),
+  put AS (SELECT o, v, list_position(sims, list_max(sims)) AS k FROM near),
+  part AS (SELECT k, u.i, sum(CAST(u.x AS DECIMAL(28, 18))) AS x FROM put, LATERAL (SELECT unnest(v) AS x, unnest(range(64)) AS i) u GROUP BY ALL),
+  sums AS (SELECT k, list(CAST(x AS DOUBLE) ORDER BY i) AS x FROM part GROUP BY k),
+  units AS (SELECT k, CASE WHEN list_sum(list_transform(x, lambda y: y * y)) > 0 THEN list_transform(x, lambda y: y / sqrt(list_sum(list_transform(x, lambda z: z * z)))) ELSE x END AS c FROM sums),
+  fresh AS (SELECT list(coalesce(u.c, now.cs[j.i]) ORDER BY j.i) AS cs FROM now, LATERAL (SELECT unnest(range(1, len(now.cs) + 1)) AS i) j LEFT JOIN units u ON u.k = j.i)
+  SELECT now.t + 1, fresh.cs, placed.ks, placed.ks = now.seen FROM now, fresh, (SELECT list(CAST(k - 1 AS INTEGER) ORDER BY o) AS ks FROM put) placed)),
+final AS (SELECT cs FROM loop ORDER BY t DESC LIMIT 1),
+sim AS (SELECT vec.doc_id, vec.side, list_transform(final.cs, lambda c: list_sum(list_transform(list_zip(c, vec.v), lambda z: z[1] * z[2]))) AS sims FROM vec, final),
+clusters AS (SELECT doc_id, side, CAST(list_position(sims, list_max(sims)) - 1 AS INTEGER) AS cluster, round(1 - list_max(sims), 6) + 0.0 AS distance FROM sim)"""
+_CLUSTER_HIST = _KMEANS + """, hist AS (SELECT x.side, CAST(b.range AS INTEGER) AS bucket, coalesce(c.n, 0) AS n FROM (SELECT DISTINCT side FROM s) x CROSS JOIN range(8) b
+  LEFT JOIN (SELECT side, cluster, count(*) AS n FROM clusters GROUP BY ALL) c ON c.side = x.side AND c.cluster = b.range)"""
+
+
+def _said_sql() -> str:
+    """The judge's texts, one by one, with what is right for each, as no expression is shared with the query."""
+    digit = "CAST(doc_id % 10 AS VARCHAR)"
+    right = [
+        (f"CAST('0.' || {digit} AS DOUBLE)", "'fine'"), (f"CAST('.' || {digit} AS DOUBLE)", "'spaced out'"), (f"CAST('0.' || {digit} || '5' AS DOUBLE)", "'on the next line'"), (None, None), ("0.0::DOUBLE", "'below nought'"),
+        ("1.0::DOUBLE", "'above one'"), (None, None), (None, None), (None, None), ("0.2::DOUBLE", "'the second counts'"), (None, None), (f"CAST('0.' || {digit} AS DOUBLE)", "'carriage'"),
+    ]
+    right[3] = ("least(1.0, (doc_id % 10)::DOUBLE)", "'below'")
+    pick = lambda k: "CASE doc_id % 12 " + " ".join(f"WHEN {i} THEN {r[k]}" for i, r in enumerate(right) if r[k]) + " END"
+    return f"SELECT doc_id, {pick(0)} AS score, {pick(1)} AS reasoning, CASE doc_id % 12 WHEN 6 THEN 'missing SCORE: line' WHEN 7 THEN 'missing REASONING: line' WHEN 8 THEN 'missing SCORE: line' WHEN 10 THEN 'missing SCORE: line' END AS error FROM documents"
+
+
+def _axis_sql(axis: str, hist: str, value: str) -> str:
+    """One axis of the drift report."""
+    counts = lambda side: f"(SELECT string_agg(CAST(n AS VARCHAR), ',' ORDER BY bucket) FROM hist WHERE side = '{side}')"
+    mean = lambda side: f"(SELECT round(avg({value}), 6) FROM s WHERE side = '{side}')"
+    more = ", ".join(f"{f(side)} AS {side}_{name}" for name, f in (("counts", counts), ("mean", mean)) for side in ("golden", "candidate"))
+    return f"({_drift_sql(hist, axis).replace('AS status FROM t', f'AS status, {more} FROM t')})"
+
+
 def oracle_sql() -> dict[str, str]:
     length, judge = _hist_sql(_LEN_BUCKET, len(T.LENGTH_BOUNDS)), _hist_sql(_JUDGE_BUCKET, T.JUDGE_BUCKETS)
     return {
@@ -224,16 +373,31 @@ SELECT n, round(po, 6) AS agreement, round(kappa, 6) AS kappa, CASE WHEN kappa <
         "latest_run_per_suite": f"WITH {_RUNS} SELECT suite, max_by(run_id, started_at || run_id) AS run_id FROM runs GROUP BY suite",
         "prior_run": f"WITH {_RUNS} SELECT suite, run_id, lag(run_id) OVER (PARTITION BY suite ORDER BY started_at, run_id) AS prior_run_id FROM runs",
         "run_diff": f"WITH {_DIFF} SELECT * FROM diff",
-        "run_diff_summary": f"WITH {_DIFF} SELECT count_if(flagged)::BIGINT AS n_flagged, " + ", ".join(f"count_if(status = '{x}')::BIGINT AS n_{x}" for x in ("regressed", "improved", "unchanged", "new", "removed")) + " FROM diff",
-        "regressed_ids": f"WITH {_DIFF} SELECT example_id FROM diff WHERE flagged",
-        "suite_run": f"WITH {_SUITE} SELECT conv_id, turn, score FROM su",
-        "suite_mean": f"WITH {_SUITE} SELECT count(*) AS n_rows, round(avg(score), 6) AS mean_score FROM su",
         "tag_filter": "SELECT doc_id FROM documents WHERE lang = 'fr' OR source = 'src3'",
         "tag_inventory": "SELECT lang AS tag FROM documents UNION SELECT source FROM documents",
         "tag_histogram": "SELECT tag, count(*) AS count FROM (SELECT lang AS tag FROM documents UNION ALL SELECT source FROM documents) GROUP BY tag",
         "validate_outcomes": f"WITH {_VALID} SELECT line_no, code FROM v",
-        "validate_summary": f"WITH {_VALID} SELECT count(*) AS n_rows, count_if(code = 'valid')::BIGINT AS n_valid, count_if(code <> 'valid')::BIGINT AS n_findings FROM v",
-        "diff_markdown": f"WITH {_DIFF} SELECT example_id, '| ' || status || ' | `' || example_id || '` | ' || coalesce(printf('%.3f', baseline_score), '—') || ' | ' || coalesce(printf('%.3f', current_score), '—') || ' | ' || coalesce(printf('%+.3f', delta), '—') || ' | ' || CASE WHEN flagged THEN ':warning:' ELSE '' END || ' |' AS line FROM diff",
-        "diff_headline": f"WITH {_DIFF}, c AS (SELECT count_if(flagged) AS f, " + ", ".join(f"count_if(status = '{x}') AS n_{x}" for x in ("regressed", "improved", "unchanged", "new", "removed")) + " FROM diff) SELECT CASE WHEN f > 0 THEN '[X]' WHEN n_regressed > 0 THEN '[!]' WHEN n_improved > 0 THEN '[+]' ELSE '[=]' END || ' flagged **' || f || '** · regressed ' || n_regressed || ' · improved ' || n_improved || ' · unchanged ' || n_unchanged || ' · new ' || n_new || ' · removed ' || n_removed AS line FROM c",
-        "judge_parse": "SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN least(1.0, (doc_id % 15)::DOUBLE) WHEN 1 THEN least(1.0, (doc_id % 15) + 0.5::DOUBLE) END AS score, 'because ' || lang AS reasoning FROM documents",
+        "embedding_drift": _drift_sql(_CLUSTER_HIST, "embedding"),
+        "kmeans_clusters": f"WITH {_KMEANS} SELECT doc_id, side, cluster, distance FROM clusters",
+        "drift_report": " UNION ALL ".join([_axis_sql("length", length, "length(text)"), _axis_sql("embedding", _CLUSTER_HIST, "CAST(NULL AS DOUBLE)"), _axis_sql("judge", judge, _JUDGE)]),
+        "run_diff_summary": f"WITH {_DIFF} SELECT suite, run_id, round(mean_score, 9) AS mean_score_current, round(prior_mean, 9) AS mean_score_baseline, round(mean_score - prior_mean, 9) AS mean_delta, sums.* EXCLUDE (suite, run_id) FROM pair JOIN sums USING (suite, run_id)",
+        "regressed_ids": f"WITH {_DIFF} SELECT suite, run_id, example_id FROM diff WHERE flagged",
+        "runs_with_rows": f"WITH {_RUNS} SELECT runs.*, rw.example_id, rw.score FROM runs JOIN rw ON rw.run_id = runs.run_id",
+        "suite_run": f"WITH {_SUITE} SELECT conv_id, turn, score, reasoning FROM su",
+        "suite_mean": f"WITH {_SUITE} SELECT count(*) AS n_rows, round(avg(score), 6) AS mean_score FROM su",
+        "validate_summary": f"WITH {_VALID} SELECT FALSE AS ok, count(*) AS n_rows, count_if(code = 'valid')::BIGINT AS n_valid, count_if(code <> 'valid')::BIGINT AS n_findings, 'v1' AS dataset_version FROM v",
+        "validate_findings": f"WITH {_VALID} SELECT line_no, code, CASE (line_no - 1) % 10 WHEN 1 THEN 'blank line' WHEN 2 THEN 'invalid JSON: Expecting property name enclosed in double quotes: line 1 column 2 (char 1)' WHEN 5 THEN 'dataset_version ''v2'' differs from ''v1''' WHEN 7 THEN 'duplicate id ''d' || (line_no - 2) || '''' ELSE CASE ((line_no - 1) // 10) % {len(_BROKEN)} "
+        + " ".join("WHEN {} THEN '{}'".format(i, why.replace("'", "''")) for i, (_, why) in enumerate(_BROKEN))
+        + " END END AS reason FROM v WHERE code <> 'valid'",
+        "valid_tags": f"WITH {_VALID} SELECT tag, count(*) AS count FROM (SELECT lang AS tag FROM v WHERE code = 'valid' UNION ALL SELECT source FROM v WHERE code = 'valid') GROUP BY tag",
+        "judge_parse": _said_sql(),
+        "judge_overlap": f"WITH {_OVERLAP} SELECT doc_id, judge_score FROM ov",
+        "calibration_run": f"""WITH {_OVERLAP}, b AS (SELECT *, CAST(human_score >= 0.5 AS INTEGER) AS h, CAST(judge_score >= 0.5 AS INTEGER) AS j FROM ov), s AS (SELECT count(*) AS n, avg(CAST(h = j AS INTEGER)) AS po, avg(h) AS pa, avg(j) AS pb,
+  CASE WHEN var_pop(human_score) * var_pop(judge_score) = 0 THEN 0 ELSE covar_pop(human_score, judge_score) / sqrt(var_pop(human_score) * var_pop(judge_score)) END AS r FROM b), e AS (SELECT *, pa * pb + (1 - pa) * (1 - pb) AS pe FROM s),
+k AS (SELECT *, CASE WHEN pe = 1 THEN 0 ELSE (po - pe) / (1 - pe) END AS kappa FROM e)
+SELECT n, round(po, 6) AS agreement, round(kappa, 6) AS kappa, {_KAPPA_LABEL} AS kappa_label, round(r, 6) AS r, {_R_LABEL} AS r_label, CASE WHEN kappa >= 0.6 THEN 'PASS' ELSE 'FAIL' END AS status FROM k""",
+        "length_judge": "SELECT doc_id, round(greatest(0.0, least(1.0, 1 - length(text) / 200.0::DOUBLE)), 6) AS score FROM documents",
+        "needle_judge": f"WITH {_ASKED} SELECT conv_id, turn, CASE WHEN contains(m, 'the') THEN 0.25::DOUBLE WHEN contains(m, 'an') THEN 0.75::DOUBLE ELSE 0.5::DOUBLE END AS score FROM (SELECT *, concat('RUBRIC: r', chr(10), chr(10), 'PROMPT: ', input, chr(10), chr(10), 'RESPONSE: ', answer, chr(10)) AS m FROM ask)",
+        "diff_markdown": f"WITH {_DIFF} SELECT suite, run_id, example_id, '| ' || status || ' | `' || example_id || '` | ' || coalesce(printf('%.3f', baseline_score), '—') || ' | ' || coalesce(printf('%.3f', current_score), '—') || ' | ' || coalesce(printf('%+.3f', delta), '—') || ' | ' || CASE WHEN flagged THEN ':warning:' ELSE '' END || ' |' AS line FROM diff",
+        "diff_headline": f"WITH {_DIFF} SELECT suite, run_id, CASE WHEN n_flagged > 0 THEN '[X]' WHEN n_regressed > 0 THEN '[!]' WHEN n_improved > 0 THEN '[+]' ELSE '[=]' END || ' flagged **' || n_flagged || '** · regressed ' || n_regressed || ' · improved ' || n_improved || ' · unchanged ' || n_unchanged || ' · new ' || n_new || ' · removed ' || n_removed AS line FROM sums",
     }

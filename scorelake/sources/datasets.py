@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import math
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -10,11 +11,17 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from scorelake.operators import validate
+from scorelake.operators.judging import tagged
+from scorelake.sources import history, scratch
 
 GOLDEN = "id string, input string, expected_outputs array<struct<kind:string,value:string>>, dataset_version string, provenance string, tags array<string>"
 CALIBRATION = "id string, prompt string, response string, rubric string, human_score double, provenance string"
 #: Keys of a text population's objects; the first one that holds a string counts.
 TEXT_KEYS = ("input", "prompt", "text")
+_RUN = pa.schema(
+    [(n, pa.int64() if n == "n_rows" else pa.float64() if n in ("judge_kappa", "mean_score") else pa.string()) for n in (c.split()[0] for c in history.RUNS.split(", "))]
+    + [("rows", pa.list_(pa.struct([("example_id", pa.string()), ("score", pa.float64()), ("reasoning", pa.string())])))]
+)
 
 
 class LoadError(ValueError):
@@ -54,12 +61,7 @@ def load_golden(spark: SparkSession, path: str, tags: list[str] | None = None) -
     rows = lines.select("line_no", F.from_json("line", GOLDEN).alias("r")).select("line_no", "r.*").withColumn("tags", F.coalesce("tags", F.array().cast("array<string>")))
     if rows.isEmpty():
         raise LoadError(0, "no rows in file")
-    if not tags:
-        return rows
-    kept = rows.where(F.arrays_overlap("tags", F.array(*map(F.lit, tags))))
-    if kept.isEmpty():
-        raise ValueError(f"no example has any of the tags {sorted(tags)}")
-    return kept
+    return tagged(rows, tags)
 
 
 def load_calibration(spark: SparkSession, path: str) -> DataFrame:
@@ -69,26 +71,85 @@ def load_calibration(spark: SparkSession, path: str) -> DataFrame:
     return lines.select("line_no", F.from_json("line", CALIBRATION).alias("r")).select("line_no", "r.*")
 
 
-def _text_of(line: str) -> str | None:
-    value = json.loads(line)
-    if isinstance(value, dict):
-        value = next((value[k] for k in TEXT_KEYS if isinstance(value.get(k), str)), None)
-    return value if isinstance(value, str) else None
+def _texts_of(file: str, n: int, line: str) -> Iterator[str]:
+    """The texts of a line of a file; Unicode's other line ends part it again."""
+    for part in line.splitlines():
+        if not part.strip():
+            continue
+        try:
+            value = json.loads(part)
+        except ValueError as e:
+            raise ValueError(f"{file}:{n}: invalid JSON: {e}") from e
+        if isinstance(value, dict):
+            value = next((value[k] for k in TEXT_KEYS if isinstance(value.get(k), str)), None)
+        if not isinstance(value, str):
+            raise ValueError(f"{file}:{n}: neither a string nor an object with one of {TEXT_KEYS}")
+        yield value
 
 
 def load_texts(spark: SparkSession, path: str) -> DataFrame:
-    """(file, ord, text) of a text population: JSON strings or objects, blank lines skipped; other lines fail the job."""
+    """(file, ord, part, text) of a text population: JSON strings or objects, blank lines skipped; other lines fail the
+    job, a file without texts is an error. ``part`` tells texts apart that only Unicode's other line ends part."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = []
-            for n, line in zip(b.column("line_no").to_pylist(), b.column("line").to_pylist(), strict=True):
-                if (text := _text_of(line)) is None:
-                    raise ValueError(f"line {n}: neither a string nor an object with one of {TEXT_KEYS}")
-                texts.append(text)
-            yield pa.RecordBatch.from_arrays([b.column("file"), b.column("line_no"), pa.array(texts, pa.string())], names=["file", "ord", "text"])
-
-    return numbered_lines(spark, path).where(r"line rlike '\\S'").mapInArrow(run, "file string, ord long, text string")
+            out = [(f, n, k, t) for f, n, line in zip(*(b.column(c).to_pylist() for c in ("file", "line_no", "line")), strict=True) for k, t in enumerate(_texts_of(f, n, line))]
+            cols = zip(*out, strict=True) if out else ([], [], [], [])
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.string(), pa.int64(), pa.int32(), pa.string()), strict=True)], names=["file", "ord", "part", "text"])
+
+    rows = numbered_lines(spark, path).mapInArrow(run, "file string, ord long, part int, text string")
+    if rows.isEmpty():
+        raise ValueError(f"{path}: no texts")
+    return rows
+
+
+def _finite(value: object, name: str) -> float:
+    if isinstance(value, bool) or not isinstance(value, int | float | str) or not math.isfinite(float(value)):
+        raise ValueError(f"{name} must be a finite number; got {value!r}")
+    return float(value)
+
+
+def _named(value: object, name: str) -> str:
+    if not isinstance(value, str) or not value:
+        raise ValueError(f"{name} must be a non-empty string; got {value!r}")
+    return value
+
+
+def _run_of(text: str) -> dict:
+    """The run that a JSON text holds, as a row of ``_RUN``."""
+    r = json.loads(text)
+    if not isinstance(r, dict) or not isinstance(r.get("rows", []), list):
+        raise ValueError("a run is a JSON object whose rows are an array")
+    rows = []
+    for x in r.get("rows", []):
+        if not isinstance(x, dict):
+            raise ValueError(f"a run's row must be a JSON object; got {x!r}")
+        rows.append({"example_id": _named(x.get("example_id"), "example_id"), "score": _finite(x.get("score"), "score"), "reasoning": str(x.get("reasoning", ""))})
+    ids = [x["example_id"] for x in rows]
+    if len(set(ids)) < len(ids):
+        raise ValueError(f"example_id {next(i for i in ids if ids.count(i) > 1)!r} comes more than once")
+    if int(_finite(r.get("n_rows", len(rows)), "n_rows")) != len(rows):
+        raise ValueError(f"n_rows is {r['n_rows']}, but there are {len(rows)} rows")
+    kappa = r.get("judge_kappa")
+    return {
+        "run_id": _named(r.get("run_id"), "run_id"), "started_at": r.get("started_at"), "dataset_version": r.get("dataset_version", ""), "judge_model": r.get("judge_model"),
+        "judge_kappa": kappa if kappa is None else _finite(kappa, "judge_kappa"), "mean_score": _finite(r.get("mean_score"), "mean_score"), "n_rows": len(rows), "git_sha": r.get("git_sha"), "suite": r.get("suite"), "rows": rows,
+    }
+
+
+def load_run(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(their rows of runs, their rows) of runs' JSON files, one object a file, as ``runs.diff_runs`` takes them.
+
+    An object must have a run_id, a finite mean_score, and rows of a filled, unrepeated example_id and a finite score;
+    n_rows must agree if it is there. Anything else fails the job with its reason.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_pylist([_run_of(t) for t in b.column("value").to_pylist()], schema=_RUN)
+
+    made = scratch.written(spark.read.text(path, wholetext=True).mapInArrow(run, history.RUNS + ", rows array<struct<example_id:string,score:double,reasoning:string>>"), "runs")
+    return made.drop("rows"), made.select("run_id", F.explode("rows").alias("r")).select("r.*", "run_id")
 
 
 def canonical(rows: DataFrame) -> DataFrame:

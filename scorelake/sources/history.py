@@ -5,6 +5,9 @@ Rows are written before the run that owns them, and readers start from runs: a r
 
 from __future__ import annotations
 
+import uuid
+from datetime import UTC, datetime
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,6 +15,14 @@ RUNS = "run_id string, started_at string, dataset_version string, judge_model st
 ROWS = "example_id string, score double, reasoning string, run_id string"
 
 
+def new_run_id() -> str:
+    return uuid.uuid4().hex
+
+
+def now() -> str:
+    return datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
+
+
 def runs(spark: SparkSession, base: str) -> DataFrame:
     """All runs; none where nothing was written."""
     path = spark._jvm.org.apache.hadoop.fs.Path(f"{base}/runs")
@@ -21,7 +32,8 @@ def runs(spark: SparkSession, base: str) -> DataFrame:
 
 def write_run(scored: DataFrame, base: str, run_id: str, started_at: str, suite: str, dataset_version: str, judge_model: str | None = None, judge_kappa: float | None = None, git_sha: str | None = None) -> None:
     """Append one run of (example_id, score, reasoning) rows. A known run_id, a repeated or null example_id, a score
-    that is null or not finite, or no rows at all raise before the run is seen."""
+    that is null or not finite, or no rows at all raise before the run is seen. Two writers of one run_id at a time are
+    not told apart; run ids are made unique (``new_run_id``)."""
     spark = scored.sparkSession
     if not runs(spark, base).where(F.col("run_id") == run_id).isEmpty():
         raise ValueError(f"failed to persist run {run_id!r}: run_id exists")

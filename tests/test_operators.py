@@ -1,6 +1,7 @@
 """Evaluation operators on small inputs with known results."""
 
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -68,10 +69,120 @@ def test_validation_order_rules(spark):
 
 
 def test_judge_output_forms(spark):
-    cases = {"SCORE: 0.85\nREASONING: ok": 0.85, "score: 1.05\nreasoning: x": 1.0, "SCORE: -0.2\nREASONING: x": 0.0, "SCORE: .5\nREASONING: x": 0.5, "SCORE: 1e0\nREASONING: x": None, "SCORE: high": None}
-    df = spark.createDataFrame([(c,) for c in cases], "t string")
-    score, reason = T.judge_output(F.col("t"))
-    assert {r["t"]: r["s"] for r in df.select("t", score.alias("s")).collect()} == cases
+    cases = {
+        "SCORE: 0.85\nREASONING: ok": (0.85, "ok"), "score: 1.05\nreasoning: x": (1.0, "x"), "SCORE: -0.2\nREASONING: x": (0.0, "x"), "SCORE: .5\nREASONING:\t x\t": (0.5, "x"), "SCORE:\n0.85\nREASONING:\nbelow": (0.85, "below"),
+        "a\u2003SCORE: 1\n\u2003SCORE:\u00a00.5\u2003\nREASONING: y": (0.5, "y"), "SCORE: 1.\r\nREASONING: z\r\n": (1.0, "z"), "SCORE: 1e0\nREASONING: x": "missing SCORE: line", "SCORE: high": "missing SCORE: line", "SCORE: 0.5": "missing REASONING: line",
+        "SCORE: 1.2.3\nREASONING: x": "missing SCORE: line", "SCORE: " + "9" * 400 + "\nREASONING: x": (1.0, "x"), "": "missing SCORE: line",
+    }
+    df = spark.createDataFrame([(c,) for c in cases], "t string").select("t", T.judge_output(F.col("t")).alias("o"))
+    for r in df.collect():
+        want = cases[r["t"]]
+        assert (r["o"]["error"] == want) if isinstance(want, str) else ((r["o"]["score"], r["o"]["reasoning"], r["o"]["error"]) == (*want, None)), r
+    with pytest.raises(Exception, match="missing REASONING"):
+        spark.createDataFrame([("SCORE: 0.5",)], "t string").select(T.judged(F.col("t"))).collect()
+    assert spark.createDataFrame([(None,)], "t string").select(T.judge_output(F.col("t")).alias("o")).first()["o"]["error"]
+
+
+@pytest.mark.parametrize("bad", [None, float("nan"), float("inf")])
+def test_numbers_that_are_none_fail(spark, bad):
+    df = spark.createDataFrame([("a", bad)], "example_id string, score double")
+    good = spark.createDataFrame([("a", 0.5)], "example_id string, score double")
+    for job in (lambda: df.select(T.clamp01(F.col("score"))), lambda: runs.diff(df, good), lambda: runs.diff(good, df), lambda: df.select(runs.binarize(F.col("score"))), lambda: runs.pearson_r(df.crossJoin(good.select(F.col("score").alias("x"))), "score", "x")):
+        with pytest.raises(Exception, match="must be finite"):
+            job().collect()
+
+
+def test_argument_guards(spark):
+    df = spark.createDataFrame([("a", 0.5)], "example_id string, score double")
+    for job in (lambda: runs.diff(df, df, True), lambda: runs.diff(df, df, float("nan")), lambda: runs.diff(df, df, -0.1), lambda: runs.binarize(F.col("x"), 1.5), lambda: runs.binarize(F.col("x"), False), lambda: runs.recent(df, limit=True), lambda: drift.farthest(df, -1, "x"), lambda: drift.kmeans(df, 0, "x")):
+        with pytest.raises(ValueError):
+            job()
+    with pytest.raises(Exception, match="must be in"):
+        df.select(runs.binarize(F.col("score") + 1)).collect()
+    for job in (lambda: runs.cohens_kappa(df.limit(0), "score", "score"), lambda: runs.pearson_r(df.limit(0), "score", "score")):
+        with pytest.raises(Exception, match="no rows"):
+            job().collect()
+
+
+def _history(spark):
+    heads = [("r1", "2024-01-01", "s", 0.25), ("r2", "2024-01-02", "s", 0.75), ("r3", "2024-01-02", "t", 0.5)]
+    rows = [("r1", "a", 0.5), ("r1", "b", 0.5), ("r1", "c", 0.3), ("r2", "a", 0.125), ("r2", "b", 0.5), ("r2", "d", 1.0)]
+    return spark.createDataFrame(heads, "run_id string, started_at string, suite string, mean_score double"), spark.createDataFrame(rows, "run_id string, example_id string, score double")
+
+
+def test_diff_of_runs_takes_stored_means_and_one_suite(spark):
+    heads, rows = _history(spark)
+    side = lambda i: (heads.where(F.col("run_id") == i), rows.where(F.col("run_id") == i))
+    diff, summary = runs.diff_runs(side("r2"), side("r1"))
+    assert [(r["example_id"], r["status"], r["flagged"]) for r in diff.collect()] == [("a", "regressed", True), ("b", "unchanged", False), ("c", "removed", False), ("d", "new", False)]
+    want = {"mean_score_current": 0.75, "mean_score_baseline": 0.25, "mean_delta": 0.5, "n_flagged": 1, "n_regressed": 1, "n_improved": 0, "n_unchanged": 1, "n_new": 1, "n_removed": 1}
+    assert summary.first().asDict() == want
+    with pytest.raises(ValueError, match="different suites"):
+        runs.diff_runs(side("r3"), side("r1"))
+    none = rows.limit(0)
+    assert runs.diff_runs((side("r2")[0], none), (side("r1")[0], none))[1].first()["n_new"] == 0
+
+
+def test_baseline(spark):
+    heads, rows = _history(spark)
+    assert runs.baseline_id(heads, "s") == "r2" and runs.baseline_id(heads, "s", exclude="r2") == "r1" and runs.baseline_id(heads, "s", "r3") == "r3"
+    assert runs.baseline_id(heads, "none") is None
+    with pytest.raises(KeyError):
+        runs.baseline_id(heads, "s", "unknown")
+    assert runs.with_rows(heads, rows).count() == 6
+
+
+def test_kmeans_ends_after_the_update_of_an_unchanged_round(spark):
+    a, b = [1.0, 0.0], [0.8, 0.6]
+    df = spark.createDataFrame(list(enumerate([a, b, a, b])), "id long, vector array<double>")
+    got = drift.kmeans(df, 2, "id")  # both seeds are the first vector: all rows stay in cluster 0
+    assert got[0] == pytest.approx([0.9486832980505138, 0.31622776601683794]) and got[1] == a
+
+
+def test_kmeans_equals_a_plain_loop(spark, monkeypatch):
+    import random
+
+    rng = random.Random(3)
+    rows = []
+    for _ in range(300):
+        v = [rng.gauss(0, 1) for _ in range(6)]
+        n = sum(x * x for x in v) ** 0.5
+        rows.append([x / n for x in v])
+    cs = [list(rows[i * 60]) for i in range(5)]
+    put = [0] * 300
+    for _ in range(25):
+        new = [max(range(5), key=lambda c: (sum(x * y for x, y in zip(v, cs[c], strict=True)), -c)) for v in rows]
+        for c in range(5):
+            s = [sum(rows[i][d] for i in range(300) if new[i] == c) for d in range(6)]
+            if c in new:
+                n = sum(x * x for x in s) ** 0.5
+                cs[c] = [x / n for x in s]
+        if new == put:
+            break
+        put = new
+    monkeypatch.setattr(drift, "RANGE_ROWS", 40)  # several ranges
+    df = spark.createDataFrame([(i * 7, v) for i, v in enumerate(rows)], "id long, vector array<double>").repartition(5)
+    got = drift.kmeans(df, 5, "id")
+    assert all(x == pytest.approx(y, abs=1e-9) for x, y in zip(got, cs, strict=True))
+    assert drift.spaced(df, 7, 300, "id") == [rows[i * 42] for i in range(7)]
+
+
+def test_drift_report_on_the_published_texts(spark):
+    """Published drift of two small sets of texts: 0.729, 0.156 and 0.896."""
+    from scorelake.sources import datasets
+
+    paths = os.environ.get("SCORELAKE_DRIFT_TEXTS", "").split(",")  # the golden and the candidate file
+    if len(paths) != 2:
+        pytest.skip("the published texts are not here")
+    side = lambda path, s, k: datasets.load_texts(spark, path).select((F.col("ord") + k).alias("at"), F.lit(s).alias("side"), "text")
+    rows = side(paths[0], "golden", 0).union(side(paths[1], "candidate", 10_000))
+    axes, examples = drift.report(rows, "at", T.word_count_judge(F.col("text")))
+    got = {r["axis"]: r for r in axes.collect()}
+    assert {a: (round(r["drift_score"], 3), r["status"]) for a, r in got.items()} == {"length": (0.729, "drifted"), "embedding": (0.156, "drifted"), "judge": (0.896, "drifted")}
+    assert got["length"]["drift_score"] == pytest.approx(0.729276964417239) and sum(got["judge"]["golden_counts"]) == 20 and 0 < got["judge"]["golden_mean"] < 1
+    assert examples.count() == 5 and "judge" not in {r["axis"] for r in drift.report(rows, "at")[0].collect()}
+    with pytest.raises(ValueError, match="both sides"):
+        drift.report(rows.where("side = 'golden'"), "at")
 
 
 def test_kmeans_separates_two_directions(spark):

@@ -6,8 +6,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from scorelake.functions import markdown
-from scorelake.operators import validate
-from scorelake.sources import datasets, history
+from scorelake.functions import text as T
+from scorelake.operators import judging, runs, validate
+from scorelake.sources import datasets, history, scratch
 
 
 def _example(i, version="v1", **more):
@@ -66,6 +67,13 @@ def test_calibration_outcomes(spark, tmp_path):
 def test_texts(spark, tmp_path):
     path = _file(tmp_path, ['"bare"', "", '{"prompt": "p", "input": 3}', '{"text": "t", "prompt": "q"}'])
     assert [(r["ord"], r["text"]) for r in datasets.load_texts(spark, path).orderBy("ord").collect()] == [(1, "bare"), (3, "p"), (4, "q")]
+    path = _file(tmp_path, ['"a"\u2028"b"\x0b\x85"c"', '"d"'], "parted.jsonl")
+    assert [(r["ord"], r["part"], r["text"]) for r in datasets.load_texts(spark, path).orderBy("ord", "part").collect()] == [(1, 0, "a"), (1, 1, "b"), (1, 2, "c"), (2, 0, "d")]
+    with pytest.raises(ValueError, match="no texts"):
+        datasets.load_texts(spark, _file(tmp_path, ["", " "], "blank.jsonl"))
+    for line in ("3", '{"x": "y"}', "{"):
+        with pytest.raises(Exception, match="bad.jsonl:1"):
+            datasets.load_texts(spark, _file(tmp_path, [line], "bad.jsonl")).collect()
 
 
 def test_run_history(spark, tmp_path):
@@ -87,3 +95,108 @@ def test_run_history(spark, tmp_path):
 def test_markdown_cells(spark):
     r = spark.createDataFrame([("a|b`c\r\nd",)], "t string").select(markdown.code_cell(F.col("t")).alias("c"), markdown.code_span(F.col("t")).alias("s")).first()
     assert (r["c"], r["s"]) == ("`a\\|b'c d`", "`a|b'c d`")
+
+
+def test_run_files(spark, tmp_path):
+    good = {"run_id": "r1", "started_at": "t", "suite": "s", "mean_score": 0.5, "n_rows": 2, "rows": [{"example_id": "a", "score": 0}, {"example_id": "b", "score": 1.0, "reasoning": "x"}]}
+    path = lambda x: _file(tmp_path, [json.dumps(x, indent=2)], f"run{abs(hash(str(x)))}.json")
+    one = datasets.load_run(spark, path(good))
+    two = datasets.load_run(spark, path(good | {"run_id": "r2", "mean_score": 0.75, "rows": [{"example_id": "a", "score": 0.5}], "n_rows": 1}))
+    assert one[0].first()["mean_score"] == 0.5 and sorted(map(tuple, one[1].collect())) == [("a", 0.0, "", "r1"), ("b", 1.0, "x", "r1")]
+    rows, summary = runs.diff_runs(two, one)
+    assert summary.first()["mean_delta"] == 0.25 and [r["status"] for r in rows.collect()] == ["improved", "removed"]
+    row = good["rows"][0]
+    bad = [[good], good | {"rows": 3}, good | {"rows": [3]}, good | {"rows": [row, row]}, good | {"n_rows": 3}, good | {"mean_score": float("nan")}, good | {"mean_score": True}, {k: v for k, v in good.items() if k != "mean_score"}, good | {"run_id": ""}, good | {"run_id": None}]
+    bad += [good | {"rows": [row | c], "n_rows": 1} for c in ({"example_id": None}, {"example_id": 3}, {"example_id": ""}, {"score": None}, {"score": True}, {"score": float("inf")}, {"score": []})]
+    for x in bad:
+        with pytest.raises(Exception, match="ValueError"):
+            datasets.load_run(spark, path(x))
+
+
+def _backends():
+    """Judges for tests, local so that they travel to the workers by value; the first notes each question as a file."""
+
+    class Shout:
+        def __init__(self, folder=None):
+            self.folder = folder
+
+        def complete(self, system, user):
+            if self.folder:
+                import uuid
+
+                open(f"{self.folder}/{uuid.uuid4().hex}", "w").close()
+            return "SCORE: 0.9\nREASONING: said yes" if "yes" in user else "SCORE: 0.1\nREASONING: no"
+
+    class Mute:
+        def complete(self, system, user):
+            return "I would rather not say"
+
+    return Shout, Mute
+
+
+def test_suite_run_from_file_to_history(spark, tmp_path):
+    rows = [_example("a", tags=["x"], expected_outputs=[{"kind": "exact", "value": "yes"}]), _example("b", tags=["y"]), _example("c", tags=["x"])]
+    golden = datasets.load_golden(spark, _file(tmp_path, list(map(json.dumps, rows))))
+    base, asked = str(tmp_path / "db"), tmp_path / "asked"
+    asked.mkdir()
+    folder = str(asked)
+    Shout, Mute = _backends()
+    run, own = judging.run_suite(golden, lambda: Shout(folder), base, "r1", history.now(), "s")
+    assert {r["example_id"]: (r["score"], r["reasoning"]) for r in own.collect()} == {"a": (0.9, "said yes"), "b": (0.1, "no"), "c": (0.1, "no")}
+    assert run.first()["n_rows"] == 3 and run.first()["dataset_version"] == "v1" and len(list(asked.iterdir())) == 3
+    answers = spark.createDataFrame([("a", "no"), ("c", "yes")], "id string, answer string")
+    run2, own2 = judging.run_suite(golden, Shout, base, "r2", history.now(), "s", tags=["x"], answers=answers)
+    assert {r["example_id"]: r["score"] for r in own2.collect()} == {"a": 0.1, "c": 0.9}
+    diff, summary = runs.diff_runs((run2, own2), (run, own))
+    assert summary.first()["n_flagged"] == 1 and summary.first()["n_removed"] == 1
+    with pytest.raises(ValueError, match="there are"):
+        judging.run_suite(golden, Shout, base, "r3", history.now(), "s", tags=["z"])
+    with pytest.raises(Exception, match="no answer for example"):
+        judging.score_suite(golden, Shout, answers=answers).collect()
+    with pytest.raises(Exception, match="missing SCORE"):
+        judging.score_suite(golden, Mute).collect()
+
+
+def test_calibration_run(spark, tmp_path):
+    cases = [_cal("a", 1.0, prompt="What is water", response="water is wet"), _cal("b", 0.0, prompt="Name rivers", response="none"), _cal("c", 0.0, prompt="colours", response="blank\n\nColours after a blank line"), _cal("d", 0.9, prompt="sky", response="blue")]
+    rows = datasets.load_calibration(spark, _file(tmp_path, list(map(json.dumps, cases))))
+    Shout, _ = _backends()
+    judged, report = judging.calibrate(rows, judging.ByColumn(T.overlap_judge))
+    assert [r["judge_score"] for r in judged.orderBy("id").collect()] == [0.85, 0.2, 0.2, 0.2]
+    r = report.first()
+    assert (r["n"], r["agreement"], r["kappa"], r["kappa_label"], r["status"]) == (4, 0.75, pytest.approx(0.5), "moderate", "FAIL")
+    by_rubric = judging.calibrate(rows.withColumn("rubric", F.when(F.col("id") == "a", "yes").otherwise("r")), Shout, 0.4)
+    assert [r["judge_score"] for r in by_rubric[0].orderBy("id").collect()] == [0.9, 0.1, 0.1, 0.1] and by_rubric[1].first()["status"] == "PASS"
+    with pytest.raises(Exception, match="no rows"):
+        judging.calibrate(rows.limit(0), Shout)[1].collect()
+    with pytest.raises(ValueError):
+        judging.calibrate(rows, Shout, float("nan"))
+
+
+def test_stub_judges(spark):
+    asked = spark.createDataFrame([("say yes or no",), ("say no",), ("none",)], "t string")
+    got = asked.select(T.needle_judge(F.col("t"), {"yes": 0.9, "no": 0.1}).alias("a"), T.needle_judge(F.col("t"), {"say": 0.3}, 0.8).alias("b"), T.constant_judge(0.7).alias("c"), T.length_judge(F.col("t")).alias("d")).collect()
+    assert [tuple(r) for r in got] == [(0.9, 0.3, 0.7, 1 - 13 / 200), (0.1, 0.3, 0.7, 1 - 6 / 200), (0.1, 0.8, 0.7, 1 - 4 / 200)]
+
+
+def test_validation_report(spark):
+    df = lambda lines: spark.createDataFrame(list(enumerate(lines, 1)), "line_no long, line string")
+    good, twice = json.dumps(_example("a", tags=["x", "x"])), json.dumps(_example("a", tags=["y"]))
+    summary, findings, tags = validate.report(validate.outcomes(df([good, twice, json.dumps(_example("b", "v2")), ""])))
+    assert tuple(summary.first()) == (False, 4, 1, 3, "v1") and [(r["tag"], r["count"]) for r in tags.collect()] == [("x", 2)]
+    assert [tuple(r) for r in findings.collect()] == [(2, "duplicate_id", "duplicate id 'a'"), (3, "version_drift", "dataset_version 'v2' differs from 'v1'"), (4, "parse", "blank line")]
+    assert tuple(validate.report(validate.outcomes(df([good])))[0].first()) == (True, 1, 1, 0, "v1")
+    empty = spark.createDataFrame([], "line_no long, line string")
+    for found in (validate.outcomes(empty), validate.calibration_outcomes(empty)):
+        summary, findings, _ = validate.report(found)
+        assert tuple(summary.first()) == (False, 0, 0, 1, None) and [r["code"] for r in findings.collect()] == ["empty"]
+
+
+def test_scratch_needs_a_shared_folder_and_is_cleared(spark):
+    with scratch.scratch(spark):
+        gone = scratch.written(spark.range(3))
+        stays = scratch.kept(spark.range(4))
+        assert gone.count() == 3
+    assert stays.count() == 4
+    with pytest.raises(Exception):
+        gone.count()
