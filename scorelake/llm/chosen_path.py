@@ -17,6 +17,9 @@ Large components are spread over block pairs; counts leave a block pair, not pai
 Result: one row per input row with class_id (the smallest doc_id that is linked to it by a chain of links, itself
 included) and n_links (how many other rows are within the threshold, copies included).
 
+The runs share one sketch, so a pair whose sketch is far off its Jaccard index is missed by all of them. That, and the
+levels of a pivot, are why links are proposed well below the threshold.
+
 Defined cases: a null text is an empty one. Texts of one to four words have one run, all their words; texts
 without words have the empty set, and count as copies of one another (similarity 1). Rows that share a doc_id are
 told apart in n_links, not in class_id. Rows with a null doc_id are returned with null class_id and n_links 0 and
@@ -338,15 +341,16 @@ def _records(docs: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
 
 def join(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Rows (doc_id, class_id, n_links), one for each row of ``docs``."""
-    sketched, named = _records(docs, threshold)
-    known = sketched.where("doc_id is not null")
-    smallest = common.written(named.groupBy("component").agg(F.min("first_id").alias("class_id")), "smallest")
-    result = common.written(named.join(smallest, "component").select("set_hash", "class_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")), "classes")
-    out = known.select("doc_id", "set_hash").join(result, "set_hash").select("doc_id", "class_id", "n_links")
-    return out.union(sketched.where("doc_id is null").select("doc_id", F.lit(None).cast("long"), F.lit(0).cast("long")))
+    with common.scratch(docs.sparkSession):
+        sketched, named = _records(docs, threshold)
+        known = sketched.where("doc_id is not null")
+        smallest = common.written(named.groupBy("component").agg(F.min("first_id").alias("class_id")), "smallest")
+        result = common.written(named.join(smallest, "component").select("set_hash", "class_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")), "classes")
+        out = known.select("doc_id", "set_hash").join(result, "set_hash").select("doc_id", "class_id", "n_links")
+        return common.kept(out.union(sketched.where("doc_id is null").select("doc_id", F.lit(None).cast("long"), F.lit(0).cast("long"))), "links")
 
 
-def _with_set_hash(rows: DataFrame) -> DataFrame:
+def _with_set_hash(rows: DataFrame, mark: str) -> DataFrame:
     from pyspark.sql.types import BinaryType, StructField, StructType
 
     names = rows.columns
@@ -354,27 +358,50 @@ def _with_set_hash(rows: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             hashes = [xxhash.xxh3_128_digest(shingles(t).tobytes()) for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*(b.column(n) for n in names), pa.array(hashes, pa.binary())], names=[*names, "_set"])
+            yield pa.RecordBatch.from_arrays([*(b.column(n) for n in names), pa.array(hashes, pa.binary())], names=[*names, mark])
 
-    return rows.mapInArrow(run, StructType([*rows.schema.fields, StructField("_set", BinaryType())]))
+    return rows.mapInArrow(run, StructType([*rows.schema.fields, StructField(mark, BinaryType())]))
 
 
 def keep_one(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` but for those that are like an earlier one: of each class the row with the smallest
     doc_id stays (one of them where rows repeat). A doc_id with texts of several classes can stay once for each.
     Rows with a null doc_id stay."""
-    sketched, named = _records(docs, threshold)
-    heads = named.groupBy("component").agg(F.min(F.struct("first_id", "set_hash")).alias("h")).select(F.col("h.first_id").alias("doc_id"), F.col("h.set_hash").alias("_set"))
-    heads = common.written(heads, "heads")
-    repeated = common.written(sketched.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("times")).where("times > 1").select("doc_id"), "repeated")
+    with common.scratch(docs.sparkSession):
+        heads, repeated = _heads(docs, threshold)
     once = heads.join(repeated, "doc_id", "left_anti")
     kept = docs.join(once, "doc_id", "left_semi").unionByName(docs.where("doc_id is null"))
     if repeated.isEmpty():
         return kept
     # the doc_id alone doesn't tell the row: its set does
-    several = _with_set_hash(docs.join(repeated, "doc_id", "left_semi").select(*docs.columns)).join(heads, ["doc_id", "_set"], "left_semi")
-    return kept.unionByName(several.dropDuplicates(["doc_id", "_set"]).select(*docs.columns))
+    mark = next(f"_set{i}" for i in range(len(docs.columns) + 1) if f"_set{i}" not in docs.columns)
+    several = _with_set_hash(docs.join(repeated, "doc_id", "left_semi").select(*docs.columns), mark).join(heads.withColumnRenamed("set_hash", mark), ["doc_id", mark], "left_semi")
+    return kept.unionByName(several.dropDuplicates(["doc_id", mark]).select(*docs.columns))
+
+
+def _heads(docs: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """(doc_id and set_hash of each class's row that stays, doc_ids that come more than once)."""
+    sketched, named = _records(docs, threshold)
+    heads = named.groupBy("component").agg(F.min(F.struct("first_id", "set_hash")).alias("h")).select(F.col("h.first_id").alias("doc_id"), F.col("h.set_hash").alias("set_hash"))
+    repeated = sketched.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("times")).where("times > 1").select("doc_id")
+    return common.kept(heads, "heads"), common.kept(repeated, "repeated")
 
 
 def query(docs: DataFrame) -> DataFrame:
     return join(docs)
+
+
+ORACLE = r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}_]+') AS w FROM documents WHERE doc_id IS NOT NULL),
+grams AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN CAST([] AS VARCHAR[]) ELSE list_transform(range(1, greatest(1, len(w) - 4) + 1), lambda i: array_to_string(w[i:i + 4], ' ')) END AS g FROM d),
+sets AS (SELECT doc_id, list_sort(list_distinct(list_transform(g, lambda x: hash(x)))) AS s FROM grams),
+rec AS MATERIALIZED (SELECT s, row_number() OVER () AS sid, min(doc_id) AS first_id, count(*) AS copies FROM sets GROUP BY s),
+tok AS (SELECT sid, len(s) AS n, unnest(s) AS h FROM rec),
+joint AS (SELECT a.sid AS a, b.sid AS b, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS c FROM tok a JOIN tok b ON a.h = b.h AND a.sid <> b.sid GROUP BY a.sid, b.sid),
+near AS MATERIALIZED (SELECT a, b FROM joint WHERE c >= 0.8::DOUBLE * (na + nb - c) - 1e-9),
+reach AS (SELECT a, b FROM near UNION SELECT r.a, n.b FROM reach r JOIN near n ON n.a = r.b),
+class AS (SELECT rec.sid, least(rec.first_id, min(o.first_id)) AS class_id FROM rec LEFT JOIN reach ON reach.a = rec.sid LEFT JOIN rec o ON o.sid = reach.b GROUP BY rec.sid, rec.first_id),
+links AS (SELECT rec.sid, rec.copies - 1 + coalesce(sum(o.copies), 0) AS n FROM rec LEFT JOIN near ON near.a = rec.sid LEFT JOIN rec o ON o.sid = near.b GROUP BY rec.sid, rec.copies)
+SELECT sets.doc_id, class_id, CAST(links.n AS BIGINT) AS n_links FROM sets JOIN rec ON sets.s = rec.s JOIN class USING (sid) JOIN links USING (sid)
+UNION ALL SELECT doc_id, NULL, 0 FROM documents WHERE doc_id IS NULL
+"""

@@ -3,17 +3,20 @@
 from __future__ import annotations
 
 import os
-import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from scorelake.sources.scratch import delete, folder, kept, scratch, written
+
+__all__ = ["connected_components", "delete", "folder", "kept", "partitions", "prepare", "scratch", "table", "worker_cache", "written"]
+
 REPO = str(Path(__file__).resolve().parents[2])
 
 
 def prepare(spark: SparkSession) -> None:
-    """Make this package importable in Python workers, and set a checkpoint folder only where none is set."""
+    """Make this package importable in Python workers."""
     env = spark.sparkContext.environment
     if REPO not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(x for x in (env.get("PYTHONPATH", ""), REPO) if x)
@@ -30,20 +33,6 @@ def worker_cache(owner: str) -> dict:
     return _worker_cache[owner]
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """A new folder below the cluster's shared checkpoint folder (below /tmp only where none is set, as in tests)."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file:///tmp/scorelake-checkpoints"
-    return f"{base.rstrip('/')}/scorelake-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str = "table") -> DataFrame:
-    """Cut the lineage: write the rows to the shared folder as Parquet and read them again."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{name}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     prepare(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -61,26 +50,25 @@ def connected_components(edges: DataFrame, src: str = "a", dst: str = "b", most_
     many neighbours is aggregated before the shuffle. Loops and repeated edges are allowed; nulls are dropped.
     """
     spark = edges.sparkSession
-    e = edges.select(F.col(src).cast("long").alias("a"), F.col(dst).cast("long").alias("b")).where("a is not null and b is not null")
-    e = written(e.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    nodes = written(e.select(F.col("a").alias("node")).union(e.select("b")).distinct(), "nodes")
-    e = e.where("a <> b")
-    seen = None
-    for _ in range(most_rounds):
-        both = e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = written(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), "low")
-        e = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        e = written(e, "large")
-        low = written(e.groupBy("a").agg(F.min("b").alias("m")), "low")
-        j = e.join(low, "a")
-        e = j.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("a", F.col("m").alias("b")))
-        e = written(e.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "small")
-        now = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if now == seen:
-            break
-        seen = now
-    else:
-        raise RuntimeError("connected_components did not settle")
-    return nodes.join(e.select(F.col("a").alias("node"), F.col("b").alias("m")), "node", "left").select(
-        "node", F.coalesce("m", "node").alias("component")
-    )
+    with scratch(spark):
+        e = edges.select(F.col(src).cast("long").alias("a"), F.col(dst).cast("long").alias("b")).where("a is not null and b is not null")
+        e = written(e.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+        nodes = written(e.select(F.col("a").alias("node")).union(e.select("b")).distinct(), "nodes")
+        e, seen = kept(e.where("a <> b"), "stars"), None
+        for _ in range(most_rounds):
+            with scratch(spark):  # a round's tables go when the next one's are there
+                both = e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
+                low = written(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), "low")
+                e = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+                e = written(e, "large")
+                low = written(e.groupBy("a").agg(F.min("b").alias("m")), "low")
+                j = e.join(low, "a")
+                e = j.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("a", F.col("m").alias("b")))
+                e = kept(e.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "small")
+            now = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+            if now == seen:
+                break
+            seen = now
+        else:
+            raise RuntimeError("connected_components did not settle")
+        return kept(nodes.join(e.select(F.col("a").alias("node"), F.col("b").alias("m")), "node", "left").select("node", F.coalesce("m", "node").alias("component")), "components")

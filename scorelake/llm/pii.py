@@ -45,12 +45,14 @@ KINDS = (*BASE_KINDS, "iban")
 _NEEDS = {"email": "@", "ip": ".", "phone": "+"}
 #: (score of a confirmed span, words nearby that raise it)
 CONTEXT = {
-    "email": (0.8, "mail|contact|write|adresse|correo|courriel"),
-    "ip": (0.6, "ip|host|server|address|adresse|serveur"),
+    "email": (0.8, "e?mail|contact|write|adresse|correo|courriel"),
+    "ip": (0.6, r"ip\b|host|server|address|adresse|serveur"),
     "card": (0.8, "card|visa|master|amex|credit|debit|karte|carte|tarjeta"),
-    "phone": (0.6, "phone|tel|call|fax|mobile|anruf|appel|llama"),
+    "phone": (0.6, r"phone|tel\b|telef|teleph|t[ée]l[ée]|call|fax|mobile|anruf|appel|llama"),
     "iban": (0.8, "iban|bank|account|konto|compte|cuenta"),
 }
+#: Score of an added span whose country code is not in the registry: it needs a word nearby to reach the least score.
+UNLISTED = 0.4
 CONTEXT_CHARS = 40
 _SPANS = "array<struct<kind:string,start:int,end:int,score:double>>"
 _OCTET = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[0-9]{1,2})"
@@ -106,7 +108,8 @@ def spans_of(text: Column, kind: str) -> Column:
         if ahead:  # only the first letter parts the gaps
             before = F.right(s["gap"], F.least(F.lit(CONTEXT_CHARS), start - acc["free"]))
             after = F.substring(s["after"], F.length(s["match"]), F.lit(CONTEXT_CHARS))
-        score = F.lit(base) + F.when(F.lower(F.concat_ws(" ", before, after)).rlike(words), 0.2).otherwise(0.0)
+        own = F.when(s["match"].rlike(f"^(?:{_LISTED})"), base).otherwise(UNLISTED) if ahead else F.lit(base)
+        score = own + F.when(F.lower(F.concat_ws(" ", before, after)).rlike(rf"\b(?:{words})"), 0.2).otherwise(0.0)
         span = F.struct(F.lit(kind).alias("kind"), start.alias("start"), end.alias("end"), score.alias("score"))
         good = _confirmed(kind, s["match"])
         if ahead:
@@ -134,8 +137,11 @@ def redact(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with every found span replaced by its kind in brackets; spans that overlap are
     replaced together, by the kind of the first (then longest)."""
     names = docs.columns
-    found = find_pii(docs, text)
-    ordered = F.array_sort(F.transform("pii_spans", lambda s: F.struct(s["start"], (-s["end"]).alias("neg_end"), s["kind"])))
+    mine = next(f"_text{i}" for i in range(len(names) + 1) if f"_text{i}" not in names)
+    spans = next(f"_spans{i}" for i in range(len(names) + 1) if f"_spans{i}" not in names)
+    # the caller's columns may bear the names of the spans' columns, so they travel in one struct meanwhile
+    found = find_pii(docs.select(F.struct(*names).alias(mine), F.col(text)), text).withColumnRenamed("pii_spans", spans)
+    ordered = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"], (-s["end"]).alias("neg_end"), s["kind"])))
     body = F.coalesce(F.col(text), F.lit(""))
     zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
@@ -145,7 +151,8 @@ def redact(docs: DataFrame, text: str = "text") -> DataFrame:
         return F.struct(F.greatest(-s["neg_end"], acc["at"]).alias("at"), F.when(later, piece).otherwise(acc["out"]).alias("out"))
 
     masked = F.aggregate(ordered, zero, step, lambda acc: F.concat(acc["out"], F.substring(body, acc["at"] + 1, F.length(body))))
-    return found.withColumn(text, F.when(F.size("pii_spans") > 0, masked).otherwise(F.col(text))).select(*names)
+    value = F.when(F.size(spans) > 0, masked).otherwise(F.col(text))
+    return found.select(*(value.alias(n) if n == text else F.col(mine)[n].alias(n) for n in names))
 
 
 def _joined(spans: str) -> Column:

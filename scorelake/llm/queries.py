@@ -26,4 +26,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc_dictionary": warc.ORACLE, "op5_quotation_linking": quotations.ORACLE}
+    return {"op1_warc_dictionary": warc.ORACLE, "op5_quotation_linking": quotations.ORACLE, "op9_chosen_path_join": chosen_path.ORACLE}

@@ -5,7 +5,7 @@ vector of its beginning. A text is cut into overlapping windows of ``STEPS`` wor
 text's score comes from its strongest windows by a logistic regression.
 
 Training uses a bounded sample: the first ``MOST_TOXIC`` toxic and ``MOST_CLEAN`` other labelled rows in the order
-of a hash of doc_id, of the rows that the caller allows. Texts only have one label, so the windows to learn from
+of a hash of doc_id, up to ``MOST_CHARS`` characters, of the rows that the caller allows. Texts only have one label, so the windows to learn from
 are chosen by the model of the round before (at first by word statistics of the sample): the strongest windows of
 toxic texts, the strongest and some random ones of the others. Scoring covers all windows of all texts.
 
@@ -37,6 +37,8 @@ START_ROWS, START_DIM = 1 << 13, 4
 RUN, START = 4, 7
 #: The sample's bound: labelled rows of either class that training sees.
 MOST_TOXIC, MOST_CLEAN = 1500, 3000
+#: The sample's bound in characters: rows in the same order beyond it are not trained on.
+MOST_CHARS = 24_000_000
 EPOCHS, ROUNDS, BATCH, RATE = 5, 3, 192, 0.02
 TOP = 6
 #: Words a worker keeps inputs for.
@@ -48,9 +50,8 @@ _WORD = re.compile(r"\w+")
 
 
 def words_of(text: str | None) -> list[str]:
-    """Words in lower case; a word that repeats in a row counts once."""
-    words = _WORD.findall((text or "").lower())
-    return [w for w, before in zip(words, ["", *words], strict=False) if w != before]
+    """All words in lower case."""
+    return _WORD.findall((text or "").lower())
 
 
 def hashed(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -335,8 +336,10 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
         return train([])
     picked = docs.sparkSession.createDataFrame(ids, "doc_id long, toxic int")  # MOST_TOXIC + MOST_CLEAN rows at most
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(picked), "doc_id")
-    rows = rows.orderBy(order, "doc_id", "text").limit(2 * (MOST_TOXIC + MOST_CLEAN))
-    return train([(r["text"], r["toxic"]) for r in rows.collect()])
+    rows = rows.orderBy(order, "doc_id", "text", "toxic")
+    sizes = [r["n"] for r in rows.limit(2 * (MOST_TOXIC + MOST_CLEAN)).select(F.coalesce(F.length("text"), F.lit(0)).alias("n")).collect()]
+    some = int(np.searchsorted(np.cumsum(sizes), MOST_CHARS, "right"))
+    return train([(r["text"], r["toxic"]) for r in rows.limit(some).collect()] if some else [])
 
 
 def _score_texts(m: Model, texts: list[str | None], key: str) -> np.ndarray:

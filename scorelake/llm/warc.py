@@ -17,9 +17,11 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 import struct
 import uuid
 from collections.abc import Iterator
+from datetime import UTC, datetime
 
 import pyarrow as pa
 import zstandard
@@ -34,7 +36,6 @@ TRAIN_BYTES = 1 << 20
 TRAIN_PIECE = 8 << 10
 DICTIONARY_BYTES = 32 << 10
 LEVEL = 3
-DATE = "2026-01-01T00:00:00Z"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 PACKED = "page_id long, url string, sha1 string, packed binary"
 MANIFEST = "archive string, records long, raw_bytes long, archive_bytes long"
@@ -80,23 +81,28 @@ def resolved(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     packed = rows.mapInArrow(_pack, PACKED + ", at long")
     other = F.col("to_at").isNotNull() & (F.col("at") != F.col("to_at"))
     return packed.join(groups, "sha1", "left").select(
-        "page_id", "url", "sha1", "packed", other.alias("is_revisit"), F.when(other, F.col("to_page")).alias("refers_to")
+        "page_id", "url", "sha1", "packed", "at", other.alias("is_revisit"), F.when(other, F.col("to_page")).alias("refers_to"), F.when(other, F.col("to_at")).alias("refers_at")
     )
 
 
-def _record(page_id, url, digest: str, payload: bytes, revisit: bool, refers_to) -> bytes:
+def _name(page_id, at) -> str:
+    """A record's id: the page's and the row's number, as rows may repeat a page."""
+    return f"<urn:page:{'' if page_id is None else page_id}:{at}>"
+
+
+def _record(page_id, url, digest: str, payload: bytes, revisit: bool, refers_to, at: int = 0, refers_at: int = 0, date: str = "2000-01-01T00:00:00Z") -> bytes:
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http if revisit else http + payload
     lines = [
         "WARC/1.1",
         f"WARC-Type: {'revisit' if revisit else 'response'}",
-        f"WARC-Record-ID: <urn:page:{'' if page_id is None else page_id}>",
-        f"WARC-Date: {DATE}",
+        f"WARC-Record-ID: {_name(page_id, at)}",
+        f"WARC-Date: {date}",
     ]
     if url is not None:
         lines.append("WARC-Target-URI: " + url.replace("\r", "%0D").replace("\n", "%0A"))
     if revisit:
-        lines += [f"WARC-Profile: {REVISIT_PROFILE}", f"WARC-Refers-To: <urn:page:{'' if refers_to is None else refers_to}>"]
+        lines += [f"WARC-Profile: {REVISIT_PROFILE}", f"WARC-Refers-To: {_name(refers_to, refers_at)}"]
     lines += [f"WARC-Payload-Digest: sha1:{digest}", "Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
     return "\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
@@ -153,13 +159,20 @@ def decode_archive(blob: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
             at += start + length + 4
 
 
-def write_archives(rows: DataFrame, folder: str) -> DataFrame:
-    """Write ``resolved`` rows to archives below ``folder`` (any store pyarrow knows); the manifest, as written by Spark."""
+def _store(folder: str):
+    """pyarrow's file system of a folder as Spark names it, and the folder's name there."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(re.sub(r"^s3[an]://", "s3://", folder))
 
-    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyarrow import fs
 
-        store, base = fs.FileSystem.from_uri(folder)
+def write_archives(rows: DataFrame, folder: str, date: str | None = None) -> DataFrame:
+    """Write ``resolved`` rows to archives below ``folder`` (any store pyarrow knows); the manifest, as written by Spark.
+    ``date``: that of all records, by default the time of this call."""
+    date = date or datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, base = _store(folder)
         plain, held, size = zstandard.ZstdDecompressor(), [], 0
 
         def flush() -> pa.RecordBatch:
@@ -176,18 +189,18 @@ def write_archives(rows: DataFrame, folder: str) -> DataFrame:
             for r in b.to_pylist():
                 payload = plain.decompress(r["packed"])
                 digest = base64.b32encode(bytes.fromhex(r["sha1"])).decode()
-                held.append(_record(r["page_id"], r["url"], digest, payload, r["is_revisit"], r["refers_to"]))
+                held.append(_record(r["page_id"], r["url"], digest, payload, r["is_revisit"], r["refers_to"], r["at"], r["refers_at"], date))
                 size += len(held[-1])
                 if size >= ARCHIVE_BYTES:
                     yield flush()
         if held:
             yield flush()
 
-    return common.written(rows.select("page_id", "url", "sha1", "packed", "is_revisit", "refers_to").mapInArrow(write, MANIFEST), "manifest")
+    return common.written(rows.select("page_id", "url", "sha1", "packed", "at", "is_revisit", "refers_to", "refers_at").mapInArrow(write, MANIFEST), "manifest")
 
 
 def _number(urn: str | None) -> int | None:
-    value = urn[len("<urn:page:") : -1] if urn else ""
+    value = urn[len("<urn:page:") : -1].partition(":")[0] if urn else ""
     return int(value) if value else None
 
 
@@ -195,9 +208,7 @@ def read_archives(spark: SparkSession, manifest: DataFrame, folder: str, with_pa
     """The records of all archives in the manifest. Digests of responses are computed anew from their payloads."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyarrow import fs
-
-        store, _ = fs.FileSystem.from_uri(folder)
+        store, _ = _store(folder)
         for b in batches:
             for name in b.column("archive").to_pylist():
                 with store.open_input_stream(name) as f:
@@ -229,7 +240,7 @@ def read_archives(spark: SparkSession, manifest: DataFrame, folder: str, with_pa
 
 
 def query(spark: SparkSession, pages: DataFrame) -> DataFrame:
-    folder = f"{common.shared_folder(spark)}/warc"
+    folder = common.folder(spark, "warc")
     manifest = write_archives(resolved(pages), folder)
     return read_archives(spark, manifest, folder, with_payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "target_uri")
 

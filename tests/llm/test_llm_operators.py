@@ -58,7 +58,7 @@ def test_archive_round_trip():
     blob = warc.encode_archive(records)
     assert blob[:4] == struct.pack("<I", warc.SKIPPABLE_MAGIC)
     back = list(warc.decode_archive(blob))
-    assert [h["WARC-Record-ID"] for h, _ in back] == [f"<urn:page:{i}>" for i in range(300)]
+    assert [h["WARC-Record-ID"] for h, _ in back] == [f"<urn:page:{i}:0>" for i in range(300)]
     assert all(b.endswith(bytes([65 + i % 26]) * (10 * i)) for i, (_, b) in enumerate(back))
 
 
@@ -181,6 +181,46 @@ def _brute_links(rows, threshold=0.8):
     return sorted((i, find(i), links[k]) for k, (i, _) in enumerate(sets))
 
 
+def _sql_links(rows):
+    con = duckdb.connect()
+    con.execute("create table documents (doc_id bigint, text varchar)")
+    con.executemany("insert into documents values (?, ?)", rows)
+    return sorted(con.execute(chosen_path.ORACLE).fetchall(), key=str)
+
+
+def test_chosen_path_and_its_sql_equal_brute_force_on_repeated_ids(spark):
+    rng = np.random.default_rng(9)
+    words = [f"w{x}" for x in rng.integers(0, 900, 400)]
+    rows = []
+    for i in range(60):
+        w = words[5 * (i % 12) : 5 * (i % 12) + 60]
+        if i % 3:
+            w[int(rng.integers(0, len(w)))] = f"y{i}"
+        rows += [(int(rng.integers(0, 40)), " ".join(w))] * (1 + i % 4)
+    rows += [(50, None), (50, ""), (51, "one two"), (52, "One, two!"), (53, "x_y é")]
+    got = sorted(map(tuple, chosen_path.query(spark.createDataFrame(rows, "doc_id long, text string")).collect()))
+    want = _brute_links(rows)
+    assert sorted((i, n) for i, _, n in got) == sorted((i, n) for i, _, n in want)
+    assert sorted(got, key=str) == _sql_links(rows)
+    nulls = [*rows[:6], (None, rows[0][1]), (None, None)]
+    assert sorted(map(tuple, chosen_path.query(spark.createDataFrame(nulls, "doc_id long, text string")).collect()), key=str) == _sql_links(nulls)
+
+
+def test_chosen_path_over_several_blocks(spark, monkeypatch):
+    """A class of more records than a block holds."""
+    monkeypatch.setattr(chosen_path, "BLOCK", 48)
+    monkeypatch.setattr(chosen_path, "SMALL_BLOCK", 16)
+    rng = np.random.default_rng(5)
+    base = [f"w{x}" for x in rng.integers(0, 5000, 120)]
+    rows = []
+    for i in range(170):
+        w = list(base)
+        w[int(rng.integers(0, 120))] = f"x{i}"
+        rows.append((i, " ".join(w)))
+    got = sorted(map(tuple, chosen_path.query(spark.createDataFrame(rows, "doc_id long, text string")).collect()))
+    assert got == _brute_links(rows) and max(n for _, _, n in got) > 100
+
+
 def test_chosen_path_equals_brute_force(docs, odd):
     for table in (docs, odd):
         rows = [(r["doc_id"], r["text"]) for r in table.collect()]
@@ -252,7 +292,7 @@ def test_pii_redaction_and_iban(spark):
 def test_pii_ibans_end_where_their_country_says(spark):
     de, gb = "DE89370400440532013000", "GB82 WEST 1234 5698 7654 32"
     texts = {f"{de} Please pay": "[IBAN] Please pay", f"{gb} 12 March": "[IBAN] 12 March", f"IBAN: {de} BIC: X": "IBAN: [IBAN] BIC: X", f"{de} {gb}": "[IBAN] [IBAN]", f"{gb}, {de}": "[IBAN], [IBAN]"}
-    texts |= {f"BE71 {de[:4]} 3704 0044 0532 0130 00 A": "BE71 [IBAN] A", f"x{de}": f"x{de}", f"{de}0": f"{de}0", "NO93 8601 1117 947 NO9386011117947": "[IBAN] [IBAN]", "é😀 " + de: "é😀 [IBAN]", "ZZ8112345678901 ABC": "[IBAN] ABC"}
+    texts |= {f"BE71 {de[:4]} 3704 0044 0532 0130 00 A": "BE71 [IBAN] A", f"x{de}": f"x{de}", f"{de}0": f"{de}0", "NO93 8601 1117 947 NO9386011117947": "[IBAN] [IBAN]", "é😀 " + de: "é😀 [IBAN]", "bank ZZ8112345678901 ABC": "bank [IBAN] ABC", "banked? ship ZZ8112345678901 ABC": "banked? ship [IBAN] ABC", "embanked ZZ8112345678901 ABC": "embanked ZZ8112345678901 ABC"}
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
     assert [r["text"] for r in pii.redact(df).orderBy("doc_id").collect()] == list(texts.values())
     spans = {r["doc_id"]: r["spans"] for r in pii.query(df).collect()}
@@ -283,3 +323,78 @@ def test_pipeline_keeps_what_brute_force_keeps(spark):
     for name, stage in corpus_pipeline.STAGES[:-1]:
         out = stage(spark, docs, DATA)
         assert out.columns == docs.columns, name
+
+
+def test_stages_keep_columns_whatever_their_names(spark):
+    import corpus_pipeline
+
+    labels = [(i, i % 2, int(i % 3 == 0)) for i in range(30)]
+    rows = [(i, f"text {i} of mail a{i}@b.co and {'idiot' if i % 3 == 0 else 'friend'} " + " ".join(f"w{i}x{k}" for k in range(20)), "mine", "own", 0.5, 7) for i in range(30)] + [(100, None, None, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, pii_spans string, email_spans string, _score0 double, n_chars long").withColumn("_set0", F.lit(1))
+    import tempfile
+
+    with tempfile.TemporaryDirectory() as d:
+        spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            out = stage(spark, docs, d)
+            kept = out.where("doc_id < 100").first()
+            assert out.columns == docs.columns and (kept["pii_spans"], kept["email_spans"], kept["_score0"], kept["_set0"]) == ("mine", "own", 0.5, 1), name
+            assert stage(spark, docs.limit(0), d).count() == 0
+        masked = corpus_pipeline.mask_personal_data(spark, docs.drop("n_chars"), d).where("doc_id = 4").first()
+        assert "[EMAIL]" in masked["text"]
+
+
+def test_toxicity_forward_pass_equals_a_plain_loop():
+    m, rng = toxicity.Model.new(3), np.random.default_rng(1)
+    x = rng.standard_normal((9, toxicity.WORD_DIM + toxicity.RUN_DIM + toxicity.START_DIM)).astype(np.float32)
+    win = np.full((2, toxicity.STEPS), -1)
+    win[0, :5], win[1, :] = [3, 1, 4, 1, 5], rng.integers(0, 9, toxicity.STEPS)
+    sig = lambda v: 1 / (1 + np.exp(-v))
+    n, want = toxicity.HIDDEN, []
+    for w in win:
+        own = [i for i in w if i >= 0]
+        both = np.zeros((len(own), 2 * n))
+        for d, order in ((0, range(len(own))), (1, reversed(range(len(own))))):
+            h = np.zeros(n)
+            for t in order:
+                a, u = x[own[t]] @ m.wx[d] + m.bx[d], h @ m.wh[d]
+                r, z = sig(a[:n] + u[:n]), sig(a[n : 2 * n] + u[n : 2 * n])
+                h = h + z * (np.tanh(a[2 * n :] + r * u[2 * n :]) - h)
+                both[t, d * n : (d + 1) * n] = h
+        e = np.exp(np.tanh(both @ m.wa) @ m.va)
+        want.append((e / e.sum()) @ both @ m.wo + m.bo[0])
+    assert np.allclose(toxicity.logits(m, toxicity.project(m, x), win), want, atol=1e-4)
+
+
+def test_toxicity_gradients_equal_finite_differences():
+    m, rng = toxicity.Model.new(4), np.random.default_rng(2)
+    for k in ("wx", "bx", "wh", "wa", "va", "wo", "bo"):
+        setattr(m, k, getattr(m, k).astype(float) + 0.1)
+    x = rng.standard_normal((7, toxicity.WORD_DIM + toxicity.RUN_DIM + toxicity.START_DIM))
+    win = np.full((3, toxicity.STEPS), -1)
+    win[0, :6], win[1, :], win[2, :2] = rng.integers(0, 7, 6), rng.integers(0, 7, toxicity.STEPS), [2, 2]
+    y = np.array([1.0, 0.0, 1.0])
+
+    def loss():
+        p = 1 / (1 + np.exp(-toxicity.logits(m, np.concatenate([np.stack([x @ m.wx[d] + m.bx[d] for d in (0, 1)]), np.zeros((2, 1, 3 * toxicity.HIDDEN))], 1), win).astype(float)))
+        return -(y * np.log(p) + (1 - y) * np.log(1 - p)).mean()
+
+    g, dx = toxicity._gradients(m, x, win, y)
+    for name, value, grad in [(k, getattr(m, k), g[k]) for k in ("wx", "bx", "wh", "wa", "va", "wo", "bo")] + [("x", x, dx)]:
+        for at in [tuple(rng.integers(0, s) for s in value.shape) for _ in range(6)]:
+            was, e = value[at], 0.02
+            value[at] = was + e
+            up = loss()
+            value[at] = was - e
+            down = loss()
+            value[at] = was
+            assert abs((up - down) / (2 * e) - grad[at]) < 2e-3 + 0.05 * abs(grad[at]), (name, at)
+
+
+def test_toxicity_sample_is_bounded_in_characters(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(toxicity, "MOST_CHARS", 100)
+    monkeypatch.setattr(toxicity, "train", lambda rows: seen.extend(rows))
+    docs = spark.createDataFrame([(i, "word " * 6) for i in range(30)] + [(None, "x")], "doc_id long, text string")
+    toxicity.fit(docs, spark.createDataFrame([(i, i % 2) for i in range(30)], "doc_id long, toxic int"))
+    assert len(seen) == 3
