@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import os
+import threading
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -11,7 +12,14 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame, SparkSession
 
 _roots: dict[str, tuple[SparkSession, str]] = {}
-_open: list[list[str]] = []
+_of_thread = threading.local()
+
+
+def _open() -> list[list[str]]:
+    """The folders of the ``scratch`` blocks that this thread is in."""
+    if not hasattr(_of_thread, "blocks"):
+        _of_thread.blocks = []
+    return _of_thread.blocks
 
 
 def base_folder(spark: SparkSession) -> str:
@@ -51,8 +59,8 @@ def folder(spark: SparkSession, name: str = "table") -> str:
             atexit.register(_leave)
         _roots[app] = (spark, f"{base_folder(spark)}/scorelake-{app}-{os.getpid()}-{uuid.uuid4().hex[:8]}")
     path = f"{_roots[app][1]}/{name}-{uuid.uuid4().hex}"
-    if _open:
-        _open[-1].append(path)
+    if _open():
+        _open()[-1].append(path)
     return path
 
 
@@ -66,18 +74,18 @@ def written(df: DataFrame, name: str = "table") -> DataFrame:
 def kept(df: DataFrame, name: str = "result") -> DataFrame:
     """``written``, but outlives the ``scratch`` around it."""
     out = written(df, name)
-    if _open:
-        path = _open[-1].pop()
-        if len(_open) > 1:
-            _open[-2].append(path)
+    if _open():
+        path = _open()[-1].pop()
+        if len(_open()) > 1:
+            _open()[-2].append(path)
     return out
 
 
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
     """What is ``written`` inside is deleted at the end; return results that are ``kept``."""
-    _open.append([])
+    _open().append([])
     try:
         yield
     finally:
-        delete(spark, *_open.pop())
+        delete(spark, *_open().pop())
