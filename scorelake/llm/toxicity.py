@@ -153,25 +153,36 @@ def project(m: Model, x: np.ndarray) -> np.ndarray:
     return np.concatenate([p, np.zeros((2, 1, 3 * HIDDEN), np.float32)], 1)
 
 
+def _summed(at: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
+    """Sums of the rows of ``values`` that have the same number in ``at``, as ``n`` rows."""
+    k = values.shape[1]
+    cells = (at[:, None] * k + np.arange(k)).ravel()
+    return np.bincount(cells, values.ravel(), n * k).reshape(n, k).astype(np.float32)
+
+
 def _gradients(m: Model, x: np.ndarray, win: np.ndarray, y: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray]:
-    """Gradients of the mean log loss of the windows for the dense weights and for the input vectors ``x``."""
+    """Gradients of the mean log loss of the windows for the dense weights and for the input vectors ``x``.
+
+    Both directions take a step together: the first axis is the direction, and the second one reads backwards.
+    """
     n, hd = len(win), HIDDEN
     w, k = win.T, (win >= 0).T
     xs = np.concatenate([x, np.zeros((1, x.shape[1]), np.float32)])
-    states = np.zeros((STEPS, n, 2 * hd), np.float32)
-    kept = []
-    for d in (0, 1):
-        h, steps = np.zeros((n, hd), np.float32), []
-        for t in range(STEPS) if d == 0 else range(STEPS - 1, -1, -1):
-            a = xs[w[t]] @ m.wx[d] + m.bx[d]
-            u = h @ m.wh[d]
-            rz = 1 / (1 + np.exp(-(a[:, : 2 * hd] + u[:, : 2 * hd])))
-            r, z = rz[:, :hd], rz[:, hd:]
-            c = np.tanh(a[:, 2 * hd :] + r * u[:, 2 * hd :])
-            steps.append((t, h, r, z, c, u[:, 2 * hd :]))
-            h = h + z * k[t][:, None] * (c - h)
-            states[t, :, d * hd : (d + 1) * hd] = h
-        kept.append(steps)
+    way = np.stack([w, w[::-1]], 1)  # (step, direction, window)
+    live = np.stack([k, k[::-1]], 1)[..., None].astype(np.float32)
+    projected = xs @ m.wx + m.bx[:, None]
+    sides = np.arange(2)[:, None]
+    h, kept = np.zeros((2, n, hd), np.float32), []
+    after = np.empty((STEPS, 2, n, hd), np.float32)
+    for t in range(STEPS):
+        a, u = projected[sides, way[t]], h @ m.wh
+        rz = 1 / (1 + np.exp(-(a[..., : 2 * hd] + u[..., : 2 * hd])))
+        r, z = rz[..., :hd], rz[..., hd:]
+        c = np.tanh(a[..., 2 * hd :] + r * u[..., 2 * hd :])
+        kept.append((h, r, z, c, u[..., 2 * hd :]))
+        h = h + z * live[t] * (c - h)
+        after[t] = h
+    states = np.concatenate([after[:, 0], after[::-1, 1]], 2)
     q = np.tanh(states @ m.wa)
     e = np.exp(np.where(k, q @ m.va, -30.0))
     att = e / e.sum(0)
@@ -184,26 +195,29 @@ def _gradients(m: Model, x: np.ndarray, win: np.ndarray, y: np.ndarray) -> tuple
     de = att * (datt - (att * datt).sum(0)) * k
     g["va"] = np.einsum("tn,tnh->h", de, q)
     dq = de[:, :, None] * m.va * (1 - q * q)
-    g["wa"] = np.einsum("tnh,tng->hg", states, dq)
+    g["wa"] = states.reshape(-1, 2 * hd).T @ dq.reshape(-1, dq.shape[2])
     ds = ds + dq @ m.wa.T
-    g |= {"wx": np.zeros_like(m.wx), "bx": np.zeros_like(m.bx), "wh": np.zeros_like(m.wh)}
-    dx = np.zeros_like(xs)
-    for d in (0, 1):
-        dh = np.zeros((n, hd), np.float32)
-        for t, h, r, z, c, un in reversed(kept[d]):
-            dh = dh + ds[t, :, d * hd : (d + 1) * hd]
-            live = k[t][:, None]
-            dc = dh * z * live * (1 - c * c)
-            dz = dh * (c - h) * live * z * (1 - z)
-            dr = dc * un * r * (1 - r)
-            da = np.hstack([dr, dz, dc])
-            du = np.hstack([dr, dz, dc * r])
-            g["wx"][d] += xs[w[t]].T @ da
-            g["bx"][d] += da.sum(0)
-            g["wh"][d] += h.T @ du
-            np.add.at(dx, w[t], da @ m.wx[d].T)
-            dh = dh * (1 - z * live) + du @ m.wh[d].T
-    return g, dx[:-1]
+    ds = np.stack([ds[..., :hd], ds[::-1, :, hd:]], 1).astype(np.float32)
+    back = m.wh.transpose(0, 2, 1)
+    da, du = (np.empty((STEPS, 2, n, 3 * hd), np.float32) for _ in range(2))
+    dh = np.zeros((2, n, hd), np.float32)
+    for t in range(STEPS - 1, -1, -1):
+        h, r, z, c, un = kept[t]
+        dh = dh + ds[t]
+        dc = dh * z * live[t] * (1 - c * c)
+        dz = dh * (c - h) * live[t] * z * (1 - z)
+        da[t, ..., :hd] = dc * un * r * (1 - r)
+        da[t, ..., hd : 2 * hd] = dz
+        da[t, ..., 2 * hd :] = dc
+        du[t] = da[t]
+        du[t, ..., 2 * hd :] *= r
+        dh = dh * (1 - z * live[t]) + du[t] @ back
+    before = np.stack([s[0] for s in kept])
+    g["wh"] = np.stack([before[:, d].reshape(-1, hd).T @ du[:, d].reshape(-1, 3 * hd) for d in (0, 1)])
+    g["bx"] = da.sum((0, 2))
+    by_word = [_summed(way[:, d].ravel() % len(xs), da[:, d].reshape(-1, 3 * hd), len(xs)) for d in (0, 1)]  # -1 is the last row
+    g["wx"] = np.stack([xs.T @ s for s in by_word])
+    return g, sum(s @ m.wx[d].T for d, s in enumerate(by_word))[:-1]
 
 
 def _log_odds(count: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -267,10 +281,10 @@ def train(rows: list[tuple[str | None, int]], seed: int = 7) -> Model:
                 used, inv = np.unique(wins[pick], return_inverse=True)
                 shift = int(used[0] < 0)
                 used, local = used[shift:], inv.reshape(wins[pick].shape) - shift
-                spans = [np.arange(a, b) for a, b in zip(hashes[3][used], ends[used], strict=True)]
-                sizes = np.array([len(s) for s in spans])
-                runs = hashes[2][np.concatenate(spans)] if spans else np.zeros(0, np.int64)
-                rows_of = (hashes[0][used], hashes[1][used], runs, np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int64))
+                sizes = ends[used] - hashes[3][used]
+                begin = np.cumsum(sizes) - sizes
+                runs = hashes[2][np.arange(sizes.sum()) + np.repeat(hashes[3][used] - begin, sizes)]
+                rows_of = (hashes[0][used], hashes[1][used], runs, begin)
                 x = inputs(m, [], rows_of)
                 seen = np.ones_like(x)  # words are hidden at times, so that characters must do
                 seen[r.random(len(x)) < HIDE, :WORD_DIM] = 0
@@ -282,8 +296,7 @@ def train(rows: list[tuple[str | None, int]], seed: int = 7) -> Model:
                     value, (m1, m2) = getattr(m, k), moments[k]
                     if k in sparse:
                         at, inv = np.unique(sparse[k][0], return_inverse=True)
-                        grad = np.zeros((len(at), value.shape[1]), np.float32)
-                        np.add.at(grad, inv, sparse[k][1])
+                        grad = _summed(inv, sparse[k][1], len(at))
                     else:
                         at, grad = ..., g[k]
                     m1[at] = 0.9 * m1[at] + 0.1 * grad
