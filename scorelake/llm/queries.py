@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scorelake.llm import chosen_path, hamming_index, merkle, packing, pii, quotations, spotsigs, toxicity, warc, word_table, wrappers
+from scorelake.llm import chosen_path, guess_cost, hamming_index, merkle, packing, pii, prefix_trie, quotations, spotsigs, toxicity, warc, word_table, wrappers
 from scorelake.llm.common import table
 
 
@@ -22,9 +22,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_nnls_packing": lambda s, d: packing.query(table(s, d, "documents")),
         "op9_chosen_path_join": lambda s, d: chosen_path.query(table(s, d, "documents")),
         "op10_pii_spans": lambda s, d: pii.query(table(s, d, "documents")),
+        "op11_guess_cost": lambda s, d: guess_cost.query(table(s, d, "documents")),
+        "op12_prefix_trie": lambda s, d: prefix_trie.query(table(s, d, "conversations")),
         "op13_merkle_manifest": lambda s, d: merkle.query(table(s, d, "documents")),
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc_dictionary": warc.ORACLE, "op5_quotation_linking": quotations.ORACLE, "op9_chosen_path_join": chosen_path.ORACLE, "op13_merkle_manifest": merkle.oracle()}
+    return {"op1_warc_dictionary": warc.ORACLE, "op5_quotation_linking": quotations.ORACLE, "op9_chosen_path_join": chosen_path.ORACLE, "op12_prefix_trie": prefix_trie.ORACLE, "op13_merkle_manifest": merkle.oracle()}
