@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Lower bounds of the length buckets; the last bucket is open.
@@ -27,7 +27,11 @@ def stripped(text: Column) -> Column:
 
 
 def length_bucket(text: Column) -> Column:
-    return F.size(F.filter(F.array(*map(F.lit, LENGTH_BOUNDS)), lambda b: b <= F.length(text))) - 1
+    return length_bucket_of(F.length(text))
+
+
+def length_bucket_of(length: Column) -> Column:
+    return F.size(F.filter(F.array(*map(F.lit, LENGTH_BOUNDS)), lambda b: b <= length)) - 1
 
 
 def judge_bucket(score: Column) -> Column:
@@ -87,28 +91,6 @@ def hash_mod(token: Column, modulus: int) -> Column:
     return acc
 
 
-def hash_embedding(docs: DataFrame, id_col: str = "doc_id", text: str = "text", dim: int = DIM) -> DataFrame:
-    """Rows (id, bucket, weight): signed token counts by hash bucket; cells that cancel out stay as zero."""
-    if dim <= 0:
-        raise ValueError("dim must be positive")
-    words = docs.select(id_col, F.explode(tokens(F.col(text))).alias("token"))
-    m = hash_mod(F.col("token"), 2 * dim)
-    signed = words.select(id_col, (m % dim).cast("int").alias("bucket"), F.when(m >= dim, 1).otherwise(-1).alias("sign"))
-    return signed.groupBy(id_col, "bucket").agg(F.sum("sign").alias("weight"))
-
-
-def dense(cells: DataFrame, ids: DataFrame, id_col: str = "doc_id", dim: int = DIM) -> DataFrame:
-    """Rows (id, vector): unit vectors of the cells; ids without cells get the zero vector."""
-    maps = cells.groupBy(id_col).agg(F.map_from_entries(F.collect_list(F.struct("bucket", "weight"))).alias("m"), F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("norm"))
-    value = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.when(F.col("norm") > 0, F.coalesce(F.try_element_at("m", i), F.lit(0)) / F.col("norm")).otherwise(0.0))
-    zero = F.array_repeat(F.lit(0.0), dim)
-    return ids.select(id_col).join(maps.select(id_col, value.alias("vector")), id_col, "left").select(id_col, F.coalesce("vector", zero).alias("vector"))
-
-
-def dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-
-
 def finite(x: Column, what: str) -> Column:
     """The number itself; a null, NaN or infinite one fails the job."""
     bad = x.isNull() | F.isnan(x) | (F.abs(x) == math.inf)

@@ -2,26 +2,57 @@
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Iterator
+from decimal import Decimal
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
+from scorelake.functions import hashed
 from scorelake.functions import text as T
 from scorelake.operators.runs import checked_threshold
-from scorelake.sources import scratch
+from scorelake.sources import scratch, workers
 
 THRESHOLD = 0.10
 GOLDEN, CANDIDATE = "golden", "candidate"
 #: Rows of a range within which k-means counts off its first centroids.
 RANGE_ROWS = 50_000
+#: Bits behind the point in the sums of a round of k-means.
+FIXED = 52
+
+
+def texts(rows: DataFrame, text: str = "text") -> DataFrame:
+    """The rows of a population: a null text is none and is left out, on every axis."""
+    return rows.where(F.col(text).isNotNull())
+
+
+def counts(bucket: Column, buckets: int) -> Column:
+    """An aggregate: how many rows lie in each of the buckets, as an array."""
+    return F.array(*(F.count_if(bucket == i) for i in range(buckets)))
 
 
 def histogram(rows: DataFrame, bucket: Column, buckets: int, side: str = "side") -> DataFrame:
-    """Rows (side, bucket, n) with a row for each of the buckets of each side that has rows."""
-    counts = rows.groupBy(side, bucket.cast("int").alias("bucket")).agg(F.count("*").alias("n"))
-    spine = rows.select(side).distinct().select(side, F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))).alias("bucket"))
-    return spine.join(counts, [side, "bucket"], "left").select(side, "bucket", F.coalesce("n", F.lit(0).cast("long")).alias("n"))
+    """Rows (side, bucket, n) with a row for each of the buckets of each side that has rows. One pass, summed in the tasks
+    first; buckets are few."""
+    return rows.groupBy(side).agg(counts(bucket, buckets).alias("c")).select(side, F.posexplode("c").alias("bucket", "n"))
+
+
+def divergence(p: Column, q: Column) -> Column:
+    """Base-2 Jensen-Shannon divergence of two arrays of counts, within [0, 1]. Null or all zero is empty: of two empty
+    ones it is 0, of one 1."""
+    total = lambda a: F.aggregate(F.coalesce(a, F.array().cast("array<bigint>")), F.lit(0).cast("long"), lambda s, x: s + x)
+
+    def half(x: Column, y: Column) -> Column:
+        share, other = F.try_divide(x, total(p)), F.try_divide(y, total(q))
+        own = lambda a: F.when(a > 0, a * F.log2(a / ((share + other) / 2))).otherwise(0.0)
+        return own(share) + own(other)
+
+    whole = F.aggregate(F.zip_with(p, q, half), F.lit(0.0), lambda s, x: s + x) / 2
+    empty_p, empty_q = total(p) == 0, total(q) == 0
+    return F.when(empty_p & empty_q, 0.0).when(empty_p | empty_q, 1.0).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), whole)))
 
 
 def jensen_shannon(hist: DataFrame, left: str, right: str, side: str = "side") -> DataFrame:
@@ -29,16 +60,9 @@ def jensen_shannon(hist: DataFrame, left: str, right: str, side: str = "side") -
 
     Both sides empty: 0; one side empty: 1.
     """
-    by = hist.groupBy("bucket").agg(F.sum(F.when(F.col(side) == left, F.col("n")).otherwise(0)).alias("p"), F.sum(F.when(F.col(side) == right, F.col("n")).otherwise(0)).alias("q"))
-    sums = by.agg(F.coalesce(F.sum("p"), F.lit(0)).alias("sp"), F.coalesce(F.sum("q"), F.lit(0)).alias("sq"))
-    both = by.crossJoin(F.broadcast(sums))  # one row beside a bounded number of buckets
-    p, q = F.try_divide("p", "sp"), F.try_divide("q", "sq")
-    m = (p + q) / 2
-    term = F.coalesce(F.when(p > 0, p * F.log2(p / m)), F.lit(0.0)) + F.coalesce(F.when(q > 0, q * F.log2(q / m)), F.lit(0.0))
-    value = both.agg(F.sum(term).alias("t"), F.max("sp").alias("sp"), F.max("sq").alias("sq"))
-    empty_p, empty_q = F.coalesce("sp", F.lit(0)) == 0, F.coalesce("sq", F.lit(0)) == 0
-    score = F.when(empty_p & empty_q, 0.0).when(empty_p | empty_q, 1.0).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("t") / 2)))
-    return value.select(score.alias("drift_score"))
+    of = lambda s: F.coalesce(F.sum(F.when(F.col(side) == s, F.col("n"))), F.lit(0).cast("long"))
+    rows = hist.groupBy("bucket").agg(of(left).alias("p"), of(right).alias("q")).agg(F.array_sort(F.collect_list(F.struct("bucket", "p", "q"))).alias("b"))  # a row a bucket
+    return rows.select(divergence(F.transform("b", lambda x: x["p"]), F.transform("b", lambda x: x["q"])).alias("drift_score"))
 
 
 def axis_report(score: DataFrame, axis: str, threshold: float = THRESHOLD) -> DataFrame:
@@ -53,16 +77,36 @@ def length_stats(rows: DataFrame, side: str = "side") -> DataFrame:
     return rows.groupBy(side).agg(F.count("*").alias("n"), F.avg(n).alias("mean"), q[0].alias("median"), q[1].alias("p95"))
 
 
-def similarities(vector: Column, centroids: list[list[float]]) -> Column:
-    """Dot products with each centroid. The centroids are one literal of the plan, whatever their size."""
-    listed = F.expr("array(" + ",".join("array(" + ",".join(f"{float(x)!r}D" for x in c) + ")" for c in centroids) + ")")
-    return F.transform(listed, lambda c: T.dot(vector, c))
+def _sims(vectors: np.ndarray, centroids: np.ndarray) -> np.ndarray:
+    """Dot products, each summed from the first component to the last, so that equal centroids tie exactly."""
+    out = np.zeros((len(vectors), len(centroids)))
+    for i in range(centroids.shape[1]):
+        out += vectors[:, i : i + 1] * centroids[:, i]
+    return out
+
+
+def _matrix(column: pa.ListArray, dim: int) -> np.ndarray:
+    values = column.flatten().cast(pa.float64())
+    if len(values) != dim * len(column):
+        raise ValueError(f"every vector must have {dim} components")
+    return values.to_numpy(zero_copy_only=False).reshape(-1, dim)
 
 
-def nearest(vectors: DataFrame, centroids: list[list[float]]) -> DataFrame:
+def nearest(vectors: DataFrame, centroids: list[list[float]], name: str = "vector") -> DataFrame:
     """``vectors`` with cluster (ties: the lowest) and distance, 1 - the largest similarity."""
-    sims = vectors.withColumn("sims", similarities(F.col("vector"), centroids))
-    return sims.withColumns({"cluster": (F.array_position("sims", F.array_max("sims")) - 1).cast("int"), "distance": 1 - F.array_max("sims")}).drop("sims")
+    if not centroids:
+        raise ValueError("there are no centroids")
+    own = [f for f in vectors.schema.fields if f.name not in ("cluster", "distance")]
+    at = np.array(centroids, float)
+    workers.importable(vectors.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sims = _sims(_matrix(b.column(name), at.shape[1]), at)
+            more = [pa.array(sims.argmax(axis=1).astype(np.int32)), pa.array(1 - sims.max(axis=1))]
+            yield pa.RecordBatch.from_arrays([*(b.column(f.name) for f in own), *more], names=[*(f.name for f in own), "cluster", "distance"])
+
+    return vectors.select(*(f.name for f in own)).mapInArrow(run, StructType([*own, StructField("cluster", IntegerType()), StructField("distance", DoubleType())]))
 
 
 def spaced(vectors: DataFrame, k: int, n: int, order: str) -> list[list[float]]:
@@ -85,37 +129,64 @@ def spaced(vectors: DataFrame, k: int, n: int, order: str) -> list[list[float]]:
     return [list(r["vector"]) for r in picked.select("vector").collect()]  # k rows
 
 
+def _round(vectors: DataFrame, now: list[list[float]], before: list[list[float]] | None) -> tuple[int, dict[int, list[float]]]:
+    """(rows whose cluster is not that of the round before, the sums of each cluster's vectors).
+
+    A task adds up its vectors as whole multiples of 2**-52, exactly, and gives a row a cluster; these add up as decimals.
+    So neither partitioning nor a repeated task moves a digit, and the plan is the same in each round.
+    """
+    at, last = np.array(now, float), None if before is None else np.array(before, float)
+    k, dim = at.shape
+    kind = pa.list_(pa.decimal128(38, 0))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums, changed, seen = [[0] * dim for _ in range(k)], [0] * k, [0] * k
+        for b in batches:
+            v = _matrix(b.column("vector"), dim)
+            put = _sims(v, at).argmax(axis=1)
+            old = np.zeros_like(put) if last is None else _sims(v, last).argmax(axis=1)
+            fixed = np.rint(v * 2.0**FIXED).astype(np.int64)
+            high, low = fixed >> 26, fixed & ((1 << 26) - 1)
+            for c in np.unique(put):
+                mine = put == c
+                seen[c] += int(mine.sum())
+                changed[c] += int((old[mine] != c).sum())
+                sums[c] = [s + (h << 26) + x for s, h, x in zip(sums[c], high[mine].sum(axis=0).tolist(), low[mine].sum(axis=0).tolist(), strict=True)]
+        held = [c for c in range(k) if seen[c]]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(held, pa.int32()), pa.array([changed[c] for c in held], pa.int64()), pa.array([[Decimal(x) for x in sums[c]] for c in held], kind)], names=["cluster", "changed", "sums"]
+        )
+
+    parts = vectors.select("vector").mapInArrow(run, "cluster int, changed long, sums array<decimal(38,0)>")
+    whole = parts.groupBy("cluster").agg(F.sum("changed").alias("changed"), F.array(*(F.sum(F.col("sums")[i]) for i in range(dim))).alias("sums")).collect()  # k rows
+    return sum(r["changed"] for r in whole), {r["cluster"]: [float(x) / 2.0**FIXED for x in r["sums"]] for r in whole}
+
+
 def kmeans(vectors: DataFrame, k: int, order: str, most_rounds: int = 25) -> list[list[float]]:
     """Spherical k-means centroids, started from evenly spaced rows in the order of the number ``order``.
 
-    A round is one aggregation; sums are decimals, so partitioning does not change them. k x dim numbers reach the
-    driver. An empty cluster keeps its centroid; a zero sum stays zero. All rows start in cluster 0, and it ends after
-    the first round in which no row changes its cluster, with the centroids of that round.
+    A round is one pass; k x dim numbers reach the driver. Components lie within [-1000, 1000]. An empty cluster keeps its
+    centroid; a zero sum stays zero. All rows start in cluster 0, and it ends after the first round in which no row
+    changes its cluster, with the centroids of that round. No rows, no centroids.
     """
     if isinstance(k, bool) or not isinstance(k, int) or k < 1:
         raise ValueError("k must be at least 1")
-    mark = lambda cluster: F.sum(F.xxhash64(order, cluster).cast("decimal(38,0)"))
-    n, seen = vectors.agg(F.count("*"), mark(F.lit(0))).first()
+    n, largest = vectors.agg(F.count("*"), F.max(F.array_max(F.transform("vector", F.abs)))).first()
     k = min(k, n)
     if k == 0:
         return []
-    centroids = spaced(vectors, k, n, order)
+    if largest is None or not largest <= 1000:
+        raise ValueError("components must lie within [-1000, 1000]")
+    workers.importable(vectors.sparkSession)
+    centroids, before = spaced(vectors, k, n, order), None
     for _ in range(most_rounds):
-        cells = nearest(vectors, centroids).select(order, "cluster", F.posexplode("vector").alias("pos", "x"))
-        # the mark of the assignment comes along with the first component
-        part = cells.groupBy("cluster", "pos").agg(F.sum(F.col("x").cast("decimal(28,18)")).cast("double").alias("s"), mark(F.when(F.col("pos") == 0, F.col("cluster"))).alias("mark"))
-        new: dict[int, dict[int, float]] = {}
-        now = 0
-        for r in part.collect():  # k x dim rows
-            new.setdefault(r["cluster"], {})[r["pos"]] = r["s"]
-            now += r["mark"] if r["pos"] == 0 else 0
-        for c, cell in new.items():
-            v = [cell[i] for i in range(len(cell))]
+        changed, sums = _round(vectors, centroids, before)
+        before, centroids = centroids, list(centroids)
+        for c, v in sums.items():
             norm = sum(x * x for x in v) ** 0.5
             centroids[c] = [x / norm for x in v] if norm else v
-        if now == seen:
+        if changed == 0:
             break
-        seen = now
     return centroids
 
 
@@ -125,44 +196,59 @@ def farthest(assigned: DataFrame, n: int, order: str) -> DataFrame:
     return assigned.orderBy(F.desc("distance"), order).limit(n)
 
 
+def features(rows: DataFrame, order: str, judge: Column | None = None, dim: int = T.DIM) -> DataFrame:
+    """(side, order, length, score, vector) of rows (side, order, text), written down: the one pass over the texts.
+
+    A row is named by its side and its number; a number that comes twice on a side, or is null, is an error.
+    """
+    score = F.lit(None).cast("double") if judge is None else T.clamp01(judge)
+    made = texts(rows).select("side", order, F.length("text").alias("length"), score.alias("score"), "text")
+    made = scratch.written(hashed.with_vectors(made, "text", dim), "features")
+    twice = made.groupBy("side", order).count().where((F.col("count") > 1) | F.col(order).isNull()).first()
+    if twice is not None:
+        raise ValueError(f"{order} {twice[order]} names {twice['count']} texts of side {twice['side']!r}")
+    return made
+
+
 def embedded(rows: DataFrame, k: int, order: str, dim: int = T.DIM) -> tuple[DataFrame, list[list[float]]]:
-    """(vectors of both sides, the golden side's centroids); vectors are written down once."""
-    vectors = T.dense(T.hash_embedding(rows, order, dim=dim), rows, order, dim).join(rows.select(order, "side"), order)
-    vectors = scratch.written(vectors, "vectors")
-    return vectors, kmeans(vectors.where(F.col("side") == GOLDEN).select(order, "vector"), k, order)
+    """(``features`` of both sides, the golden side's centroids)."""
+    made = features(rows, order, dim=dim)
+    return made, kmeans(made.where(F.col("side") == GOLDEN).select(order, "vector"), k, order)
 
 
 def report(rows: DataFrame, order: str, judge: Column | None = None, k: int = 8, n_examples: int = 5, dim: int = T.DIM, thresholds: dict[str, float] | None = None) -> tuple[DataFrame, DataFrame]:
-    """(axes, examples) of rows (side, order, text), side 'golden' or 'candidate', ``order`` a number that names the row.
+    """(axes, examples) of rows (side, order, text), side 'golden' or 'candidate'; ``order`` numbers a side's texts, and
+    both sides may have the same numbers.
 
     axes: (axis, drift_score, threshold, status, golden_counts, candidate_counts, golden_mean, candidate_mean); means are
     those of lengths and judge scores. The judge axis is there if a judge's column is. examples: the candidates farthest
-    from the golden clusters (order, text, distance). A side without rows is an error.
+    from the golden clusters (order, text, distance). Null texts are left out; a side without texts is an error, and so is
+    a number that comes twice on its side. The texts are read once, and once more for the examples' own; all axes' counts
+    and means are one aggregate of the written features.
     """
     limits = {a: checked_threshold((thresholds or {}).get(a, THRESHOLD), f"{a}_threshold", 1.0) for a in ("length", "embedding", "judge")}
     if isinstance(k, bool) or not isinstance(k, int) or k < 1:
         raise ValueError("k must be at least 1")
     if isinstance(n_examples, bool) or not isinstance(n_examples, int) or n_examples < 0:
         raise ValueError("n_examples must be at least 0")
-    there = {r["side"] for r in rows.select("side").distinct().collect()}
+    made = features(rows.where(F.col("side").isin(GOLDEN, CANDIDATE)), order, judge, dim)
+    there = {r["side"] for r in made.select("side").distinct().collect()}
     if not {GOLDEN, CANDIDATE} <= there:
         raise ValueError("both sides must have rows")
-    vectors, centroids = embedded(rows, k, order, dim)
-    assigned = nearest(vectors, centroids)
-    axes = [
-        ("length", rows.select("side", F.length("text").cast("double").alias("value"), T.length_bucket(F.col("text")).alias("b")), len(T.LENGTH_BOUNDS)),
-        ("embedding", assigned.select("side", F.lit(None).cast("double").alias("value"), F.col("cluster").alias("b")), len(centroids)),
-    ]
+    centroids = kmeans(made.where(F.col("side") == GOLDEN).select(order, "vector"), k, order)
+    assigned = scratch.written(nearest(made, centroids).drop("vector"), "assigned")
+    axes = [("length", T.length_bucket_of(F.col("length")), len(T.LENGTH_BOUNDS), F.col("length")), ("embedding", F.col("cluster"), len(centroids), None)]
     if judge is not None:
-        scored = rows.select("side", T.clamp01(judge).alias("value"))
-        axes.append(("judge", scored.withColumn("b", T.judge_bucket(F.col("value"))), T.JUDGE_BUCKETS))
+        axes.append(("judge", T.judge_bucket(F.col("score")), T.JUDGE_BUCKETS, F.col("score")))
+    sums = [c for axis, bucket, n, value in axes for c in (counts(bucket, n).alias(f"{axis}_counts"), (F.lit(None) if value is None else F.avg(value)).cast("double").alias(f"{axis}_mean"))]
+    sides = assigned.groupBy("side").agg(*sums)  # two rows
+    one = sides.agg(*(F.any_value(F.when(F.col("side") == s, F.struct(*(c for c in sides.columns if c != "side"))), True).alias(s) for s in (GOLDEN, CANDIDATE)))
     parts = []
-    for axis, values, buckets in axes:
-        hist = histogram(values, F.col("b"), buckets)
-        counts = lambda s: F.transform(F.array_sort(F.collect_list(F.when(F.col("side") == s, F.struct("bucket", "n")))), lambda x: x["n"])
-        mean = lambda s: F.avg(F.when(F.col("side") == s, F.col("value")))
-        both = hist.agg(counts(GOLDEN).alias("golden_counts"), counts(CANDIDATE).alias("candidate_counts"))
-        means = values.agg(mean(GOLDEN).alias("golden_mean"), mean(CANDIDATE).alias("candidate_mean"))
-        parts.append(axis_report(jensen_shannon(hist, GOLDEN, CANDIDATE), axis, limits[axis]).crossJoin(both).crossJoin(means))  # one row each
-    examples = farthest(assigned.where(F.col("side") == CANDIDATE), n_examples, order).join(rows.where(F.col("side") == CANDIDATE).select(order, "text"), order)
-    return reduce(DataFrame.unionByName, parts), examples.select(order, "text", "distance").orderBy(F.desc("distance"), order)
+    for axis, _, _, _ in axes:
+        both = [F.col(s)[f"{axis}_{what}"].alias(f"{s}_{what}") for what in ("counts", "mean") for s in (GOLDEN, CANDIDATE)]
+        score = divergence(F.col(GOLDEN)[f"{axis}_counts"], F.col(CANDIDATE)[f"{axis}_counts"])
+        parts.append(F.struct(F.lit(axis).alias("axis"), score.alias("drift_score"), F.lit(limits[axis]).alias("threshold"), F.when(score > limits[axis], "drifted").otherwise("ok").alias("status"), *both))
+    report_ = one.select(F.inline(F.array(*parts)))
+    far = farthest(assigned.where(F.col("side") == CANDIDATE), n_examples, order).select(order, "distance")
+    own = texts(rows).where(F.col("side") == CANDIDATE).select(order, "text")
+    return report_, own.join(F.broadcast(far), order).select(order, "text", "distance").orderBy(F.desc("distance"), order)  # n_examples rows

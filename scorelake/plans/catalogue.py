@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scorelake.functions import markdown
+from scorelake.functions import hashed, markdown
 from scorelake.functions import text as T
 from scorelake.operators import drift, judging, runs, validate
 
@@ -23,7 +23,11 @@ def _read(spark: SparkSession, d: str, name: str) -> DataFrame:
 
 
 def _sides(s: SparkSession, d: str) -> DataFrame:
-    return _read(s, d, "documents").select("doc_id", F.when(F.col("lang") == "en", drift.GOLDEN).otherwise(drift.CANDIDATE).alias("side"), "text")
+    return _read(s, d, "documents").select("doc_id", F.when(F.col("lang") == "en", drift.GOLDEN).otherwise(drift.CANDIDATE).alias("side"), "text").where("text is not null")
+
+
+def _cells(s, d) -> DataFrame:
+    return hashed.cells(_read(s, d, "documents"), "doc_id", "text", T.DIM)
 
 
 def _length_hist(s, d):
@@ -145,8 +149,7 @@ def _said(s, d) -> DataFrame:
 
 
 def _drift_report(s, d) -> DataFrame:
-    rows = _sides(s, d).where("text is not null")
-    axes, _ = drift.report(rows, "doc_id", T.word_count_judge(F.col("text")))
+    axes, _ = drift.report(_sides(s, d), "doc_id", T.word_count_judge(F.col("text")))
     return axes.select("axis", F.round("drift_score", 6).alias("drift_score"), "threshold", "status", F.array_join("golden_counts", ",").alias("golden_counts"), F.array_join("candidate_counts", ",").alias("candidate_counts"), *(F.round(c, 6).alias(c) for c in ("golden_mean", "candidate_mean")))
 
 
@@ -218,8 +221,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "judge_histogram": _judge_hist,
         "judge_drift": lambda s, d: _report(_judge_hist(s, d), "judge"),
         "token_counts": lambda s, d: _read(s, d, "documents").select("doc_id", F.size(T.tokens(F.col("text"))).cast("long").alias("n_tokens")),
-        "hash_embed_sparse": lambda s, d: T.hash_embedding(_read(s, d, "documents")),
-        "hash_embed_norm": lambda s, d: T.hash_embedding(_read(s, d, "documents")).groupBy("doc_id").agg(F.round(F.sqrt(F.sum(F.col("weight") * F.col("weight"))), 6).alias("norm")),
+        "hash_embed_sparse": lambda s, d: _cells(s, d),
+        "hash_embed_norm": lambda s, d: _cells(s, d).groupBy("doc_id").agg(F.round(F.sqrt(F.sum(F.col("weight") * F.col("weight"))), 6).alias("norm")),
         "nearest_centroid_embeddings": lambda s, d: _nearest(s, d).groupBy("cluster").agg(F.count("*").alias("n")),
         "farthest_examples": lambda s, d: drift.farthest(_nearest(s, d), 5, "vec_id").select("vec_id", "cluster", F.round("distance", 6).alias("distance")),
         "embedding_drift": _embedding_drift,
@@ -256,7 +259,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 _TOK = r"regexp_extract_all(lower(text), '[\p{L}\p{N}]+')"
 _JUDGE = f"((len({_TOK}) * 7) % 100) / 100.0::DOUBLE"
-_SIDES = "s AS (SELECT doc_id, CASE WHEN lang = 'en' THEN 'golden' ELSE 'candidate' END AS side, text FROM documents)"
+_SIDES = "s AS (SELECT doc_id, CASE WHEN lang = 'en' THEN 'golden' ELSE 'candidate' END AS side, text FROM documents WHERE text IS NOT NULL)"
 _LEN_BUCKET = "(" + " + ".join(f"CAST(length(text) >= {b} AS INTEGER)" for b in T.LENGTH_BOUNDS) + " - 1)"
 _JUDGE_BUCKET = f"least(9, greatest(0, CAST(floor({_JUDGE} * 10) AS INTEGER)))"
 

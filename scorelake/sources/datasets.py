@@ -10,8 +10,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from scorelake.operators import validate
+from scorelake.operators import drift, validate
 from scorelake.operators.judging import tagged
+from scorelake.operators.ordinals import numbered
 from scorelake.sources import history, scratch
 
 GOLDEN = "id string, input string, expected_outputs array<struct<kind:string,value:string>>, dataset_version string, provenance string, tags array<string>"
@@ -74,7 +75,8 @@ def load_calibration(spark: SparkSession, path: str) -> DataFrame:
 def _texts_of(file: str, n: int, line: str) -> Iterator[str]:
     """The texts of a line of a file; Unicode's other line ends part it again."""
     for part in line.splitlines():
-        if not part.strip():
+        part = part.strip()
+        if not part:
             continue
         try:
             value = json.loads(part)
@@ -103,6 +105,13 @@ def load_texts(spark: SparkSession, path: str) -> DataFrame:
     return rows
 
 
+def load_sides(spark: SparkSession, golden: str, candidate: str, order: str = "number") -> DataFrame:
+    """(side, order, text) of two text populations, as ``drift.report`` takes them: each side's texts are numbered 0, 1, 2
+    ... by file, line and part, whatever the number of files and splits."""
+    rows = load_texts(spark, golden).withColumn("side", F.lit(drift.GOLDEN)).unionByName(load_texts(spark, candidate).withColumn("side", F.lit(drift.CANDIDATE)))
+    return numbered(rows, ["side"], ["file", "ord", "part"], order).select("side", order, "text")
+
+
 def _finite(value: object, name: str) -> float:
     if isinstance(value, bool) or not isinstance(value, int | float | str) or not math.isfinite(float(value)):
         raise ValueError(f"{name} must be a finite number; got {value!r}")

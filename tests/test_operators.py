@@ -1,13 +1,19 @@
 """Evaluation operators on small inputs with known results."""
 
+import hashlib
 import json
+import math
 import os
+import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
+from scorelake.functions import hashed
 from scorelake.functions import text as T
 from scorelake.operators import drift, runs, validate
+from scorelake.sources import datasets
 
 
 def test_tokens_keep_letters_and_digits_of_any_script(spark):
@@ -24,10 +30,28 @@ def test_hash_mod_is_sha1_modulo(spark, dim):
     assert all(r["m"] == int(hashlib.sha1(r["w"].encode()).hexdigest(), 16) % (2 * dim) for r in rows)
 
 
-def test_blank_text_embeds_to_zero(spark):
-    docs = spark.createDataFrame([(1, "  "), (2, "word")], "doc_id long, text string")
-    v = {r["doc_id"]: r["vector"] for r in T.dense(T.hash_embedding(docs), docs).collect()}
-    assert set(v[1]) == {0.0} and sum(x * x for x in v[2]) == pytest.approx(1.0)
+def _embed(text, dim=64):
+    """A text's unit vector, token by token."""
+    v = [0.0] * dim
+    for token in re.findall(r"[^\W_]+", text.lower()):
+        h = int(hashlib.sha1(token.encode()).hexdigest(), 16)
+        v[h % dim] += 1 if h // dim % 2 else -1
+    n = math.sqrt(sum(x * x for x in v))
+    return [x / n for x in v] if n else v
+
+
+def test_embeddings_equal_a_plain_loop(spark):
+    texts = ["  ", None, "word", "Café_au lait, 3² naïve CAFÉ", "the cat the dog " * 500, ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for dim in (64, 7):
+        v = {r["doc_id"]: r["vector"] for r in hashed.with_vectors(docs, "text", dim).collect()}
+        assert all(v[i] == pytest.approx(_embed(t or "", dim), abs=1e-15) for i, t in enumerate(texts))
+        cells = {(r["doc_id"], r["bucket"]): r["weight"] for r in hashed.cells(docs, "doc_id", "text", dim).collect()}
+        for i, t in enumerate(texts):
+            n = math.sqrt(sum(w * w for (d, _), w in cells.items() if d == i)) or 1.0
+            assert [cells.get((i, b), 0) / n for b in range(dim)] == pytest.approx(_embed(t or "", dim), abs=1e-15)
+    with pytest.raises(ValueError):
+        hashed.with_vectors(docs, "text", 0)
 
 
 @pytest.mark.parametrize(("rows", "want"), [([("a", 0), ("b", 0)], 0.0), ([("a", 0), ("b", 1)], 1.0), ([("a", 0)], 1.0), ([], 0.0)])
@@ -140,8 +164,6 @@ def test_kmeans_ends_after_the_update_of_an_unchanged_round(spark):
 
 
 def test_kmeans_equals_a_plain_loop(spark, monkeypatch):
-    import random
-
     rng = random.Random(3)
     rows = []
     for _ in range(300):
@@ -167,22 +189,130 @@ def test_kmeans_equals_a_plain_loop(spark, monkeypatch):
     assert drift.spaced(df, 7, 300, "id") == [rows[i * 42] for i in range(7)]
 
 
+def _plain_report(golden, candidate, judge, k=8, examples=5):
+    """The three axes by plain loops."""
+
+    def jsd(p, q):
+        if not sum(p) or not sum(q):
+            return 0.0 if not sum(p) and not sum(q) else 1.0
+        p, q = [x / sum(p) for x in p], [x / sum(q) for x in q]
+        part = lambda a, b: sum(x * math.log2(2 * x / (x + y)) for x, y in zip(a, b, strict=True) if x)
+        return (part(p, q) + part(q, p)) / 2
+
+    def hist(values, n):
+        return [sum(v == i for v in values) for i in range(n)]
+
+    vectors = [_embed(t) for t in golden]
+    k = min(k, len(golden))
+    cs, put = [vectors[i * max(len(golden) // k, 1)] for i in range(k)], [0] * len(golden)
+    dot = lambda v, c: sum(x * y for x, y in zip(v, c, strict=True))
+    near = lambda v: max(range(k), key=lambda c: (round(dot(v, cs[c]), 12), -c))
+    for _ in range(25):
+        new = [near(v) for v in vectors]
+        for c in range(k):
+            mine = [v for v, p in zip(vectors, new, strict=True) if p == c]
+            if mine:
+                total = [sum(x) for x in zip(*mine, strict=True)]
+                n = math.sqrt(sum(x * x for x in total))
+                cs[c] = [x / n for x in total] if n else total
+        if new == put:
+            break
+        put = new
+    bounds = (0, 32, 64, 128, 256, 512, 1024, 2048, 4096)
+    length = lambda t: sum(len(t) >= b for b in bounds) - 1
+    axes = {}
+    for axis, f, n, value in (("length", length, 9, len), ("embedding", lambda t: near(_embed(t)), k, None), ("judge", lambda t: min(9, int(judge(t) * 10)), 10, judge)):
+        p, q = (hist([f(t) for t in side], n) for side in (golden, candidate))
+        axes[axis] = (jsd(p, q), p, q, *((sum(map(value, side)) / len(side) for side in (golden, candidate)) if value else (None, None)))
+    far = sorted(((1 - max(dot(_embed(t), c) for c in cs), i) for i, t in enumerate(candidate)), key=lambda x: (-x[0], x[1]))[:examples]
+    return axes, [(i, d) for d, i in far]
+
+
+def _as_plain(axes, examples, order):
+    got = {r["axis"]: (r["drift_score"], r["golden_counts"], r["candidate_counts"], r["golden_mean"], r["candidate_mean"]) for r in axes.collect()}
+    return got, [(r[order], r["distance"]) for r in examples.collect()]
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_drift_report_equals_plain_loops(spark, seed):
+    """Both sides numbered from 0, as they come from files; blank and long texts among them."""
+    rng = random.Random(seed)
+    some = lambda words, n: [" ".join(rng.choices(words, k=rng.choice([0, 1, 5, 20, 200, 900]))) for _ in range(n)]
+    golden, candidate = some("the cat sat on a warm mat by 12 old doors".split(), 61), some("le chat noir dort sur a mat 12 naïve 東京".split(), 47)
+    rows = [(i, "golden", t) for i, t in enumerate(golden)] + [(i, "candidate", t) for i, t in enumerate(candidate)] + [(5, "golden", None), (9, "neither", "x")]
+    df = spark.createDataFrame(rows, "at long, side string, text string").repartition(5)
+    axes, examples = drift.report(df, "at", T.word_count_judge(F.col("text")))
+    judge = lambda t: len(re.findall(r"[^\W_]+", t)) * 7 % 100 / 100
+    got, far = _as_plain(axes, examples, "at")
+    want, want_far = _plain_report(golden, candidate, judge)
+    assert got.keys() == want.keys()
+    for axis in want:
+        assert got[axis][1:3] == want[axis][1:3] and got[axis][0] == pytest.approx(want[axis][0], abs=1e-12) and got[axis][3:] == pytest.approx(want[axis][3:])
+    assert [d for _, d in far] == pytest.approx([d for _, d in want_far]) and sum(got["embedding"][1]) == 61 and sum(got["embedding"][2]) == 47
+
+
+def test_drift_numbers_name_a_text_of_a_side(spark):
+    rows = [(0, "golden", "a"), (0, "candidate", "b"), (1, "golden", "c"), (1, "golden", "d")]
+    df = spark.createDataFrame(rows, "at long, side string, text string")
+    with pytest.raises(ValueError, match="at 1 names 2 texts of side 'golden'"):
+        drift.report(df, "at")
+    with pytest.raises(ValueError, match="names 1 texts"):
+        drift.report(df.where("at = 0").union(spark.createDataFrame([(None, "golden", "e")], df.schema)), "at")
+    with pytest.raises(ValueError, match="both sides"):
+        drift.report(df.where("side = 'candidate'"), "at")
+    axes = {r["axis"]: r for r in drift.report(df.where("at = 0"), "at")[0].collect()}
+    assert axes["embedding"]["golden_counts"] == [1] and axes["embedding"]["candidate_counts"] == [1]
+
+
+def test_two_files_make_a_report(spark, tmp_path):
+    """Lines with the same numbers on both sides, blank lines, Unicode's line ends, and a side of several files."""
+    (tmp_path / "g").mkdir()
+    golden = [[f"golden text {i} {'x' * (i * 9)}" for i in range(10)], ["one more", "and another"]]
+    for i, lines in enumerate(golden):
+        (tmp_path / "g" / f"{i}.jsonl").write_text("\n\n".join(json.dumps({"prompt": t}) for t in lines) + "\n", encoding="utf-8")
+    candidate = [f"candidate {i} " + "word " * i for i in range(10)]
+    (tmp_path / "c.jsonl").write_text("\u2028".join(json.dumps(t) for t in candidate[:3]) + "\n" + "\n".join("\u00a0" + json.dumps({"text": t}) for t in candidate[3:]), encoding="utf-8")
+    rows = datasets.load_sides(spark, str(tmp_path / "g"), str(tmp_path / "c.jsonl"))
+    held = {s: [r["text"] for r in rows.where(F.col("side") == s).orderBy("number").collect()] for s in ("golden", "candidate")}
+    assert held == {"golden": golden[0] + golden[1], "candidate": candidate}
+    assert {r["number"] for r in rows.where("side = 'golden'").collect()} == set(range(12))
+    axes, examples = drift.report(rows, "number")
+    got, far = _as_plain(axes, examples, "number")
+    want, want_far = _plain_report(held["golden"], candidate, lambda t: 0.0)
+    assert all(got[a][1:3] == want[a][1:3] and got[a][0] == pytest.approx(want[a][0], abs=1e-12) for a in got)
+    assert sum(got["embedding"][1]) == 12 and sum(got["embedding"][2]) == 10
+
+
+@pytest.mark.parametrize("partitions", ["1", "7"])
+def test_numbers_over_ranges_and_groups(spark, partitions):
+    from scorelake.operators import ordinals
+
+    rows = [("hot", i * 37 % 1000, i) for i in range(1000)] + [(None, None, 1), (None, 3, 2), ("x", 1, 1), ("x", 1, 1), ("x", 0, 5)]
+    df = spark.createDataFrame(rows, "g string, o long, ordinal long").repartition(9)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    try:
+        got = ordinals.numbered(df, ["g"], ["o"], "n", attach=lambda totals: totals.withColumnRenamed("n_rows", "size")).collect()
+        assert sorted((r["g"], r["o"], r["n"], r["size"]) for r in got if r["g"]) == sorted([("hot", i, i, 1000) for i in range(1000)] + [("x", 0, 0, 3), ("x", 1, 1, 3), ("x", 1, 2, 3)])
+        assert [(r["o"], r["n"]) for r in got if r["g"] is None] == [(None, 0), (3, 1)] or {(r["o"], r["n"]) for r in got if r["g"] is None} == {(None, 0), (3, 1)}
+        assert sorted(r["n"] for r in ordinals.numbered(df, [], ["o", "g"], "n").collect()) == list(range(1005))
+        assert sorted(r["ordinal"] for r in ordinals.dense(df).collect()) == list(range(1005))
+        assert ordinals.numbered(df.limit(0), ["g"], ["o"]).count() == 0 and ordinals.dense(df.limit(0)).count() == 0
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 def test_drift_report_on_the_published_texts(spark):
     """Published drift of two small sets of texts: 0.729, 0.156 and 0.896."""
-    from scorelake.sources import datasets
-
     paths = os.environ.get("SCORELAKE_DRIFT_TEXTS", "").split(",")  # the golden and the candidate file
     if len(paths) != 2:
         pytest.skip("the published texts are not here")
-    side = lambda path, s, k: datasets.load_texts(spark, path).select((F.col("ord") + k).alias("at"), F.lit(s).alias("side"), "text")
-    rows = side(paths[0], "golden", 0).union(side(paths[1], "candidate", 10_000))
-    axes, examples = drift.report(rows, "at", T.word_count_judge(F.col("text")))
+    rows = datasets.load_sides(spark, *paths)
+    axes, examples = drift.report(rows, "number", T.word_count_judge(F.col("text")))
     got = {r["axis"]: r for r in axes.collect()}
     assert {a: (round(r["drift_score"], 3), r["status"]) for a, r in got.items()} == {"length": (0.729, "drifted"), "embedding": (0.156, "drifted"), "judge": (0.896, "drifted")}
     assert got["length"]["drift_score"] == pytest.approx(0.729276964417239) and sum(got["judge"]["golden_counts"]) == 20 and 0 < got["judge"]["golden_mean"] < 1
-    assert examples.count() == 5 and "judge" not in {r["axis"] for r in drift.report(rows, "at")[0].collect()}
-    with pytest.raises(ValueError, match="both sides"):
-        drift.report(rows.where("side = 'golden'"), "at")
+    assert examples.count() == 5 and "judge" not in {r["axis"] for r in drift.report(rows, "number")[0].collect()}
 
 
 def test_kmeans_separates_two_directions(spark):
