@@ -43,8 +43,10 @@ def diff_rows(rows: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
 
 
 def headline(summary: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
-    """(*by, line): the mark of the worst that a diff's summary holds, and its counts."""
+    """(*by, line): the mark of the worst that a diff's summary (``runs.with_means``) holds, its mean's change and its
+    counts."""
     count = lambda c: F.coalesce(F.col(c), F.lit(0).cast("long"))
     mark = F.when(count("n_flagged") > 0, "[X]").when(count("n_regressed") > 0, "[!]").when(count("n_improved") > 0, "[+]").otherwise("[=]")
-    form = "%s flagged **%d** · regressed %d · improved %d · unchanged %d · new %d · removed %d"
-    return summary.select(*by, F.format_string(form, mark, *map(count, ("n_flagged", "n_regressed", "n_improved", "n_unchanged", "n_new", "n_removed"))).alias("line"))
+    form = "%s mean Δ **%s** · flagged **%d** · regressed %d · improved %d · unchanged %d · new %d · removed %d"
+    shown = summary.withColumn("_n", numbers({"mean_delta": "%+.3f"}))
+    return shown.select(*by, F.format_string(form, mark, F.col("_n.mean_delta"), *map(count, ("n_flagged", "n_regressed", "n_improved", "n_unchanged", "n_new", "n_removed"))).alias("line"))

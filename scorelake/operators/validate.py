@@ -9,13 +9,13 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scorelake.sources import scratch
+from scorelake.sources import scratch, workers
 
 CHECKED = "line_no long, code string, reason string, id string, dataset_version string, tags array<string>"
 
@@ -38,7 +38,9 @@ class Form:
     rules: tuple[Rule, ...]
     missing: str
     unknown_first: bool
-    blank: Callable[[str], bool]
+    blank: str
+    #: What of a line is decoded.
+    inner: Callable[[str], str] = str.strip
 
 
 def _text(v: object) -> bool:
@@ -82,7 +84,7 @@ GOLDEN = Form(
     ),
     missing="missing required field(s): {}",
     unknown_first=False,
-    blank=lambda line: not line.strip(),
+    blank="blank line; dataset must have one JSON object per line",
 )
 CALIBRATION = Form(
     required=("human_score", "id", "prompt", "provenance", "response", "rubric"),
@@ -98,9 +100,10 @@ CALIBRATION = Form(
     ),
     missing="missing required fields: {}",
     unknown_first=True,
-    # a line of white space is bad JSON here
-    blank=lambda line: line == "",
+    blank="blank line; calibration must have one JSON object per line",
 )
+#: As a calibration set is loaded, not validated: a line of white space is bad JSON.
+CALIBRATION_AS_LOADED = replace(CALIBRATION, inner=lambda line: line)
 
 
 def broken(form: Form, record: object) -> tuple[str, str] | None:
@@ -130,74 +133,98 @@ def broken(form: Form, record: object) -> tuple[str, str] | None:
 
 def check_line(form: Form, line: str) -> tuple:
     """(code, reason, id, dataset_version, tags) of a line; code is null for a record of the right form."""
-    if form.blank(line):
-        return "parse", "blank line", None, None, None
+    inner = form.inner(line)
+    if not inner:
+        return "parse", form.blank, None, None, None
     try:
-        r = json.loads(line)
-    except ValueError as e:
-        return "parse", f"invalid JSON: {e}", None, None, None
+        r = json.loads(inner)
+    except json.JSONDecodeError as e:
+        return "parse", f"invalid JSON: {e.msg}", None, None, None
     if (found := broken(form, r)) is not None:
         return (*found, None, None, None)
     return None, None, r["id"], r.get("dataset_version"), r.get("tags", [])
 
 
+def _keys(lines: DataFrame) -> list[str]:
+    """Lines of several files are told apart by a column ``file``; without one they are one file's."""
+    return [c for c in lines.columns if c == "file"]
+
+
 def checked(lines: DataFrame, form: Form = GOLDEN) -> DataFrame:
-    """(line_no, code, reason, id, dataset_version, tags) of (line_no, line) rows, each checked once."""
+    """(file,) line_no, code, reason, id, dataset_version, tags, id_shown, version_shown of (file,) line_no, line rows, each
+    checked once; the shown ones are written as reasons write them."""
+    keys = _keys(lines)
+    names = [*keys, "line_no", "code", "reason", "id", "dataset_version", "tags", "id_shown", "version_shown"]
+    workers.importable(lines.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = [pa.string(), pa.string(), pa.string(), pa.string(), pa.list_(pa.string())]
+        kinds = [pa.string(), pa.string(), pa.string(), pa.string(), pa.list_(pa.string()), pa.string(), pa.string()]
+        shown = lambda v: None if v is None else repr(v)
         for b in batches:
-            cols = list(zip(*(check_line(form, x) for x in b.column("line").to_pylist()), strict=True)) or [()] * 5
-            yield pa.RecordBatch.from_arrays([b.column("line_no"), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], names=["line_no", "code", "reason", "id", "dataset_version", "tags"])
+            rows = [(*r, shown(r[2]), shown(r[3])) for r in (check_line(form, x) for x in b.column("line").to_pylist())]
+            cols = list(zip(*rows, strict=True)) or [()] * len(kinds)
+            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in keys), b.column("line_no"), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], names=names)
+
+    schema = "".join(f"{k} string, " for k in keys) + CHECKED + ", id_shown string, version_shown string"
+    return scratch.written(lines.select(*keys, F.col("line_no").cast("long").alias("line_no"), "line").mapInArrow(run, schema), "checked")
+
 
-    return scratch.written(lines.select(F.col("line_no").cast("long").alias("line_no"), "line").mapInArrow(run, CHECKED), "checked")
+def _settled(rows: DataFrame, good: DataFrame, claimed: Column, drifts: bool) -> DataFrame:
+    """``checked`` rows with the codes and reasons that hang on other lines of their file."""
+    keys = _keys(rows)
+    claims = good.groupBy(*keys, "id").agg(F.min(F.when(claimed, F.col("line_no"))).alias("claim"))
+    judged = good.join(claims, [*keys, "id"])
+    twice = F.col("claim") < F.col("line_no")
+    reason = F.when(twice, F.format_string("duplicate id %s; first seen at line %d; ids must be unique within a file", "id_shown", "claim"))
+    code = F.when(twice, "duplicate_id")
+    if drifts:
+        off = F.col("dataset_version") != F.col("version")
+        code, reason = code.when(off, "version_drift"), reason.when(off, F.format_string("dataset_version %s does not match file version %s", "version_shown", "file_version_shown"))
+    names = [*keys, "line_no", "code", "reason", "id", "dataset_version", "tags"]
+    out = judged.withColumns({"code": code.otherwise("valid"), "reason": reason})
+    return out.select(*names).unionByName(rows.where("code is not null").select(*names))
 
 
 def outcomes(lines: DataFrame) -> DataFrame:
     """``checked`` with code 'valid', 'duplicate_id' or 'version_drift' for rows that have the right form.
 
-    The first of them sets the version; an id is claimed by the first row of that version that bears it.
+    The first of them in a file sets the file's version; an id is claimed by the first row of that version that bears it.
     """
     rows = checked(lines)
-    good = rows.where("code is null")
-    version = good.agg(F.min_by("dataset_version", "line_no").alias("version"))
-    good = good.crossJoin(F.broadcast(version))  # one row
-    claims = good.groupBy("id").agg(F.min(F.when(F.col("dataset_version") == F.col("version"), F.col("line_no"))).alias("claim"))
-    judged = good.join(claims, "id")
-    twice, drifted = F.col("claim") < F.col("line_no"), F.col("dataset_version") != F.col("version")
-    code = F.when(twice, "duplicate_id").when(drifted, "version_drift").otherwise("valid")
-    reason = F.when(twice, F.format_string("duplicate id '%s'", "id")).when(drifted, F.format_string("dataset_version '%s' differs from '%s'", "dataset_version", "version"))
-    return judged.select("line_no", code.alias("code"), reason.alias("reason"), "id", "dataset_version", "tags").unionByName(rows.where("code is not null"))
-
-
-def calibration_outcomes(lines: DataFrame) -> DataFrame:
-    """``checked`` for calibration rows; of valid rows with the same id all but the first are 'duplicate_id'."""
-    rows = checked(lines, CALIBRATION)
-    good = rows.where("code is null")
-    claims = good.groupBy("id").agg(F.min("line_no").alias("claim"))
-    twice = F.col("claim") < F.col("line_no")
-    reason = F.when(twice, F.format_string("duplicate id '%s'", "id"))
-    out = good.join(claims, "id").select("line_no", F.when(twice, "duplicate_id").otherwise("valid").alias("code"), reason.alias("reason"), "id", "dataset_version", "tags")
-    return out.unionByName(rows.where("code is not null"))
+    keys, good = _keys(rows), rows.where("code is null")
+    version = good.groupBy(*keys).agg(F.min_by(F.struct("dataset_version", "version_shown"), "line_no").alias("_v")).select(*keys, F.col("_v.dataset_version").alias("version"), F.col("_v.version_shown").alias("file_version_shown"))
+    good = good.join(version, keys) if keys else good.crossJoin(F.broadcast(version))  # one row, or one a file
+    return _settled(rows, good, F.col("dataset_version") == F.col("version"), True)
+
+
+def calibration_outcomes(lines: DataFrame, form: Form = CALIBRATION) -> DataFrame:
+    """``checked`` for calibration rows; of a file's valid rows with the same id all but the first are 'duplicate_id'."""
+    rows = checked(lines, form)
+    return _settled(rows, rows.where("code is null"), F.lit(True), False)
 
 
-def report(found: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+def report(found: DataFrame, files: DataFrame | None = None, what: str = "dataset") -> tuple[DataFrame, DataFrame, DataFrame]:
     """(summary, findings, tag counts of the valid rows) of ``outcomes`` or ``calibration_outcomes``.
 
-    summary: one row (ok, n_rows, n_valid, n_findings, dataset_version); no rows at all are one finding, 'empty' at
-    line 0. ok: a valid row and no finding.
+    summary: a row (ok, n_rows, n_valid, n_findings, dataset_version), or one a file; no rows at all are one finding,
+    'empty' at line 0. ok: a valid row and no finding. ``files``: all files' names (file), as one without lines has no
+    outcomes.
     """
-    valid = F.col("code") == "valid"
-    sums = found.agg(F.count("*").alias("n_rows"), F.count_if(valid).alias("n_valid"), F.min_by("dataset_version", F.when(valid, F.col("line_no"))).alias("dataset_version"))
+    keys, valid = _keys(found), F.col("code") == "valid"
+    sums = found.groupBy(*keys).agg(F.count("*").alias("n_rows"), F.count_if(valid).alias("n_valid"), F.min_by("dataset_version", F.when(valid, F.col("line_no"))).alias("dataset_version"))
+    if keys and files is not None:
+        sums = files.select("file").distinct().join(sums, "file", "left").na.fill(0, ["n_rows", "n_valid"])
     empty = F.col("n_rows") == 0
     summary = sums.select(
-        ((F.col("n_valid") > 0) & (F.col("n_valid") == F.col("n_rows"))).alias("ok"), "n_rows", "n_valid",
+        *keys, ((F.col("n_valid") > 0) & (F.col("n_valid") == F.col("n_rows"))).alias("ok"), "n_rows", "n_valid",
         F.when(empty, 1).otherwise(F.col("n_rows") - F.col("n_valid")).cast("long").alias("n_findings"), F.when(F.col("n_valid") > 0, F.col("dataset_version")).alias("dataset_version"),
     )
-    none = sums.where(empty).select(F.lit(0).cast("long").alias("line_no"), F.lit("empty").alias("code"), F.lit("the file contains no rows").alias("reason"))
-    findings = found.where(~valid).select("line_no", "code", "reason").unionByName(none).orderBy("line_no")
-    return summary, findings, tag_histogram(found.where(valid))
+    name = F.concat(F.lit(f"{what} file "), F.col("file")) if keys else F.lit(f"{what} file")
+    none = sums.where(empty).select(*keys, F.lit(0).cast("long").alias("line_no"), F.lit("empty").alias("code"), F.concat(name, F.lit(f" contains no {'examples' if what == 'dataset' else 'rows'}")).alias("reason"))
+    findings = found.where(~valid).select(*keys, "line_no", "code", "reason").unionByName(none).orderBy(*keys, "line_no")
+    return summary, findings, tag_histogram(found.where(valid), keys)
 
 
-def tag_histogram(valid: DataFrame) -> DataFrame:
-    return valid.select(F.explode("tags").alias("tag")).groupBy("tag").agg(F.count("*").alias("count")).orderBy(F.desc("count"), "tag")
+def tag_histogram(valid: DataFrame, by: list[str] | None = None) -> DataFrame:
+    by = by or []
+    return valid.select(*by, F.explode("tags").alias("tag")).groupBy(*by, "tag").agg(F.count("*").alias("count")).orderBy(*by, F.desc("count"), "tag")

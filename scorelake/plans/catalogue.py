@@ -3,6 +3,9 @@
 Stand-ins: texts are documents (golden side: lang 'en', candidate side: all other languages), human labels come from
 labels, run history from events (suite: event type, run: suite and day, example: user), prompts and responses from
 conversations, ready vectors from embeddings. Every run is compared with the one before it in its suite.
+
+No table holds lines of data sets or texts of judges, so those are planted: ``validate_*`` and ``files_*`` make their lines
+of doc_id, lang and source, ``judge_parse`` its texts of doc_id, and neither reads a document's text.
 """
 
 from __future__ import annotations
@@ -15,7 +18,7 @@ from pyspark.sql import functions as F
 
 from scorelake.functions import hashed, markdown
 from scorelake.functions import text as T
-from scorelake.operators import drift, judging, runs, validate
+from scorelake.operators import drift, judging, ordinals, runs, validate
 
 
 def _read(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -185,6 +188,23 @@ def _lines(s, d) -> DataFrame:
     return doc.select((F.col("doc_id") + 1).alias("line_no"), line.alias("line"))
 
 
+def _file_lines(s, d) -> DataFrame:
+    """A golden file for each source, with ids that come again in other files and a version of its own; the same defects in
+    each: 1 blank, 2 a good record behind a space of another script, 3 broken, 5 another version, 7 the id of 6."""
+    doc = ordinals.numbered(_read(s, d, "documents").select("doc_id", "lang", "source"), ["source"], ["doc_id"], "at")
+    k = F.col("at") % 10
+    name = F.concat(F.lit("p"), F.when(k == 7, F.col("at") - 1).otherwise(F.col("at")).cast("string"))
+    version = F.when(k == 5, "other").otherwise(F.concat(F.lit("v-"), "source"))
+    body = F.to_json(F.struct(name.alias("id"), F.lit("q").alias("input"), F.array(F.struct(F.lit("exact").alias("kind"), F.lit("a").alias("value"))).alias("expected_outputs"), version.alias("dataset_version"), F.struct(F.lit(1).alias("by")).alias("provenance"), F.array("lang").alias("tags")))
+    broken = F.element_at(F.array(*(F.lit(x) for x, _ in _BROKEN)), (F.floor(F.col("at") / 10) % len(_BROKEN) + 1).cast("int"))
+    line = F.when(k == 1, "\u2003\u00a0").when(k == 2, F.concat(F.lit("\u00a0"), body)).when(k == 3, broken).otherwise(body)
+    return doc.select(F.concat("source", F.lit(".jsonl")).alias("file"), (F.col("at") + 1).alias("line_no"), line.alias("line"))
+
+
+def _files(s, d) -> tuple[DataFrame, DataFrame, DataFrame]:
+    return validate.report(validate.outcomes(_file_lines(s, d)))
+
+
 def _centroids(s, d, k: int = 8) -> tuple[DataFrame, list]:
     e = _read(s, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("vector"))
     step = max(e.count() // k, 1)
@@ -246,6 +266,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "validate_summary": lambda s, d: _validated(s, d)[0],
         "validate_findings": lambda s, d: _validated(s, d)[1].select("line_no", "code", "reason"),
         "valid_tags": lambda s, d: _validated(s, d)[2],
+        "files_summary": lambda s, d: _files(s, d)[0],
+        "files_findings": lambda s, d: _files(s, d)[1],
+        "files_tags": lambda s, d: _files(s, d)[2],
         "judge_parse": judge_parse,
         "judge_overlap": lambda s, d: _calibrated(s, d)[0].select("doc_id", "judge_score"),
         "calibration_run": lambda s, d: _calibrated(s, d)[1],
@@ -253,7 +276,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "needle_judge": lambda s, d: _asked(s, d).select("conv_id", "turn", T.needle_judge(T.judge_prompt(F.lit("r"), F.col("input"), judging.echo()), {"the": 0.25, "an": 0.75}).alias("score")),
         "drift_report": _drift_report,
         "diff_markdown": lambda s, d: markdown.diff_rows(_diff(s, d), _PAIR),
-        "diff_headline": lambda s, d: markdown.headline(runs.summary(_diff(s, d), _PAIR), _PAIR),
+        "diff_headline": lambda s, d: markdown.headline(_diff_summary(s, d), _PAIR),
     }
 
 
@@ -303,6 +326,9 @@ ov AS (SELECT doc_id, human_score, CASE WHEN list_has_any(list_transform(p, lamb
 _KAPPA_LABEL = "CASE WHEN kappa < 0 THEN 'worse than chance' WHEN kappa < 0.2 THEN 'slight' WHEN kappa < 0.4 THEN 'fair' WHEN kappa < 0.6 THEN 'moderate' WHEN kappa < 0.8 THEN 'substantial' ELSE 'almost perfect' END"
 _R_LABEL = "CASE WHEN abs(r) < 0.1 THEN 'negligible' WHEN abs(r) < 0.3 THEN 'weak' WHEN abs(r) < 0.5 THEN 'moderate' WHEN abs(r) < 0.7 THEN 'strong' ELSE 'very strong' END"
 _VALID = """v AS (SELECT doc_id + 1 AS line_no, CASE doc_id % 10 WHEN 1 THEN 'parse' WHEN 2 THEN 'parse' WHEN 3 THEN 'schema' WHEN 5 THEN 'version_drift' WHEN 7 THEN 'duplicate_id' ELSE 'valid' END AS code, lang, source FROM documents)"""
+_FILES = """fl AS (SELECT source, source || '.jsonl' AS file, lang, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS pos FROM documents),
+fv AS (SELECT *, pos + 1 AS line_no, CASE pos % 10 WHEN 1 THEN 'parse' WHEN 3 THEN 'schema' WHEN 5 THEN 'version_drift' WHEN 7 THEN 'duplicate_id' ELSE 'valid' END AS code FROM fl)"""
+_BROKEN_SQL = " ".join("WHEN {} THEN '{}'".format(i, why.replace("'", "''")) for i, (_, why) in enumerate(_BROKEN))
 _NEAR = """p AS (SELECT greatest(count(*) // 8, 1) AS step FROM embeddings), c AS (SELECT CAST(row_number() OVER (ORDER BY vec_id) - 1 AS INTEGER) AS cluster, embedding AS c FROM embeddings, p WHERE vec_id % step = 0 AND vec_id < step * 8),
 sim AS (SELECT e.vec_id, c.cluster, list_sum(list_transform(list_zip(e.embedding, c.c), lambda z: z[1]::DOUBLE * z[2]::DOUBLE)) AS s FROM embeddings e CROSS JOIN c),
 best AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY round(s, 12) DESC, cluster) AS k FROM sim)"""
@@ -389,9 +415,13 @@ SELECT n, round(po, 6) AS agreement, round(kappa, 6) AS kappa, CASE WHEN kappa <
         "suite_run": f"WITH {_SUITE} SELECT conv_id, turn, score, reasoning FROM su",
         "suite_mean": f"WITH {_SUITE} SELECT count(*) AS n_rows, round(avg(score), 6) AS mean_score FROM su",
         "validate_summary": f"WITH {_VALID} SELECT FALSE AS ok, count(*) AS n_rows, count_if(code = 'valid')::BIGINT AS n_valid, count_if(code <> 'valid')::BIGINT AS n_findings, 'v1' AS dataset_version FROM v",
-        "validate_findings": f"WITH {_VALID} SELECT line_no, code, CASE (line_no - 1) % 10 WHEN 1 THEN 'blank line' WHEN 2 THEN 'invalid JSON: Expecting property name enclosed in double quotes: line 1 column 2 (char 1)' WHEN 5 THEN 'dataset_version ''v2'' differs from ''v1''' WHEN 7 THEN 'duplicate id ''d' || (line_no - 2) || '''' ELSE CASE ((line_no - 1) // 10) % {len(_BROKEN)} "
-        + " ".join("WHEN {} THEN '{}'".format(i, why.replace("'", "''")) for i, (_, why) in enumerate(_BROKEN))
-        + " END END AS reason FROM v WHERE code <> 'valid'",
+        "validate_findings": f"""WITH {_VALID} SELECT line_no, code, CASE (line_no - 1) % 10 WHEN 1 THEN 'blank line; dataset must have one JSON object per line' WHEN 2 THEN 'invalid JSON: Expecting property name enclosed in double quotes'
+  WHEN 5 THEN 'dataset_version ''v2'' does not match file version ''v1''' WHEN 7 THEN 'duplicate id ''d' || (line_no - 2) || '''; first seen at line ' || (line_no - 1) || '; ids must be unique within a file'
+  ELSE CASE ((line_no - 1) // 10) % {len(_BROKEN)} {_BROKEN_SQL} END END AS reason FROM v WHERE code <> 'valid'""",
+        "files_summary": f"WITH {_FILES} SELECT file, count(*) = count_if(code = 'valid') AS ok, count(*) AS n_rows, count_if(code = 'valid')::BIGINT AS n_valid, count_if(code <> 'valid')::BIGINT AS n_findings, 'v-' || any_value(source) AS dataset_version FROM fv GROUP BY file",
+        "files_findings": f"""WITH {_FILES} SELECT file, line_no, code, CASE pos % 10 WHEN 1 THEN 'blank line; dataset must have one JSON object per line' WHEN 5 THEN 'dataset_version ''other'' does not match file version ''v-' || source || ''''
+  WHEN 7 THEN 'duplicate id ''p' || (pos - 1) || '''; first seen at line ' || pos || '; ids must be unique within a file' ELSE CASE (pos // 10) % {len(_BROKEN)} {_BROKEN_SQL} END END AS reason FROM fv WHERE code <> 'valid'""",
+        "files_tags": f"WITH {_FILES} SELECT file, lang AS tag, count(*) AS count FROM fv WHERE code = 'valid' GROUP BY ALL",
         "valid_tags": f"WITH {_VALID} SELECT tag, count(*) AS count FROM (SELECT lang AS tag FROM v WHERE code = 'valid' UNION ALL SELECT source FROM v WHERE code = 'valid') GROUP BY tag",
         "judge_parse": _said_sql(),
         "judge_overlap": f"WITH {_OVERLAP} SELECT doc_id, judge_score FROM ov",
@@ -402,5 +432,5 @@ SELECT n, round(po, 6) AS agreement, round(kappa, 6) AS kappa, {_KAPPA_LABEL} AS
         "length_judge": "SELECT doc_id, round(greatest(0.0, least(1.0, 1 - length(text) / 200.0::DOUBLE)), 6) AS score FROM documents",
         "needle_judge": f"WITH {_ASKED} SELECT conv_id, turn, CASE WHEN contains(m, 'the') THEN 0.25::DOUBLE WHEN contains(m, 'an') THEN 0.75::DOUBLE ELSE 0.5::DOUBLE END AS score FROM (SELECT *, concat('RUBRIC: r', chr(10), chr(10), 'PROMPT: ', input, chr(10), chr(10), 'RESPONSE: ', answer, chr(10)) AS m FROM ask)",
         "diff_markdown": f"WITH {_DIFF} SELECT suite, run_id, example_id, '| ' || status || ' | `' || example_id || '` | ' || coalesce(printf('%.3f', baseline_score), '—') || ' | ' || coalesce(printf('%.3f', current_score), '—') || ' | ' || coalesce(printf('%+.3f', delta), '—') || ' | ' || CASE WHEN flagged THEN ':warning:' ELSE '' END || ' |' AS line FROM diff",
-        "diff_headline": f"WITH {_DIFF} SELECT suite, run_id, CASE WHEN n_flagged > 0 THEN '[X]' WHEN n_regressed > 0 THEN '[!]' WHEN n_improved > 0 THEN '[+]' ELSE '[=]' END || ' flagged **' || n_flagged || '** · regressed ' || n_regressed || ' · improved ' || n_improved || ' · unchanged ' || n_unchanged || ' · new ' || n_new || ' · removed ' || n_removed AS line FROM sums",
+        "diff_headline": f"WITH {_DIFF} SELECT suite, run_id, CASE WHEN n_flagged > 0 THEN '[X]' WHEN n_regressed > 0 THEN '[!]' WHEN n_improved > 0 THEN '[+]' ELSE '[=]' END || ' mean Δ **' || printf('%+.3f', round(mean_score - prior_mean, 9)) || '** · flagged **' || n_flagged || '** · regressed ' || n_regressed || ' · improved ' || n_improved || ' · unchanged ' || n_unchanged || ' · new ' || n_new || ' · removed ' || n_removed AS line FROM sums JOIN pair USING (suite, run_id)",
     }

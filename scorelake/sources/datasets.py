@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from scorelake.functions import text as T
 from scorelake.operators import drift, validate
 from scorelake.operators.judging import tagged
 from scorelake.operators.ordinals import numbered
@@ -55,11 +56,29 @@ def _first_bad(outcomes: DataFrame) -> None:
         raise LoadError(bad["line_no"], bad["reason"])
 
 
+def _one_file(lines: DataFrame) -> DataFrame:
+    """A data set is one file; two are an error, as their lines' numbers would mix."""
+    files = [r["file"] for r in lines.select("file").distinct().limit(2).collect()]
+    if len(files) > 1:
+        raise LoadError(0, f"more than one file: {sorted(files)}")
+    return lines.drop("file")
+
+
+def validate_files(spark: SparkSession, path: str, what: str = "dataset") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(summary, findings, tag counts), with the file in each row, of all files below a path in one job; ``what``:
+    'dataset' or 'calibration'. Each file is a set by itself: its version, its ids, its line numbers; one without lines is
+    a finding."""
+    files = spark.createDataFrame([(f,) for f in spark.read.text(path).inputFiles()], "file string")  # the listing that a reader makes; scans leave empty files out
+    plain = F.regexp_replace("file", "^file:/+", "file:/")  # the two write it in different ways
+    outcomes = {"dataset": validate.outcomes, "calibration": validate.calibration_outcomes}[what]
+    return validate.report(outcomes(numbered_lines(spark, path).withColumn("file", plain)), files.select(plain.alias("file")), what)
+
+
 def load_golden(spark: SparkSession, path: str, tags: list[str] | None = None) -> DataFrame:
     """One file's examples with line_no. The first bad line raises, as does a file without lines, or tags that none has."""
-    lines = numbered_lines(spark, path)
+    lines = _one_file(numbered_lines(spark, path))
     _first_bad(validate.outcomes(lines))
-    rows = lines.select("line_no", F.from_json("line", GOLDEN).alias("r")).select("line_no", "r.*").withColumn("tags", F.coalesce("tags", F.array().cast("array<string>")))
+    rows = lines.select("line_no", F.from_json(T.stripped(F.col("line")), GOLDEN).alias("r")).select("line_no", "r.*").withColumn("tags", F.coalesce("tags", F.array().cast("array<string>")))
     if rows.isEmpty():
         raise LoadError(0, "no rows in file")
     return tagged(rows, tags)
@@ -67,8 +86,8 @@ def load_golden(spark: SparkSession, path: str, tags: list[str] | None = None) -
 
 def load_calibration(spark: SparkSession, path: str) -> DataFrame:
     """One file's calibration rows with line_no; the first bad line raises, a file without lines gives no rows."""
-    lines = numbered_lines(spark, path)
-    _first_bad(validate.calibration_outcomes(lines))
+    lines = _one_file(numbered_lines(spark, path))
+    _first_bad(validate.calibration_outcomes(lines, validate.CALIBRATION_AS_LOADED))
     return lines.select("line_no", F.from_json("line", CALIBRATION).alias("r")).select("line_no", "r.*")
 
 

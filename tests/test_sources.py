@@ -59,11 +59,44 @@ def test_calibration_outcomes(spark, tmp_path):
     df = spark.createDataFrame(list(enumerate(lines, 1)), "line_no long, line string")
     got = {r["line_no"]: (r["code"], r["reason"]) for r in validate.calibration_outcomes(df).collect()}
     assert [got[i][0] for i in range(1, 11)] == ["valid", "score_range", "schema", "duplicate_id", "schema", "schema", "valid", "score_range", "parse", "parse"]
-    assert got[9][1] == "blank line" and got[10][1].startswith("invalid JSON")
+    blank = "blank line; calibration must have one JSON object per line"
+    assert got[9][1] == got[10][1] == blank and got[4][1] == "duplicate id 'a'; first seen at line 1; ids must be unique within a file"
+    with pytest.raises(datasets.LoadError, match="line 2: invalid JSON: Expecting value"):  # loaded, white space is no blank line
+        datasets.load_calibration(spark, _file(tmp_path, [json.dumps(_cal("a")), " "]))
     assert datasets.load_calibration(spark, _file(tmp_path, [json.dumps(_cal("a", 1))])).first()["human_score"] == 1.0
     assert datasets.load_calibration(spark, _file(tmp_path, [])).count() == 0
 
 
+def test_files_are_validated_each_by_itself(spark, tmp_path):
+    """Versions, ids and line numbers of a file; spaces of other scripts around a record; files without lines."""
+    (tmp_path / "sets").mkdir()
+    files = {
+        "a.jsonl": [_example("x'y"), "\u00a0" + json.dumps(_example("z")) + "\u2003", _example("x'y"), _example("w", "v2")],
+        "b.jsonl": ["\u2003", _example("w", "v2"), "{", _example("q", "v2", tags=["t"]), _example("r", "v1")],
+        "c.jsonl": [_example("x'y", "v3", tags=["t", "u"])],
+        "none.jsonl": [],
+    }
+    for name, lines in files.items():
+        _file(tmp_path / "sets", [x if isinstance(x, str) else json.dumps(x) for x in lines], name)
+    summary, findings, tags = datasets.validate_files(spark, str(tmp_path / "sets"))
+    short = lambda f: f.rsplit("/", 1)[1]
+    got = {short(r["file"]): (r["ok"], r["n_rows"], r["n_valid"], r["n_findings"], r["dataset_version"]) for r in summary.collect()}
+    assert got == {"a.jsonl": (False, 4, 2, 2, "v1"), "b.jsonl": (False, 5, 2, 3, "v2"), "c.jsonl": (True, 1, 1, 0, "v3"), "none.jsonl": (False, 0, 0, 1, None)}
+    rows = [(short(r["file"]), r["line_no"], r["code"], r["reason"]) for r in findings.collect()]
+    assert rows[:-1] == [
+        ("a.jsonl", 3, "duplicate_id", 'duplicate id "x\'y"; first seen at line 1; ids must be unique within a file'), ("a.jsonl", 4, "version_drift", "dataset_version 'v2' does not match file version 'v1'"),
+        ("b.jsonl", 1, "parse", "blank line; dataset must have one JSON object per line"), ("b.jsonl", 3, "parse", "invalid JSON: Expecting property name enclosed in double quotes"),
+        ("b.jsonl", 5, "version_drift", "dataset_version 'v1' does not match file version 'v2'"),
+    ]
+    assert rows[-1][:3] == ("none.jsonl", 0, "empty") and rows[-1][3].startswith("dataset file ") and rows[-1][3].endswith("none.jsonl contains no examples")
+    assert [(short(r["file"]), r["tag"], r["count"]) for r in tags.collect()] == [("b.jsonl", "t", 1), ("c.jsonl", "t", 1), ("c.jsonl", "u", 1)]
+    with pytest.raises(datasets.LoadError, match="more than one file"):
+        datasets.load_golden(spark, str(tmp_path / "sets"))
+    odd = _file(tmp_path, ["\u00a0" + json.dumps(_example("a"), ensure_ascii=False) + "\u001c"], "odd.jsonl")
+    assert datasets.load_golden(spark, odd).first()["id"] == "a"
+    assert datasets.validate_files(spark, _file(tmp_path, [json.dumps(_cal("a")), " ", ""], "cal.jsonl"), "calibration")[0].first()["n_findings"] == 2
+
+
 def test_texts(spark, tmp_path):
     path = _file(tmp_path, ['"bare"', "", '{"prompt": "p", "input": 3}', '{"text": "t", "prompt": "q"}'])
     assert [(r["ord"], r["text"]) for r in datasets.load_texts(spark, path).orderBy("ord").collect()] == [(1, "bare"), (3, "p"), (4, "q")]
