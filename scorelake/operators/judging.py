@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from typing import Protocol
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
@@ -60,13 +61,74 @@ def ask(rows: DataFrame, make: Callable[[], Backend], asked: str = "asked", name
     return rows.mapInArrow(run, schema)
 
 
-def score(rows: DataFrame, prompt: Column, response: Column, rubric: Column, judge: Callable[[], Backend] | ByColumn) -> DataFrame:
+@dataclass(frozen=True)
+class Ledger:
+    """A folder of a judge's answers by what was asked. ``judge`` names who answers: another judge's are not taken."""
+
+    folder: str
+    judge: str
+    #: A broken job loses the answers of one block at most; a power of two up to 256.
+    blocks: int = 16
+
+    def key(self, asked: Column) -> Column:
+        return F.sha2(F.to_json(F.struct(F.lit(self.judge), F.lit(SYSTEM), asked)), 256)
+
+    def answers(self, spark: SparkSession) -> DataFrame:
+        """(key, raw), one answer a question: the least, if two writers asked at the same time."""
+        path = spark._jvm.org.apache.hadoop.fs.Path(self.folder)
+        there = path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+        rows = spark.read.schema("key string, raw string").parquet(self.folder) if there else spark.createDataFrame([], "key string, raw string")
+        return rows.groupBy("key").agg(F.min("raw").alias("raw"))
+
+
+def ask_once(rows: DataFrame, make: Callable[[], Backend], ledger: Ledger, asked: str = "asked", name: str = "raw") -> DataFrame:
+    """``rows`` with the backend's text for each question, as ``ask``, but what the ledger holds is not asked again, and
+    what rows share is asked once. Answers are stored block by block, so a job that breaks resumes where it was."""
+    spark = rows.sparkSession
+    key = next(f"_key{i}" for i in range(len(rows.columns) + 1) if f"_key{i}" not in rows.columns)
+    rows = rows.withColumn(key, ledger.key(F.col(asked)))
+    questions = rows.groupBy(F.col(key).alias("key")).agg(F.any_value(asked).alias("asked"))
+    open_ = scratch.written(questions.join(ledger.answers(spark), "key", "left_anti"), "questions")
+    block = (F.conv(F.substring("key", 1, 2), 16, 10).cast("int") % ledger.blocks).alias("block")
+    for at in sorted(r["block"] for r in open_.select(block).distinct().collect()):  # as many as blocks
+        ask(open_.where(block == at), make).select("key", "raw").write.mode("append").parquet(ledger.folder)
+    return rows.join(ledger.answers(spark).select(F.col("key").alias(key), F.col("raw").alias(name)), key).drop(key)
+
+
+#: Statuses after which a question may be asked again.
+TRANSIENT = frozenset({408, 409, 429, 500, 502, 503, 504, 529})
+
+
+@dataclass
+class Patient:
+    """A backend that asks again after a transient failure: a status of ``TRANSIENT``, a lost connection or a timeout. It
+    waits twice as long each time, up to ``most`` seconds."""
+
+    backend: Backend
+    tries: int = 4
+    first: float = 0.5
+    most: float = 8.0
+    sleep: Callable[[float], None] = time.sleep
+
+    def complete(self, system: str, user: str) -> str:
+        for n in range(1, self.tries + 1):
+            try:
+                return self.backend.complete(system, user)
+            except Exception as e:
+                passing = getattr(e, "status_code", None) in TRANSIENT or isinstance(e, ConnectionError | TimeoutError)
+                if not passing or n == self.tries:
+                    raise
+                self.sleep(min(self.most, self.first * 2 ** (n - 1)))
+        raise ValueError("tries must be at least 1")
+
+
+def score(rows: DataFrame, prompt: Column, response: Column, rubric: Column, judge: Callable[[], Backend] | ByColumn, ledger: Ledger | None = None) -> DataFrame:
     """``rows`` with score and reasoning ('' where a column judges). A text without a SCORE or REASONING line, or a score
-    that is not finite, fails the job."""
+    that is not finite, fails the job. With a ledger a question is asked once, in this job and in later ones."""
     asked = rows.withColumn("asked", T.judge_prompt(rubric, prompt, response))
     if isinstance(judge, ByColumn):
         return asked.withColumns({"score": T.clamp01(judge.of(F.col("asked"))), "reasoning": F.lit("")}).drop("asked")
-    out = ask(asked, judge).withColumn("_v", T.judged(F.col("raw")))
+    out = (ask(asked, judge) if ledger is None else ask_once(asked, judge, ledger)).withColumn("_v", T.judged(F.col("raw")))
     return out.withColumns({"score": F.col("_v.score"), "reasoning": F.col("_v.reasoning")}).drop("_v", "raw", "asked")
 
 
@@ -81,19 +143,20 @@ def tagged(examples: DataFrame, tags: list[str] | None) -> DataFrame:
     return some
 
 
-def score_suite(examples: DataFrame, judge, tags: list[str] | None = None, answers: DataFrame | None = None, rubric: str = RUBRIC) -> DataFrame:
+def score_suite(examples: DataFrame, judge, tags: list[str] | None = None, answers: DataFrame | None = None, rubric: str = RUBRIC, ledger: Ledger | None = None) -> DataFrame:
     """(example_id, score, reasoning) of a data set's examples."""
     rows = with_answers(tagged(examples, tags), answers)
-    return score(rows, F.col("input"), F.col("answer"), F.lit(rubric), judge).select(F.col("id").alias("example_id"), "score", "reasoning")
+    return score(rows, F.col("input"), F.col("answer"), F.lit(rubric), judge, ledger).select(F.col("id").alias("example_id"), "score", "reasoning")
 
 
-def run_suite(examples: DataFrame, judge, base: str, run_id: str, started_at: str, suite: str, tags: list[str] | None = None, answers: DataFrame | None = None, rubric: str = RUBRIC, **about) -> tuple[DataFrame, DataFrame]:
+def run_suite(examples: DataFrame, judge, base: str, run_id: str, started_at: str, suite: str, tags: list[str] | None = None, answers: DataFrame | None = None, rubric: str = RUBRIC, ledger: Ledger | None = None, **about) -> tuple[DataFrame, DataFrame]:
     """Score a data set and append the run to the history below ``base``: (its row of runs, its rows). The judge is asked
-    once: rows are stored, then checked and averaged as stored."""
+    once: rows are stored, then checked and averaged as stored. With a ledger, a run that breaks and is begun anew asks
+    only what has no answer yet."""
     version = examples.select("dataset_version").first()
     if version is None:
         raise ValueError("the data set is empty")
-    history.write_run(score_suite(examples, judge, tags, answers, rubric), base, run_id, started_at, suite, version[0], **about)
+    history.write_run(score_suite(examples, judge, tags, answers, rubric, ledger), base, run_id, started_at, suite, version[0], **about)
     return history.read_run(examples.sparkSession, base, run_id)
 
 

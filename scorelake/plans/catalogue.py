@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from scorelake.functions import hashed, markdown
 from scorelake.functions import text as T
 from scorelake.operators import drift, judging, ordinals, runs, validate
+from scorelake.sources import scratch
 
 
 def _read(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -126,6 +127,16 @@ def _suite(s, d) -> DataFrame:
     return judging.score(rows, F.col("input"), F.col("answer"), F.lit(judging.RUBRIC), CountingBackend).select("conv_id", "turn", F.round("score", 6).alias("score"), "reasoning")
 
 
+def _ledger_run(s, d) -> DataFrame:
+    """First turns are judged, then all turns with the same ledger: what was asked before is not asked again."""
+    ledger = judging.Ledger(scratch.folder(s, "ledger"), "counting")
+    rows = judging.with_answers(_asked(s, d))
+    judged = lambda part: scratch.written(judging.score(part, F.col("input"), F.col("answer"), F.lit(judging.RUBRIC), CountingBackend, ledger), "judged")
+    judged(rows.where("turn = 0"))
+    whole = judged(rows).agg(F.count("*").alias("n_rows"), F.round(F.avg("score"), 6).alias("mean_score"))
+    return whole.crossJoin(F.broadcast(s.read.parquet(ledger.folder).agg(F.count("*").alias("n_asked"))))  # one row each
+
+
 def _calibration_set(s, d) -> DataFrame:
     """Calibration rows made of labels and documents: the prompt is a text's first three words, the rubric its source."""
     docs, labels = _read(s, d, "documents"), _read(s, d, "labels")
@@ -259,6 +270,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "runs_with_rows": lambda s, d: runs.with_rows(_runs(s, d), _rows(s, d).select("run_id", "example_id", "score")),
         "suite_run": _suite,
         "suite_mean": lambda s, d: _suite(s, d).agg(F.count("*").alias("n_rows"), F.round(F.avg("score"), 6).alias("mean_score")),
+        "ledger_run": _ledger_run,
         "tag_filter": lambda s, d: _tagged(s, d).where(F.arrays_overlap("tags", F.array(F.lit("fr"), F.lit("src3")))).select("doc_id"),
         "tag_inventory": lambda s, d: _tagged(s, d).select(F.explode("tags").alias("tag")).distinct(),
         "tag_histogram": lambda s, d: validate.tag_histogram(_tagged(s, d)),
@@ -414,6 +426,7 @@ SELECT n, round(po, 6) AS agreement, round(kappa, 6) AS kappa, CASE WHEN kappa <
         "runs_with_rows": f"WITH {_RUNS} SELECT runs.*, rw.example_id, rw.score FROM runs JOIN rw ON rw.run_id = runs.run_id",
         "suite_run": f"WITH {_SUITE} SELECT conv_id, turn, score, reasoning FROM su",
         "suite_mean": f"WITH {_SUITE} SELECT count(*) AS n_rows, round(avg(score), 6) AS mean_score FROM su",
+        "ledger_run": f"WITH {_SUITE}, sr AS (SELECT su.*, w.input, w.answer FROM su JOIN wc w USING (conv_id, turn)) SELECT count(*) AS n_rows, round(avg(score), 6) AS mean_score, count(DISTINCT (input, answer)) AS n_asked FROM sr",
         "validate_summary": f"WITH {_VALID} SELECT FALSE AS ok, count(*) AS n_rows, count_if(code = 'valid')::BIGINT AS n_valid, count_if(code <> 'valid')::BIGINT AS n_findings, 'v1' AS dataset_version FROM v",
         "validate_findings": f"""WITH {_VALID} SELECT line_no, code, CASE (line_no - 1) % 10 WHEN 1 THEN 'blank line; dataset must have one JSON object per line' WHEN 2 THEN 'invalid JSON: Expecting property name enclosed in double quotes'
   WHEN 5 THEN 'dataset_version ''v2'' does not match file version ''v1''' WHEN 7 THEN 'duplicate id ''d' || (line_no - 2) || '''; first seen at line ' || (line_no - 1) || '; ids must be unique within a file'

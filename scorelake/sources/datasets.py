@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import math
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -14,7 +15,7 @@ from scorelake.functions import text as T
 from scorelake.operators import drift, validate
 from scorelake.operators.judging import tagged
 from scorelake.operators.ordinals import numbered
-from scorelake.sources import history, scratch
+from scorelake.sources import history, scratch, workers
 
 GOLDEN = "id string, input string, expected_outputs array<struct<kind:string,value:string>>, dataset_version string, provenance string, tags array<string>"
 CALIBRATION = "id string, prompt string, response string, rubric string, human_score double, provenance string"
@@ -153,33 +154,55 @@ def _run_of(text: str) -> dict:
         if not isinstance(x, dict):
             raise ValueError(f"a run's row must be a JSON object; got {x!r}")
         rows.append({"example_id": _named(x.get("example_id"), "example_id"), "score": _finite(x.get("score"), "score"), "reasoning": str(x.get("reasoning", ""))})
-    ids = [x["example_id"] for x in rows]
-    if len(set(ids)) < len(ids):
-        raise ValueError(f"example_id {next(i for i in ids if ids.count(i) > 1)!r} comes more than once")
+    commonest = Counter(x["example_id"] for x in rows).most_common(1)
+    if commonest and commonest[0][1] > 1:
+        raise ValueError(f"example_id {commonest[0][0]!r} comes more than once")
     if int(_finite(r.get("n_rows", len(rows)), "n_rows")) != len(rows):
         raise ValueError(f"n_rows is {r['n_rows']}, but there are {len(rows)} rows")
     kappa = r.get("judge_kappa")
-    return {
-        "run_id": _named(r.get("run_id"), "run_id"), "started_at": r.get("started_at"), "dataset_version": r.get("dataset_version", ""), "judge_model": r.get("judge_model"),
-        "judge_kappa": kappa if kappa is None else _finite(kappa, "judge_kappa"), "mean_score": _finite(r.get("mean_score"), "mean_score"), "n_rows": len(rows), "git_sha": r.get("git_sha"), "suite": r.get("suite"), "rows": rows,
+    return {n: _named(r.get(n), n) for n in ("run_id", "started_at", "suite")} | {
+        "dataset_version": r.get("dataset_version", ""), "judge_model": r.get("judge_model"), "judge_kappa": kappa if kappa is None else _finite(kappa, "judge_kappa"),
+        "mean_score": _finite(r.get("mean_score"), "mean_score"), "n_rows": len(rows), "git_sha": r.get("git_sha"), "rows": rows,
     }
 
 
-def load_run(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(their rows of runs, their rows) of runs' JSON files, one object a file, as ``runs.diff_runs`` takes them.
-
-    An object must have a run_id, a finite mean_score, and rows of a filled, unrepeated example_id and a finite score;
-    n_rows must agree if it is there. Anything else fails the job with its reason.
-    """
+def parsed_runs(spark: SparkSession, path: str) -> DataFrame:
+    """(file, reason, the columns of ``history.RUNS``, rows) of runs' JSON files, one object a file, written down. reason
+    tells why a file holds no run, else it is null: an object must have a filled run_id, started_at and suite, a finite
+    mean_score, and rows of a filled, unrepeated example_id and a finite score; n_rows must agree if it is there."""
+    schema = pa.schema([("file", pa.string()), ("reason", pa.string()), *_RUN])
+    workers.importable(spark)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_pylist([_run_of(t) for t in b.column("value").to_pylist()], schema=_RUN)
+            for file, text in zip(b.column("file").to_pylist(), b.column("value").to_pylist(), strict=True):  # a file's rows at a time
+                try:
+                    found = pa.RecordBatch.from_pylist([{"file": file} | _run_of(text)], schema=schema)
+                except (ValueError, TypeError, pa.ArrowInvalid) as e:
+                    found = pa.RecordBatch.from_pylist([{"file": file, "reason": f"{type(e).__name__}: {e}"}], schema=schema)
+                yield found
+
+    text = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
+    return scratch.written(text.mapInArrow(run, f"file string, reason string, {history.RUNS}, rows array<struct<example_id:string,score:double,reasoning:string>>"), "runs")
+
 
-    made = scratch.written(spark.read.text(path, wholetext=True).mapInArrow(run, history.RUNS + ", rows array<struct<example_id:string,score:double,reasoning:string>>"), "runs")
+def load_run(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(their rows of runs, their rows) of runs' JSON files, as ``runs.diff_runs`` takes them; a file that holds no run
+    (``parsed_runs``) is an error with its reason."""
+    made = parsed_runs(spark, path)
+    bad = made.where("reason is not null").orderBy("file").select("file", "reason").first()
+    if bad is not None:
+        raise ValueError(f"{bad['file']}: {bad['reason']}")
+    made = made.drop("file", "reason")
     return made.drop("rows"), made.select("run_id", F.explode("rows").alias("r")).select("r.*", "run_id")
 
 
+def append_folder(spark: SparkSession, path: str, base: str) -> DataFrame:
+    """Check and append all runs of a folder's JSON files to the history below ``base`` in one job and one commit:
+    (file, run_id, reason), reason null for what was appended."""
+    return history.append_runs(parsed_runs(spark, path), base)
+
+
 def canonical(rows: DataFrame) -> DataFrame:
     """(line_no, value): examples as JSON with sorted keys and no spaces; empty tags are left out."""
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from scorelake.functions import markdown
 from scorelake.functions import text as T
 from scorelake.operators import judging, runs, validate
-from scorelake.sources import datasets, history, scratch
+from scorelake.sources import commits, datasets, history, scratch
 
 
 def _example(i, version="v1", **more):
@@ -125,6 +125,91 @@ def test_run_history(spark, tmp_path):
     assert history.runs(spark, base).count() == 2 and history.runs(spark, base + "x").count() == 0
 
 
+def test_two_writers_of_a_run(spark, tmp_path):
+    """Two threads write one run_id, held back until both have written their rows: one wins, no row of the other is seen."""
+    import threading
+
+    base, gate, seen = str(tmp_path / "db"), threading.Barrier(2), []
+    real = commits.Log.commit
+
+    def together(self, attempt, check):
+        gate.wait(60)
+        real(self, attempt, check)
+
+    def write(score):
+        rows = spark.createDataFrame([(f"{score}-{i}", score, "") for i in range(3)], "example_id string, score double, reasoning string")
+        try:
+            history.write_run(rows, base, "r", "t", "s", "v1")
+            seen.append(("won", score))
+        except ValueError as e:
+            seen.append((str(e), score))
+
+    commits.Log.commit = together
+    try:
+        threads = [threading.Thread(target=write, args=(x,)) for x in (0.25, 0.75)]
+        for t in threads:
+            t.start()
+        for t in threads:
+            t.join()
+    finally:
+        commits.Log.commit = real
+    won = [s for what, s in seen if what == "won"]
+    assert len(won) == 1 and sorted(what for what, _ in seen) == sorted(["won", "failed to persist run 'r': run_id exists"])
+    run, own = history.read_run(spark, base, "r")
+    assert run.first()["mean_score"] == won[0] and {r["score"] for r in own.collect()} == {won[0]} and history.rows(spark, base).count() == 3
+
+
+def test_an_entry_of_the_log_has_one_writer(spark, tmp_path):
+    import threading
+
+    log, got = commits.Log(spark, str(tmp_path)), []
+    gate = threading.Barrier(8)
+
+    def claim(i):
+        gate.wait(30)
+        try:
+            log.claim(0, f"a{i}")
+            got.append(i)
+        except commits.Taken:
+            pass
+
+    threads = [threading.Thread(target=claim, args=(i,)) for i in range(8)]
+    for t in threads:
+        t.start()
+    for t in threads:
+        t.join()
+    assert len(got) == 1 and log.attempts() == [f"a{got[0]}"]
+    log.local = None  # as on other file systems
+    log.claim(1, "b")
+    with pytest.raises(commits.Taken):
+        log.claim(1, "c")
+    assert log.attempts() == [f"a{got[0]}", "b"]
+
+
+def test_a_folder_of_runs_is_one_commit(spark, tmp_path):
+    """1000 run files, some bad, some with the same run_id, one that is there already."""
+    base, folder = str(tmp_path / "db"), tmp_path / "runs"
+    folder.mkdir()
+    rows = spark.createDataFrame([("a", 0.5, "x")], "example_id string, score double, reasoning string")
+    history.write_run(rows, base, "r00017", "t", "s", "v1")
+    make = lambda i, **more: {"run_id": f"r{i:05d}", "started_at": f"t{i}", "suite": f"s{i % 3}", "mean_score": 0.5, "n_rows": 2, "rows": [{"example_id": "a", "score": 0}, {"example_id": "b", "score": i / 1000}]} | more
+    bad = {5: {"mean_score": None}, 6: {"run_id": "r00007"}, 8: {"rows": [{"example_id": "a", "score": True}], "n_rows": 1}, 9: {"suite": None}, 10: {"started_at": ""}}
+    for i in range(1000):
+        (folder / f"{i:05d}.json").write_text(json.dumps(make(i, **bad.get(i, {}))) if i != 11 else "{")
+    verdicts = {r["file"].rsplit("/", 1)[1]: r["reason"] for r in datasets.append_folder(spark, str(folder), base).collect()}
+    assert len(verdicts) == 1000
+    failed = {int(f[:5]): why for f, why in verdicts.items() if why}
+    assert sorted(failed) == [5, 7, 8, 9, 10, 11, 17]
+    for i, part in ((5, "mean_score must be a finite number; got None"), (7, "00006.json"), (8, "score must be a finite"), (9, "suite must be"), (10, "started_at must be"), (11, "JSONDecodeError"), (17, "'r00017': run_id exists")):
+        assert part in failed[i]
+    assert history.runs(spark, base).count() == 1000 - 7 + 1 and history.rows(spark, base).count() == 2 * (1000 - 7) + 1
+    assert commits.Log(spark, base).attempts().__len__() == 2
+    one, own = history.read_run(spark, base, "r00999")
+    assert one.first()["started_at"] == "t999" and sorted(tuple(r) for r in own.collect()) == [("a", 0.0, "", "r00999"), ("b", 0.999, "", "r00999")]
+    again = datasets.append_folder(spark, str(folder), base)
+    assert again.where("reason is null").count() == 0 and len(commits.Log(spark, base).attempts()) == 2
+
+
 def test_markdown_cells(spark):
     r = spark.createDataFrame([("a|b`c\r\nd",)], "t string").select(markdown.code_cell(F.col("t")).alias("c"), markdown.code_span(F.col("t")).alias("s")).first()
     assert (r["c"], r["s"]) == ("`a\\|b'c d`", "`a|b'c d`")
@@ -139,7 +224,7 @@ def test_run_files(spark, tmp_path):
     rows, summary = runs.diff_runs(two, one)
     assert summary.first()["mean_delta"] == 0.25 and [r["status"] for r in rows.collect()] == ["improved", "removed"]
     row = good["rows"][0]
-    bad = [[good], good | {"rows": 3}, good | {"rows": [3]}, good | {"rows": [row, row]}, good | {"n_rows": 3}, good | {"mean_score": float("nan")}, good | {"mean_score": True}, {k: v for k, v in good.items() if k != "mean_score"}, good | {"run_id": ""}, good | {"run_id": None}]
+    bad = [[good], good | {"rows": 3}, good | {"rows": [3]}, good | {"rows": [row, row]}, good | {"n_rows": 3}, good | {"mean_score": float("nan")}, good | {"mean_score": True}, {k: v for k, v in good.items() if k != "mean_score"}, good | {"run_id": ""}, good | {"run_id": None}, good | {"suite": None}, {k: v for k, v in good.items() if k != "started_at"}]
     bad += [good | {"rows": [row | c], "n_rows": 1} for c in ({"example_id": None}, {"example_id": 3}, {"example_id": ""}, {"score": None}, {"score": True}, {"score": float("inf")}, {"score": []})]
     for x in bad:
         with pytest.raises(Exception, match="ValueError"):
@@ -206,6 +291,68 @@ def test_calibration_run(spark, tmp_path):
         judging.calibrate(rows, Shout, float("nan"))
 
 
+def test_ledger_asks_each_question_once_and_resumes(spark, tmp_path):
+    """40 examples with 12 different questions; the judge breaks at one of them, then answers; then nothing is asked."""
+    notes = tmp_path / "notes"
+    notes.mkdir()
+
+    def backend(broken):
+        class Noting:
+            def complete(self, system, user, folder=str(notes), broken=broken):
+                import os
+                import uuid
+
+                if broken and "word7" in user:
+                    raise RuntimeError("the judge is gone")
+                with open(os.path.join(folder, uuid.uuid4().hex), "w") as f:
+                    f.write(user)
+                return f"SCORE: 0.{len(user) % 10}\nREASONING: said"
+
+        return Noting
+
+    rows = spark.createDataFrame([(f"e{i}", f"word{i % 12}", "a" * (i % 12)) for i in range(40)], "id string, input string, answer string").repartition(5)
+    examples = rows.select("id", "input", F.array(F.struct(F.lit("exact").alias("kind"), F.col("answer").alias("value"))).alias("expected_outputs"), F.lit("v1").alias("dataset_version"), F.array().cast("array<string>").alias("tags"))
+    ledger, base = judging.Ledger(str(tmp_path / "ledger"), "j"), str(tmp_path / "db")
+    asked = lambda: sorted(p.read_text() for p in notes.iterdir())
+    with pytest.raises(Exception, match="the judge is gone"):
+        judging.run_suite(examples, backend(True), base, "r1", "t", "s", ledger=ledger)
+    assert history.runs(spark, base).count() == 0
+    stored = ledger.answers(spark).count()
+    before = len(asked())
+    run, own = judging.run_suite(examples, backend(False), base, "r1", "t", "s", ledger=ledger)
+    # what was stored is not asked again: only what the broken block lost is, besides what was open
+    assert len(asked()) - before == 12 - stored and len(set(asked())) == 12 and ledger.answers(spark).count() == 12
+    assert run.first()["n_rows"] == 40 and own.where("score is null").count() == 0
+    judging.run_suite(examples, backend(False), base, "r2", "t", "s", ledger=ledger)
+    assert len(asked()) - before == 12 - stored
+    judging.run_suite(examples, backend(False), base, "r3", "t", "s", ledger=judging.Ledger(ledger.folder, "another"))
+    assert len(asked()) - before == 24 - stored
+
+
+def test_patient_backends():
+    class Status(Exception):
+        def __init__(self, status_code):
+            self.status_code = status_code
+
+    class Failing:
+        def __init__(self, *errors):
+            self.errors = list(errors)
+
+        def complete(self, system, user):
+            if self.errors:
+                raise self.errors.pop(0)
+            return "said"
+
+    waits = []
+    ask = lambda *errors, **more: judging.Patient(Failing(*errors), sleep=waits.append, **more).complete("", "")
+    assert ask(Status(429), ConnectionError(), TimeoutError()) == "said" and waits == [0.5, 1.0, 2.0]
+    for errors in ([Status(400)], [ValueError()], [Status(503)] * 4):
+        with pytest.raises(Exception):
+            ask(*errors)
+    waits.clear()
+    assert ask(*[Status(529)] * 7, tries=8, most=4.0) == "said" and waits == [0.5, 1.0, 2.0, 4.0, 4.0, 4.0, 4.0]
+
+
 def test_stub_judges(spark):
     asked = spark.createDataFrame([("say yes or no",), ("say no",), ("none",)], "t string")
     got = asked.select(T.needle_judge(F.col("t"), {"yes": 0.9, "no": 0.1}).alias("a"), T.needle_judge(F.col("t"), {"say": 0.3}, 0.8).alias("b"), T.constant_judge(0.7).alias("c"), T.length_judge(F.col("t")).alias("d")).collect()
@@ -217,7 +364,7 @@ def test_validation_report(spark):
     good, twice = json.dumps(_example("a", tags=["x", "x"])), json.dumps(_example("a", tags=["y"]))
     summary, findings, tags = validate.report(validate.outcomes(df([good, twice, json.dumps(_example("b", "v2")), ""])))
     assert tuple(summary.first()) == (False, 4, 1, 3, "v1") and [(r["tag"], r["count"]) for r in tags.collect()] == [("x", 2)]
-    assert [tuple(r) for r in findings.collect()] == [(2, "duplicate_id", "duplicate id 'a'"), (3, "version_drift", "dataset_version 'v2' differs from 'v1'"), (4, "parse", "blank line")]
+    assert [tuple(r) for r in findings.collect()] == [(2, "duplicate_id", "duplicate id 'a'; first seen at line 1; ids must be unique within a file"), (3, "version_drift", "dataset_version 'v2' does not match file version 'v1'"), (4, "parse", "blank line; dataset must have one JSON object per line")]
     assert tuple(validate.report(validate.outcomes(df([good])))[0].first()) == (True, 1, 1, 0, "v1")
     empty = spark.createDataFrame([], "line_no long, line string")
     for found in (validate.outcomes(empty), validate.calibration_outcomes(empty)):
