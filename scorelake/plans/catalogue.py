@@ -18,8 +18,9 @@ from pyspark.sql import functions as F
 
 from scorelake.functions import hashed, markdown
 from scorelake.functions import text as T
-from scorelake.operators import drift, judging, ordinals, runs, validate
+from scorelake.operators import drift, judging, matching, ordinals, runs, validate
 from scorelake.sources import scratch
+from scorelake.streaming import drift_stream
 
 
 def _read(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -137,6 +138,30 @@ def _ledger_run(s, d) -> DataFrame:
     return whole.crossJoin(F.broadcast(s.read.parquet(ledger.folder).agg(F.count("*").alias("n_asked"))))  # one row each
 
 
+def _replayed(s, d) -> DataFrame:
+    """All events but views, replayed as a stream in four batches that each hold rows of all times, so that most rows are
+    late, against the stored histogram of the views; a window is a day, 40 days are waited for."""
+    e = _read(s, d, "events")
+    at = F.to_timestamp_ltz(F.concat(F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS"), F.lit("+00:00")), F.lit("yyyy-MM-dd HH:mm:ss.SSSSSSXXX"))
+    e = e.select("event_id", "event_type", at.alias("ts"), F.least(F.lit(1.0), F.col("value") / 100).alias("score"))
+    golden = drift_stream.stored_counts(e.where("event_type = 'view'"), T.judge_bucket(F.col("score")), T.JUDGE_BUCKETS)
+    source, out, checkpoint = (scratch.folder(s, f"stream-{x}") for x in ("source", "out", "checkpoint"))
+    e.where("event_type <> 'view'").repartition(4, "event_id").write.parquet(source)
+    stream = s.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(source)
+    drift_stream.write(drift_stream.windows(stream, "ts", T.judge_bucket(F.col("score")), golden, "1 day", "40 days"), out, checkpoint).awaitTermination()
+    return drift_stream.latest(s, out).select(F.unix_timestamp("window_start").alias("window_start"), "n", F.array_join("counts", ",").alias("counts"), F.round("drift_score", 6).alias("drift_score"), "status")
+
+
+def _expected(s, d) -> DataFrame:
+    """Replies with what is expected of them: the same text in capitals for every third conversation, an expression made
+    of what was asked, and a meaning like that of what was asked."""
+    rows = judging.with_answers(_asked(s, d)).drop("expected_outputs")
+    exact = F.when(F.col("conv_id") % 3 == 0, F.concat(F.lit("  "), F.upper("answer"), F.lit("\u00a0"))).otherwise("nothing")
+    stem = F.regexp_replace(F.lower(F.substring("input", 1, 3)), "[^a-z]", "")
+    made = F.array(*(F.struct(F.lit(k).alias("kind"), v.alias("value")) for k, v in (("exact", exact), ("regex", F.concat(stem, F.lit("[a-z]+e "))), ("semantic", F.col("input")))))
+    return matching.matched(rows.withColumn("expected_outputs", made), least=0.5).select("conv_id", "turn", "matched", F.array_join("met", ",").alias("met"))
+
+
 def _calibration_set(s, d) -> DataFrame:
     """Calibration rows made of labels and documents: the prompt is a text's first three words, the rubric its source."""
     docs, labels = _read(s, d, "documents"), _read(s, d, "labels")
@@ -271,6 +296,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "suite_run": _suite,
         "suite_mean": lambda s, d: _suite(s, d).agg(F.count("*").alias("n_rows"), F.round(F.avg("score"), 6).alias("mean_score")),
         "ledger_run": _ledger_run,
+        "stream_drift": _replayed,
+        "match_outputs": _expected,
         "tag_filter": lambda s, d: _tagged(s, d).where(F.arrays_overlap("tags", F.array(F.lit("fr"), F.lit("src3")))).select("doc_id"),
         "tag_inventory": lambda s, d: _tagged(s, d).select(F.explode("tags").alias("tag")).distinct(),
         "tag_histogram": lambda s, d: validate.tag_histogram(_tagged(s, d)),
@@ -426,6 +453,18 @@ SELECT n, round(po, 6) AS agreement, round(kappa, 6) AS kappa, CASE WHEN kappa <
         "runs_with_rows": f"WITH {_RUNS} SELECT runs.*, rw.example_id, rw.score FROM runs JOIN rw ON rw.run_id = runs.run_id",
         "suite_run": f"WITH {_SUITE} SELECT conv_id, turn, score, reasoning FROM su",
         "suite_mean": f"WITH {_SUITE} SELECT count(*) AS n_rows, round(avg(score), 6) AS mean_score FROM su",
+        "stream_drift": f"""WITH e AS (SELECT CAST(epoch(time_bucket(INTERVAL '1 day', ts)) AS BIGINT) AS window_start, event_type = 'view' AS golden, least(9, CAST(floor(least(1.0, value / 100) * 10) AS INTEGER)) AS bucket FROM events),
+g AS (SELECT b.range AS bucket, count(e.bucket) AS n FROM range(10) b LEFT JOIN e ON golden AND e.bucket = b.range GROUP BY ALL), w AS (SELECT DISTINCT window_start FROM e WHERE NOT golden),
+k AS (SELECT window_start, bucket, count(*) AS n FROM e WHERE NOT golden GROUP BY ALL), c AS (SELECT w.window_start, b.range AS bucket, coalesce(k.n, 0) AS n FROM w CROSS JOIN range(10) b LEFT JOIN k ON k.window_start = w.window_start AND k.bucket = b.range),
+p AS (SELECT c.window_start, c.bucket, c.n, g.n / (SELECT sum(n) FROM g) AS p, c.n / sum(c.n) OVER (PARTITION BY c.window_start) AS q FROM c JOIN g USING (bucket)),
+t AS (SELECT window_start, CAST(sum(n) AS BIGINT) AS n, string_agg(CAST(n AS VARCHAR), ',' ORDER BY bucket) AS counts, sum(CASE WHEN p > 0 THEN p * log2(p / ((p + q) / 2)) ELSE 0 END + CASE WHEN q > 0 THEN q * log2(q / ((p + q) / 2)) ELSE 0 END) / 2 AS v FROM p GROUP BY ALL)
+SELECT window_start, n, counts, round(least(1, greatest(0, v)), 6) AS drift_score, CASE WHEN v > 0.1 THEN 'drifted' ELSE 'ok' END AS status FROM t""",
+        "match_outputs": f"""WITH {_ASKED}, tok AS (SELECT conv_id, turn, 0 AS side, unnest(regexp_extract_all(lower(input), '[\\p{{L}}\\p{{N}}]+')) AS token FROM ask UNION ALL SELECT conv_id, turn, 1, unnest(regexp_extract_all(lower(answer), '[\\p{{L}}\\p{{N}}]+')) FROM ask),
+m AS (SELECT conv_id, turn, side, CAST(concat('0x', right(sha1(token), 2)) AS INTEGER) % 128 AS m FROM tok), cells AS (SELECT conv_id, turn, side, m % 64 AS bucket, sum(CASE WHEN m >= 64 THEN 1 ELSE -1 END) AS weight FROM m GROUP BY ALL),
+norms AS (SELECT conv_id, turn, side, sqrt(CAST(sum(weight * weight) AS DOUBLE)) AS norm FROM cells GROUP BY ALL), dots AS (SELECT a.conv_id, a.turn, sum(a.weight * b.weight) AS dot FROM cells a JOIN cells b ON a.conv_id = b.conv_id AND a.turn = b.turn AND a.bucket = b.bucket AND a.side = 0 AND b.side = 1 GROUP BY ALL),
+sims AS (SELECT d.conv_id, d.turn, round(CAST(dot AS DOUBLE) / a.norm / b.norm, 12) AS sim FROM dots d JOIN norms a ON a.conv_id = d.conv_id AND a.turn = d.turn AND a.side = 0 JOIN norms b ON b.conv_id = d.conv_id AND b.turn = d.turn AND b.side = 1),
+hits AS (SELECT ask.conv_id, ask.turn, [CASE WHEN ask.conv_id % 3 = 0 OR lower(trim(answer)) = 'nothing' THEN 0 END, CASE WHEN regexp_matches(answer, regexp_replace(lower(substr(input, 1, 3)), '[^a-z]', '', 'g') || '[a-z]+e ') THEN 1 END, CASE WHEN sim >= 0.5 THEN 2 END] AS h FROM ask LEFT JOIN sims USING (conv_id, turn))
+SELECT conv_id, turn, len(list_filter(h, lambda x: x IS NOT NULL)) > 0 AS matched, coalesce(array_to_string(list_filter(h, lambda x: x IS NOT NULL), ','), '') AS met FROM hits""",
         "ledger_run": f"WITH {_SUITE}, sr AS (SELECT su.*, w.input, w.answer FROM su JOIN wc w USING (conv_id, turn)) SELECT count(*) AS n_rows, round(avg(score), 6) AS mean_score, count(DISTINCT (input, answer)) AS n_asked FROM sr",
         "validate_summary": f"WITH {_VALID} SELECT FALSE AS ok, count(*) AS n_rows, count_if(code = 'valid')::BIGINT AS n_valid, count_if(code <> 'valid')::BIGINT AS n_findings, 'v1' AS dataset_version FROM v",
         "validate_findings": f"""WITH {_VALID} SELECT line_no, code, CASE (line_no - 1) % 10 WHEN 1 THEN 'blank line; dataset must have one JSON object per line' WHEN 2 THEN 'invalid JSON: Expecting property name enclosed in double quotes'
