@@ -264,7 +264,8 @@ def _spans_and_words(keep_type: pa.DataType, batches: Iterator[pa.RecordBatch])
 
 
 def value_costs(values: DataFrame, words: DataFrame) -> DataFrame:
-    """(value, bits) of the distinct values, by words (word, n): only words that lie in some value are looked up."""
+    """(value, bits) of the distinct values, by counts of words (word, n), of which a word may have several: only words
+    that lie in some value are added up."""
     listed = listed_bits()
     total = float(words.agg(F.sum("n")).first()[0] or 1)
 
@@ -284,8 +285,9 @@ def value_costs(values: DataFrame, words: DataFrame) -> DataFrame:
                 bits.append(guess_bits(v, own | {w: min(x, own.get(w, x)) for w, x in listed.items()}))
             yield pa.RecordBatch.from_arrays([b.column("value"), pa.array(bits, pa.float64())], names=["value", "bits"])
 
-    asked = values.mapInArrow(parts, "value string, word string")
-    found = asked.join(words, "word").groupBy("value").agg(F.collect_list(F.struct("word", "n")).alias("found"))  # words of one value
+    asked = written(values.mapInArrow(parts, "value string, word string"), "asked")
+    known = words.join(asked.select("word").distinct(), "word", "left_semi").groupBy("word").agg(F.sum("n").alias("n"))
+    found = asked.join(known, "word").groupBy("value").agg(F.collect_list(F.struct("word", "n")).alias("found"))  # words of one value
     return values.join(found, "value", "left").mapInArrow(cost, "value string, bits double")
 
 
@@ -306,7 +308,7 @@ def find_secrets(docs: DataFrame, text: str = "text", keep: list[str] | None = N
 
         made = written(rows.mapInArrow(run, schema).withColumn("id", F.monotonically_increasing_id()), "found")
         texts = made.where("row is not null").drop("word", "n")
-        words = made.where("word is not null").groupBy("word").agg(F.sum("n").alias("n"))
+        words = made.where("word is not null").select("word", "n")
         hard = texts.where(F.size("values") > 0).select("id", F.explode("values").alias("v")).select("id", "v.*")
         costs = written(value_costs(hard.select("value").distinct(), words).where(F.col("bits") >= least_bits), "costs")
         guesses = hard.join(costs, "value").groupBy("id").agg(F.collect_list(F.struct("start", F.lit(len(BASE)).alias("rank"), "end", "bits")).alias("guesses"))  # values of one text
