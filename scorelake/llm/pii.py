@@ -11,6 +11,8 @@ linear in the text.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -54,6 +56,8 @@ CONTEXT = {
 #: Score of an added span whose country code is not in the registry: it needs a word nearby to reach the least score.
 UNLISTED = 0.4
 CONTEXT_CHARS = 40
+#: Steps of a fold between two of its results.
+BLOCK = 256
 _SPANS = "array<struct<kind:string,start:int,end:int,score:double>>"
 _OCTET = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[0-9]{1,2})"
 
@@ -87,6 +91,18 @@ def _confirmed(kind: str, match: Column) -> Column:
     return F.lit(True)
 
 
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once: a lambda's own expressions are computed at each of its uses."""
+    return F.transform(F.array(value), body)[0]
+
+
+def blocks(array: Column) -> Column:
+    """The array in pieces of ``BLOCK``, so that what a fold appends to stays short and the whole takes linear time."""
+    n = F.size(array)
+    starts = F.when(n > 0, F.sequence(F.lit(1), F.greatest(n, F.lit(1)), F.lit(BLOCK))).otherwise(F.array().cast("array<int>"))
+    return F.transform(starts, lambda i: F.slice(array, i, F.lit(BLOCK)))
+
+
 def spans_of(text: Column, kind: str) -> Column:
     """Confirmed spans of one kind in the text, by start.
 
@@ -99,7 +115,6 @@ def spans_of(text: Column, kind: str) -> Column:
     n = F.size(matches)
     steps = F.arrays_zip(F.slice(gaps, 1, n).alias("gap"), matches.alias("match"), F.slice(gaps, F.lit(2), n).alias("after"))
     base, words = CONTEXT[kind]
-    zero = F.struct(F.lit(0).alias("at"), F.lit(0).alias("free"), F.array().cast(_SPANS).alias("spans"))
 
     def step(acc: Column, s: Column) -> Column:
         start = acc["at"] + F.length(s["gap"])
@@ -117,7 +132,12 @@ def spans_of(text: Column, kind: str) -> Column:
         kept = F.when(good, F.concat(acc["spans"], F.array(span))).otherwise(acc["spans"])
         return F.struct((start + 1 if ahead else end).alias("at"), F.when(good, end).otherwise(acc["free"]).alias("free"), kept.alias("spans"))
 
-    found = F.aggregate(steps, zero, step, lambda acc: acc["spans"])
+    def block(acc: Column, part: Column) -> Column:
+        done = F.aggregate(part, F.struct(acc["at"].alias("at"), acc["free"].alias("free"), F.array().cast(_SPANS).alias("spans")), step)
+        return bound(done, lambda d: F.struct(d["at"].alias("at"), d["free"].alias("free"), F.concat(acc["blocks"], F.array(d["spans"])).alias("blocks")))
+
+    zero = F.struct(F.lit(0).alias("at"), F.lit(0).alias("free"), F.array().cast(f"array<{_SPANS}>").alias("blocks"))
+    found = bound(steps, lambda all_: F.flatten(F.aggregate(blocks(all_), zero, block, lambda acc: acc["blocks"])))
     possible = F.contains(text, F.lit(_NEEDS[kind])) if kind in _NEEDS else text.rlike("[0-9][ -]?[0-9]")
     return F.when(possible, found).otherwise(F.array().cast(_SPANS))
 
@@ -143,14 +163,25 @@ def redact(docs: DataFrame, text: str = "text") -> DataFrame:
     found = find_pii(docs.select(F.struct(*names).alias(mine), F.col(text)), text).withColumnRenamed("pii_spans", spans)
     ordered = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"], (-s["end"]).alias("neg_end"), s["kind"])))
     body = F.coalesce(F.col(text), F.lit(""))
-    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    pieces = F.array().cast("array<string>")
 
-    def step(acc: Column, s: Column) -> Column:
-        piece = F.concat(acc["out"], F.substring(body, acc["at"] + 1, s["start"] - acc["at"]), F.lit("["), F.upper(s["kind"]), F.lit("]"))
-        later = s["start"] >= acc["at"]
-        return F.struct(F.greatest(-s["neg_end"], acc["at"]).alias("at"), F.when(later, piece).otherwise(acc["out"]).alias("out"))
+    def block(acc: Column, part: Column) -> Column:
+        # substrings are taken from the block's own stretch of the text: to find a place in the whole is to read up to it
+        begin, last = acc["at"], F.greatest(acc["at"], F.array_max(F.transform(part, lambda s: -s["neg_end"])))
+        stretch = F.substring(body, begin + 1, last - begin)
+
+        def folded(own: Column) -> Column:
+            def step(a: Column, s: Column) -> Column:
+                new = F.array(F.substring(own, a["at"] - begin + 1, s["start"] - a["at"]), F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")))
+                return F.struct(F.greatest(-s["neg_end"], a["at"]).alias("at"), F.when(s["start"] >= a["at"], F.concat(a["out"], new)).otherwise(a["out"]).alias("out"))
+
+            return F.aggregate(part, F.struct(begin.alias("at"), pieces.alias("out")), step)
+
+        return bound(bound(stretch, folded), lambda d: F.struct(d["at"].alias("at"), F.concat(acc["out"], F.array(F.array_join(d["out"], ""))).alias("out")))
 
-    masked = F.aggregate(ordered, zero, step, lambda acc: F.concat(acc["out"], F.substring(body, acc["at"] + 1, F.length(body))))
+    zero = F.struct(F.lit(0).alias("at"), pieces.alias("out"))
+    rest = lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(body, acc["at"] + 1, F.length(body)))
+    masked = bound(ordered, lambda all_: F.aggregate(blocks(all_), zero, block, rest))
     value = F.when(F.size(spans) > 0, masked).otherwise(F.col(text))
     return found.select(*(value.alias(n) if n == text else F.col(mine)[n].alias(n) for n in names))
 
