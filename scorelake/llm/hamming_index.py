@@ -9,9 +9,13 @@ gathers the codes listed there. Only codes so gathered are compared with the que
 reranked by cosine in double precision on the original vectors. R is learned from the sample: ``QUANTILE`` of the
 distances of the sample's true neighbours (in the whole table neighbours are nearer still, so recall only grows).
 
-Every row is indexed, where it lies, in blocks of ``BLOCK`` rows. Queries come in batches of about ``QUERY_BATCH``
-(a broadcast of that bound); the index is not shuffled, and a task passes on the ``k`` best of each query. Queries
-that found fewer than ``k`` in the radius are asked again without one, so they get what a search of all rows gives.
+Every row is indexed, where it lies, in blocks of ``BLOCK`` rows, each one row of a table; the queries are packed into
+batches of ``QUERY_BATCH`` at most in the same way. Tasks pair the two tables' rows: a stated query set against all
+rows, in blocks. Neither is collected: the index is not shuffled, no vector but the sample's passes the driver (Spark
+broadcasts the packed queries only while they are smaller than its own threshold), and a task passes on the ``k`` best
+of each query. Queries that found fewer than ``k`` in the radius are asked again without one, so they get what a search
+of all rows gives. Norms and products are taken of vectors scaled by a power of two, so that very large and very small
+components neither overflow nor vanish.
 
 Defined cases: vectors that are null, of another length than the commonest of the sample (ties: the longest), zero,
 or with null or non-finite components take no part, neither as queries nor as candidates; an empty table gives no
@@ -25,10 +29,10 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -43,6 +47,8 @@ BLOCK = 4096
 QUERY_BATCH = 16384
 #: Looked-up codes, repeats included, that are held at a time.
 HELD = 1 << 20
+#: Neighbours found that a task holds before it passes on the best of them.
+MOST_BEST = 1 << 21
 _POPCOUNT = np.array([bin(i).count("1") for i in range(256)], np.uint8)
 #: Bits in which two byte values differ.
 _APART = _POPCOUNT[np.arange(256)[:, None] ^ np.arange(256)]
@@ -61,7 +67,14 @@ class Coder:
         return np.packbits(bits, axis=1)
 
 
+def scaled(x: np.ndarray) -> np.ndarray:
+    """Rows times the power of two that brings their largest component into [0.5, 1): exact, but for what vanishes beside
+    it."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, keepdims=True))[1])
+
+
 def unit(x: np.ndarray) -> np.ndarray:
+    x = scaled(x)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
@@ -138,7 +151,12 @@ def _words(codes: np.ndarray) -> np.ndarray:
 
 def search_block(coder: Coder, q_ids, q, ids, x, k: int, radius: int | None = None) -> tuple[list[tuple[int, int, float]], int]:
     """(query number, id, score) of the k nearest of each query in one block, and how many codes were compared."""
-    tables, qc = Tables(coder.codes(unit(x))), coder.codes(unit(q))
+    return searched(coder, Tables(coder.codes(unit(x))), q_ids, q, ids, x, k, radius)
+
+
+def searched(coder: Coder, tables: Tables, q_ids, q, ids, x, k: int, radius: int | None) -> tuple[list[tuple[int, int, float]], int]:
+    """``search_block`` of a block whose tables are there."""
+    qc, q, x = coder.codes(unit(q)), scaled(q), scaled(x)
     q_norm, x_norm = np.sqrt((q * q).sum(1)), np.sqrt((x * x).sum(1))
     out, compared = [], 0
     for qs, rows, n in tables.within(qc, coder.radius if radius is None else radius):
@@ -155,45 +173,74 @@ def search_block(coder: Coder, q_ids, q, ids, x, k: int, radius: int | None = No
     return out, compared
 
 
-def _blocks(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(ids, vectors) of up to ``BLOCK`` rows."""
-    ids: list[int] = []
-    vectors: list[np.ndarray] = []
-    for b in batches:
-        for lo in range(0, b.num_rows, BLOCK):
-            part = b.slice(lo, BLOCK)
-            ids += part.column("id").to_pylist()
-            vectors.append(part.column("vector").flatten().to_numpy(zero_copy_only=False).reshape(-1, width))
-            if len(ids) >= BLOCK:
-                yield np.array(ids), np.concatenate(vectors).astype(np.float64)
-                ids, vectors = [], []
-    if ids:
-        yield np.array(ids), np.concatenate(vectors).astype(np.float64)
-
-
-def _search(rows: DataFrame, queries: DataFrame, coder: Coder, width: int, k: int, radius: int | None) -> DataFrame:
-    """Rows ``FOUND``, k at most a query and task; ``queries``: (id, key, vector), distinct keys, in the shared folder."""
-    spark = rows.sparkSession
+def _packed(rows: DataFrame, size: int, width: int) -> DataFrame:
+    """(name, ids, keys, vectors): up to ``size`` of a partition's (id, key, vector) rows a row, as little-endian numbers."""
+    names = ["name", "ids", "keys", "vectors"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        n, number, part = 0, 0, TaskContext.get().partitionId()
+
+        def given() -> pa.RecordBatch:
+            cols = [np.concatenate([b.column(c).to_numpy(zero_copy_only=False) for b in held]).astype("<i8").tobytes() for c in ("id", "key")]
+            vectors = np.concatenate([b.column("vector").flatten().to_numpy(zero_copy_only=False) for b in held]).astype("<f8")
+            return pa.RecordBatch.from_arrays([pa.array([f"{part}-{number}"]), *(pa.array([c], pa.binary()) for c in (*cols, vectors.tobytes()))], names=names)
+
+        for b in batches:
+            while b.num_rows:
+                head = b.slice(0, size - n)
+                held.append(head)
+                n, b = n + head.num_rows, b.slice(head.num_rows)
+                if n == size:
+                    yield given()
+                    held, n, number = [], 0, number + 1
+        if held:
+            yield given()
+
+    return common.written(rows.select("id", "key", "vector").mapInArrow(run, "name string, ids binary, keys binary, vectors binary"), "packed")
+
+
+def _search(blocks: DataFrame, queries: DataFrame, coder: Coder, width: int, k: int, radius: int | None) -> DataFrame:
+    """Rows ``FOUND``, k at most a query and task; ``blocks``: the packed index; ``queries``: (id, key, vector), distinct
+    keys, in the shared folder."""
+    shared = blocks.sparkSession.sparkContext.broadcast(coder)  # two rotations
     batches = max(1, -(-queries.count() // QUERY_BATCH))
-    shared, found = spark.sparkContext.broadcast(coder), []
-    for n in range(batches):
-        part = queries.where(F.pmod(F.xxhash64("key"), F.lit(batches)) == n).orderBy("key").collect()  # QUERY_BATCH or so
-        sent = spark.sparkContext.broadcast((np.array([r["id"] for r in part]), np.array([r["key"] for r in part]), np.array([r["vector"] for r in part], np.float64).reshape(-1, width)))
-
-        def run(got: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            q_ids, keys, q = sent.value
-            best: list[tuple[int, int, float]] = []
-            for ids, x in _blocks(got, width):
-                best += search_block(shared.value, q_ids, q, ids, x, k, radius)[0]
-                if len(best) > 8 * k * len(q):
-                    best = _first(best, k)
-            best = _first(best, k)
-            cols = list(zip(*best, strict=True)) or [(), (), ()]
-            at = np.array(cols[0], np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(q_ids[at], pa.int64()), pa.array(keys[at], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.float64())], names=["query_id", "query_key", "vec_id", "score"])
-
-        found.append(rows.select("id", "vector").mapInArrow(run, FOUND))
-    return reduce(DataFrame.unionAll, found)
+    packs = _packed(queries.repartition(batches, "key"), QUERY_BATCH, width)
+    pairs = blocks.select("ids", "vectors", F.col("name").alias("block")).crossJoin(packs.select(F.col("ids").alias("q_ids"), F.col("keys").alias("q_keys"), F.col("vectors").alias("q"), F.col("name").alias("pack")))
+
+    def run(got: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: dict[str, list[tuple[int, int, float]]] = {}
+        asked: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+        last, ids, x, tables = None, None, None, None
+
+        def given() -> Iterator[pa.RecordBatch]:
+            for pack, found in best.items():
+                q_ids, keys = asked[pack]
+                cols = list(zip(*_first(found, k), strict=True)) or [(), (), ()]
+                at = np.array(cols[0], np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(q_ids[at], pa.int64()), pa.array(keys[at], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.float64())], names=["query_id", "query_key", "vec_id", "score"])
+            best.clear()
+            asked.clear()
+
+        for b in got:
+            for i in range(b.num_rows):
+                r = {c: b.column(c)[i] for c in b.schema.names}
+                number = lambda c, kind="<i8", r=r: np.frombuffer(r[c].as_buffer(), kind)
+                block, pack = r["block"].as_py(), r["pack"].as_py()
+                if block != last:
+                    last, ids, x = block, number("ids").copy(), number("vectors", "<f8").reshape(-1, width).copy()
+                    tables = Tables(shared.value.codes(unit(x)))
+                q_ids, q = number("q_ids").copy(), number("q", "<f8").reshape(-1, width)
+                asked.setdefault(pack, (q_ids, number("q_keys").copy()))
+                mine = best.setdefault(pack, [])
+                mine += searched(shared.value, tables, q_ids, q, ids, x, k, radius)[0]
+                if len(mine) > 8 * k * len(q_ids):
+                    best[pack] = _first(mine, k)
+                if sum(map(len, best.values())) > MOST_BEST:
+                    yield from given()
+        yield from given()
+
+    return pairs.mapInArrow(run, FOUND)
 
 
 def _first(found: list[tuple[int, int, float]], k: int) -> list[tuple[int, int, float]]:
@@ -220,11 +267,12 @@ def nearest(table: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_i
     coder = learn(np.array([r["vector"] for r in sample if len(r["vector"]) == width], np.float64))
     asked = rows.where("is_query").select("id", "vector", F.xxhash64("id", "vector").alias("key")).dropDuplicates(["key"])
     queries = common.written(asked, "queries")
-    found = common.written(_search(rows, queries, coder, width, k, None), "found")
+    blocks = _packed(rows.withColumn("key", F.lit(0).cast("long")), BLOCK, width)
+    found = common.written(_search(blocks, queries, coder, width, k, None), "found")
     enough = found.groupBy("query_key").agg(F.count("*").alias("n")).where(F.col("n") >= k).select(F.col("query_key").alias("key"))
     few = common.written(queries.join(enough, "key", "left_anti"), "few")
     if not few.isEmpty():
-        again = _search(rows, few, coder, width, k, 8 * len(coder.rotations[0]) * len(coder.rotations))
+        again = _search(blocks, few, coder, width, k, 8 * len(coder.rotations[0]) * len(coder.rotations))
         found = found.join(few.select(F.col("key").alias("query_key")), "query_key", "left_anti").unionByName(again)
     rank = F.row_number().over(Window.partitionBy("query_id", "query_key").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -3,9 +3,11 @@
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from scorelake.llm import common
 from scorelake.llm import hamming_index as H
 
 SCHEMA = "vec_id long, embedding array<float>"
@@ -81,7 +83,38 @@ def test_search_over_several_blocks_equals_brute_force(spark):
     assert all(s == pytest.approx(score[q][v], abs=1e-12) for q, w in one.items() for v, s in w if v in score[q])
 
 
-def test_recall_beyond_the_sample(spark):
+def test_recall_on_isotropic_vectors_beyond_the_sample(spark):
+    """40,000 vectors of no structure at all, five times the sample and ten blocks; several batches of queries."""
+    rng = np.random.default_rng(11)
+    x = rng.standard_normal((40_000, 64)).astype(np.float32)
+    ids = np.arange(len(x))
+    folder = common.folder(spark, "isotropic")
+    spark.createDataFrame(pa.table({"vec_id": pa.array(ids), "embedding": pa.array(list(x), pa.list_(pa.float32()))})).repartition(6).write.parquet(folder)
+    got = _found(H.query(spark.read.parquet(folder)))
+    recall = _recall(got, _brute(ids, x.astype(float), ids[::50]))
+    assert len(got) == 800 and recall >= 0.9, recall
+
+
+def test_small_batches_and_blocks_find_the_same(spark, monkeypatch):
+    x = _clustered(3000, dim=12, centres=20)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], SCHEMA).repartition(3)
+    want = _found(H.query(df))
+    for name, value in (("BLOCK", 700), ("QUERY_BATCH", 13), ("MOST_BEST", 50)):
+        monkeypatch.setattr(H, name, value)
+    assert _found(H.query(df)) == want and len(want) == 60
+
+
+def test_very_large_and_small_components(spark):
+    rows = [(0, [1e-200, 0.0]), (1, [1e-200, 1e-200]), (2, [1e200, 0.0]), (3, [-1e300, 1e300]), (50, [0.0, 5e-324]), (4, [1.0, 1e-320]), (5, [1e308, 1e308])]
+    got = _found(H.query(spark.createDataFrame(rows, "vec_id long, embedding array<double>")))
+    half = 2**0.5 / 2
+    near = lambda pairs: [(i, pytest.approx(s, abs=1e-12)) for i, s in pairs]
+    assert got[0] == near([(2, 1.0), (4, 1.0), (1, half), (5, half), (50, 0.0)])
+    assert got[50] == near([(1, half), (3, half), (5, half), (4, 0.0), (0, 0.0)])
+
+
+def test_recall_on_the_test_table(spark):
+    """2000 vectors, fewer than the sample holds."""
     e = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
     rows = e.toPandas()
     ids, x = rows["vec_id"].to_numpy(), np.stack(rows["embedding"]).astype(float)
