@@ -10,8 +10,9 @@ larger bucket picks a pivot: records that agree with it well are linked to it, a
 again on two more sampled tokens each, and so on for ``DEPTH`` levels; what is then still large is linked whole.
 Runs repeat until a pair at the threshold has been missed with probability ``1 - RECALL`` at most.
 
-The links only propose: their connected components are compared exactly, all pairs of each component in blocks, by
-the true sets. So every pair of a component with Jaccard index >= ``threshold`` counts, whichever run found it.
+The links only propose. A large component of them is parted where no two records that could be within the threshold
+are torn apart (by their rarest shingles), as texts that merely share much boilerplate are proposed as well. The
+components are then compared exactly, all pairs of each in blocks, by the true sets. So every pair of a component with Jaccard index >= ``threshold`` counts, whichever run found it.
 Large components are spread over block pairs; counts leave a block pair, not pairs.
 
 Result: one row per input row with class_id (the smallest doc_id that is linked to it by a chain of links, itself
@@ -30,7 +31,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -52,6 +53,8 @@ DEPTH = 4
 LINK, PIVOT_LINK, CLOSE = 0.58, 0.35, 0.65
 #: Records of a block of a large component; smaller components have smaller blocks, at least SMALL_BLOCK.
 BLOCK, SMALL_BLOCK, SPREAD = 1024, 128, 16
+#: Records from which on a component of proposed links is looked at before its pairs are compared.
+LOOSE = 512
 _WORD = re.compile(r"\w+")
 #: Words whose hashes a worker keeps.
 CACHED = 150_000
@@ -309,6 +312,37 @@ def _with_sets(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, StructType([*kept, StructField("shingles", BinaryType())]))
 
 
+def _tightened(members: DataFrame, sets_of: Callable[[DataFrame], DataFrame], threshold: float) -> DataFrame:
+    """``members`` (rec, component, size) with components of more than ``LOOSE`` records parted, so that no two records
+    within the threshold are.
+
+    Order a component's shingles by the number of its records that have them. Of two sets with Jaccard index t or more,
+    the n - ceil(t n) + 1 rarest shingles of each have one in common. So records that share such a shingle stay together,
+    and texts that share only what is common among them do not.
+    """
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for lo in range(0, b.num_rows, 200):
+                part = b.slice(lo, 200)
+                sets = [np.frombuffer(x, "<i8") for x in part.column("shingles").to_pylist()]
+                n = np.array([len(x) for x in sets])
+                at = pa.array(np.repeat(np.arange(len(sets)), n))
+                yield pa.RecordBatch.from_arrays([part.column("rec").take(at), part.column("component").take(at), pa.array(np.repeat(n, n)), pa.array(np.concatenate(sets))], names=["rec", "component", "n", "shingle"])
+
+    large = members.where(F.col("size") > LOOSE)
+    spread_out = common.written(sets_of(large.select("rec", "component")).mapInArrow(spread, "rec long, component long, n long, shingle long"), "shingles")
+    # a shingle that one record has comes first in the order and joins nothing
+    held = spread_out.groupBy("component", "shingle").agg(F.count("*").alias("times"), F.min("rec").alias("head")).where("times > 1")
+    shared = spread_out.join(held, ["component", "shingle"]).groupBy("rec", "n").agg(F.array_sort(F.collect_list(F.struct("times", "shingle", "head"))).alias("s"))  # a text's own shingles
+    first = F.col("n") - F.ceil(F.lit(threshold) * F.col("n") - 1e-9) + 1 - (F.col("n") - F.size("s"))
+    heads = shared.select("rec", F.explode(F.slice("s", F.lit(1), F.greatest(first, F.lit(0)).cast("int"))).alias("x")).select(F.col("rec").alias("a"), F.col("x.head").alias("b")).where("a <> b")
+    parts = common.connected_components(heads.distinct())
+    sizes = parts.groupBy("component").agg(F.count("*").alias("size")).where("size > 1")
+    tight = parts.join(sizes, "component").select(F.col("node").alias("rec"), "component", "size")
+    return members.where(F.col("size") <= LOOSE).select("rec", "component", "size").unionByName(tight)
+
+
 def _records(docs: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
     """(sketches, a row a row of ``docs``; records: rec, set_hash, first_id, copies, component, links)."""
     sketched = common.written(_sketched(docs), "sketches")
@@ -323,13 +357,24 @@ def _records(docs: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
     parts = common.written(common.connected_components(edges), "parts")
     sizes = common.written(parts.groupBy("component").agg(F.count("*").alias("size")).where("size > 1"), "sizes")
     members = common.written(parts.join(sizes, "component").select(F.col("node").alias("rec"), "component", "size"), "members")
+    texts = docs.select(F.col("doc_id").cast("long").alias("first_id"), F.col("text").cast("string").alias("text"))
+    repeated = common.written(with_sketch.where("times > 1").select("first_id").distinct(), "repeated")
+    if not repeated.isEmpty():  # of rows that repeat a doc_id and text one goes on, before a text is moved
+        again = texts.join(repeated, "first_id", "left_semi").dropDuplicates(["first_id", "text"])
+        texts = texts.join(repeated, "first_id", "left_anti").unionByName(again)
+
+    def sets_of(rows: DataFrame) -> DataFrame:
+        """``rows`` (rec, ...) with the record's shingles."""
+        wanted = rows.join(with_sketch.select("rec", "first_id", "set_hash"), "rec").join(texts, "first_id")
+        found = _with_sets(wanted.select(*rows.columns, "set_hash", "text")).drop("set_hash")
+        return found if repeated.isEmpty() else found.dropDuplicates(["rec"])  # texts that differ in white space only have one set
+
+    if not members.where(F.col("size") > LOOSE).isEmpty():
+        members = common.written(_tightened(members, sets_of, threshold), "tight")
     # a record goes to as many block pairs as there are blocks, so blocks grow with the component up to BLOCK
     n_blocks = F.greatest(F.least(F.ceil(F.col("size") / SMALL_BLOCK), F.lit(SPREAD)), F.ceil(F.col("size") / BLOCK)).cast("int")
-    placed = members.join(with_sketch.select("rec", "first_id", "copies", "set_hash"), "rec").withColumn("blocks", n_blocks).withColumn("block", F.pmod(F.xxhash64("rec", F.lit(5)), F.col("blocks")).cast("int"))
-    texts = docs.select(F.col("doc_id").cast("long").alias("first_id"), F.col("text").cast("string").alias("text"))
-    placed = _with_sets(placed.join(texts, "first_id").select("rec", "component", "copies", "set_hash", "blocks", "block", "text"))
-    if not with_sketch.where("times > 1").isEmpty():  # rows that repeat a record's doc_id and set: one of them goes on
-        placed = placed.dropDuplicates(["rec"])
+    placed = members.join(with_sketch.select("rec", "copies"), "rec").withColumn("blocks", n_blocks).withColumn("block", F.pmod(F.xxhash64("rec", F.lit(5)), F.col("blocks")).cast("int"))
+    placed = sets_of(placed.select("rec", "component", "copies", "blocks", "block"))
     placed = placed.select("rec", "component", "copies", "block", "shingles", F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least("block", o).alias("i"), F.greatest("block", o).alias("j")))).alias("p"))
     compared = placed.select("component", F.col("p.i").alias("i"), F.col("p.j").alias("j"), "rec", "copies", "block", "shingles").groupBy("component", "i", "j").applyInArrow(_block_links(threshold), "kind long, a long, b long")
     compared = common.written(compared, "compared")
