@@ -4,19 +4,26 @@ A page is a stream of tags and texts. The wrapper of a host starts as the stream
 stream is aligned with it, level by level of the open elements (``align``). Mismatches are resolved as they come:
 texts that differ become a slot, texts that stay the same on all pages are part of the template; what only some pages
 have becomes optional; what comes in different numbers, or more than ``FIXED`` times, becomes a repeated group; what
-comes in several orders becomes one repeated group of options. ``expression`` writes the wrapper out. Aligning is
-associative but for rare coincidences of texts, so tasks align what they hold and the results are aligned in turn:
+comes in several orders becomes one repeated group of options. ``expression`` writes the wrapper out. Below an
+element whose children have more than ``MOST_LABELS`` labels on the host's pages together classes are not told apart and
+all texts are slots; as that hangs on the whole host's labels, aligning is associative but for rare coincidences of
+texts. So tasks align what they hold and the results are aligned in turn:
 only wrappers are shuffled, a stream of them is merged one by one, and a host with most pages is salted first.
 
 The wrapper then says which of its texts are the article's (``labelled``):
 
-* Where pages mark the article (``article``, else ``main``), the texts inside, template or not.
+* Where pages mark the article (``article``, else ``main``), the texts inside, but for elements that the alignment and
+  their name both tell from it: a class or id names them a notice, a header ... (``WEAK``), and all their text is
+  template, the same on at least ``LEAST`` different pages. What only a name or only the alignment speaks against stays.
 * Elsewhere, the lines of text that hold a slot: not those that at least ``LEAST`` different pages share as they are,
-  nor lists of links (most of an element's text lies in links, on all pages of the host together).
+  nor lists of links (most of an element's text lies in links, on all pages of the host together). Both only before the
+  first or behind the last element with a slot among their neighbours in the aligned tree: what lies between is part
+  of the text (a list of links, if the elements beside it are lines of text), as is a paragraph beside some with slots.
 * Never what HTML sets apart (``nav``, ``footer``, ``aside``, ``form``, ``script`` ..., a ``header`` outside the
   article), roles that say so, hidden elements, or elements with a class or id all of whose parts name such a thing
   (``cookie-notice``, ``comments``, but neither ``has-sidebar`` nor ``share-price``); an element that holds the only
-  article is no such thing.
+  article, or the only main heading, is no such thing. Inside the article only containers whose class or id names
+  adverts, forms, menus, sharing or comments (``SET_APART``), and no paragraphs, headings, cells or items.
 
 A page is read along its host's labelled wrapper, one step a tag, so the time is linear. What a wrapper learned from
 other pages does not know is read by HTML's own meaning alone, and ``by_wrapper`` is false.
@@ -63,12 +70,15 @@ INLINE = {
 }
 LEFT_OUT = {"nav", "footer", "aside", "form", "head", "menu", "button", "select", "dialog", "svg", "object", "audio", "video", "canvas", "math"} | RAW
 LEFT_OUT_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "menu", "menubar", "alertdialog"}
-#: Parts of names of elements that are set apart, and parts that say nothing by themselves.
+#: Parts of names of elements that are set apart; the weak ones, inside an article, only if their text is template too.
 SET_APART = frozenset(
-    "ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner cookie cookies consent notice alert popup modal overlay "
-    "sidebar menu nav navbar navigation breadcrumb breadcrumbs header masthead footer comment comments respond replies disqus share sharing social related "
-    "recommended recommendations newsletter subscribe subscription login signup search pagination pager widget toolbar skip copyright legal disclaimer".split()
+    "ad ads advert adverts advertisement advertising adsense sponsor sponsored cookie cookies consent popup modal sidebar menu nav navbar navigation breadcrumb "
+    "breadcrumbs comment comments respond replies disqus share sharing social related recommended recommendations newsletter subscribe subscription login signup "
+    "search pagination pager widget toolbar".split()
 )
+WEAK = frozenset("promo promotion banner notice alert overlay header masthead footer skip copyright legal disclaimer".split())
+#: Elements that hold a line of an article's text: inside it their class or id says nothing.
+LINES = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "dt", "dd", "td", "th", "tr", "blockquote", "pre", "figure", "figcaption", "caption", "table", "tbody"}
 NEUTRAL = frozenset("area bar block box bottom container content group inner item items left links list main outer page right section site slot top unit wrap wrapper".split())
 PARAGRAPH_ENDS = {
     "address", "article", "aside", "blockquote", "dd", "div", "dl", "dt", "fieldset", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr",
@@ -76,13 +86,18 @@ PARAGRAPH_ENDS = {
 }
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 ATTR = re.compile(r"([^\s=\"'/]+)(?:\s*=\s*(?:\"([^\"]*)\"?|'([^']*)'?|([^\s\"'>]+)))?")
-TEXT, BREAK, MARK, REGION, HOLDS = "#", -1, "!", "@", "^"
+#: Signs behind a label: set apart by its role or as hidden, by a name, by a weak name; an article; what holds the only one.
+TEXT, BREAK, MARK, NAMED, WEAKLY, REGION, HOLDS = "#", -1, "!", "%", "~", "@", "^"
+MARKS = MARK + NAMED + WEAKLY
+MARK_SET, NAMES_SET, ALL_SIGNS = frozenset(MARKS), frozenset(NAMED + WEAKLY), frozenset(MARKS + REGION + HOLDS)
 
 
-def sets_apart(name: str) -> bool:
-    """Whether a class or id names something beside the article."""
+def sets_apart(name: str) -> str:
+    """``NAMED`` or ``WEAKLY`` if a class or id names something beside the article, else ''."""
     parts = {p for p in re.split(r"[-_0-9]+", name.lower()) if p}
-    return not parts.isdisjoint(SET_APART) and parts <= SET_APART | NEUTRAL
+    if not parts <= SET_APART | WEAK | NEUTRAL:
+        return ""
+    return NAMED if not parts.isdisjoint(SET_APART) else WEAKLY if not parts.isdisjoint(WEAK) else ""
 
 
 def _label(name: str, attributes: str) -> str:
@@ -94,8 +109,7 @@ def _label(name: str, attributes: str) -> str:
         key, value = key.lower(), x or y or z
         if key in ("class", "id"):
             for token in value.split():
-                if sets_apart(token):
-                    mark = MARK
+                mark = min(mark or WEAKLY, own) if (own := sets_apart(token)) else mark  # in the order of MARKS
                 if (not plain or key == "class" and plain[0] == "#") and token.replace("-", "").replace("_", "").isalpha() and len(token) <= 24:
                     plain = (".#"[key == "id"]) + token.lower()
         elif key == "role" and value.lower() in LEFT_OUT_ROLES or key == "hidden" or key == "aria-hidden" and value.lower() == "true":
@@ -104,7 +118,7 @@ def _label(name: str, attributes: str) -> str:
 
 
 def name_of(label: str) -> str:
-    return re.split(r"[.#!@^]", label, maxsplit=1)[0]
+    return re.split(r"[.#!%~@^]", label, maxsplit=1)[0]
 
 
 class Page:
@@ -169,24 +183,27 @@ class Page:
 
     def _mark_regions(self, names: list[str]) -> None:
         """The articles (else ``main``) get a sign of their own; what holds the only ones loses its mark, as does a form
-        around a page's main heading."""
+        around a page's main heading, and what is set apart by its name around the only one."""
         out = [False] * len(names)
+        only = names.count("h1") == 1
         found: dict[tuple[bool, str], list[int]] = {}
         for i in range(1, len(names)):
             up = self.parents[i]
-            out[i] = out[up] or self.labels[i][-1] == MARK or names[i] in LEFT_OUT or names[i] == "header"
+            out[i] = out[up] or self.labels[i][-1:] in MARK_SET or names[i] in LEFT_OUT or names[i] == "header"
             if names[i] in ("article", "main"):
                 found.setdefault((out[i], names[i]), []).append(i)
             while names[i] == "h1" and up > 0:
                 if names[up] == "form" and self.labels[up][-1] != HOLDS:
-                    self.labels[up] = self.labels[up].rstrip(MARK) + HOLDS
+                    self.labels[up] = self.labels[up].rstrip(MARKS) + HOLDS
+                elif only and self.labels[up][-1:] in NAMES_SET:
+                    self.labels[up] = self.labels[up].rstrip(MARKS)
                 up = self.parents[up]
         for key in ((False, "article"), (False, "main"), (True, "article"), (True, "main")):
             if key in found:
                 for i in found[key]:
                     j = i
                     while key[0] and j > 0 and self.labels[j][-1] != HOLDS:
-                        self.labels[j] = self.labels[j].rstrip(MARK) + HOLDS
+                        self.labels[j] = self.labels[j].rstrip(MARKS) + HOLDS
                         j = self.parents[j]
                 for i in found[key]:
                     self.labels[i] = self.labels[i].rstrip(HOLDS) + REGION
@@ -194,8 +211,8 @@ class Page:
         self.has_region = bool(found)
 
     def wrapper(self) -> list:
-        """The page by itself: [children by label: [fewest, most, nodes], pairs of neighbours]; a text is
-        [digest, signs, pages]."""
+        """The page by itself: [children by label: [fewest, most, nodes], pairs of neighbours, whether classes are told
+        apart no more]; a text is [digest, signs, pages]."""
         whole = xxhash.xxh32_intdigest("\0".join(self.texts))
         children: list[list[int]] = [[] for _ in self.labels]
         made: list = [None] * len(self.labels)
@@ -221,7 +238,7 @@ class Page:
                 e[1] = e[0]
                 if e[1] > FIXED:
                     e[2] = [_one(label, e[2])]
-            made[i] = _general([kids, pairs])
+            made[i] = _general([kids, pairs, False])
         return made[0]
 
 
@@ -245,28 +262,42 @@ def _joined(label: str, a: list, b: list, same_page: bool) -> list:
 
 
 def _bare(label: str) -> str:
-    return name_of(label) + (label[-1] if label[-1] in MARK + REGION + HOLDS else "")
+    return name_of(label) + (label[-1] if label[-1:] in ALL_SIGNS else "")
+
+
+def _slots(label: str, node: list) -> list:
+    """The node with all its texts as slots."""
+    if label == TEXT:
+        node[0] = None
+    else:
+        for x, e in node[0].items():
+            e[2] = [_slots(x, y) for y in e[2]]
+    return node
 
 
 def _general(node: list) -> list:
-    """Beyond ``MOST_LABELS`` labels, elements are told apart by name and marks only."""
-    kids, pairs = node
-    if len(kids) <= MOST_LABELS:
+    """If the element's children have more than ``MOST_LABELS`` labels, or had them on some pages, they are told apart by
+    name and signs only, and hold slots only: so it does not matter when that was found out."""
+    kids, pairs, general = node
+    if not general and len(kids) <= MOST_LABELS:
         return node
     bare = {label: _bare(label) for label in kids} | {"": ""}
     out: dict[str, list] = {}
     for label, e in kids.items():
+        own = [0, FIXED + 1, [_slots(bare[label], _one(bare[label], e[2]))]]
         if (have := out.get(bare[label])) is None:
-            out[bare[label]] = e
+            out[bare[label]] = own
         else:
-            nodes = have[2] + e[2]
-            out[bare[label]] = [have[0] + e[0], max(FIXED + 1, have[1] + e[1]), [_one(bare[label], nodes)]]
-    return [out, {" ".join(bare.get(x, x) for x in p.split(" ")) for p in pairs}]
+            have[2] = [_one(bare[label], have[2] + own[2])]
+    return [out, {" ".join(bare.get(x, _bare(x) if x else x) for x in p.split(" ")) for p in pairs}, True]
 
 
 def align(a: list, b: list, same_page: bool = False) -> list:
     """The wrapper of both (``a`` is changed): mismatches become slots, options and repeated groups. ``same_page``:
     both are parts of one page, so their texts add up and are not compared."""
+    if a[2] or b[2]:
+        a[2] = b[2] = True
+        a, b = _general(a), _general(b)
     kids, others = a[0], b[0]
     for label, e in kids.items():
         if label not in others:
@@ -283,8 +314,7 @@ def align(a: list, b: list, same_page: bool = False) -> list:
             e[2] = [_joined(label, _one(label, e[2]), _one(label, f[2]), same_page)]
         e[0], e[1] = min(e[0], f[0]), max(e[1], f[1])
     a[1] |= b[1]
-    a[0], a[1] = _general(a)
-    return a
+    return _general(a)
 
 
 def packed(wrapper: list) -> str:
@@ -296,7 +326,7 @@ def unpacked(text: str) -> list:
         for label, e in w[0].items():
             if label != TEXT:
                 e[2] = [node(x) for x in e[2]]
-        return [w[0], set(w[1])]
+        return [w[0], set(w[1]), w[2]]
 
     return node(json.loads(text))
 
@@ -348,10 +378,16 @@ def _template(leaf: list) -> bool:
 
 
 def _set_apart(label: str, inside: bool) -> bool:
-    if label[-1] in REGION + HOLDS:
+    sign, name = label[-1:], name_of(label)
+    if sign in (REGION, HOLDS):
         return False
-    name = name_of(label)
-    return label[-1] == MARK or name in LEFT_OUT or name == "header" and not inside
+    if sign == MARK or name in LEFT_OUT or name == "header" and not inside:
+        return True
+    return sign in NAMES_SET if not inside else sign == NAMED and name not in LINES | INLINE
+
+
+def _has_slot(label: str, node: list) -> bool:
+    return not _template(node) if label == TEXT else any(_has_slot(x, y) for x, e in node[0].items() for y in e[2])
 
 
 def labelled(wrapper: list, has_region: bool):
@@ -373,6 +409,37 @@ def labelled(wrapper: list, has_region: bool):
 
     mass("", wrapper, False)
 
+    def is_links(node: list) -> bool:
+        return sums[id(node)][2] > 1 and 2 * sums[id(node)][1] > sums[id(node)][0]
+
+    def within_text(node: list) -> set[tuple[str, int]]:
+        """Children, by label and number, that lie between others with slots, and paragraphs beside such with slots."""
+        places, at, mixed = [], 0, {}
+        for group in factors(node):
+            for x in group:
+                mixed[x] = group
+                for k, y in enumerate(node[0][x][2]):
+                    places.append((at, x, k, y))
+                    at += len(group) == 1
+            at += 1
+        held = [(p, x) for p, x, _, y in places if _has_slot(x, y) and (x == TEXT or not is_links(y) and not _set_apart(x, False))]
+        if not held:
+            return set()
+        first, last, slots = held[0][0], held[-1][0], {x for _, x in held}
+        pairs, out = [p.split(" ") for p in node[1]], set()
+        for p, x, k, y in places:
+            outer = k == 0 and ["", x] in pairs or k == len(node[0][x][2]) - 1 and [x, ""] in pairs
+            # labels of one factor come in both orders
+            between = first < p < last or not outer and any(z != x and z in slots for z in mixed[x])
+            if x != TEXT and is_links(y):  # references: a list right between lines of the text
+                beside = {z for pair in pairs if x in pair for z in pair if z != x}
+                between = between and all(z == TEXT or name_of(z) in LINES - {"li", "tr"} for z in beside)
+            elif name_of(x) == "p" and x in slots:
+                between = True
+            if between:
+                out.add((x, k))
+        return out
+
     def varies(node: list) -> bool:
         """Whether a line of text right in the element holds a slot; only lines without one are template."""
         return any(not _template(y) if x == TEXT else name_of(x) in INLINE and varies(y) for x, e in node[0].items() for y in e[2])
@@ -381,14 +448,21 @@ def labelled(wrapper: list, has_region: bool):
         if label == TEXT:
             return int((inside or not has_region) and not fixed)
         inline = name_of(label) in INLINE
-        if links and label and not inline and sums[id(node)][2] > 1 and 2 * sums[id(node)][1] > sums[id(node)][0]:
+        if links and label and not inline and is_links(node):
             return 0
         if not inline:
             fixed = template and not varies(node)
+        spared = within_text(node) if template or links else set()
         out, uniform = {}, set()
         for x, e in node[0].items():
             within = inside or x.endswith(REGION)
-            nodes = [0 if x != TEXT and _set_apart(x, within) else keep(x, y, within, fixed, template, links) for y in e[2]]
+            nodes = []
+            for k, y in enumerate(e[2]):
+                if x != TEXT and (_set_apart(x, within) or within and x[-1] in NAMES_SET and not re.match("h[1-6]", x) and not _has_slot(x, y)):
+                    nodes.append(0)
+                else:
+                    free = x != TEXT and (x, k) in spared
+                    nodes.append(keep(x, y, within, fixed, template and not free, links and not free))
             out[x] = [int(e[1] > len(e[2])), nodes]
             uniform.update(k if isinstance(k, int) else None for k in nodes)
         return uniform.pop() if len(uniform) == 1 and None not in uniform else out or int(inside or not has_region)

@@ -114,6 +114,72 @@ def test_pages_that_a_wrapper_does_not_know(spark):
     assert time.time() - began < 1
 
 
+def _texts(spark, pages):
+    got = _got(spark, [(i, "http://a.example/", p) for i, p in enumerate(pages)])
+    return [got[i]["text"] for i in range(len(pages))]
+
+
+@pytest.mark.parametrize(
+    ("inner", "want"),
+    [
+        ("<div class='header'><h1>Title {}</h1></div><p>Body</p>", "Title {}\nBody"),
+        ("<p class='legal'>The court ruled {}.</p><p class='comment'>No comment {}.</p><h2 class=ad>Ads {}</h2><li class=menu>Soup {}", "The court ruled {}.\nNo comment {}.\nAds {}\nSoup {}"),
+        ("<div class=notice>Price up {}</div><p>x {}</p><span class=share>Share {}</span>", "Price up {}\nx {}\nShare {}"),
+        # the same on all pages, and named as something beside the article
+        ("<div class=notice>We use cookies</div><p class=disclaimer>Not advice</p><p>x {}</p><div class=share>Share {}</div><p>Same</p>", "x {}\nSame"),
+        ("<div class=header><h1>Same title</h1></div><h1 class=header>Same too</h1><p>x {}</p>", "Same too\nx {}"),
+    ],
+)
+def test_inside_an_article_names_alone_say_nothing(spark, inner, want):
+    """Names of classes decide only with the alignment, or for containers of adverts, forms, menus, sharing and comments."""
+    got = _texts(spark, ["<nav>n</nav><article>" + inner.replace("{}", str(i)) + "</article>" for i in range(4)])
+    assert got == [want.replace("{}", str(i)) for i in range(4)]
+
+
+def test_without_the_wrapper_nothing_weak_goes(spark):
+    """One page: the alignment tells nothing, so the notice stays; the wrapper makes the difference."""
+    page = "<article><div class=notice>We use cookies</div><p>x {}</p></article>"
+    assert _plain(page) == "We use cookies\nx {}" and _texts(spark, [page]) == ["We use cookies\nx {}"]
+    assert _texts(spark, [page.format(i) for i in range(3)]) == ["x 0", "x 1", "x 2"]
+
+
+def test_template_is_told_by_position(spark):
+    """Unmarked hosts: a shared paragraph within the text, references between paragraphs, and a title in a named block."""
+    page = "<div>Site</div><div class=page-header><h1>Title {0}</h1></div><div><p>First {0}</p><p>The trial goes on.</p><ul><li><a href=x>Ref {0}</a><li><a href=y>Ref b</a></ul><p>Last {0}</p></div><ul><li><a>Story {0}</a><li><a>More</a></ul><p>All rights reserved</p>"
+    want = "Title {0}\nFirst {0}\nThe trial goes on.\nRef {0}\nRef b\nLast {0}"
+    assert _texts(spark, [page.format(i) for i in range(4)]) == [want.format(i) for i in range(4)]
+    tail = "<div>Site</div><div><p>First {0}</p><p>The trial goes on.</p></div>"
+    assert _texts(spark, [tail.format(i) for i in range(3)]) == [f"First {i}\nThe trial goes on." for i in range(3)]
+    alone = "<div class='page-header'><h1>Title</h1></div><p>x</p>"
+    assert _texts(spark, [alone]) == ["Title\nx"]
+
+
+def test_many_labels_in_any_order_of_merging():
+    """Three parts of a host with 60 classes each, and a line that all pages of one part share: the same in any order."""
+    rng = random.Random(4)
+
+    def part(k):
+        pages = []
+        for i in range(6):
+            classes = "".join(chr(97 + k) + chr(97 + (10 * i + j) // 26) + chr(97 + (10 * i + j) % 26) + " " for j in range(10)).split()
+            pages.append("<body>" + "".join(f"<div class={c}>t{k}{i}{c}</div>" for c in classes) + ("<div class=foot>Imprint</div>" if k == 0 else "") + f"<p>x{k}{i}</p></body>")
+        return pages
+
+    parts, texts = [part(k) for k in range(3)], set()
+    pages = [p for x in parts for p in x]
+    for order in ([0, 1, 2], [2, 1, 0], [1, 0, 2]):
+        a, b, c = (W.unpacked(W.packed(_wrapper(parts[k]))) for k in order)
+        left = W.align(W.align(a, b), c)
+        a, b, c = (W.unpacked(W.packed(_wrapper(parts[k]))) for k in order)
+        right = W.align(a, W.align(b, c))
+        rng.shuffle(pages)
+        mixed = _wrapper(pages)
+        assert W.unpacked(W.packed(left)) == W.unpacked(W.packed(right)) == W.unpacked(W.packed(mixed))
+        labels = W.labelled(left, False)
+        texts.add("|".join(W.extract(W.Page(p), labels)[0] for x in parts for p in x))
+    assert len(texts) == 1 and "Imprint" in texts.pop()
+
+
 def test_very_long_and_deep_pages(spark):
     long = "<article>" + "".join(f"<p>word{i} <b>bold</b><ul><li>i{i}</ul>" for i in range(20000)) + "</article>"
     deep = "<div>" * 20000 + "deep" + "</div>" * 20000 + "<article>after</article>"
