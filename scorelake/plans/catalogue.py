@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from scorelake.functions import hashed, markdown
 from scorelake.functions import text as T
-from scorelake.operators import drift, judging, matching, ordinals, runs, validate
+from scorelake.operators import drift, judging, matching, ordinals, runs, similar, validate
 from scorelake.sources import scratch
 from scorelake.streaming import drift_stream
 
@@ -279,6 +279,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "token_counts": lambda s, d: _read(s, d, "documents").select("doc_id", F.size(T.tokens(F.col("text"))).cast("long").alias("n_tokens")),
         "hash_embed_sparse": lambda s, d: _cells(s, d),
         "hash_embed_norm": lambda s, d: _cells(s, d).groupBy("doc_id").agg(F.round(F.sqrt(F.sum(F.col("weight") * F.col("weight"))), 6).alias("norm")),
+        "pairwise_cosine_topk": lambda s, d: similar.most_alike(_read(s, d, "documents"), F.col("doc_id") % 20 == 0, "doc_id").select("query_id", "rank", F.col("id").alias("doc_id"), F.round("score", 9).alias("score")),
         "nearest_centroid_embeddings": lambda s, d: _nearest(s, d).groupBy("cluster").agg(F.count("*").alias("n")),
         "farthest_examples": lambda s, d: drift.farthest(_nearest(s, d), 5, "vec_id").select("vec_id", "cluster", F.round("distance", 6).alias("distance")),
         "embedding_drift": _embedding_drift,
@@ -430,6 +431,10 @@ def oracle_sql() -> dict[str, str]:
         "token_counts": f"SELECT doc_id, CAST(len({_TOK}) AS BIGINT) AS n_tokens FROM documents",
         "hash_embed_sparse": f"WITH {_HASH} SELECT doc_id, bucket, weight FROM cells",
         "hash_embed_norm": f"WITH {_HASH} SELECT doc_id, round(sqrt(CAST(sum(weight * weight) AS DOUBLE)), 6) AS norm FROM cells GROUP BY doc_id",
+        "pairwise_cosine_topk": f"""WITH {_HASH}, norms AS (SELECT doc_id, sqrt(CAST(sum(weight * weight) AS DOUBLE)) AS norm FROM cells GROUP BY doc_id), u AS (SELECT doc_id, bucket, weight / norm AS w FROM cells JOIN norms USING (doc_id) WHERE norm > 0),
+dots AS (SELECT q.doc_id AS query_id, x.doc_id, sum(q.w * x.w) AS s FROM u q JOIN u x USING (bucket) WHERE q.doc_id % 20 = 0 AND q.doc_id <> x.doc_id GROUP BY ALL),
+alike AS (SELECT q.doc_id AS query_id, x.doc_id, round(coalesce(s, 0), 12) + 0.0 AS s FROM documents q CROSS JOIN documents x LEFT JOIN dots ON dots.query_id = q.doc_id AND dots.doc_id = x.doc_id WHERE q.doc_id % 20 = 0 AND q.doc_id <> x.doc_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, doc_id) AS rank FROM alike) SELECT query_id, CAST(rank AS INTEGER) AS rank, doc_id, round(s, 9) AS score FROM r WHERE rank <= 5""",
         "nearest_centroid_embeddings": f"WITH {_NEAR} SELECT cluster, count(*) AS n FROM best WHERE k = 1 GROUP BY cluster",
         "farthest_examples": f"WITH {_NEAR} SELECT vec_id, cluster, round(1 - s, 6) AS distance FROM best WHERE k = 1 ORDER BY 1 - s DESC, vec_id LIMIT 5",
         "calibration_rows": f"WITH {_CAL} SELECT * FROM bin",
