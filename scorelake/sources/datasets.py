@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import json
 import math
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark.errors.exceptions.captured import UnsupportedOperationException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -222,3 +224,39 @@ def canonical(rows: DataFrame) -> DataFrame:
 def write_golden(rows: DataFrame, path: str) -> None:
     """Canonical lines as text files in ``path``, in order of line_no over the part files."""
     canonical(rows).orderBy("line_no").select("value").write.text(path)
+
+
+def write_golden_file(rows: DataFrame, path: str) -> None:
+    """Canonical lines as one file, in order of line_no; an existing one is replaced when the new one is whole.
+
+    The lines are sorted and written in parts beside it. Where the file system can concatenate files, as HDFS, the parts
+    become the file without being read; elsewhere their bytes are copied one after another, a buffer at a time.
+    """
+    spark = rows.sparkSession
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    files = target.getFileSystem(conf)
+    folder = jvm.org.apache.hadoop.fs.Path(f"{path}.parts-{uuid.uuid4().hex}")
+    whole = jvm.org.apache.hadoop.fs.Path(folder, "whole")
+    try:
+        write_golden(rows, folder.toString())
+        parts = sorted((f.getPath() for f in files.listStatus(folder) if f.getPath().getName().startswith("part-") and f.getLen() > 0), key=str)
+        files.create(whole, False).close()
+        try:
+            listed = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Path, len(parts))
+            for i, part in enumerate(parts):
+                listed[i] = part
+            if parts:
+                files.concat(whole, listed)
+        except UnsupportedOperationException:
+            out = files.create(whole, True)
+            for part in parts:
+                held = files.open(part)
+                jvm.org.apache.hadoop.io.IOUtils.copyBytes(held, out, 1 << 20, False)
+                held.close()
+            out.close()
+        files.delete(target, True)
+        if not files.rename(whole, target):
+            raise OSError(f"could not put {path} in its place")
+    finally:
+        files.delete(folder, True)

@@ -53,6 +53,20 @@ def test_golden_round_trip_and_first_bad_line(spark, tmp_path):
     assert e.value.line_no == 0
 
 
+def test_canonical_output_as_one_file(spark, tmp_path):
+    """300 examples in mixed order over several parts: the same bytes as one json.dumps a line; then replaced by fewer."""
+    rows = [_example(f"é{i}", tags=["x"] if i % 2 else [], provenance={"z": i, "a": {"c": 1, "b": "\u001f"}}) for i in range(300)]
+    dumps = lambda r: json.dumps({k: v for k, v in r.items() if k != "tags" or v}, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+    loaded = datasets.load_golden(spark, _file(tmp_path, [json.dumps(r) for r in rows]))
+    path = tmp_path / "out" / "golden.jsonl"
+    for n in (300, 7):
+        datasets.write_golden_file(loaded.where(F.col("line_no") <= n).repartition(6, "id"), str(path))
+        assert path.read_text(encoding="utf-8") == "".join(dumps(r) + "\n" for r in rows[:n])
+        assert [p.name for p in path.parent.iterdir() if not p.name.endswith(".crc")] == ["golden.jsonl"]
+    datasets.write_golden_file(loaded.where("line_no < 0"), str(path))
+    assert path.read_text() == ""
+
+
 def test_calibration_outcomes(spark, tmp_path):
     cases = [_cal("a"), _cal("b", 1.5), _cal("c", True), _cal("a"), _cal("d", rubric=" "), _cal("e", extra=1), _cal("b", 1), _cal("f", float("nan"))]
     lines = [*map(json.dumps, cases), "", " "]
