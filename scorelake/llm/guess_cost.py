@@ -47,7 +47,7 @@ LEAST_BITS = 40.0
 KIND_BITS = math.log2(5)
 LEAST_WORD, MOST_WORD = 3, 32
 #: Bits of a word that people choose where a corpus has it rarely: its rank in this list, at least. Fixed values.
-COMMON = "password 123456 qwerty letmein welcome admin changeme monkey dragon master login default root guest test example sample dummy placeholder secret token user hello iloveyou sunshine princess football baseball shadow superman batman trustno passw0rd".split()
+COMMON = "password qwerty letmein welcome admin changeme monkey dragon master login default root guest test example sample dummy placeholder secret token user hello iloveyou sunshine princess football baseball shadow superman batman trustno".split()
 ROWS = ("`1234567890-=", " qwertyuiop[]\\", " asdfghjkl;'", " zxcvbnm,./")
 SHIFTED = str.maketrans('~!@#$%^&*()_+{}|:"<>?', "`1234567890-=[]\\;',./")
 SEQUENCES = ("abcdefghijklmnopqrstuvwxyz", "01234567890")
@@ -86,6 +86,16 @@ def credential_values(text: str) -> list[tuple[int, int]]:
     return sorted(s for s in out if s[0] < s[1])
 
 
+def _without(text: str, spans: list[tuple[int, int]]) -> str:
+    """The text with a space for each of the spans, which are sorted and may overlap."""
+    out, at = [], 0
+    for s, e in spans:
+        if s >= at:
+            out.append(text[at:s])
+        at = max(at, e)
+    return " ".join([*out, text[at:]])
+
+
 def _alphabet(value: str) -> int:
     """The size of the smallest usual alphabet that holds the value."""
     if value.isascii():
@@ -253,9 +263,7 @@ def _spans_and_words(keep_type: pa.DataType, batches: Iterator[pa.RecordBatch])
             spans.append([{"kind": k, "start": s, "end": e} for s, e, k in base_spans(text)])
             found = credential_values(text)
             values.append([{"start": s, "end": e, "value": text[s:e]} for s, e in found])
-            for s, e in reversed(found):
-                text = text[:s] + " " + text[e:]
-            seen.update(text.split())
+            seen.update(_without(text, found).split())
             if len(seen) > HELD_WORDS:
                 yield from counts()
         m = len(spans)

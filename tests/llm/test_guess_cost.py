@@ -47,8 +47,8 @@ def _plain_spans(texts):
     seen = Counter()
     for t in texts:
         t = t or ""
-        for s, e in reversed(guess_cost.credential_values(t)):
-            t = t[:s] + " " + t[e:]
+        hidden = {i for s, e in guess_cost.credential_values(t) for i in range(s, e)}
+        t = "".join(" " if i in hidden else c for i, c in enumerate(t))
         for w in t.split():
             w = w.strip(".,;:!?\"'()[]{}<>-*_`«»“”‘’…").lower()
             if 3 <= len(w) <= 32 and w.isalpha():
@@ -114,6 +114,19 @@ def test_cost_is_the_least_over_all_segmentations(value):
     assert guess_cost.guess_bits(value, WORDS) == pytest.approx(least)
 
 
+def test_values_that_overlap_or_abound():
+    """A password in a URL that is itself a value; 20,000 values in one text, taken out in linear time."""
+    text = "secret=https://joe:kV7wq2Zp0@db.example.org/x after it"
+    values = guess_cost.credential_values(text)
+    assert [text[s:e] for s, e in values] == ["https://joe:kV7wq2Zp0@db.example.org/x", "kV7wq2Zp0"]
+    assert guess_cost._without(text, values).split() == ["secret=", "after", "it"]
+    import time
+
+    begin, text = time.time(), "token=abcdefgh word " * 20_000
+    assert len(guess_cost._without(text, guess_cost.credential_values(text)).split()) == 40_000 and len(guess_cost.base_spans(text)) == 20_000
+    assert time.time() - begin < 5
+
+
 def test_segments():
     by = lambda v: {(v[i:j], round(b, 3)) for i, j, b in guess_cost.segments(v, WORDS)}
     assert ("@bC", round(5 + 1 + guess_cost._case_bits("@bC"), 3)) in by("1@bC")
