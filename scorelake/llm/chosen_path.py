@@ -10,9 +10,9 @@ larger bucket picks a pivot: records that agree with it well are linked to it, a
 again on two more sampled tokens each, and so on for ``DEPTH`` levels; what is then still large is linked whole.
 Runs repeat until a pair at the threshold has been missed with probability ``1 - RECALL`` at most.
 
-The links only propose. A large component of them is parted where no two records that could be within the threshold
-are torn apart (by their rarest shingles), as texts that merely share much boilerplate are proposed as well. The
-components are then compared exactly, all pairs of each in blocks, by the true sets. So every pair of a component with Jaccard index >= ``threshold`` counts, whichever run found it.
+The links only propose. A large component of them whose records are mostly unlike its first is parted where no two
+records that could be within the threshold are torn apart (by their rarest shingles), as texts that merely share much
+boilerplate are proposed as well. The components are then compared exactly, all pairs of each in blocks, by the true sets. So every pair of a component with Jaccard index >= ``threshold`` counts, whichever run found it.
 Large components are spread over block pairs; counts leave a block pair, not pairs.
 
 Result: one row per input row with class_id (the smallest doc_id that is linked to it by a chain of links, itself
@@ -53,8 +53,10 @@ DEPTH = 4
 LINK, PIVOT_LINK, CLOSE = 0.58, 0.35, 0.65
 #: Records of a block of a large component; smaller components have smaller blocks, at least SMALL_BLOCK.
 BLOCK, SMALL_BLOCK, SPREAD = 1024, 128, 16
-#: Records from which on a component of proposed links is looked at before its pairs are compared.
-LOOSE = 512
+#: Records beyond which a component of proposed links is looked at before its pairs are compared (up to there comparing
+#: its blocks costs less than moving its shingles), and the agreement with its first record from which on a record is
+#: taken for one that has links.
+LOOSE, ALIKE = 16 * BLOCK, 0.7
 _WORD = re.compile(r"\w+")
 #: Words whose hashes a worker keeps.
 CACHED = 150_000
@@ -313,8 +315,7 @@ def _with_sets(rows: DataFrame) -> DataFrame:
 
 
 def _tightened(members: DataFrame, sets_of: Callable[[DataFrame], DataFrame], threshold: float) -> DataFrame:
-    """``members`` (rec, component, size) with components of more than ``LOOSE`` records parted, so that no two records
-    within the threshold are.
+    """``members`` (rec, component, size) of loose components, parted so that no two records within the threshold are.
 
     Order a component's shingles by the number of its records that have them. Of two sets with Jaccard index t or more,
     the n - ceil(t n) + 1 rarest shingles of each have one in common. So records that share such a shingle stay together,
@@ -330,8 +331,7 @@ def _tightened(members: DataFrame, sets_of: Callable[[DataFrame], DataFrame], th
                 at = pa.array(np.repeat(np.arange(len(sets)), n))
                 yield pa.RecordBatch.from_arrays([part.column("rec").take(at), part.column("component").take(at), pa.array(np.repeat(n, n)), pa.array(np.concatenate(sets))], names=["rec", "component", "n", "shingle"])
 
-    large = members.where(F.col("size") > LOOSE)
-    spread_out = common.written(sets_of(large.select("rec", "component")).mapInArrow(spread, "rec long, component long, n long, shingle long"), "shingles")
+    spread_out = common.written(sets_of(members.select("rec", "component")).mapInArrow(spread, "rec long, component long, n long, shingle long"), "shingles")
     # a shingle that one record has comes first in the order and joins nothing
     held = spread_out.groupBy("component", "shingle").agg(F.count("*").alias("times"), F.min("rec").alias("head")).where("times > 1")
     shared = spread_out.join(held, ["component", "shingle"]).groupBy("rec", "n").agg(F.array_sort(F.collect_list(F.struct("times", "shingle", "head"))).alias("s"))  # a text's own shingles
@@ -339,8 +339,22 @@ def _tightened(members: DataFrame, sets_of: Callable[[DataFrame], DataFrame], th
     heads = shared.select("rec", F.explode(F.slice("s", F.lit(1), F.greatest(first, F.lit(0)).cast("int"))).alias("x")).select(F.col("rec").alias("a"), F.col("x.head").alias("b")).where("a <> b")
     parts = common.connected_components(heads.distinct())
     sizes = parts.groupBy("component").agg(F.count("*").alias("size")).where("size > 1")
-    tight = parts.join(sizes, "component").select(F.col("node").alias("rec"), "component", "size")
-    return members.where(F.col("size") <= LOOSE).select("rec", "component", "size").unionByName(tight)
+    return parts.join(sizes, "component").select(F.col("node").alias("rec"), "component", "size")
+
+
+def _loose(members: DataFrame, sketches: DataFrame) -> DataFrame:
+    """(component): those of more than ``LOOSE`` records less than half of which agree with their first record in
+    ``ALIKE`` of the sketch: few of their pairs can be links. The others' pairs mostly are, and must be counted anyway."""
+    large = members.where(F.col("size") > LOOSE)
+    heads = sketches.join(large.select(F.col("component").alias("rec")).distinct(), "rec").select(F.col("rec").alias("component"), F.col("sketch").alias("head"))
+
+    def agreement(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            a, h = (np.frombuffer(b"".join(b.column(c).to_pylist()), "<u2").reshape(-1, TOKENS) for c in ("sketch", "head"))
+            yield pa.RecordBatch.from_arrays([b.column("component"), pa.array((a == h).mean(1) >= ALIKE)], names=["component", "alike"])
+
+    faced = large.join(sketches, "rec").join(heads, "component").select("component", "sketch", "head")
+    return faced.mapInArrow(agreement, "component long, alike boolean").groupBy("component").agg(F.avg(F.col("alike").cast("int")).alias("share")).where("share < 0.5").select("component")
 
 
 def _records(docs: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
@@ -370,7 +384,10 @@ def _records(docs: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
         return found if repeated.isEmpty() else found.dropDuplicates(["rec"])  # texts that differ in white space only have one set
 
     if not members.where(F.col("size") > LOOSE).isEmpty():
-        members = common.written(_tightened(members, sets_of, threshold), "tight")
+        loose = common.written(_loose(members, with_sketch.select("rec", "sketch")), "loose")
+        if not loose.isEmpty():
+            tight = _tightened(members.join(loose, "component", "left_semi"), sets_of, threshold)
+            members = common.written(members.join(loose, "component", "left_anti").select("rec", "component", "size").unionByName(tight), "tight")
     # a record goes to as many block pairs as there are blocks, so blocks grow with the component up to BLOCK
     n_blocks = F.greatest(F.least(F.ceil(F.col("size") / SMALL_BLOCK), F.lit(SPREAD)), F.ceil(F.col("size") / BLOCK)).cast("int")
     placed = members.join(with_sketch.select("rec", "copies"), "rec").withColumn("blocks", n_blocks).withColumn("block", F.pmod(F.xxhash64("rec", F.lit(5)), F.col("blocks")).cast("int"))

@@ -54,14 +54,14 @@ def connected_components(edges: DataFrame, src: str = "a", dst: str = "b", most_
         e = edges.select(F.col(src).cast("long").alias("a"), F.col(dst).cast("long").alias("b")).where("a is not null and b is not null")
         e = written(e.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
         nodes = written(e.select(F.col("a").alias("node")).union(e.select("b")).distinct(), "nodes")
-        e, seen = kept(e.where("a <> b"), "stars"), None
+        e, seen = e.where("a <> b"), None
         for _ in range(most_rounds):
             with scratch(spark):  # a round's tables go when the next one's are there
                 both = e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-                low = written(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), "low")
+                low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
                 e = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
                 e = written(e, "large")
-                low = written(e.groupBy("a").agg(F.min("b").alias("m")), "low")
+                low = e.groupBy("a").agg(F.min("b").alias("m"))
                 j = e.join(low, "a")
                 e = j.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("a", F.col("m").alias("b")))
                 e = kept(e.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "small")

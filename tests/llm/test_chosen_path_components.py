@@ -3,7 +3,6 @@
 import time
 
 import numpy as np
-import pytest
 
 from scorelake.llm import chosen_path, common
 
@@ -18,8 +17,8 @@ def _spied(monkeypatch, name):
     seen, real = [], getattr(chosen_path, name)
 
     def spy(*a):
-        out = real(*a)
-        seen.append(out)
+        out = common.written(real(*a), "seen")
+        seen.append(out.count())
         return out
 
     monkeypatch.setattr(chosen_path, name, spy)
@@ -29,6 +28,7 @@ def _spied(monkeypatch, name):
 def test_boilerplate_is_not_compared(spark, monkeypatch):
     """3000 texts that share 100 words of 140 (Jaccard index about 0.55) and link to nothing, and 40 near copies of one."""
     common.prepare(spark)
+    monkeypatch.setattr(chosen_path, "LOOSE", 2048)
     rng = np.random.default_rng(3)
     shared = _words(rng, 100)
     rows = [(i, " ".join(shared + _words(rng, 40, 10**9))) for i in range(3000)]
@@ -43,17 +43,18 @@ def test_boilerplate_is_not_compared(spark, monkeypatch):
     took = time.time() - begin
     assert all(got[i] == (i, 0) for i in range(3000) if i != 7) and got[7][0] == 7
     assert {got[10_000 + i][0] for i in range(40)} == {7} and all(got[10_000 + i][1] >= 35 for i in range(40))
-    assert len(seen) == 1, took
+    assert len(seen) == 1 and seen[0] <= 60, took  # some 41 of 3040 records are left to compare
 
 
-@pytest.mark.parametrize("loose", [4, 40])
-def test_parted_components_lose_no_link(spark, monkeypatch, loose):
-    """Families at all distances around the threshold, joined by a common passage: the same links as by brute force."""
+def test_parted_components_lose_no_link(spark, monkeypatch):
+    """Families at all distances around the threshold, joined by a common passage, all parted: the same links as by brute
+    force."""
     from test_llm_operators import _brute_links
 
     common.prepare(spark)
-    monkeypatch.setattr(chosen_path, "LOOSE", loose)
-    rng = np.random.default_rng(loose)
+    monkeypatch.setattr(chosen_path, "LOOSE", 4)
+    monkeypatch.setattr(chosen_path, "ALIKE", 1.1)
+    rng = np.random.default_rng(4)
     shared, rows = _words(rng, 80), []
     for family in range(12):
         base = shared + _words(rng, 60)
