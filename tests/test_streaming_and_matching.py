@@ -74,3 +74,11 @@ def test_any_expected_output_is_enough(spark):
     assert [r["value"] for r in matching.regexes_are_sound(bad).collect()] == ["("]
     with pytest.raises(ValueError):
         matching.matched(df, least=1.5)
+
+
+def test_texts_in_capitals_are_equal_to_the_texts(spark):
+    """Letters whose capitals are several letters, other letters' or none."""
+    pairs = [("STRASSE", "Straße"), ("Straße", "STRASSE"), ("STRAẞE", "straße"), ("ISI", "ısı"), ("İ", "i\u0307"), ("\u039c", "\u00b5"), ("ΟΔΟΣ", "οδος"), ("ΟΔΟΣ", "οδοσ"), ("ﬁn", "FIN"), ("s", "ſ"), ("ß", "s"), ("é", "e")]
+    rows = [(i, [("exact", e)], a) for i, (e, a) in enumerate(pairs)]
+    df = spark.createDataFrame(rows, "id int, expected_outputs array<struct<kind:string,value:string>>, answer string")
+    assert {r["id"] for r in matching.matched(df).where("matched").collect()} == set(range(10))
