@@ -59,3 +59,36 @@ def test_rows_that_cannot_win_are_not_read_to_the_end():
         s[q] = -2
         assert scores == pytest.approx(np.sort(s)[::-1][:5], abs=1e-9) and len(ids) == 5
     assert lists.read < 0.5 * 40 * 4000 * 64
+
+
+def test_a_pack_finds_what_single_queries_find():
+    """Ties, copies, own rows that come twice, zero vectors, and rows that differ by less than single precision shows."""
+    rng = np.random.default_rng(2)
+    x = rng.integers(-2, 3, (3000, 64)).astype(float)
+    x[100:160] = x[7]
+    x[200:260] = x[8] + 1e-9 * rng.standard_normal((60, 64))
+    x[300:310] = 0
+    x, ids = hashed.unit(x), rng.permutation(3000)
+    ids[5] = ids[6]
+    for k in (1, 5, 90):
+        best = similar.Best(ids[:400], k)
+        for lo in (0, 1000, 1100, 2900):
+            hi = {0: 1000, 1000: 1100, 1100: 2900, 2900: 3000}[lo]
+            best.meet(similar.Lists(ids[lo:hi], x[lo:hi]), x[:400])
+        rows, found, scores = best.found
+        whole = similar.Lists(ids, x)
+        for q in range(400):
+            want_ids, want = whole.best(int(ids[q]), x[q], k, -2.0)
+            assert found[rows == q].tolist() == want_ids.tolist() and scores[rows == q].tolist() == want.tolist()
+
+
+def test_only_a_few_of_equal_texts_meet_the_queries(spark, monkeypatch):
+    """Of 3000 copies only the k + 1 smallest ids go on; copies that share an id stay copies."""
+    rows = [(i, "same text") for i in range(3000)] + [(i, f"other {i}") for i in range(5000, 5040)] + [(5001, "other 5001")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    held, packed = [], similar._packed
+    monkeypatch.setattr(similar, "_packed", lambda rows, dim: held.append(rows.count()) or packed(rows, dim))
+    got = similar.most_alike(df, F.col("doc_id").isin(2, 2999, 5000), "doc_id", k=3).orderBy("query_id", "rank").collect()
+    assert [r["id"] for r in got if r["query_id"] == 2] == [0, 1, 3] and [r["id"] for r in got if r["query_id"] == 2999] == [0, 1, 2]
+    assert [(-r["score"], r["id"]) for r in got if r["query_id"] == 5000] == sorted((-r["score"], r["id"]) for r in got if r["query_id"] == 5000)
+    assert held[0] <= 4 + 41
