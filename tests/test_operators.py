@@ -320,3 +320,20 @@ def test_kmeans_separates_two_directions(spark):
     c = drift.kmeans(df, 2, "id")
     got = {r["id"]: r["cluster"] for r in drift.nearest(df, c).collect()}
     assert all(got[i] == got[i % 2] for i in got) and got[0] != got[1]
+
+
+def test_what_an_embedding_worker_holds_does_not_grow_with_the_table():
+    """Of many distinct words only so many places are remembered, and rows are embedded in small parts, in order."""
+    import pyarrow as pa
+
+    from scorelake.functions import hashed
+
+    places, fresh = hashed.Places(64), []
+    for i in range(0, 120_000, 1000):
+        text = " ".join(f"w{j}" for j in range(i, i + 1000))
+        fresh.append((places.weights(text) == hashed.Places(64).weights(text)).all())
+        assert len(places.known) <= 40_000
+    assert all(fresh)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(5000))], names=["x"])
+    cut = list(hashed.parts([batch, batch.slice(0, 0), batch]))
+    assert max(b.num_rows for b in cut) <= 1000 and [x for b in cut for x in b.column("x").to_pylist()] == 2 * list(range(5000))
