@@ -57,6 +57,8 @@ BLOCK, SMALL_BLOCK, SPREAD = 1024, 128, 16
 #: its blocks costs less than moving its shingles), and the agreement with its first record from which on a record is
 #: taken for one that has links.
 LOOSE, ALIKE = 16 * BLOCK, 0.7
+#: Words of 64 bits of a sieve, at least and at most: what is sent to all tasks does not grow beyond the latter.
+SIEVE = (1 << 10, 1 << 18)
 _WORD = re.compile(r"\w+")
 #: Words whose hashes a worker keeps.
 CACHED = 150_000
@@ -298,6 +300,19 @@ def _block_links(threshold: float):
     return run
 
 
+def _sieved(rows: DataFrame, key: str, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``rows`` parted: those whose number ``key`` may be among ``ids`` (id), by a few bits of its hash that all tasks are
+    sent, and those where it is not. So only the former, with their texts, need to be moved to meet ``ids``; with more ids
+    than ``SIEVE`` has bits for, more of them are moved in vain."""
+    ids = common.written(ids.select(F.col("id").cast("long")), "ids")
+    words = min(SIEVE[1], max(SIEVE[0], ids.count() // 4))  # 16 bits an id
+    word = lambda c: F.pmod(F.xxhash64(c.cast("long"), F.lit(6)), F.lit(words))
+    bit = lambda c: F.element_at(F.array(*(F.lit(1 << i).cast("long") for i in range(63)), F.lit(-(1 << 63))), F.pmod(F.xxhash64(c.cast("long"), F.lit(7)), F.lit(64)).cast("int") + 1)
+    bits = common.written(ids.groupBy(word(F.col("id")).alias("word")).agg(F.bit_or(bit(F.col("id"))).alias("bits")), "sieve")
+    there = (word(rows[key]) == bits["word"]) & (bits["bits"].bitwiseAND(bit(rows[key])) != 0)
+    return rows.join(F.broadcast(bits), there, "left_semi"), rows.join(F.broadcast(bits), there, "left_anti")
+
+
 def _with_sets(rows: DataFrame) -> DataFrame:
     kept = [f for f in rows.schema.fields if f.name != "text"]
     from pyspark.sql.types import BinaryType, StructField, StructType
@@ -379,7 +394,8 @@ def _records(docs: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
 
     def sets_of(rows: DataFrame) -> DataFrame:
         """``rows`` (rec, ...) with the record's shingles."""
-        wanted = rows.join(with_sketch.select("rec", "first_id", "set_hash"), "rec").join(texts, "first_id")
+        named = common.written(rows.join(with_sketch.select("rec", "first_id", "set_hash"), "rec"), "named")
+        wanted = named.join(_sieved(texts, "first_id", named.select(F.col("first_id").alias("id")))[0], "first_id")
         found = _with_sets(wanted.select(*rows.columns, "set_hash", "text")).drop("set_hash")
         return found if repeated.isEmpty() else found.dropDuplicates(["rec"])  # texts that differ in white space only have one set
 
@@ -430,9 +446,9 @@ def keep_one(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     doc_id stays (one of them where rows repeat). A doc_id with texts of several classes can stay once for each.
     Rows with a null doc_id stay."""
     with common.scratch(docs.sparkSession):
-        heads, repeated = _heads(docs, threshold)
-    once = heads.join(repeated, "doc_id", "left_anti")
-    kept = docs.join(once, "doc_id", "left_semi").unionByName(docs.where("doc_id is null"))
+        heads, repeated, gone = _heads(docs, threshold)
+    may, stays = _sieved(docs, "doc_id", gone.select(F.col("doc_id").alias("id")))
+    kept = stays.where("doc_id is not null").unionByName(may.where("doc_id is not null").join(gone, "doc_id", "left_anti")).unionByName(docs.where("doc_id is null"))
     if repeated.isEmpty():
         return kept
     # the doc_id alone doesn't tell the row: its set does
@@ -441,12 +457,15 @@ def keep_one(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     return kept.unionByName(several.dropDuplicates(["doc_id", mark]).select(*docs.columns))
 
 
-def _heads(docs: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
-    """(doc_id and set_hash of each class's row that stays, doc_ids that come more than once)."""
+def _heads(docs: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(doc_id and set_hash of each class's row that stays, doc_ids that come more than once, those and the doc_ids of
+    which no row stays)."""
     sketched, named = _records(docs, threshold)
     heads = named.groupBy("component").agg(F.min(F.struct("first_id", "set_hash")).alias("h")).select(F.col("h.first_id").alias("doc_id"), F.col("h.set_hash").alias("set_hash"))
     repeated = sketched.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("times")).where("times > 1").select("doc_id")
-    return common.kept(heads, "heads"), common.kept(repeated, "repeated")
+    heads, repeated = common.kept(heads, "heads"), common.kept(repeated, "repeated")
+    gone = sketched.where("doc_id is not null").select("doc_id").join(heads, "doc_id", "left_anti").union(repeated).distinct()
+    return heads, repeated, common.kept(gone, "gone")
 
 
 def query(docs: DataFrame) -> DataFrame:

@@ -82,3 +82,18 @@ def test_a_doc_id_of_many_rows_moves_one_text(spark, monkeypatch):
     monkeypatch.setattr(chosen_path, "_with_sets", spy)
     got = {tuple(r) for r in chosen_path.query(df).collect()}
     assert got == {(1, 1, 20_001), (2, 1, 20_001), (1, 1, 0)} and max(moved) <= 4
+
+
+def test_few_texts_are_moved_to_meet_some_ids(spark, monkeypatch):
+    """A sieve parts the rows, loses none of the wanted ones, and lets few others through; with more ids than it has bits
+    for it only lets more through."""
+    common.prepare(spark)
+    rows = spark.createDataFrame([(i - 500, "x") for i in range(20_000)] + [(None, "y"), (7, "z")], SCHEMA)
+    wanted = spark.createDataFrame([(i,) for i in range(0, 4000, 4)], "id long")
+    for most in (chosen_path.SIEVE[1], 4):
+        monkeypatch.setattr(chosen_path, "SIEVE", (4, most))
+        may, others = (x.select("doc_id", "text").collect() for x in chosen_path._sieved(rows, "doc_id", wanted))
+        assert sorted(map(str, may + others)) == sorted(map(str, rows.collect()))
+        assert not {r["doc_id"] for r in others} & set(range(0, 4000, 4))
+        assert most == 4 or len(may) < 1000 + 0.15 * 19_000
+    assert sorted(x.count() for x in chosen_path._sieved(rows, "doc_id", wanted.limit(0))) == [0, 20_002]
